@@ -21,8 +21,9 @@ from .common import map_batches, materialise, texts, utf8
 
 CAPACITY = 4096
 END_ID = 1
-#: Words whose ids a worker remembers; the memory is emptied when it is full.
-CACHED_WORDS = 300_000
+#: Words in each of the two generations that a worker process remembers over its tasks.
+CACHED_WORDS = 600_000
+_KNOWN: dict[str, "WordIds"] = {}
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long"
 
 
@@ -30,26 +31,36 @@ class WordIds:
     """Ids of whole texts as little-endian unsigned 32-bit bytes.
 
     The tokenizer's rules never join characters across ASCII white space and drop the space itself, so a text's ids
-    are its words' ids in a row; each distinct word is encoded by the tokenizer once.
+    are its words' ids in a row; the tokenizer encodes each distinct word once while it is remembered. When the young
+    generation is full it becomes the old one; words met again are young again.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.known, self.old = Tokenizer.from_file(path), {}, {}
+
+    @classmethod
+    def of(cls, path: str) -> WordIds:
+        if path not in _KNOWN:
+            _KNOWN[path] = cls(path)
+        return _KNOWN[path]
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
+        if len(self.known) > CACHED_WORDS:
+            self.known, self.old = {}, self.known
         words = [t.split() for t in texts]
-        new = {w for ws in words for w in ws if w not in self.known}
-        if len(self.known) + len(new) > CACHED_WORDS:
-            self.known = {}
-            new = {w for ws in words for w in ws}
-        order = list(new)
-        for i in range(0, len(order), 4096):
-            part = order[i : i + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)):
-                self.known[w] = np.asarray(e.ids, "<u4").tobytes()
-        get = self.known.__getitem__
+        known, old, new = self.known, self.old, []
+        for w in {w for ws in words for w in ws if w not in known}:
+            if w in old:
+                known[w] = old[w]
+            else:
+                new.append(w)
+        for i in range(0, len(new), 4096):
+            part = new[i : i + 4096]
+            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)):
+                known[w] = np.asarray(e.ids, "<u4").tobytes()
+        get = known.__getitem__
         return [b"".join(map(get, ws)) for ws in words]
 
 
@@ -58,7 +69,7 @@ def tokenise(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, kee
     end = np.asarray([END_ID], "<u4").tobytes()
 
     def run(batches):
-        encode, seen, part = WordIds(tokenizer_path), {}, TaskContext.get().partitionId()
+        encode, seen, part = WordIds.of(tokenizer_path), {}, TaskContext.get().partitionId()
         for batch in batches:
             out = {n: [] for n in ("doc_id", "piece", "start", "length", "ids_crc32", "part", "rank", "ids")}
             for doc_id, ids in zip(batch.column(0).to_pylist(), encode(utf8(batch.column(1)))):
