@@ -23,6 +23,7 @@ CAPACITY = 4096
 END_ID = 1
 #: Words in each of the two generations that a worker process remembers over its tasks.
 CACHED_WORDS = 600_000
+MARKS = frozenset(b".,|:;!?)")
 _KNOWN: dict[str, "WordIds"] = {}
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long"
 
@@ -50,19 +51,38 @@ class WordIds:
         if len(self.known) > CACHED_WORDS:
             self.known, self.old = {}, self.known
         words = [t.split() for t in texts]
-        known, old, new = self.known, self.old, []
-        for w in {w for ws in words for w in ws if w not in known}:
-            if w in old:
-                known[w] = old[w]
-            else:
-                new.append(w)
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)):
-                known[w] = np.asarray(e.ids, "<u4").tobytes()
+        known = self.known
+        self.learn([w for w in {w for ws in words for w in ws if w not in known} if not self.remembered(w)])
         get = known.__getitem__
         return [b"".join(map(get, ws)) for ws in words]
 
+    def remembered(self, word: bytes) -> bool:
+        if word not in self.known and word in self.old:
+            self.known[word] = self.old[word]
+        return word in self.known
+
+    def learn(self, new: list[bytes]) -> None:
+        """Fewer distinct words reach the tokenizer: it lowers case itself, and parts a last mark from an ASCII letter or digit."""
+        heads = {}
+        for w in new:
+            if b"<|" in w:  # may be a special token, which has its own case
+                heads[w] = w, b""
+            else:
+                low = w.lower()
+                heads[w] = (low[:-1], low[-1:]) if low[-1] in MARKS and low[-2:-1].isalnum() else (low, b"")
+        fresh = [w for w in {x for pair in heads.values() for x in pair if x} if not self.remembered(w)]
+        plain = [w for w in fresh if w.isalpha() and w.isascii() and w.islower()]
+        model = self.tokenizer.model.tokenize
+        for w in plain:  # for letters a-z the rules before the model change nothing
+            self.known[w] = np.array([t.id for t in model(w.decode())], "<u4").tobytes()
+        rest = list(set(fresh).difference(plain))
+        for i in range(0, len(rest), 4096):
+            part = rest[i : i + 4096]
+            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)):
+                self.known[w] = np.array(e.ids, "<u4").tobytes()
+        for w, (head, tail) in heads.items():
+            self.known[w] = self.known[head] + self.known[tail] if tail else self.known[head]
+
 
 def tokenise(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
     """One row per piece of at most `capacity` ids; a document is its ids, then END_ID. rank: among the task's pieces of that length."""
