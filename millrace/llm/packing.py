@@ -22,24 +22,25 @@ from .common import map_batches, materialise, texts, utf8
 CAPACITY = 4096
 END_ID = 1
 #: Words in each of the two generations that a worker process remembers over its tasks.
-CACHED_WORDS = 600_000
+CACHED_WORDS = 400_000
 MARKS = frozenset(b".,|:;!?)")
 _KNOWN: dict[str, "WordIds"] = {}
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long"
 
 
-class WordIds:
-    """Ids of whole texts as little-endian unsigned 32-bit bytes.
+class WordIds(dict):
+    """Ids of words, by which whole texts become little-endian unsigned 32-bit bytes.
 
-    The tokenizer's rules never join characters across ASCII white space and drop the space itself, so a text's ids
-    are its words' ids in a row; the tokenizer encodes each distinct word once while it is remembered. When the young
-    generation is full it becomes the old one; words met again are young again.
+    The tokenizer's rules never join characters across ASCII white space, drop the space itself, ignore case, and part
+    a mark from the ASCII letter or digit before it. So a text's ids are its words' ids in a row, and few distinct words
+    reach the tokenizer. When this generation is full it becomes the old one; words met again are young again.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.old = Tokenizer.from_file(path), {}, {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model, self.old = self.tokenizer.model.tokenize, {}
 
     @classmethod
     def of(cls, path: str) -> WordIds:
@@ -47,41 +48,25 @@ class WordIds:
             _KNOWN[path] = cls(path)
         return _KNOWN[path]
 
-    def __call__(self, texts: list[bytes]) -> list[bytes]:
-        if len(self.known) > CACHED_WORDS:
-            self.known, self.old = {}, self.known
-        words = [t.split() for t in texts]
-        known = self.known
-        self.learn([w for w in {w for ws in words for w in ws if w not in known} if not self.remembered(w)])
-        get = known.__getitem__
-        return [b"".join(map(get, ws)) for ws in words]
-
-    def remembered(self, word: bytes) -> bool:
-        if word not in self.known and word in self.old:
-            self.known[word] = self.old[word]
-        return word in self.known
-
-    def learn(self, new: list[bytes]) -> None:
-        """Fewer distinct words reach the tokenizer: it lowers case itself, and parts a last mark from an ASCII letter or digit."""
-        heads = {}
-        for w in new:
-            if b"<|" in w:  # may be a special token, which has its own case
-                heads[w] = w, b""
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.old.get(word)
+        if ids is None:
+            if word[-1] in MARKS and word[-2:-1].isalnum():
+                ids = self[word[:-1]] + self[word[-1:]]
+            elif word.isalpha():  # bytes a-z: the rules before the model change nothing
+                ids = np.array([t.id for t in self.model(word.decode())], "<u4").tobytes()
             else:
-                low = w.lower()
-                heads[w] = (low[:-1], low[-1:]) if low[-1] in MARKS and low[-2:-1].isalnum() else (low, b"")
-        fresh = [w for w in {x for pair in heads.values() for x in pair if x} if not self.remembered(w)]
-        plain = [w for w in fresh if w.isalpha() and w.isascii() and w.islower()]
-        model = self.tokenizer.model.tokenize
-        for w in plain:  # for letters a-z the rules before the model change nothing
-            self.known[w] = np.array([t.id for t in model(w.decode())], "<u4").tobytes()
-        rest = list(set(fresh).difference(plain))
-        for i in range(0, len(rest), 4096):
-            part = rest[i : i + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
-        for w, (head, tail) in heads.items():
-            self.known[w] = self.known[head] + self.known[tail] if tail else self.known[head]
+                ids = np.array(self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
+        self[word] = ids
+        return ids
+
+    def ids(self, text: bytes) -> bytes:
+        if len(self) > CACHED_WORDS:
+            self.old = dict(self)
+            self.clear()
+        if b"<|" in text:  # a special token would have its own case
+            return np.array(self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
+        return b"".join(map(self.__getitem__, text.lower().split()))
 
 
 def tokenise(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
@@ -89,11 +74,11 @@ def tokenise(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, kee
     end = np.asarray([END_ID], "<u4").tobytes()
 
     def run(batches):
-        encode, seen, part = WordIds.of(tokenizer_path), {}, TaskContext.get().partitionId()
+        ids_of, seen, part = WordIds.of(tokenizer_path).ids, {}, TaskContext.get().partitionId()
         for batch in batches:
             out = {n: [] for n in ("doc_id", "piece", "start", "length", "ids_crc32", "part", "rank", "ids")}
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encode(utf8(batch.column(1)))):
-                ids += end
+            for doc_id, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1))):
+                ids = ids_of(text) + end
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     block = ids[at : at + 4 * capacity]
                     n = len(block) // 4
