@@ -1,18 +1,20 @@
 """Windows that recur across documents, found without sending every window anywhere.
 
-A window is `width` consecutive units (bytes or words). Its anchor is the least hash of the `gram`-unit grams inside it,
-so equal windows have equal anchors and a text needs one anchor for many windows. Steps, each over all documents:
+A window is `width` consecutive units (bytes or words). Its anchor is the gram of `gram` units with the least hash inside
+it, so equal windows have equal anchors and a text needs one anchor for many windows. Around an anchor a window always
+holds some units more on the left or on the right: hashes of both extents are the anchor's keys, and equal windows
+share one. Steps, each over all documents:
 
 1. The texts go to a written table with the input partition as `chunk`; exact copies of a text with a smaller doc_id are
    marked and left out: everything they hold also starts in that document.
-2. Each chunk's distinct anchors are dealt by hash to buckets, which keep those of two or more documents.
-3. Segments (neighbouring windows with one such anchor) are cut out; equal segments are folded to their least and
+2. Each chunk's distinct keys are dealt by hash to buckets, which keep those of two or more documents.
+3. Segments (neighbouring windows with such a key) are cut out; equal segments are folded to their least and
    greatest doc_id; segments of an anchor meet, and a resolver finds each window's least doc_id among them.
    An anchor with more than HOT different segments is dealt out window by window instead.
 4. Occurrences look up their segment: windows whose least doc_id is smaller than the document's are covered. Each chunk's
    covered spans are written beside it and read by the last pass over its texts, so texts are never shuffled.
 
-Anchors are compared by 48 bits; a false agreement only brings segments that the resolver then tells apart.
+Keys are compared by 48 bits; a false agreement only brings segments that the resolver then tells apart.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import delete, fresh_path, join_small, map_batches, materialise
 
 MULTIPLY, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-#: Windows in a segment at most; anchors a worker gathers before it hands them on; different segments of an anchor that meet in one task.
+#: Windows in a segment at most; keys a worker gathers before it hands them on; different segments of an anchor that meet in one task.
 SPLIT, GATHER, HOT = 64, 1 << 21, 20_000
 #: Bytes of segments that a resolver gets at once (an anchor's segments are never divided).
 SHARD = 4 << 20
@@ -41,34 +43,92 @@ def sliding_least(h: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(h[: len(h) - (w - s)], h[w - s :]) if w > s else h
 
 
-def runs(least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anchors (48 bits), first windows and numbers of windows of the runs of equal anchors."""
-    at = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
-    return (least[at] >> np.uint64(16)).astype(np.int64), at, np.diff(np.concatenate((at, [len(least)])))
+#: Low bits of a value that hold the place (up to 16 M units; longer texts are searched in overlapping parts).
+PLACE = 24
+NONE = np.int64(-1)
 
 
-class Bytes:
+def anchored(h: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the anchors (the leftmost least hash of every w neighbours), first windows and numbers of windows.
+
+    Which place a window takes depends on what is in it alone.
+    """
+    mask = np.uint64((1 << PLACE) - 1)
+    part = (1 << PLACE) - w
+    out = []
+    for i in range(0, max(1, len(h) - w + 1), part):
+        v = (h[i : i + part + w - 1] & ~mask) | np.arange(min(part + w - 1, len(h) - i), dtype=np.uint64)
+        least = sliding_least(v, w)
+        at = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
+        out.append(((least[at] & mask).astype(np.int64) + i, at + i, np.diff(np.concatenate((at, [len(least)])))))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(29))) * MIX
+    return h ^ (h >> np.uint64(32))
+
+
+class Windows:
+    """width: units in a window; gram: units of the hashed grams.
+
+    A window reaches beyond its anchor by width - gram units, so by `side` on the left or on the right at least. The
+    hash of the anchor with that much of its left, or of its right, therefore is the same wherever the window is.
+    """
+
+    def __init__(self, width: int, gram: int):
+        self.width, self.gram = width, gram
+        self.side = (width - gram) // 2
+
+    def anchors(self, units):
+        """Anchor, first window, windows, place, and left and right key (NONE where the text ends before) of each run."""
+        n = len(units)
+        if n < self.width:
+            return None
+        numbers = self.numbers(units)
+        h = self.hashed(numbers, np.arange(n - self.gram + 1), self.gram)
+        place, at, windows = anchored(h, self.width - self.gram + 1)
+        cut = lambda x: (x >> np.uint64(16)).astype(np.int64)
+        left, right = np.full(len(at), NONE), np.full(len(at), NONE)
+        has = place >= self.side
+        left[has] = cut(self.hashed(numbers, place[has] - self.side, self.gram + self.side))
+        has = place + self.gram + self.side <= n
+        right[has] = cut(mixed(~self.hashed(numbers, place[has], self.gram + self.side)))
+        return cut(h[place]), at, windows, place, left, right
+
+    def kept(self, found, known: np.ndarray):
+        """Runs of windows, with their anchors, whose left or right key is known."""
+        anchor, at, windows, place, left, right = found
+        there = lambda k: known[np.minimum(np.searchsorted(known, k), len(known) - 1)] == k
+        l, r = there(left), there(right)
+        # windows up to `place - side` hold the left key; from `place - (width - gram - side)` on, the right one
+        first = np.where(l, at, np.maximum(at, place - (self.width - self.gram - self.side)))
+        last = np.where(r, at + windows, np.minimum(at + windows, place - self.side + 1))
+        good = (l | r) & (last > first)
+        return anchor[good], first[good], (last - first)[good]
+
+
+class Bytes(Windows):
     """Windows of bytes."""
 
     def __init__(self, width: int, gram: int = 16):
-        self.width, self.gram = width, gram
+        super().__init__(width, gram)
 
     def units(self, raw: bytes) -> bytes:
         return raw
 
-    def anchors(self, raw: bytes):
-        n = len(raw)
-        if n < self.width:
-            return None
-        words = np.ndarray((n - 7,), "<u8", raw, 0, (1,))
-        m = n - self.gram + 1
-        h = words[:m] * MULTIPLY
-        for o in range(8, self.gram, 8):
-            h ^= words[min(o, self.gram - 8) :][:m] * MIX
+    def numbers(self, raw: bytes) -> np.ndarray:
+        return np.ndarray((len(raw) - 7,), "<u8", raw, 0, (1,))
+
+    def hashed(self, numbers: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+        """Hashes of the n bytes at each place, eight at a time, the last eight overlapping."""
+        whole = len(at) == len(numbers) + 8 - n and len(at) > 0 and at[0] == 0
+        get = (lambda o: numbers[o : o + len(at)]) if whole else (lambda o: numbers[at + o])
+        h = get(0) * MULTIPLY
+        for o in range(8, n, 8):
+            h ^= get(min(o, n - 8)) * MIX
             h *= MULTIPLY
-        h ^= h >> np.uint64(29)
-        h *= MIX
-        return runs(sliding_least(h, self.width - self.gram + 1))
+        return mixed(h)
 
     def cut(self, raw: bytes, start: int, windows: int) -> bytes:
         return raw[start : start + windows + self.width - 1]
@@ -80,33 +140,31 @@ class Bytes:
         return segment[i : i + self.width]
 
 
-class Words:
+class Words(Windows):
     """Windows of words, which ASCII white space separates (as bytes.split() does)."""
 
     def __init__(self, width: int, gram: int = 5):
-        self.width, self.gram, self.known = width, gram, {}
+        super().__init__(width, gram)
+        self.known = {}
 
     def units(self, raw: bytes) -> list[bytes]:
         return raw.split()
 
-    def anchors(self, words: list[bytes]):
+    def numbers(self, words: list[bytes]) -> np.ndarray:
         import xxhash
 
-        if len(words) < self.width:
-            return None
         known = self.known
         if len(known) > 500_000:
             known.clear()
         for w in set(words).difference(known):
             known[w] = xxhash.xxh64_intdigest(w)
-        ids = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        m = len(words) - self.gram + 1
-        h = ids[:m].copy()
-        for i in range(1, self.gram):
-            h = (h * MULTIPLY) ^ ids[i : i + m]
-        h ^= h >> np.uint64(29)
-        h *= MIX
-        return runs(sliding_least(h, self.width - self.gram + 1))
+        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+
+    def hashed(self, numbers: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+        h = numbers[at].copy()
+        for i in range(1, n):
+            h = (h * MULTIPLY) ^ numbers[at + i]
+        return mixed(h)
 
     def cut(self, words: list[bytes], start: int, windows: int) -> bytes:
         return b" ".join(words[start : start + windows + self.width - 1])
@@ -154,8 +212,8 @@ def text_table(docs: DataFrame) -> DataFrame:
     return materialise(marked, "texts")[0]
 
 
-def shared_anchors(table: DataFrame, kind: Bytes | Words) -> str:
-    """Folder with, for each chunk, those of its anchors that two or more documents have."""
+def shared_keys(table: DataFrame, kind: Windows) -> str:
+    """Folder with, for each chunk, those of its keys that two or more documents have."""
     spark = table.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -187,7 +245,8 @@ def shared_anchors(table: DataFrame, kind: Bytes | Words) -> str:
             last = chunk
             for doc_id, raw, copy in zip(*(b.column(c).to_pylist() for c in ("doc_id", "raw", "copy"))):
                 if not copy and doc_id is not None and (found := kind.anchors(kind.units(raw))):
-                    held.append(np.unique(found[0]))
+                    keys = np.unique(np.concatenate(found[4:]))
+                    held.append(keys[keys != NONE])
                     size += len(held[-1])
         if held:
             yield hand_on()
@@ -197,7 +256,7 @@ def shared_anchors(table: DataFrame, kind: Bytes | Words) -> str:
             parts = [(np.frombuffer(hi, "<u2").astype(np.int64) << 32) | np.frombuffer(lo, "<u4") for _, _, lo, hi, _ in rows]
             h = np.sort(np.concatenate(parts))
             seen = np.unique(h[1:][h[1:] == h[:-1]])
-            out = {"chunk": [], "anchors": []}
+            out = {"chunk": [], "keys": []}
             for (_, chunk, *_, often), p in zip(rows, parts):
                 at = np.minimum(np.searchsorted(seen, p), max(len(seen) - 1, 0))
                 mine = np.unpackbits(np.frombuffer(often, np.uint8), count=len(p)).astype(bool)
@@ -205,7 +264,7 @@ def shared_anchors(table: DataFrame, kind: Bytes | Words) -> str:
                     mine |= seen[at] == p
                 if mine.any():
                     out["chunk"].append(chunk)
-                    out["anchors"].append(p[mine].astype("<i8").tobytes())
+                    out["keys"].append(p[mine].astype("<i8").tobytes())
             return out
 
         rows: list = []
@@ -219,17 +278,17 @@ def shared_anchors(table: DataFrame, kind: Bytes | Words) -> str:
             yield judged(rows)
 
     dealt = map_batches(table.select("chunk", "doc_id", "raw", "copy"), gather, "bucket int, chunk int, low binary, high binary, often binary")
-    return written_by_chunk(map_batches(dealt.repartition(n, "bucket").sortWithinPartitions("bucket"), keep, "chunk int, anchors binary"), "anchors")
+    return written_by_chunk(map_batches(dealt.repartition(n, "bucket").sortWithinPartitions("bucket"), keep, "chunk int, keys binary"), "keys")
 
 
-def segments(table: DataFrame, kind: Bytes | Words, shared: str) -> DataFrame:
-    """anchor, seg, doc_id, chunk, row, start: the segments with shared anchors."""
+def segments(table: DataFrame, kind: Windows, shared: str) -> DataFrame:
+    """anchor, seg, doc_id, chunk, row, start: the segments with shared keys."""
 
     def run(batches):
         last, known = None, None
         for chunk, b in per_chunk(batches):
             if chunk != last:
-                found = chunk_file(shared, chunk, ["anchors"])
+                found = chunk_file(shared, chunk, ["keys"])
                 known = np.unique(np.concatenate([np.frombuffer(x, "<i8") for x in found.column(0).to_pylist()])) if found is not None and found.num_rows else np.zeros(0, np.int64)
                 last = chunk
             if not len(known):
@@ -241,9 +300,7 @@ def segments(table: DataFrame, kind: Bytes | Words, shared: str) -> DataFrame:
                 units = kind.units(raw)
                 if not (own := kind.anchors(units)):
                     continue
-                anchor, at, n = own
-                there = known[np.minimum(np.searchsorted(known, anchor), len(known) - 1)] == anchor
-                for h, p, m in zip(anchor[there].tolist(), at[there].tolist(), n[there].tolist()):
+                for h, p, m in zip(*(x.tolist() for x in kind.kept(own, known))):
                     for q in range(0, m, SPLIT):
                         for name, v in zip(out, (h, kind.cut(units, p + q, min(SPLIT, m - q)), doc_id, chunk, row, p + q)):
                             out[name].append(v)
@@ -252,7 +309,7 @@ def segments(table: DataFrame, kind: Bytes | Words, shared: str) -> DataFrame:
     return map_batches(table.select("chunk", "doc_id", "raw", "copy", "row"), run, "anchor long, seg binary, doc_id long, chunk int, row long, start int")
 
 
-def resolved(folded: DataFrame, kind: Bytes | Words, resolve: Callable) -> DataFrame:
+def resolved(folded: DataFrame, kind: Windows, resolve: Callable) -> DataFrame:
     """sa, sb, found: for each folded segment the runs of windows (from, to, least doc_id) that some occurrence may lose."""
 
     def run(batches):
@@ -283,11 +340,11 @@ def resolved(folded: DataFrame, kind: Bytes | Words, resolve: Callable) -> DataF
     return map_batches(folded.repartition("anchor").sortWithinPartitions("anchor"), run, "sa long, sb long, found array<struct<a: int, b: int, m: long>>")
 
 
-def covered(docs: DataFrame, kind: Bytes | Words, resolve: Callable) -> tuple[DataFrame, str]:
+def covered(docs: DataFrame, kind: Windows, resolve: Callable) -> tuple[DataFrame, str]:
     """The text table and the folder with each chunk's covered runs of windows (row, a, b)."""
     spark = docs.sparkSession
     table = text_table(docs)
-    shared = shared_anchors(table, kind)
+    shared = shared_keys(table, kind)
     ids = {"sa": F.xxhash64("seg"), "sb": F.xxhash64(F.lit(1), "seg")}
     found, path = materialise(segments(table, kind, shared).withColumns(ids), "segments")
     delete(spark, shared)
@@ -330,7 +387,7 @@ def spans(n: int, a: np.ndarray, b: np.ndarray, width: int) -> tuple[np.ndarray,
     return a[at], upto[np.concatenate((at[1:] - 1, [len(a) - 1]))]
 
 
-def with_spans(table: DataFrame, folder: str, kind: Bytes | Words, finish: Callable, schema: str) -> DataFrame:
+def with_spans(table: DataFrame, folder: str, kind: Windows, finish: Callable, schema: str) -> DataFrame:
     """A row per document: finish(raw, units, starts, ends) gives its columns after doc_id."""
     names = [x.strip().split(" ")[0] for x in schema.split(",")]
 
