@@ -1,8 +1,9 @@
 """Removal of repeated passages by sharded Aho-Corasick automata.
 
 Segments of words that may repeat come from repeats.py, sharded by anchor. In a shard the windows of two or more
-documents are confirmed; each gets its least doc_id and becomes a pattern of word numbers in an automaton, through which
-all the shard's segments, and so all windows that can hold a pattern, of all documents, are streamed.
+documents are confirmed, each with its least doc_id. Passages, the longest runs of such windows in a segment, become
+patterns of word numbers in an automaton, through which all the shard's segments, and so all windows that can repeat, of
+all documents, are streamed.
 """
 
 from __future__ import annotations
@@ -19,37 +20,60 @@ WIDTH = 13
 PATTERNS = 50_000
 
 
+def confirmed(numbers: np.ndarray, starts: np.ndarray, lo: np.ndarray, hi: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """For the windows at `starts` in numbers: their least lo, and whether two documents hold them."""
+    h = np.zeros(len(starts), np.uint64)
+    for i in range(width):
+        h = (h * np.uint64(0x9E3779B97F4A7C15)) ^ (numbers[starts + i].astype(np.uint64) + np.uint64(1))
+    order = np.argsort(h, kind="stable")
+    new = h[order][1:] != h[order][:-1]
+    differ = np.zeros(len(new), bool)
+    for i in range(width):
+        x = numbers[starts[order] + i]
+        differ |= x[1:] != x[:-1]
+    if (differ & ~new).any():  # different windows with one hash: compare the windows themselves
+        order = np.lexsort([numbers[starts + i] for i in range(width)])
+        new = np.zeros(len(starts) - 1, bool)
+        for i in range(width):
+            x = numbers[starts[order] + i]
+            new |= x[1:] != x[:-1]
+    head = np.flatnonzero(np.concatenate(([True], new)))
+    size = np.diff(np.concatenate((head, [len(order)])))
+    least, most = np.minimum.reduceat(lo[order], head), np.maximum.reduceat(hi[order], head)
+    out, twice = np.empty(len(order), np.int64), np.empty(len(order), bool)
+    out[order], twice[order] = np.repeat(least, size), np.repeat(least < most, size)
+    return out, twice
+
+
 def least_docs(segments: list[bytes], lo: np.ndarray, hi: np.ndarray, width: int = WIDTH) -> list[np.ndarray]:
     """For each segment and window, the least lo of all segments that hold the window (its own lo for lone windows)."""
     import ahocorasick
 
-    numbers: dict[bytes, int] = {}
-    texts = [tuple([numbers.setdefault(w, len(numbers)) for w in s.split(b" ")]) for s in segments]
-    first: dict[tuple, int] = {}
-    again: dict[tuple, int] = {}
-    for t, a, b in zip(texts, lo.tolist(), hi.tolist()):
-        for i in range(len(t) - width + 1):
-            w = t[i : i + width]
-            if w in again:
-                again[w] = min(again[w], a)
-            elif w in first:
-                again[w] = min(first[w], a)
-            elif a < b:
-                again[w] = a
-            else:
-                first[w] = a
-    del first
-    out = [np.full(len(t) - width + 1, a, np.int64) for t, a in zip(texts, lo.tolist())]
-    confirmed = list(again.items())
-    for i in range(0, len(confirmed), PATTERNS):
-        part = confirmed[i : i + PATTERNS]
+    known: dict[bytes, int] = {}
+    texts = [tuple([known.setdefault(w, len(known)) for w in s.split(b" ")]) for s in segments]
+    sizes = np.array([len(t) for t in texts])
+    numbers = np.fromiter((n for t in texts for n in t), np.int64, int(sizes.sum()))
+    windows = sizes - width + 1
+    first = np.cumsum(windows) - windows
+    owner = np.repeat(np.arange(len(texts)), windows)
+    inside = np.arange(len(owner)) - first[owner]
+    least, twice = confirmed(numbers, (np.cumsum(sizes) - sizes)[owner] + inside, lo[owner], hi[owner], width)
+    passages: dict[tuple, np.ndarray] = {}
+    edge = np.flatnonzero(np.concatenate(([True], (twice[1:] != twice[:-1]) | (owner[1:] != owner[:-1]))))
+    for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(twice)]):
+        if twice[a]:
+            passages.setdefault(texts[owner[a]][inside[a] : inside[b - 1] + width], least[a:b])
+    out = [np.full(n, a, np.int64) for n, a in zip(windows.tolist(), lo.tolist())]
+    patterns = list(passages.items())
+    for i in range(0, len(patterns), PATTERNS):
         automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        for w, least in part:
-            automaton.add_word(w, least)
+        for words, docs in patterns[i : i + PATTERNS]:
+            automaton.add_word(words, docs)
         automaton.make_automaton()
         for t, m in zip(texts, out):
-            for end, least in automaton.iter(t):
-                m[end - width + 1] = least
+            for end, docs in automaton.iter(t):
+                to = end - width + 2
+                m[to - len(docs) : to] = docs
     return out
 
 

@@ -22,6 +22,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -140,30 +141,34 @@ class Bytes(Windows):
         return segment[i : i + self.width]
 
 
+class WordHashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        self[word] = h = xxhash.xxh64_intdigest(word)
+        return h
+
+
 class Words(Windows):
     """Windows of words, which ASCII white space separates (as bytes.split() does)."""
 
     def __init__(self, width: int, gram: int = 5):
         super().__init__(width, gram)
-        self.known = {}
+        self.known = WordHashes()
 
     def units(self, raw: bytes) -> list[bytes]:
         return raw.split()
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
-        import xxhash
-
-        known = self.known
-        if len(known) > 500_000:
-            known.clear()
-        for w in set(words).difference(known):
-            known[w] = xxhash.xxh64_intdigest(w)
-        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        if len(self.known) > 500_000:
+            self.known.clear()
+        return np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
 
     def hashed(self, numbers: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
-        h = numbers[at].copy()
+        whole = len(at) == len(numbers) + 1 - n and len(at) > 0 and at[0] == 0
+        get = (lambda i: numbers[i : i + len(at)]) if whole else (lambda i: numbers[at + i])
+        h = get(0).copy()
         for i in range(1, n):
-            h = (h * MULTIPLY) ^ numbers[at + i]
+            h *= MULTIPLY
+            h ^= get(i)
         return mixed(h)
 
     def cut(self, words: list[bytes], start: int, windows: int) -> bytes:
