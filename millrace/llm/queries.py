@@ -83,6 +83,47 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
+WORDS = "list_filter(regexp_split_to_array({}, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
+DOCS = "SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t, " + WORDS.format("coalesce(text, '')") + " AS w FROM documents"
+
+OP4 = f"""WITH d AS ({DOCS}),
+x AS (SELECT doc_id, i, array_to_string(w[i : i + 2], ' ') AS k FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 2)) AS i FROM d WHERE len(w) >= 3)),
+y AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS n FROM x) WHERE n > 1),
+r AS (SELECT doc_id, count(DISTINCT j) AS n_repeat_words FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM y) GROUP BY ALL),
+l AS (SELECT doc_id, host, line, len({WORDS.format('line')}) AS n, regexp_replace(array_to_string({WORDS.format('lower(line)')}, ' '), '[0-9]', '0', 'g') AS k FROM (SELECT doc_id, host, unnest(string_split(t, chr(10))) AS line FROM d)),
+dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM l WHERE n > 0 GROUP BY ALL),
+c AS (SELECT host, k FROM l WHERE n > 0 GROUP BY ALL HAVING count(DISTINCT doc_id) > 20),
+lost AS (SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_line_words FROM l JOIN c USING (host, k) WHERE n > 0 GROUP BY ALL),
+a AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda q: length(q))), 0) AS BIGINT) AS word_chars,
+length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_line_words, 0) AS n_line_words
+FROM d LEFT JOIN r USING (doc_id) LEFT JOIN dup USING (doc_id) LEFT JOIN lost USING (doc_id)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM a)
+SELECT *, NOT base_failed AND n_words - n_line_words >= 0.5 * n_words AS kept FROM b"""
+
+OP6 = """WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) || '00' AS h FROM pages),
+q AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+SELECT page_id, payload_bytes, array_to_string(list_transform(generate_series(0, 31), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((CAST('0x' || substr(h, CAST(5 * k // 4 + 1 AS INT), 3) AS INT) >> CAST(7 - 5 * k % 4 AS INT)) & 31), 1)), '') AS payload_digest,
+CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM q"""
+
+OP8 = """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+p AS (SELECT doc_id, x, unnest(generate_series(0, length(x) // 2 - 50)) AS i FROM d WHERE length(x) >= 100),
+k AS (SELECT doc_id, i, md5(substr(x, CAST(2 * i + 1 AS INT), 100)) AS h FROM p),
+f AS (SELECT h, min(doc_id) AS first FROM k GROUP BY h HAVING min(doc_id) < max(doc_id)),
+g AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS new FROM k JOIN f USING (h) WHERE first < doc_id),
+s AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS n FROM g) GROUP BY doc_id, n),
+t AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS z FROM s),
+u AS (SELECT doc_id, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans, max(b) AS e, string_agg(substr(x, CAST(2 * z + 1 AS INT), CAST(2 * (a - z) AS INT)), '' ORDER BY a) AS kept FROM t JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, length(x) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, '') || substr(x, CAST(2 * coalesce(e, 0) + 1 AS INT)))) AS kept_sha256 FROM d LEFT JOIN u USING (doc_id)"""
+
+OP10 = f"""WITH d AS ({DOCS}),
+p AS (SELECT doc_id, w, unnest(generate_series(1, len(w) - 12)) AS i FROM d WHERE len(w) >= 13),
+x AS (SELECT doc_id, i, md5(array_to_string(w[i : i + 12], ' ')) AS h FROM p),
+f AS (SELECT h, min(doc_id) AS first FROM x GROUP BY h HAVING min(doc_id) < max(doc_id)),
+g AS (SELECT DISTINCT doc_id, unnest(generate_series(i, i + 12)) AS j FROM x JOIN f USING (h) WHERE first < doc_id),
+s AS (SELECT doc_id, list(j) AS js, count(*) AS n FROM g GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(array_to_string(CASE WHEN js IS NULL THEN w ELSE list_transform(list_filter(list_zip(w, generate_series(1, len(w))), lambda z: NOT list_contains(js, z[2])), lambda z: z[1]) END, ' ')) AS kept_sha256 FROM d LEFT JOIN s USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    """None yet: hashes, tokenizers, floating-point evidence and permutations have no plain SQL; tests hold brute force against each."""
-    return {}
+    """Tokenizers, XXH64, floating-point evidence, patterns with places and hash permutations have no plain SQL; tests hold brute force against those."""
+    return {"op4_quality": OP4, "op6_warc": OP6, "op8_suffixes": OP8, "op10_phrases": OP10}

@@ -248,3 +248,22 @@ def test_pipeline(spark, sf):
     for r in corpus_pipeline.run(spark, sf).collect():
         by[r["sequence_id"]] += r["length"]
     assert max(by.values()) <= 4096
+
+
+def test_sql(spark, sf):
+    import glob
+    import os
+
+    import duckdb
+
+    from millrace.llm import queries
+
+    con = duckdb.connect()
+    for path in glob.glob(f"{sf}/*.parquet"):
+        con.execute(f"CREATE VIEW {os.path.basename(path)[:-8]} AS SELECT * FROM '{path}'")
+    for name, sql in queries.oracle_sql().items():
+        df = queries.queries()[name](spark, sf)
+        cur = con.execute(sql)
+        names = [d[0] for d in cur.description]
+        assert sorted(names) == sorted(df.columns)
+        assert Counter(map(tuple, df.select(names).collect())) == Counter(cur.fetchall()), name
