@@ -8,6 +8,8 @@ the corpus. All tables come from grouped aggregation over all documents.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,11 +22,17 @@ EVIDENCE, SMOOTHING, LANGUAGES = 60.0, 20.0, 32
 #: A language needs this share of the declared documents; a document this posterior.
 LEAST_SHARE, LEAST_POSTERIOR = 0.001, 0.5
 UNKNOWN = "und"
+NO_WORD = re.compile(rb"[0-9@=_/\\]")
+#: Bits that a trigram of an unknown language costs more than an even choice among all buckets.
+UNKNOWN_BITS = 1.5
 
 
 def buckets(text: str) -> np.ndarray:
-    """Hashed byte trigrams of the lower-cased text, its words separated by single spaces; none if it has no word."""
-    words = text.lower().encode("utf-8", "replace").split()
+    """Hashed byte trigrams of the lower-cased text, its words separated by single spaces; words with digits and the like say nothing."""
+    raw = text.lower().encode("utf-8", "replace")
+    words = raw.split()
+    if NO_WORD.search(raw):
+        words = [w for w in words if not NO_WORD.search(w)]
     if not words:
         return np.zeros(0, np.int64)
     b = np.frombuffer(b" " + b" ".join(words) + b" ", np.uint8).astype(np.uint32)
@@ -56,13 +64,13 @@ class TextModel:
     def __init__(self, languages: list[str], counts: np.ndarray):
         self.languages = [*languages, UNKNOWN]
         smooth = counts + 0.5
-        flat = np.full((1, 1 << BITS), -BITS * np.log(2))
+        flat = np.full((1, 1 << BITS), -(BITS + UNKNOWN_BITS) * np.log(2))
         self.logs = np.vstack([np.log(smooth / smooth.sum(1, keepdims=True)), flat]) if len(counts) else flat
 
     def __call__(self, text: str) -> tuple[np.ndarray, int]:
         h = histogram(text)
         n = int(h.sum())
-        return self.logs @ h * min(1.0, EVIDENCE / max(n, 1)), n
+        return self.logs @ h * min(1.0, EVIDENCE / max(n, 1)), n or len(text.encode("utf-8", "replace").split())
 
 
 def fit(given: DataFrame) -> TextModel:
@@ -90,7 +98,7 @@ def fit(given: DataFrame) -> TextModel:
 
 
 def score(given: DataFrame, model: TextModel, keep: list[str]) -> DataFrame:
-    """The columns `keep`, with _ll (by language) and _n (trigrams)."""
+    """The columns `keep`, with _ll (by language) and _n (trigrams, or words if there is no trigram)."""
     import pyarrow as pa
     from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 

@@ -10,7 +10,7 @@ share one. Steps, each over all documents:
 2. Each chunk's distinct keys are dealt by hash to buckets, which keep those of two or more documents.
 3. Segments (neighbouring windows with such a key) are cut out; equal segments are folded to their least and
    greatest doc_id; segments of an anchor meet, and a resolver finds each window's least doc_id among them.
-   An anchor with more than HOT different segments is dealt out window by window instead.
+   An anchor with more than HOT different segments is dealt out by its keys, a key with more window by window.
 4. Occurrences look up their segment: windows whose least doc_id is smaller than the document's are covered. Each chunk's
    covered spans are written beside it and read by the last pass over its texts, so texts are never shuffled.
 
@@ -20,6 +20,7 @@ Keys are compared by 48 bits; a false agreement only brings segments that the re
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import xxhash
@@ -30,7 +31,7 @@ from .common import delete, fresh_path, join_small, map_batches, materialise
 
 MULTIPLY, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 #: Windows in a segment at most; keys a worker gathers before it hands them on; different segments of an anchor that meet in one task.
-SPLIT, GATHER, HOT = 64, 1 << 21, 20_000
+SPLIT, GATHER, HOT = 64, 1 << 21, 2_000
 #: Bytes of segments that a resolver gets at once (an anchor's segments are never divided).
 SHARD = 4 << 20
 
@@ -137,8 +138,6 @@ class Bytes(Windows):
     def windows(self, segment: bytes) -> int:
         return len(segment) - self.width + 1
 
-    def window(self, segment: bytes, i: int) -> bytes:
-        return segment[i : i + self.width]
 
 
 class WordHashes(dict):
@@ -177,8 +176,6 @@ class Words(Windows):
     def windows(self, segment: bytes) -> int:
         return segment.count(b" ") + 2 - self.width
 
-    def window(self, segment: bytes, i: int) -> bytes:
-        return b" ".join(segment.split(b" ")[i : i + self.width])
 
 
 def chunk_file(base: str, chunk: int, names: list[str]):
@@ -298,7 +295,7 @@ def segments(table: DataFrame, kind: Windows, shared: str) -> DataFrame:
                 last = chunk
             if not len(known):
                 continue
-            out = {n: [] for n in ("anchor", "seg", "doc_id", "chunk", "row", "start")}
+            out = {n: [] for n in SEGMENT}
             for doc_id, raw, copy, row in zip(*(b.column(c).to_pylist() for c in ("doc_id", "raw", "copy", "row"))):
                 if copy or doc_id is None:
                     continue
@@ -311,7 +308,7 @@ def segments(table: DataFrame, kind: Windows, shared: str) -> DataFrame:
                             out[name].append(v)
             yield out
 
-    return map_batches(table.select("chunk", "doc_id", "raw", "copy", "row"), run, "anchor long, seg binary, doc_id long, chunk int, row long, start int")
+    return map_batches(table.select("chunk", "doc_id", "raw", "copy", "row"), run, SEGMENT_TYPE)
 
 
 def resolved(folded: DataFrame, kind: Windows, resolve: Callable) -> DataFrame:
@@ -345,6 +342,46 @@ def resolved(folded: DataFrame, kind: Windows, resolve: Callable) -> DataFrame:
     return map_batches(folded.repartition("anchor").sortWithinPartitions("anchor"), run, "sa long, sb long, found array<struct<a: int, b: int, m: long>>")
 
 
+SEGMENT = ("anchor", "seg", "doc_id", "chunk", "row", "start")
+SEGMENT_TYPE = "anchor long, seg binary, doc_id long, chunk int, row long, start int"
+
+
+def halves(kind: Windows) -> Callable:
+    """Segments of a hot anchor by its keys: windows that hold the left one, then the others, which hold the right one."""
+
+    def run(batches):
+        for b in batches:
+            out = {n: [] for n in SEGMENT}
+            for _, seg, doc_id, chunk, row, start in zip(*(b.column(c).to_pylist() for c in SEGMENT)):
+                units = kind.units(seg)
+                for _, at, n, place, left, right in zip(*(x.tolist() for x in kind.anchors(units))):
+                    middle = min(max(at, place - kind.side + 1), at + n)
+                    for key, p, q in ((left, at, middle), (right, middle, at + n)):
+                        if p < q:
+                            for name, v in zip(out, (key, kind.cut(units, p, q - p), doc_id, chunk, row, start + p)):
+                                out[name].append(v)
+            yield out
+
+    return run
+
+
+def single(kind: Windows) -> Callable:
+    """Windows of a hot key alone, each its own anchor."""
+
+    def run(batches):
+        for b in batches:
+            out = {n: [] for n in SEGMENT}
+            for _, seg, doc_id, chunk, row, start in zip(*(b.column(c).to_pylist() for c in SEGMENT)):
+                units = kind.units(seg)
+                for i in range(kind.windows(seg)):
+                    w = kind.cut(units, i, 1)
+                    for name, v in zip(out, (xxhash.xxh64_intdigest(w) - (1 << 63), w, doc_id, chunk, row, start + i)):
+                        out[name].append(v)
+            yield out
+
+    return run
+
+
 def covered(docs: DataFrame, kind: Windows, resolve: Callable) -> tuple[DataFrame, str]:
     """The text table and the folder with each chunk's covered runs of windows (row, a, b)."""
     spark = docs.sparkSession
@@ -353,32 +390,25 @@ def covered(docs: DataFrame, kind: Windows, resolve: Callable) -> tuple[DataFram
     ids = {"sa": F.xxhash64("seg"), "sb": F.xxhash64(F.lit(1), "seg")}
     found, path = materialise(segments(table, kind, shared).withColumns(ids), "segments")
     delete(spark, shared)
-    least, most = F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")
-    folded, folded_path = materialise(found.groupBy("anchor", "seg").agg(least, most), "folded")
-    hot, _ = materialise(folded.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select("anchor"), "hot")
-
-    def single(batches):
-        for b in batches:
-            out = {n: [] for n in ("seg", "doc_id", "chunk", "row", "start")}
-            for seg, doc_id, chunk, row, start in zip(*(b.column(c).to_pylist() for c in out)):
-                for i in range(kind.windows(seg)):
-                    for name, v in zip(out, (kind.window(seg, i), doc_id, chunk, row, start + i)):
-                        out[name].append(v)
-            yield out
-
-    names = ["seg", "doc_id", "chunk", "row", "start"]
-    if hot.limit(1).count():
-        one = map_batches(join_small(found, hot, "anchor", "inner").select(*names), single, "seg binary, doc_id long, chunk int, row long, start int").withColumns(ids)
-        alone = one.groupBy("seg").agg(least, most).filter("lo < hi").select(F.xxhash64("seg").alias("sa"), F.xxhash64(F.lit(1), "seg").alias("sb"), F.array(F.struct(F.lit(0).alias("a"), F.lit(1).alias("b"), F.col("lo").alias("m"))).alias("found"))
-        rest, occurrences = join_small(folded, hot, "anchor", "left_anti"), join_small(found, hot, "anchor", "left_anti")
-        least_of = resolved(rest.withColumns(ids), kind, resolve).join(alone.select("sa", "sb"), ["sa", "sb"], "left_anti").unionByName(alone)
-        where = occurrences.select("sa", "sb", *names[1:]).unionByName(one.select("sa", "sb", *names[1:]))
-    else:
-        least_of, where = resolved(folded.withColumns(ids), kind, resolve), found.select("sa", "sb", *names[1:])
+    folds, where, paths = [], [], [path]
+    for finer in (halves, single, None):
+        folded, folded_path = materialise(found.groupBy("anchor", "seg").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).withColumns(ids), "folded")
+        paths.append(folded_path)
+        hot = finer and materialise(folded.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select("anchor"), "hot")[0]
+        if not hot or not hot.limit(1).count():
+            folds.append(folded)
+            where.append(found)
+            break
+        folds.append(join_small(folded, hot, "anchor", "left_anti"))
+        where.append(join_small(found, hot, "anchor", "left_anti"))
+        found, path = materialise(map_batches(join_small(found, hot, "anchor", "left_semi").select(*SEGMENT), finer(kind), SEGMENT_TYPE).withColumns(ids), "segments")
+        paths.append(path)
+    least_of = resolved(reduce(DataFrame.unionByName, folds), kind, resolve)
+    where = reduce(DataFrame.unionByName, [w.select("sa", "sb", "doc_id", "chunk", "row", "start") for w in where])
     met, _ = materialise(least_of, "resolved")
     hits = where.join(met, ["sa", "sb"]).select("chunk", "row", "start", F.explode(F.filter("found", lambda r: r["m"] < F.col("doc_id"))).alias("r"))
     out = written_by_chunk(hits.select("chunk", "row", (F.col("start") + F.col("r.a")).alias("a"), (F.col("start") + F.col("r.b")).alias("b")), "covered")
-    delete(spark, path, folded_path)
+    delete(spark, *paths)
     return table, out
 
 

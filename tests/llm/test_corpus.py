@@ -111,7 +111,7 @@ def plain_removed(given, width, cut):
         yield doc_id, units, gone
 
 
-@pytest.mark.parametrize("hot", [repeats.HOT, 1])
+@pytest.mark.parametrize("hot", [repeats.HOT, 3, 1])
 def test_suffixes(spark, monkeypatch, hot):
     monkeypatch.setattr(repeats, "HOT", hot)
     monkeypatch.setattr(repeats, "GATHER", 500)
@@ -124,7 +124,7 @@ def test_suffixes(spark, monkeypatch, hot):
     assert suffixes.remove_repeats(empty(spark)).count() == 0
 
 
-@pytest.mark.parametrize("hot", [repeats.HOT, 1])
+@pytest.mark.parametrize("hot", [repeats.HOT, 3, 1])
 def test_phrases(spark, monkeypatch, hot):
     monkeypatch.setattr(repeats, "HOT", hot)
     monkeypatch.setattr(phrases, "PATTERNS", 50)
