@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from .common import delete, fresh_path, join_small, map_batches, materialise
 
 MULTIPLY, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-#: Windows in a segment at most; keys a worker gathers before it hands them on; different segments of an anchor that meet in one task.
-SPLIT, GATHER, HOT = 64, 1 << 21, 2_000
+#: Windows in a segment at most; keys a worker gathers before it hands them on; different segments of an anchor that meet in one task (some 1.3 MB, well inside a shard).
+SPLIT, GATHER, HOT = 64, 1 << 21, 20_000
 #: Bytes of segments that a resolver gets at once (an anchor's segments are never divided).
 SHARD = 4 << 20
 
