@@ -21,7 +21,7 @@ OPERATORS: dict[str, Callable[[Column, object], Column]] = {
 }
 SIGNS = {"=": "eq", "==": "eq", "!=": "ne", "<>": "ne", ">": "gt", ">=": "gte", "<": "lt", "<=": "lte"}
 TOKEN = re.compile(r"""\s*(?:(?P<open>\()|(?P<close>\))|(?P<and>&&?)|(?P<or>\|\|?)|(?P<term>(?:'(?:[^']|'')*'|\[[^\]]*\]|[^&|()'\[])+))""")
-TERM = re.compile(r"^\s*([A-Za-z_][\w.]*?)\s*(>=|<=|!=|<>|==|=|>|<)\s*(.*?)\s*$", re.S)
+TERM = re.compile(r"^\s*([A-Za-z_][\w.]*?)\s*(>=|<=|!=|<>|==|=|>|<)\s*(\S.*?)\s*$", re.S)
 
 
 def condition(op: str, column: Column, value) -> Column:

@@ -11,7 +11,7 @@ LANGUAGES = {"py": "python", "cpp": "cpp", "h": "cpp", "hpp": "cpp", "c": "c", "
 
 
 def scan(spark: SparkSession, folder: str, extensions: list[str] | None = None, skip: tuple[str, ...] = (".git", "node_modules", "__pycache__"), most: int = MOST_BYTES) -> DataFrame:
-    """path, extension, language, length, content (text) and issue (null for good files)."""
+    """path, extension, language, length, content (text) and issue (null for good files). Spark leaves out files of no bytes."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     ext = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
     parent = F.regexp_extract("path", r"^(.*)/", 1)
@@ -20,7 +20,7 @@ def scan(spark: SparkSession, folder: str, extensions: list[str] | None = None,
     if extensions:
         raw = raw.filter(ext.isin(*extensions))
     names = F.create_map(*(F.lit(x) for kv in LANGUAGES.items() for x in kv))
-    issue = F.when(F.col("length") > most, "too large").when(F.col("length") == 0, "empty").when(F.contains(F.substring("content", 1, 4096), F.lit(b"\0")), "binary")
+    issue = F.when(F.col("length") > most, "too large").when(F.contains(F.substring("content", 1, 4096), F.lit(b"\0")), "binary")
     return raw.select("path", ext.alias("extension"), F.coalesce(F.try_element_at(names, ext), F.lit("unknown")).alias("language"), "length", F.when(issue.isNull(), F.decode("content", "UTF-8")).alias("content"), issue.alias("issue"))
 
 
