@@ -16,19 +16,20 @@ STOP_WORDS = (
 ).split()
 
 
-def stop_list() -> Column:
-    return F.array(*(F.lit(w) for w in STOP_WORDS if len(w) >= 3))
+def counted(term: Column) -> Column:
+    """Three characters or more and no stop word (a hash lookup, also inside array functions)."""
+    return (F.length(term) >= 3) & ~term.isin(*(w for w in STOP_WORDS if len(w) >= 3))
 
 
 def tokens(text: Column) -> Column:
     """ASCII words of three characters or more, lower-cased, without stop words."""
-    return F.filter(F.split(F.lower(text), "[^a-z0-9_]+"), lambda t: (F.length(t) >= 3) & ~F.array_contains(stop_list(), t))
+    return F.filter(F.split(F.lower(text), "[^a-z0-9_]+"), counted)
 
 
 def identifiers(text: Column) -> Column:
     """Names before a parenthesis, then names after `class`; case kept."""
     found = F.concat(F.regexp_extract_all(text, F.lit(r"\b([a-zA-Z_][a-zA-Z0-9_]*)\s*\("), 1), F.regexp_extract_all(text, F.lit(r"\bclass\s+([a-zA-Z_][a-zA-Z0-9_]*)"), 1))
-    return F.filter(found, lambda t: (F.length(t) >= 3) & ~F.array_contains(stop_list(), t))
+    return F.filter(found, counted)
 
 
 def identifier_terms(name: Column) -> Column:

@@ -13,10 +13,10 @@ K1, B = 1.5, 0.75
 
 
 def term_counts(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """tf per document and term: a token counts 1, an identifier 2 more."""
-    one = docs.select(key, F.explode(T.tokens(F.col(text))).alias("term"), F.lit(1.0).alias("w"))
-    two = docs.select(key, F.explode(T.identifiers(F.col(text))).alias("term"), F.lit(2.0).alias("w"))
-    return one.unionByName(two).groupBy(key, "term").agg(F.sum("w").alias("tf"))
+    """tf per document and term: a token counts 1, an identifier 2 more. Each text is parsed once."""
+    kinds = F.array(F.struct(T.tokens(F.col(text)).alias("terms"), F.lit(1.0).alias("w")), F.struct(T.identifiers(F.col(text)).alias("terms"), F.lit(2.0).alias("w")))
+    each = docs.select(key, F.explode(kinds).alias("x")).select(key, F.explode("x.terms").alias("term"), F.col("x.w").alias("w"))
+    return each.groupBy(key, "term").agg(F.sum("w").alias("tf"))
 
 
 def document_frequency(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -29,9 +29,14 @@ def idf(n: Column, df: Column) -> Column:
 
 def bm25(docs: DataFrame, key: str, text: str, terms: list[str], least: float = 0.1) -> DataFrame:
     """Scores above `least`. Only the query's terms are joined; lengths are one number per document."""
-    lengths = docs.select(key, (F.size(T.tokens(F.col(text))) + 2.0 * F.size(T.identifiers(F.col(text)))).alias("len"), (F.size(T.tokens(F.col(text))) + 3.0 * F.size(T.identifiers(F.col(text)))).alias("weight"))
+    wanted = lambda found: F.filter(found, lambda t: t.isin(*terms))
+    parsed = docs.select(key, T.tokens(F.col(text)).alias("t"), T.identifiers(F.col(text)).alias("i"))
+    # each text is parsed once; what is kept of a document is two numbers and its query terms
+    slim = parsed.select(key, F.size("t").alias("words"), F.size("i").alias("names"), wanted(F.col("t")).alias("t"), wanted(F.col("i")).alias("i")).persist()
+    lengths = slim.select(key, (F.col("words") + 2.0 * F.col("names")).alias("len"), (F.col("words") + 3.0 * F.col("names")).alias("weight"))
+    one, two = slim.select(key, F.explode("t").alias("term"), F.lit(1.0).alias("w")), slim.select(key, F.explode("i").alias("term"), F.lit(2.0).alias("w"))
     whole = lengths.agg(F.count("*").alias("n"), F.avg("weight").alias("avg"))
-    hits = term_counts(docs, key, text).filter(F.col("term").isin(*terms))
+    hits = one.unionByName(two).groupBy(key, "term").agg(F.sum("w").alias("tf"))
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     # one row per query term, and one row: both bounded by the query
     scored = hits.join(F.broadcast(df), "term").join(lengths, key).join(F.broadcast(whole))
