@@ -39,10 +39,26 @@ def identifier_terms(name: Column) -> Column:
 
 
 def safe_term(text: Column) -> Column:
-    made = F.left(F.regexp_replace(F.lower(text), r"[^a-z0-9_\-./:#]+", "_"), F.lit(180))
+    """Letters, digits and _-./:# lower-cased, other runs one underscore, none at the ends; 180 characters at most."""
+    bad = r"[^A-Za-z0-9_\-./:#]+"
+    made = F.left(F.lower(F.regexp_replace(F.regexp_replace(text, "^" + bad, ""), "_?" + bad, "_")), F.lit(180))
+    made = F.regexp_replace(made, "_+$", "")
     return F.when(made == "", "empty").otherwise(made)
 
 
+def word_parts(text: Column) -> Column:
+    """Alphanumeric words parted where a small letter meets a capital, lower-cased, of two characters or more, sorted, each once."""
+    parted = F.regexp_replace(text, "([a-z])([A-Z])", "$1 $2")
+    return F.array_sort(F.array_distinct(F.filter(F.split(F.lower(parted), "[^a-z0-9]+"), lambda t: F.length(t) >= 2)))
+
+
+def cjk_bigrams(text: Column) -> Column:
+    """Pairs of neighbouring Chinese, Japanese and Korean characters, a lone one as it is; sorted, each once."""
+    runs = F.regexp_extract_all(text, F.lit(r"([\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{3040}-\x{30FF}\x{AC00}-\x{D7AF}]+)"), 1)
+    grams = F.transform(runs, lambda r: F.when(F.length(r) < 2, F.array(r)).otherwise(F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substring(r, i, F.lit(2)))))
+    return F.array_sort(F.array_distinct(F.flatten(grams)))
+
+
 def metadata_key(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "_"), "^_+|_+$", "")
 
@@ -75,10 +91,78 @@ def language_of(text: Column) -> Column:
     return F.when(text.rlike("[А-я]"), "russian").otherwise("english")
 
 
+def plain_words(text: Column) -> Column:
+    """ASCII punctuation and white space as one space, none at the ends."""
+    return F.trim(F.regexp_replace(text, r"[\x09-\x0D\x20-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]+", " "))
+
+
+# Words that say nothing about what a question is about.
+QUESTION_WORDS = (
+    "what which where when why how does do did the and or is are was were a an to of for in on with that this "
+    "как что где когда почему зачем это или для при про надо нужно"
+).split()
+
+
+def question_terms(text: Column) -> Column:
+    """Words of two bytes or more that aren't question words, lower-cased, each once in order."""
+    return F.array_distinct(F.filter(F.split(plain_words(F.lower(text)), " "), lambda t: (F.octet_length(t) >= 2) & ~t.isin(*QUESTION_WORDS)))
+
+
+def overlap(claim: Column, context: Column) -> Column:
+    """The share of the claim's terms that the context contains; 0 without terms."""
+    terms, held = question_terms(claim), F.lower(context)
+    n = F.size(terms)
+    return F.when((n > 0) & held.isNotNull(), F.size(F.filter(terms, lambda t: F.contains(held, t))) / n).otherwise(0.0)
+
+
 def claims(text: Column) -> Column:
-    """Sentences of 24 bytes or more, normalised, 12 at most."""
-    plain = F.transform(F.split(text, r"[.!?\n]"), lambda s: collapsed(s))
-    return F.slice(F.filter(plain, lambda s: F.octet_length(s) >= 24), 1, 12)
+    """The texts of cited_claims."""
+    return F.transform(cited_claims(text), lambda p: p["claim"])
+
+
+def cited_claims(text: Column) -> Column:
+    """(claim, citations) of the first 12 sentences of 24 bytes or more without punctuation; citations are read before it goes."""
+    parts = F.transform(F.split(text, r"[.!?\n]"), lambda s: F.struct(plain_words(s).alias("claim"), citations(s).alias("citations")))
+    return F.slice(F.filter(parts, lambda p: F.octet_length(p["claim"]) >= 24), 1, 12)
+
+
+def match_places(text: Column, term: str) -> Column:
+    """(line from 1, place from 0) of every occurrence, overlapping ones too, ignoring case."""
+    ahead = "(?=" + "".join("\\" + c if not c.isalnum() else c for c in term.lower()) + ")"
+
+    def places(line, number):
+        pieces = F.split(F.lower(line), ahead)
+        ends = F.aggregate(pieces, F.array(F.lit(0)), lambda acc, p: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(p))))
+        starts = F.slice(ends, 1, F.size(pieces))
+        first = F.startswith(F.lower(line), F.lit(term.lower()))
+        return F.transform(F.filter(starts, lambda at: (at > 0) | first), lambda at: F.struct((number + 1).alias("line"), at.alias("place")))
+
+    return F.flatten(F.transform(F.split(text, "\n"), places))
+
+
+def shift_add_hash(text: Column) -> Column:
+    """h = 33 h + byte modulo 2^64 from 5381 over the UTF-8 bytes, in lowercase hex; for short texts, as it folds over bytes."""
+    wide = lambda c: c.cast("decimal(38,0)")
+    codes = F.transform(F.regexp_extract_all(F.hex(F.encode(text, "UTF-8")), F.lit("(..)"), 1), lambda h: F.conv(h, 16, 10).cast("int"))
+    h = F.aggregate(codes, wide(F.lit(5381)), lambda acc, b: wide((acc * 33 + b) % F.expr("18446744073709551616BD")))
+    half = F.expr("9223372036854775808BD")
+    return F.lower(F.hex(F.when(h >= half, h - F.expr("18446744073709551616BD")).otherwise(h).cast("long")))
+
+
+def query_terms(query: str) -> list[str]:
+    """Terms that a query is widened to: its words and their singulars, parts of identifiers, file stems and extensions."""
+    import re
+    from pathlib import PurePosixPath
+
+    def parts(s):
+        s = re.sub("([a-z0-9])([A-Z])", r"\1 \2", s)
+        return [t.lower() for t in re.findall("[A-Za-z0-9]+", re.sub("([A-Z])([A-Z][a-z])", r"\1 \2", s))]
+
+    words = [w for w in re.split("[^a-z0-9_]+", query.lower()) if len(w) >= 3 and w not in STOP_WORDS]
+    out = [x for w in words for x in ((w, w[:-1]) if len(w) > 3 and w.endswith("s") else (w,))] + parts(query)
+    for raw in query.split():
+        out += [*parts(raw), PurePosixPath(raw).stem.lower(), PurePosixPath(raw).suffix.lower()]
+    return list(dict.fromkeys(t for t in out if len(t) >= 2))
 
 
 def citations(text: Column) -> Column:

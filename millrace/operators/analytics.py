@@ -52,3 +52,51 @@ def percentiles(log: DataFrame, value: Column, ps: tuple[int, ...] = (50, 95, 99
 
 def category_counts(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(key).agg(F.count("*").alias("n"))
+
+
+def summary(log: DataFrame, value: Column) -> DataFrame:
+    return log.agg(F.count(value).alias("n"), F.round(F.sum(value), 2).alias("total"), F.min(value).alias("least"), F.max(value).alias("most"), F.round(F.avg(value), 4).alias("mean"))
+
+
+def load_test(log: DataFrame, key: str, value: Column) -> DataFrame:
+    """Per key least, most, mean and the values at ranks n // 2 and n p // 100, to two decimals. Counts by value, so a hot key isn't sorted whole."""
+    counts = log.select(key, F.round(value, 2).alias("v")).filter("v is not null").groupBy(key, "v").agg(F.count("*").alias("n"))
+    # distinct values of two decimals: bounded by their range, whatever the log
+    ranked = counts.withColumn("upto", F.sum("n").over(Window.partitionBy(key).orderBy("v"))).withColumn("all", F.sum("n").over(Window.partitionBy(key)))
+    at = lambda p: F.min(F.when(F.col("upto") > F.floor(F.col("all") * p / 100), F.col("v")))
+    mean = F.round(F.sum(F.col("v") * F.col("n")) / F.sum("n"), 2)
+    return ranked.groupBy(key).agg(F.min("v").alias("least"), F.max("v").alias("most"), mean.alias("mean"), at(50).alias("median"), at(90).alias("p90"), at(95).alias("p95"), at(99).alias("p99"))
+
+
+def token_cost(rows: DataFrame, key: str, tokens: Column, per_thousand: float = 0.01) -> DataFrame:
+    n = F.sum(tokens)
+    return rows.groupBy(key).agg(n.alias("tokens"), F.round(n / 1000 * per_thousand, 6).alias("cost"))
+
+
+def limiter_rate(decisions: DataFrame) -> DataFrame:
+    """Requests, rejected ones and their share in percent."""
+    n, bad = F.count("*"), F.count_if(~F.col("allowed"))
+    return decisions.agg(n.alias("total"), bad.alias("rejected"), F.round(100 * bad / n, 4).alias("rejection_rate"))
+
+
+def pruned(log: DataFrame, order: list, most: int = 100_000) -> DataFrame:
+    """The log itself while it has at most `most` rows, else its newest half of that number."""
+    n = log.agg(F.count("*").alias("rows_in_log"))
+    whole = log.join(F.broadcast(n.filter(F.col("rows_in_log") <= most)))  # one row or none
+    half = log.orderBy(*order).limit(most // 2).join(F.broadcast(n.filter(F.col("rows_in_log") > most)))
+    return whole.unionByName(half).drop("rows_in_log")
+
+
+def import_counts(files: DataFrame, key: str, content: str, most: int) -> DataFrame:
+    """Files seen, imported, skipped as too long or empty, and duplicates of an earlier file's content."""
+    size = F.octet_length(content)
+    bad = F.coalesce((size > most) | (size == 0), F.lit(True))
+    by_content = files.filter(~bad).groupBy(F.md5(content).alias("digest")).agg(F.count("*").alias("n"))
+    good = by_content.agg(F.count("*").alias("imported"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("long").alias("duplicates"))
+    return files.agg(F.count("*").alias("seen"), F.count_if(bad).alias("skipped")).join(F.broadcast(good))
+
+
+def folder_counts(files: DataFrame, path: Column) -> DataFrame:
+    """Files per parent folder, `.` for those without one."""
+    folder = F.regexp_extract(path, "^(.*)/[^/]*$", 1)
+    return files.groupBy(F.when(folder == "", ".").otherwise(folder).alias("folder")).agg(F.count("*").alias("n"))

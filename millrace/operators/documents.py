@@ -22,12 +22,53 @@ def chunk_plain(docs: DataFrame, key: str, text: str, most: int = 220, overlap:
     return cut.select(key, "chunk", "start", F.size(part).alias("n_tokens"), F.md5(F.array_join(part, " ")).alias("digest"))
 
 
+# Line patterns that begin a section, by kind of document.
+HEADINGS = {
+    "markdown": r"^\s{0,3}#{1,6}\s+\S",
+    "word": r"^\s*Heading:\s",
+    "slides": r"^\s*Slide\s+\d+\s*:",
+    "code": r"^\s*(namespace|class|struct|enum|impl)\s+[A-Za-z_]\w*|^\s*(async\s+)?def\s+[A-Za-z_]\w*\s*\(|^\s*(export\s+)?(async\s+)?function\s+[\w$]+\s*\(|^\s*(const|let|var)\s+[\w$]+\s*=\s*(async\s*)?\([^)]*\)\s*=>|^\s*func\s+(\([^)]+\)\s*)?\w+\s*\(|^\s*fn\s+\w+\s*\(",
+}
+
+
 def sections(docs: DataFrame, key: str, text: str, heading: str) -> DataFrame:
-    """Lines grouped from each heading line on; inside a document, as arrays, so nothing is shuffled."""
-    lines = F.split(F.col(text), "\n")
-    empty = F.array().cast("array<array<string>>")
-    grouped = F.aggregate(lines, empty, lambda acc, s: F.when(s.rlike(heading) | (F.size(acc) == 0), F.concat(acc, F.array(F.array(s)))).otherwise(F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.concat(F.element_at(acc, -1), F.array(s))))))
-    return docs.select(key, F.posexplode(grouped).alias("section", "lines")).select(key, "section", F.col("lines")[0].alias("title"), F.array_join("lines", "\n").alias("content"))
+    """(section, start line, title, content): a section from each heading line on, as arrays inside a document, so nothing is shuffled.
+
+    Blank lines before the first heading belong to its section; other lines before it are a section of their own, with its first line as
+    title. No text, no section.
+    """
+    lined = docs.filter(F.col(text) != "").select(key, F.split(F.regexp_replace(F.col(text), r"\n\z", ""), "\n").alias("l"))
+    at = F.filter(F.sequence(F.lit(0), F.size("l") - 1), lambda i: F.col("l")[i].rlike(heading))
+    marked = lined.select(key, "l", at.alias("h"))
+    lead = F.size(F.filter(F.slice("l", 1, F.coalesce(F.try_element_at("h", F.lit(1)), F.size("l"))), lambda s: F.trim(s) != "")) > 0
+    starts = F.when(lead | (F.size("h") == 0), F.concat(F.array(F.lit(0)), "h")).otherwise(F.concat(F.array(F.lit(0)), F.slice("h", 2, F.size("l"))))
+    cut = marked.select(key, "l", F.array_distinct(starts).alias("s")).select(key, "l", "s", F.posexplode("s").alias("section", "start"))
+    part = F.slice("l", F.col("start") + 1, F.coalesce(F.try_element_at("s", F.col("section") + 2), F.size("l")) - F.col("start"))
+    made = cut.select(key, "section", "start", part.alias("p"))
+    title = F.element_at(F.concat(F.filter("p", lambda s: s.rlike(heading)), F.slice("p", 1, 1)), 1)
+    return made.select(key, "section", "start", title.alias("title"), F.array_join("p", "\n").alias("content")).filter(F.trim("content") != "")
+
+
+def pages(docs: DataFrame, key: str, text: str, separator: str = "\f") -> DataFrame:
+    """(page from 1, content) of the pages that aren't blank, without their `Page n:` labels."""
+    cut = docs.select(key, F.posexplode(F.split(F.col(text), separator)).alias("page", "content"))
+    content = F.trim(F.regexp_replace("content", r"^\s*Page\s+\d+:\s*", ""))
+    return cut.select(key, (F.col("page") + 1).alias("page"), content.alias("content")).filter("content != ''")
+
+
+def sheet_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(sheet, row, content) of `Row n: ...` lines; a `Sheet: name` line holds for the rows after it in its document."""
+    lines = F.transform(F.split(F.col(text), "\n"), lambda s: F.trim(s))
+    blocks = F.split(F.array_join(lines, "\n"), r"(?m)^(?=Sheet: )")
+    block = docs.select(key, F.explode(blocks).alias("b"))
+    name = F.regexp_extract("b", r"\ASheet: (.*)", 1)
+    row = block.select(key, F.when(name != "", name).otherwise("Sheet").alias("sheet"), F.explode(F.filter(F.split("b", "\n"), lambda s: s.rlike(r"^Row\s+\d+:"))).alias("content"))
+    return row.select(key, "sheet", F.regexp_extract("content", r"^Row\s+(\d+):", 1).cast("long").alias("row"), "content")
+
+
+def token_budget(*limits: int) -> int:
+    """The smallest positive limit, 1 at least."""
+    return max(1, min((n for n in limits if n > 0), default=1))
 
 
 def last_turns(turns: DataFrame, n: int = 6, roles: tuple[str, ...] = ("user", "assistant"), parts: int = 16) -> DataFrame:

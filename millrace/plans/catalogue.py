@@ -2,36 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as V
 from ..operators import analytics, changes, documents, schemas, search
 from ..streaming import limits
-from .catalog import Catalog
+from . import retrieval_queries  # noqa: F401  registers its queries
+from .registry import NAMES, QUERIES, SQL, TF, TOKENS, query  # noqa: F401
 from .table import Policy, Table, from_json, from_url
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(Catalog.parquet(spark, sf_dir))
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
-STOP = "[" + ",".join(f"'{w}'" for w in T.STOP_WORDS if len(w) >= 3) + "]"
-TOKENS = f"list_filter(regexp_split_to_array(lower(text), '[^a-z0-9_]+'), lambda t: length(t) >= 3 and not list_contains({STOP}, t))"
-NAMES = f"list_filter(list_concat(regexp_extract_all(text, '\\b([a-zA-Z_][a-zA-Z0-9_]*)\\s*\\(', 1), regexp_extract_all(text, '\\bclass\\s+([a-zA-Z_][a-zA-Z0-9_]*)', 1)), lambda t: length(t) >= 3 and not list_contains({STOP}, t))"
-TF = f"tf AS (SELECT doc_id, term, sum(w) AS tf FROM (SELECT doc_id, unnest({TOKENS}) AS term, 1.0::DOUBLE AS w FROM documents UNION ALL SELECT doc_id, unnest({NAMES}), 2.0 FROM documents) GROUP BY ALL)"
 POLICY = Policy({"orders": ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")}, 10, 25)
 
 
@@ -312,9 +292,15 @@ def chunk_plain(c):
     return documents.chunk_plain(c.frame("documents"), "doc_id", "text")
 
 
-@query()
+HEADING = r"^\s{0,3}#{1,6}\s+\S|^[A-Z][^.]*\.\z"
+
+
+@query(f"""WITH l AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '\\n\\z', ''), chr(10))) AS line, generate_subscripts(string_split(regexp_replace(text, '\\n\\z', ''), chr(10)), 1) AS i FROM documents WHERE text <> ''),
+h AS (SELECT *, regexp_matches(line, '{HEADING}') AS head, coalesce(bool_or(trim(line, ' ') <> '') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS led FROM l),
+s AS (SELECT *, coalesce(sum(CASE WHEN head AND led THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i), 0) AS section FROM h)
+SELECT doc_id, CAST(section AS INTEGER) AS section, CAST(min(i) - 1 AS INTEGER) AS start, coalesce(min_by(line, i) FILTER (head), min_by(line, i)) AS title, string_agg(line, chr(10) ORDER BY i) AS content FROM s GROUP BY doc_id, section HAVING trim(string_agg(line, chr(10) ORDER BY i), ' ') <> ''""")
 def chunk_sections(c):
-    return documents.sections(c.frame("documents"), "doc_id", "text", r"^\s{0,3}#{1,6}\s+|^[A-Z][^.]*\.$")
+    return documents.sections(c.frame("documents"), "doc_id", "text", HEADING)
 
 
 @query("SELECT page_id, regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/]+([^?#]*)', 1) AS path FROM pages")
