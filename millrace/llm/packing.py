@@ -9,6 +9,7 @@ capacity, not by the data. Ranks, the assignment of every piece to its run and p
 
 from __future__ import annotations
 
+import json
 import zlib
 from bisect import bisect_left, insort
 
@@ -24,6 +25,19 @@ END_ID = 1
 #: Words in each of the two generations that a worker process remembers over its tasks.
 CACHED_WORDS = 400_000
 MARKS = frozenset(b".,|:;!?)")
+# Rules of the tokenizers whose ids can be taken word by word.
+WORD_RULES = {
+    "truncation": None,
+    "padding": None,
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
 _KNOWN: dict[str, "WordIds"] = {}
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long"
 
@@ -31,9 +45,10 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part
 class WordIds(dict):
     """Ids of words, by which whole texts become little-endian unsigned 32-bit bytes.
 
-    The tokenizer's rules never join characters across ASCII white space, drop the space itself, ignore case, and part
-    a mark from the ASCII letter or digit before it. So a text's ids are its words' ids in a row, and few distinct words
-    reach the tokenizer. When this generation is full it becomes the old one; words met again are young again.
+    Tokenizers with WORD_RULES never join characters across ASCII white space, drop the space itself, ignore case, and
+    part a mark from the ASCII letter or digit before it. So a text's ids are its words' ids in a row, and few distinct
+    words reach the tokenizer. When this generation is full it becomes the old one; words met again are young again.
+    Tokenizers with other rules, or with added tokens that don't begin with `<|`, get whole texts.
     """
 
     def __init__(self, path: str):
@@ -41,6 +56,9 @@ class WordIds(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model, self.old = self.tokenizer.model.tokenize, {}
+        with open(path, encoding="utf-8") as f:
+            rules = json.load(f)
+        self.by_word = all(rules.get(k) == v for k, v in WORD_RULES.items()) and all(t["content"].startswith("<|") for t in rules.get("added_tokens", []))
 
     @classmethod
     def of(cls, path: str) -> WordIds:
@@ -64,7 +82,7 @@ class WordIds(dict):
         if len(self) > CACHED_WORDS:
             self.old = dict(self)
             self.clear()
-        if b"<|" in text:  # a special token would have its own case
+        if not self.by_word or b"<|" in text:  # a special token would have its own case
             return np.array(self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
         return b"".join(map(self.__getitem__, text.lower().split()))
 

@@ -37,14 +37,18 @@ def test_pack(spark):
     assert packing.pack(empty(spark), tokenizer_path()).count() == 0
 
 
-def test_word_ids(sf):
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_word_ids(sf, name):
     import duckdb
+    import public_tokenizers
     from tokenizers import Tokenizer
 
-    tok = Tokenizer.from_file(tokenizer_path())
+    path = public_tokenizers.path(name)
+    tok = Tokenizer.from_file(path)
     texts = [r[0] for r in duckdb.sql(f"select text from '{sf}/documents.parquet'").fetchall()]
     texts += ["The. (A) 42. é. É, … a…. it's. IT'S! 'S. x|y| <|endoftext|> <|ENDOFTEXT|>. A\u0301. \u0301. K. \u212a. 1st, ½. .. ,,a, \x85\xa0b. ǅ. ﬁ. İ.", "don't! 'll: 's; we'RE, 7? a.b.c. \x1ca\x1f"]
-    known = packing.WordIds(tokenizer_path())
+    known = packing.WordIds(path)
+    assert known.by_word == (name == "word_bpe_49k.json")
     for text in texts:
         assert np.frombuffer(known.ids(text.encode()), "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids
 
