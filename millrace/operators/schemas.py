@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -40,3 +42,83 @@ def plan(changes: DataFrame) -> DataFrame:
     made = changes.withColumns({"risk": risk, "decision": decision, "at": look(ORDER)})
     # a schema's changes are few: one ordering over all of them
     return made.withColumn("step", F.row_number().over(Window.orderBy("at", "tbl", F.col("col").asc_nulls_first()))).drop("at")
+
+
+# Risk of a change by object; of a changed column by property; place of a step in a plan by object or property.
+OBJECT_RISK = {
+    "table": {"Added": "Safe", "OnlyInCurrent": "Destructive", "Changed": "ManualReview"},
+    "column": {"Added": "Warning", "OnlyInCurrent": "Destructive", "Changed": "Warning"},
+    "primary_key": {"Added": "ManualReview", "OnlyInCurrent": "ManualReview", "Changed": "ManualReview"},
+    "foreign_key": {"Added": "Warning", "OnlyInCurrent": "Destructive", "Changed": "ManualReview"},
+    "index": {"Added": "Safe", "OnlyInCurrent": "Warning", "Changed": "Warning"},
+    "view": {"Added": "Safe", "OnlyInCurrent": "Destructive", "Changed": "Warning"},
+    "trigger": {"Added": "Warning", "OnlyInCurrent": "Destructive", "Changed": "ManualReview"},
+    "sequence": {"Added": "Unsupported", "OnlyInCurrent": "Unsupported", "Changed": "Unsupported"},
+}
+PROPERTY_RISK = {"type": "ManualReview", "maxLength": "ManualReview", "precision": "ManualReview", "scale": "ManualReview", "defaultValue": "Safe", "unique": "Warning", "primaryKey": "ManualReview", "autoIncrement": "ManualReview"}
+ADD_ORDER = {"table": 10, "column": 20, "primary_key": 30, "foreign_key": 40, "index": 50, "view": 60, "trigger": 70, "sequence": 80}
+DROP_ORDER = {"foreign_key": 210, "index": 220, "primary_key": 230, "column": 240, "trigger": 250, "view": 260, "sequence": 270, "table": 280}
+CHANGE_ORDER = {"defaultValue": 110, "nullable": 120, "type": 130, "view": 150, "trigger": 160}
+LAST = 1000
+
+
+@dataclass(frozen=True)
+class ChangePolicy:
+    """Which risks may run, and which of them only when confirmed."""
+
+    safe: bool = True
+    warnings: bool = True
+    destructive: bool = False
+    manual_review: bool = False
+    unsupported: bool = False
+    confirm_warnings: bool = False
+    confirm_destructive: bool = True
+
+    def decision(self, risk: Column) -> Column:
+        warned = ("RequiresConfirmation" if self.confirm_warnings else "Allowed") if self.warnings else "Blocked"
+        return (
+            F.when(risk == "Safe", "Allowed" if self.safe else "Blocked").when(risk == "Warning", warned)
+            .when(risk == "Destructive", "Allowed" if self.destructive and not self.confirm_destructive else "RequiresConfirmation")
+            .when(risk == "ManualReview", "Allowed" if self.manual_review else "ManualReviewRequired")
+            .otherwise("Allowed" if self.unsupported else "Unsupported")
+        )
+
+
+def looked_up(m: dict, key: Column, other) -> Column:
+    return F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in m.items() for x in kv)), key), F.lit(other))
+
+
+def object_changes(wanted: DataFrame, current: DataFrame) -> DataFrame:
+    """(object, tbl, name, change, property, current, wanted) from catalogs of (object, tbl, name, properties map<string,string>).
+
+    An object on one side only is one change; one on both is a change for each property that differs (absent: null). Columns,
+    primary keys and triggers of a table that is itself added or left go with it; its indexes and foreign keys are steps of
+    their own. name is not null (empty for tables, views and sequences).
+    """
+    keys = ["object", "tbl", "name"]
+    pairs = wanted.withColumnRenamed("properties", "w").join(current.withColumnRenamed("properties", "c"), keys, "full")
+    change = F.when(F.col("c").isNull(), "Added").when(F.col("w").isNull(), "OnlyInCurrent").otherwise("Changed")
+    differing = F.filter(F.array_distinct(F.concat(F.map_keys("w"), F.map_keys("c"))), lambda k: ~F.try_element_at("w", k).eqNullSafe(F.try_element_at("c", k)))
+    names = F.when(change == "Changed", differing).otherwise(F.array(F.lit(None).cast("string")))
+    value = lambda m: F.when(F.col("property").isNotNull(), F.try_element_at(m, F.col("property"))).alias({"c": "current", "w": "wanted"}[m])
+    found = pairs.select(*keys, change.alias("change"), "w", "c", F.explode(names).alias("property")).select(*keys, "change", "property", value("c"), value("w"))
+    whole = found.filter("object = 'table' and property is null").select("tbl", "change")
+    goes_along = F.col("object").isin("column", "primary_key", "trigger") & F.col("property").isNull()
+    own = found.filter(goes_along).join(whole, ["tbl", "change"], "left_anti").select(*found.columns)
+    return own.unionByName(found.filter(~goes_along))
+
+
+def object_plan(changes: DataFrame, policy: ChangePolicy = ChangePolicy()) -> DataFrame:
+    """Changes with risk, the policy's decision and step: additions, then alterations, then removals."""
+    by_object = F.lit("Unsupported")
+    for name, risks in OBJECT_RISK.items():
+        by_object = F.when(F.col("object") == name, looked_up(risks, F.col("change"), "Unsupported")).otherwise(by_object)
+    nullable = F.when(F.col("wanted") == "true", "Warning").otherwise("ManualReview")
+    by_property = F.when(F.col("property") == "nullable", nullable).otherwise(looked_up(PROPERTY_RISK, F.col("property"), "Warning"))
+    risk = F.when((F.col("object") == "column") & (F.col("change") == "Changed"), by_property).otherwise(by_object)
+    kind = F.when(F.col("object") == "column", F.col("property")).otherwise(F.col("object"))
+    altered = looked_up(CHANGE_ORDER, kind, LAST)
+    at = F.when(F.col("change") == "Added", looked_up(ADD_ORDER, F.col("object"), LAST)).when(F.col("change") == "OnlyInCurrent", looked_up(DROP_ORDER, F.col("object"), LAST)).otherwise(altered)
+    made = changes.withColumn("risk", risk).withColumns({"decision": policy.decision(F.col("risk")), "at": at})
+    # a schema's changes are few: one ordering over all of them
+    return made.withColumn("step", F.row_number().over(Window.orderBy("at", "tbl", "name", F.col("property").asc_nulls_first()))).drop("at")

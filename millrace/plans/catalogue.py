@@ -313,6 +313,16 @@ def html_text(c):
     return c.frame("pages").select("page_id", T.html_title(F.col("html")).alias("title"), T.html_text(F.col("html")).alias("text"))
 
 
+ENTITIES = "regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)"
+for _name, _c in (("&nbsp;", "' '"), ("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "chr(34)"), ("&#39;", "chr(39)"), ("&amp;", "'&'")):
+    ENTITIES = f"replace({ENTITIES}, '{_name}', {_c})"
+
+
+@query(f"SELECT page_id, trim(regexp_replace({ENTITIES}, '[\\x09-\\x0D\\x20]+', ' ', 'g')) AS title FROM pages")
+def html_title(c):
+    return c.frame("pages").select("page_id", T.html_title(F.col("html")).alias("title"))
+
+
 @query("SELECT conv_id, turn, role, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, text DESC) AS INTEGER) AS back FROM conversations WHERE role IN ('user', 'assistant') QUALIFY back <= 6")
 def history_block(c):
     return documents.last_turns(c.frame("conversations")).select("conv_id", "turn", "role", "back")
@@ -374,6 +384,39 @@ def schema_plan(c):
     return schemas.plan(schemas.difference(schemas.catalog_rows(spark, wanted), schemas.catalog_rows(spark, now)))
 
 
+WANTED = (
+    ("table", "orders", "", {}), ("column", "orders", "id", {"type": "bigint", "nullable": "false"}), ("column", "orders", "note", {"type": "string", "nullable": "true"}),
+    ("column", "orders", "total", {"type": "double", "nullable": "false", "defaultValue": "0"}), ("index", "orders", "by_total", {"columns": "total,id"}), ("foreign_key", "orders", "customer", {"target": "customer.id"}),
+    ("table", "customer", "", {}), ("column", "customer", "id", {"type": "bigint", "nullable": "false"}), ("view", "big_orders", "", {"definition": "SELECT 1"}),
+)
+CURRENT = (
+    ("table", "orders", "", {}), ("column", "orders", "id", {"type": "int", "nullable": "false"}), ("column", "orders", "old", {"type": "int", "nullable": "true"}), ("column", "orders", "total", {"type": "double", "nullable": "true"}),
+    ("index", "orders", "by_total", {"columns": "total"}), ("table", "gone", "", {}), ("column", "gone", "id", {"type": "int", "nullable": "true"}), ("view", "big_orders", "", {"definition": "SELECT 2"}), ("sequence", "numbers", "", {"start": "1"}),
+)
+
+
+def values_sql(rows):
+    lit = lambda v: "NULL" if v is None else f"'{v}'"
+    return "VALUES " + ", ".join(f"({', '.join(map(lit, (*at, p, v)))})" for *at, props in rows for p, v in [(None, None), *props.items()])
+
+
+@query(f"""WITH w(object, tbl, name, property, v) AS ({values_sql(WANTED)}), c(object, tbl, name, property, v) AS ({values_sql(CURRENT)}),
+wo AS (SELECT object, tbl, name FROM w WHERE property IS NULL), co AS (SELECT object, tbl, name FROM c WHERE property IS NULL),
+lone AS (SELECT *, 'Added' AS change FROM wo ANTI JOIN co USING (object, tbl, name) UNION ALL SELECT *, 'OnlyInCurrent' FROM co ANTI JOIN wo USING (object, tbl, name)),
+met AS (SELECT * FROM wo SEMI JOIN co USING (object, tbl, name)),
+p AS (SELECT object, tbl, name, property, w.v AS wanted, c.v AS current FROM (SELECT * FROM w WHERE property IS NOT NULL) w FULL JOIN (SELECT * FROM c WHERE property IS NOT NULL) c USING (object, tbl, name, property)),
+a AS (SELECT object, tbl, name, change, NULL::VARCHAR AS property, NULL::VARCHAR AS wanted FROM lone l WHERE object <> 'column' OR NOT EXISTS (SELECT 1 FROM lone t WHERE t.object = 'table' AND t.tbl = l.tbl AND t.change = l.change)
+UNION ALL SELECT object, tbl, name, 'Changed', property, wanted FROM p JOIN met USING (object, tbl, name) WHERE wanted IS DISTINCT FROM current),
+r AS (SELECT object, tbl, name, change, property, CASE WHEN object = 'sequence' THEN 'Unsupported' WHEN change = 'Added' THEN CASE WHEN object IN ('table', 'index', 'view') THEN 'Safe' ELSE 'Warning' END
+WHEN change = 'OnlyInCurrent' THEN CASE WHEN object = 'index' THEN 'Warning' ELSE 'Destructive' END WHEN object <> 'column' THEN 'Warning'
+WHEN property = 'type' OR property = 'nullable' AND wanted = 'false' THEN 'ManualReview' WHEN property = 'defaultValue' THEN 'Safe' ELSE 'Warning' END AS risk FROM a)
+SELECT *, CASE risk WHEN 'Destructive' THEN 'RequiresConfirmation' WHEN 'ManualReview' THEN 'ManualReviewRequired' WHEN 'Unsupported' THEN 'Unsupported' ELSE 'Allowed' END AS decision FROM r""")
+def schema_objects(c):
+    spark = c.frame("nation").sparkSession
+    wanted, current = (spark.createDataFrame(list(rows), "object string, tbl string, name string, properties map<string,string>") for rows in (WANTED, CURRENT))
+    return schemas.object_plan(schemas.object_changes(wanted, current)).select("object", "tbl", "name", "change", "property", "risk", "decision")
+
+
 @query()
 def rate_limit(c):
     return limits.limited(c.frame("events"), "user_id", 1, 20)

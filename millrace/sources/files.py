@@ -12,7 +12,11 @@ LANGUAGES = {"py": "python", "cpp": "cpp", "h": "cpp", "hpp": "cpp", "c": "c", "
 
 def scan(spark: SparkSession, folder: str, extensions: list[str] | None = None, skip: tuple[str, ...] = (".git", "node_modules", "__pycache__"), most: int = MOST_BYTES) -> DataFrame:
     """path, extension, language, length, content (text) and issue (null for good files). Spark leaves out files of no bytes."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    return described(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder), extensions, skip, most)
+
+
+def described(raw: DataFrame, extensions: list[str] | None = None, skip: tuple[str, ...] = (".git", "node_modules", "__pycache__"), most: int = MOST_BYTES) -> DataFrame:
+    """scan() of files that are read already (path, length, content)."""
     ext = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
     parent = F.regexp_extract("path", r"^(.*)/", 1)
     for s in skip:

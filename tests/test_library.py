@@ -10,7 +10,8 @@ from millrace.plans.catalog import Catalog, ForeignKey
 from millrace.plans.predicates import literal, split_lookup
 from millrace.plans.table import Policy, Table, from_json, from_url
 from millrace.sources import files
-from millrace.streaming import limits
+from millrace.sources.jdbc import Database
+from millrace.streaming import ingest, limits
 
 
 @pytest.fixture(scope="module")
@@ -159,3 +160,45 @@ def test_stream(spark, sf, tmp_path):
     q = stream.writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.sql("SELECT sum(n) AS n FROM counts").first()["n"] == spark.read.parquet(f"{sf}/events.parquet").count()
+
+
+def test_object_plan(spark):
+    from millrace.plans.catalogue import CURRENT, WANTED
+
+    wanted, now = (spark.createDataFrame(list(rows), "object string, tbl string, name string, properties map<string,string>") for rows in (WANTED, CURRENT))
+    steps = [(r["change"], r["object"], r["tbl"], r["name"], r["property"], r["decision"]) for r in schemas.object_plan(schemas.object_changes(wanted, now), schemas.ChangePolicy(warnings=False, destructive=True, confirm_destructive=False)).orderBy("step").collect()]
+    assert steps == [
+        ("Added", "table", "customer", "", None, "Allowed"), ("Added", "column", "orders", "note", None, "Blocked"), ("Added", "foreign_key", "orders", "customer", None, "Blocked"),
+        ("Changed", "column", "orders", "total", "defaultValue", "Allowed"), ("Changed", "column", "orders", "total", "nullable", "ManualReviewRequired"), ("Changed", "column", "orders", "id", "type", "ManualReviewRequired"),
+        ("Changed", "view", "big_orders", "", "definition", "Blocked"), ("OnlyInCurrent", "column", "orders", "old", None, "Allowed"), ("OnlyInCurrent", "sequence", "numbers", "", None, "Unsupported"),
+        ("OnlyInCurrent", "table", "gone", "", None, "Allowed"), ("Changed", "index", "orders", "by_total", "columns", "Blocked"),
+    ]
+    assert schemas.object_changes(wanted, wanted).count() == 0
+
+
+def test_ingest(spark, tmp_path):
+    folder, at = tmp_path / "in", [f"file://{tmp_path}/{n}" for n in ("in", "docs", "status", "marks")]
+    folder.mkdir()
+    for name, text in (("a.txt", b"one"), ("b.txt", b"one"), ("c.py", b"two"), ("d.txt", b"x\0")):
+        (folder / name).write_bytes(text)
+    ingest.ingest(spark, *at)
+    (folder / "e.txt").write_bytes(b"two")
+    (folder / "f.txt").write_bytes(b"three")
+    ingest.ingest(spark, *at)
+    ingest.ingest(spark, *at)
+    docs = ingest.documents(spark, at[1]).collect()
+    assert sorted((r["path"].rsplit("/", 1)[1], r["language"], r["content"], r["batch"]) for r in docs) == [("a.txt", "text", "one", 0), ("c.py", "python", "two", 0), ("f.txt", "text", "three", 1)]
+    assert sorted(tuple(r) for r in ingest.statuses(spark, at[2]).select("batch", "seen", "issues", "repeated", "imported").collect()) == [(0, 4, 1, 1, 2), (1, 2, 0, 1, 1)]
+
+
+def test_database(spark, tmp_path):
+    base = Database(f"jdbc:derby:{tmp_path}/base;create=true", (("driver", "org.apache.derby.iapi.jdbc.AutoloadedDriver"),))
+    base.append(spark.sql("SELECT CAST(id AS INT) AS id, CAST(id % 3 AS INT) AS kind_id, id * 1.5D AS price FROM range(100)"), "products")
+    base.append(spark.sql("SELECT CAST(id AS INT) AS id, id + 7 AS code FROM range(3)"), "kinds")
+    base.append(spark.sql("SELECT 1 AS id WHERE false"), "nothing")
+    shop = base.catalog(spark, {"products": "id", "kinds": None}, (ForeignKey("products", "kind_id", "kinds", "id"),))
+    assert shop.frame("products").rdd.getNumPartitions() == 8 and shop.frame("products").count() == 100
+    got = Table.of(shop, "products").filter(price__gte=75).group_by("kinds.code").values("COUNT(products.id) as n").order_by("code").frame_of().collect()
+    assert [tuple(r) for r in got] == [(7, 17), (8, 16), (9, 17)]
+    assert base.table(spark, "nothing", "id").count() == 0
+    assert base.query(spark, "SELECT COUNT(*) AS n FROM products").first()[0] == 100
