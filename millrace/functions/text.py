@@ -21,15 +21,24 @@ def counted(term: Column) -> Column:
     return (F.length(term) >= 3) & ~term.isin(*(w for w in STOP_WORDS if len(w) >= 3))
 
 
+def words(text: Column) -> Column:
+    """All ASCII words, lower-cased."""
+    return F.split(F.lower(text), "[^a-z0-9_]+")
+
+
 def tokens(text: Column) -> Column:
     """ASCII words of three characters or more, lower-cased, without stop words."""
-    return F.filter(F.split(F.lower(text), "[^a-z0-9_]+"), counted)
+    return F.filter(words(text), counted)
 
 
-def identifiers(text: Column) -> Column:
+def names(text: Column) -> Column:
     """Names before a parenthesis, then names after `class`; case kept."""
-    found = F.concat(F.regexp_extract_all(text, F.lit(r"\b([a-zA-Z_][a-zA-Z0-9_]*)\s*\("), 1), F.regexp_extract_all(text, F.lit(r"\bclass\s+([a-zA-Z_][a-zA-Z0-9_]*)"), 1))
-    return F.filter(found, counted)
+    return F.concat(F.regexp_extract_all(text, F.lit(r"\b([a-zA-Z_][a-zA-Z0-9_]*)\s*\("), 1), F.regexp_extract_all(text, F.lit(r"\bclass\s+([a-zA-Z_][a-zA-Z0-9_]*)"), 1))
+
+
+def identifiers(text: Column) -> Column:
+    """Names of three characters or more that aren't stop words."""
+    return F.filter(names(text), counted)
 
 
 def identifier_terms(name: Column) -> Column:

@@ -86,7 +86,7 @@ def hashed_embeddings(docs: DataFrame, key: str, text: str, salts: int = 8) -> D
     words = docs.select(key, T.tokens(F.col(text)).alias("t"))
     counts = words.select(key, F.size("t").alias("n"), F.explode("t").alias("term")).groupBy(key, "n", "term").agg(F.count("*").alias("tf"))
     total = docs.agg(F.count("*").alias("docs"))
-    df = search.document_frequency(docs, key, text).select("term", "df", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    df = search.document_frequency(docs, text).select("term", "df", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
     salted = counts.withColumn("salt", F.pmod(F.xxhash64(key), F.lit(salts)).cast("int"))
     # one row, whatever the corpus
     joined = salted.join(df, ["term", "salt"]).join(F.broadcast(total))

@@ -19,8 +19,10 @@ def term_counts(docs: DataFrame, key: str, text: str) -> DataFrame:
     return each.groupBy(key, "term").agg(F.sum("w").alias("tf"))
 
 
-def document_frequency(docs: DataFrame, key: str, text: str) -> DataFrame:
-    return term_counts(docs, key, text).groupBy("term").agg(F.count("*").alias("df"))
+def document_frequency(docs: DataFrame, text: str) -> DataFrame:
+    """Documents (rows) that hold each token or identifier: distinct inside a row, so only terms are shuffled, summed before."""
+    found = docs.select(F.explode(F.array_distinct(F.concat(T.words(F.col(text)), T.names(F.col(text))))).alias("term"))
+    return found.filter(T.counted(F.col("term"))).groupBy("term").agg(F.count("*").alias("df"))
 
 
 def idf(n: Column, df: Column) -> Column:

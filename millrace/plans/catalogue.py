@@ -218,13 +218,13 @@ def corpus_tokens(c):
 
 @query(f"WITH {TF} SELECT term, count(*) AS df FROM tf GROUP BY ALL")
 def doc_frequency(c):
-    return search.document_frequency(c.frame("documents"), "doc_id", "text")
+    return search.document_frequency(c.frame("documents"), "text")
 
 
 @query(f"WITH {TF}, d AS (SELECT term, count(*) AS df FROM tf GROUP BY ALL) SELECT term, round(ln(((SELECT count(*) FROM documents) - df + 0.5) / (df + 0.5) + 1.0), 6) AS idf FROM d WHERE df >= 20")
 def idf(c):
     n = c.frame("documents").agg(F.count("*").alias("n"))
-    df = search.document_frequency(c.frame("documents"), "doc_id", "text").filter("df >= 20")
+    df = search.document_frequency(c.frame("documents"), "text").filter("df >= 20")
     return df.join(F.broadcast(n)).select("term", F.round(search.idf(F.col("n"), F.col("df")), 6).alias("idf"))
 
 
