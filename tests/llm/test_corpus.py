@@ -267,3 +267,45 @@ def test_sql(spark, sf):
         names = [d[0] for d in cur.description]
         assert sorted(names) == sorted(df.columns)
         assert Counter(map(tuple, df.select(names).collect())) == Counter(cur.fetchall()), name
+
+
+def jaccard(a, b):
+    sets = []
+    for text in (a, b):
+        w = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").encode().split()
+        sets.append({b" ".join(w[i : i + 5]) for i in range(len(w) - 4)} or {b" ".join(w)})
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def edited(rng, words, n):
+    words = list(words)
+    for i in rng.sample(range(len(words)), n):
+        words[i] = f"new{rng.random()}"
+    return words
+
+
+@pytest.mark.parametrize("block", [1024, 4])
+def test_similar(spark, monkeypatch, block):
+    """The stage keeps one document of each group linked at five-word similarity 0.8, scattered edits and chains included."""
+    import corpus_pipeline
+    from millrace.llm import similar
+
+    monkeypatch.setattr(similar, "BLOCK", block)
+    rng = random.Random(8)
+    given = [(r[0], r[1]) for r in rows()]
+    for k in range(25):
+        base = [f"w{rng.randint(0, 5000)}" for _ in range(500)]
+        given += [(20_000 + 100 * k + n, " ".join(edited(rng, base, n))) for n in (0, 4, 7, 10, 11, 14, 60)]
+    expected = list(range(len(given)))
+    for i in range(len(given)):
+        for j in range(i):
+            if expected[i] != expected[j] and jaccard(given[i][1], given[j][1]) >= 0.8:
+                expected = [expected[j] if x == expected[i] else x for x in expected]
+    least = {}
+    for (doc_id, _), c in zip(given, expected):
+        least[c] = min(least.get(c, (True, 0)), (doc_id is None, doc_id or 0))
+    docs = spark.createDataFrame([(*g, "en", "s", 1) for g in given], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    kept = dict(corpus_pipeline.STAGES)["SimHash near-dedup"](spark, docs, "")
+    assert kept.columns == docs.columns
+    assert Counter(r["doc_id"] for r in kept.collect()) == Counter(None if none else i for none, i in least.values())
+    assert similar.deduplicate(empty(spark)).count() == 0
