@@ -17,10 +17,14 @@ from pyspark.sql import functions as F
 from .common import join_small, map_batches, materialise, small_batches
 
 BITS = 13
-#: Trigrams a text counts as at most (neighbouring trigrams aren't independent), pseudo-counts of a parent level, languages at most.
-EVIDENCE, SMOOTHING, LANGUAGES = 60.0, 20.0, 32
-#: A language needs this share of the declared documents; a document this posterior.
-LEAST_SHARE, LEAST_POSTERIOR = 0.001, 0.5
+#: Trigrams a text counts as at most (neighbouring trigrams aren't independent), pseudo-counts of a parent level.
+EVIDENCE, SMOOTHING = 60.0, 20.0
+#: A language needs so many declared documents, however many there are of others; a document this posterior.
+LEAST_DOCS, LEAST_POSTERIOR = 5, 0.5
+#: Subtags that name no language.
+NO_LANGUAGE = ("und", "mul", "mis", "zxx")
+#: Old and bibliographic codes; the other three-letter codes of two-letter ones come from Java's table.
+OLD_CODES = dict(zip("iw in ji alb arm baq bur chi cze dut fre geo ger gre ice mac mao may per rum slo tib wel".split(), "he id yi sq hy eu my zh cs nl fr ka de el is mk mi ms fa ro sk bo cy".split()))
 UNKNOWN = "und"
 NO_WORD = re.compile(rb"[0-9@=_/\\]")
 #: Bits that a trigram of an unknown language costs more than an even choice among all buckets.
@@ -44,6 +48,20 @@ def histogram(text: str) -> np.ndarray:
     return np.bincount(buckets(text), minlength=1 << BITS)
 
 
+def shortest_codes(spark) -> dict[str, str]:
+    """The two-letter code of each three-letter one that has it, and of old codes."""
+    locale = spark._jvm.java.util.Locale
+    codes = [c for c in locale.getISOLanguages() if c not in OLD_CODES]
+    return {locale(c).getISO3Language(): c for c in codes} | OLD_CODES
+
+
+def primary_subtag(declared: Column, spark) -> Column:
+    """The whole primary subtag in its shortest form ("de-AT", "deu": de; "fil": fil); null if it is no code or names no language."""
+    tag = F.regexp_extract(F.lower(F.trim(declared)), "^([a-z]{2,8})(?:[-_].*)?$", 1)
+    short = F.create_map(*(F.lit(x) for pair in shortest_codes(spark).items() for x in pair))
+    return F.when((tag != "") & ~tag.isin(*NO_LANGUAGE), F.coalesce(F.when(F.length(tag) == 2, F.when(tag.isin("iw", "in", "ji"), short[tag]).otherwise(tag)), short[tag], tag))
+
+
 def inputs(docs: DataFrame, text: str, declared: str | None, host: str | None, url: str | None) -> DataFrame:
     """_text, _declared, _host, _domain, _suffix beside the table's own columns; evidence that isn't there is null."""
     null = F.lit(None).cast("string")
@@ -52,7 +70,7 @@ def inputs(docs: DataFrame, text: str, declared: str | None, host: str | None, u
     code = F.when(F.regexp_extract(col(url), "^[a-z+]+://[^/]+/([a-z]{2})(?:/|$)", 1) != "", F.regexp_extract(col(url), "^[a-z+]+://[^/]+/([a-z]{2})(?:/|$)", 1)) if url else null
     suffix = F.regexp_extract(address, r"\.([a-z]{2,})$", 1)
     return docs.withColumns({
-        "_text": F.coalesce(col(text), F.lit("")), "_declared": F.lower(F.substring(col(declared), 1, 2)), "_host": address,
+        "_text": F.coalesce(col(text), F.lit("")), "_declared": primary_subtag(col(declared), docs.sparkSession) if declared else null, "_host": address,
         "_domain": F.when(address.contains("."), F.regexp_extract(address, r"([^.]+\.[^.]+)$", 1)),
         "_suffix": F.coalesce(code, F.when(suffix != "", suffix)),
     })
@@ -65,20 +83,20 @@ class TextModel:
         self.languages = [*languages, UNKNOWN]
         smooth = counts + 0.5
         flat = np.full((1, 1 << BITS), -(BITS + UNKNOWN_BITS) * np.log(2))
-        self.logs = np.vstack([np.log(smooth / smooth.sum(1, keepdims=True)), flat]) if len(counts) else flat
+        logs = np.vstack([np.log(smooth / smooth.sum(1, keepdims=True)), flat]) if len(counts) else flat
+        self.by_bucket = np.ascontiguousarray(logs.T)
 
     def __call__(self, text: str) -> tuple[np.ndarray, int]:
         h = histogram(text)
         n = int(h.sum())
-        return self.logs @ h * min(1.0, EVIDENCE / max(n, 1)), n or len(text.encode("utf-8", "replace").split())
+        at = np.flatnonzero(h)
+        return h[at] @ self.by_bucket[at] * min(1.0, EVIDENCE / max(n, 1)), n or len(text.encode("utf-8", "replace").split())
 
 
 def fit(given: DataFrame) -> TextModel:
-    """Trigram counts by declared language, over all documents; what comes back is LANGUAGES x 8192 counts at most."""
-    declared = given.filter(F.coalesce(F.col("_declared"), F.lit("")) != "").groupBy("_declared").agg(F.count("*").alias("n"))
-    top = declared.orderBy(F.desc("n"), "_declared").limit(LANGUAGES).collect()
-    total = sum(r["n"] for r in top)
-    languages = sorted(r["_declared"] for r in top if r["n"] >= LEAST_SHARE * total)
+    """Trigram counts by declared language, over all documents; what comes back is 8192 counts a language at most."""
+    declared = given.filter(F.col("_declared").isNotNull()).groupBy("_declared").agg(F.count("*").alias("n"))
+    languages = sorted(r["_declared"] for r in declared.filter(F.col("n") >= LEAST_DOCS).select("_declared").collect())
     index = {x: i for i, x in enumerate(languages)}
 
     def run(batches):
@@ -115,24 +133,31 @@ def score(given: DataFrame, model: TextModel, keep: list[str]) -> DataFrame:
 
 def evidence(scored: DataFrame, n: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Log-likelihoods by declared language and by suffix, and log priors by host; each from one grouped aggregation."""
-    best = (F.array_position("_ll", F.array_max("_ll")) - 1).alias("best")
+    best = (F.array_position("_ll", F.array_max("_ll")) - 1).cast("int").alias("best")
     table, _ = materialise(scored.select("_declared", "_suffix", "_domain", "_host", best).groupBy("_declared", "_suffix", "_domain", "_host", "best").agg(F.count("*").alias("n")), "evidence")
-    each = lambda f: [f(i) for i in range(n)]
-    count = lambda i: F.sum(F.when(F.col("best") == i, F.col("n")).otherwise(0))
-    whole = table.agg(F.array(*each(count)).alias("all")).collect()[0]["all"]
-    whole = [float(x or 0) for x in whole]
+    whole = [0.0] * n
+    for r in table.groupBy("best").agg(F.sum("n").alias("n")).collect():
+        whole[r["best"]] = float(r["n"])
     total = sum(whole)
     base = [(x + 1) / (total + n) for x in whole]
+    numbers = lambda values: F.array(*(F.lit(float(x)) for x in values))
+    zeros = F.array_repeat(F.lit(0).cast("long"), n)
+
+    def counted(rows: DataFrame, *keys: str) -> DataFrame:
+        """c: the counts by language (at most n numbers a key); t: their sum."""
+        each = rows.groupBy(*keys, "best").agg(F.sum("n").alias("n")).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("best", "n"))).alias("m"), F.sum("n").alias("t"))
+        return each.select(*keys, F.transform(zeros, lambda z, i: F.coalesce(F.col("m")[i], z)).alias("c"), "t")
 
     def likelihood(key: str, name: str) -> DataFrame:
         """log P(key | language): two pseudo-counts, half of them for this key."""
-        by = table.filter(F.col(key).isNotNull()).groupBy(key).agg(F.array(*each(count)).alias("c"))
-        return materialise(by.select(key, F.array(*each(lambda i: F.log((F.col("c")[i] + 1) / (whole[i] + 2)))).alias(name)), name[1:])[0]
-
-    hosts = table.filter(F.col("_host").isNotNull()).groupBy("_domain", "_host").agg(F.array(*each(count)).alias("c"), F.sum("n").alias("t"))
-    domains, _ = materialise(hosts.filter(F.col("_domain").isNotNull()).groupBy("_domain").agg(F.array(*each(lambda i: F.sum(F.col("c")[i]))).alias("dc"), F.sum("t").alias("dt")), "domains")
-    up: list[Column] = each(lambda i: (F.coalesce(F.col("dc")[i], F.lit(0)) + SMOOTHING * base[i]) / (F.coalesce(F.col("dt"), F.lit(0)) + SMOOTHING))
-    prior = join_small(hosts, domains, "_domain").select("_host", F.array(*each(lambda i: F.log((F.col("c")[i] + SMOOTHING * up[i]) / (F.col("t") + SMOOTHING)))).alias("_lp"))
+        by = counted(table.filter(F.col(key).isNotNull()), key)
+        return materialise(by.select(key, F.zip_with("c", numbers(whole), lambda c, w: F.log((c + 1) / (w + 2))).alias(name)), name[1:])[0]
+
+    hosts = counted(table.filter(F.col("_host").isNotNull()), "_domain", "_host")
+    domains = counted(table.filter(F.col("_host").isNotNull() & F.col("_domain").isNotNull()), "_domain")
+    domains, _ = materialise(domains.select("_domain", F.col("c").alias("dc"), F.col("t").alias("dt")), "domains")
+    up = F.zip_with(F.coalesce("dc", zeros), numbers(base), lambda c, b: (c + SMOOTHING * b) / (F.coalesce(F.col("dt"), F.lit(0)) + SMOOTHING))
+    prior = join_small(hosts, domains, "_domain").select("_host", F.zip_with("c", up, lambda c, u: F.log((c + SMOOTHING * u) / (F.col("t") + SMOOTHING))).alias("_lp"))
     return likelihood("_declared", "_ld"), likelihood("_suffix", "_ls"), materialise(prior, "hosts")[0], [float(np.log(x)) for x in base]
 
 
@@ -152,8 +177,9 @@ def identify(docs: DataFrame, text: str = "text", declared: str | None = "lang",
     scored = score(given, model, [*own, "_declared", "_suffix", "_host"])
     for table, key in ((declared_ll, "_declared"), (suffix_ll, "_suffix"), (priors, "_host")):
         scored = join_small(scored, table, key)
-    zero = F.lit(0.0)
-    total = F.array(*(F.col("_ll")[i] + F.coalesce(F.col("_ld")[i], zero) + F.coalesce(F.col("_ls")[i], zero) + F.coalesce(F.col("_lp")[i], F.lit(base[i])) for i in range(n)))
+    add = lambda x, y: F.zip_with(x, y, lambda p, q: p + q)
+    nothing = F.array_repeat(F.lit(0.0), n)
+    total = add(add(add("_ll", F.coalesce("_ld", nothing)), F.coalesce("_ls", nothing)), F.coalesce("_lp", F.array(*(F.lit(x) for x in base))))
     top = F.array_max("_total")
     names = F.array(*(F.lit(x) for x in model.languages))
     out = scored.withColumn("_total", total).withColumn("lang_id", names[F.array_position("_total", top).cast("int") - 1])

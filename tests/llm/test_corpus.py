@@ -309,3 +309,21 @@ def test_similar(spark, monkeypatch, block):
     assert kept.columns == docs.columns
     assert Counter(r["doc_id"] for r in kept.collect()) == Counter(None if none else i for none, i in least.values())
     assert similar.deduplicate(empty(spark)).count() == 0
+
+
+def test_many_languages(spark):
+    """Each of 60 declared languages keeps its clean documents, however many documents of another there are."""
+    rng = random.Random(4)
+    codes = ["fil", "fi", "haw", "ha", *(a + b for a in "bcdfg" for b in "abcdefghijkl" if a + b not in ("fi",))][:60]
+    words = {c: ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 6))) for _ in range(25)] for c in codes}
+    given = [(c, f"{c}-XX" if i % 2 else c.upper(), " ".join(rng.choices(words[c], k=40))) for c in codes for i in range(8)]
+    given += [("fi", "fin" if i % 2 else "fi", " ".join(rng.choices(words["fi"], k=40))) for i in range(9000)]
+    docs = spark.createDataFrame(given, "truth string, lang string, text string").withColumn("source", langid.F.lit(None).cast("string"))
+    out = langid.identify(docs).filter("truth <> 'fi'").collect()
+    assert len(out) == 8 * 59 and all(r["kept"] and r["lang_id"] == r["truth"] for r in out)
+
+
+def test_declared_codes(spark):
+    given = {"en-US": "en", " DE_at ": "de", "deu": "de", "ger": "de", "fil": "fil", "haw": "haw", "iw": "he", "zh-Hant-TW": "zh", "und": None, "": None, "12": None, None: None}
+    docs = spark.createDataFrame([(k, "x") for k in given], "lang string, text string")
+    assert {r["lang"]: r["_declared"] for r in langid.inputs(docs, "text", "lang", None, None).collect()} == given
