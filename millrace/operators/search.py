@@ -85,6 +85,81 @@ def earlier_duplicates(vectors: DataFrame, least: float = 0.85, every: int = 20,
     return out.groupBy("vec_id").agg(F.min("first_id").alias("first_id"))
 
 
+def packed(vectors: DataFrame, block: int) -> DataFrame:
+    """size, part, ids and values: rows of one length in blocks of about `block`, each one row of two arrays of bytes."""
+    import pandas as pd
+
+    given = vectors.filter(F.size("embedding") > 0).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.size("embedding").alias("size"))
+    counts = given.groupBy("size").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
+    dealt = given.join(F.broadcast(counts), "size").withColumn("part", F.pmod(F.xxhash64("vec_id"), "parts").cast("int"))
+
+    def pack(pdf):
+        ids, values = pdf["vec_id"].to_numpy(np.int64), np.stack(pdf["embedding"].to_numpy()).astype(float)
+        return pd.DataFrame({"size": [pdf["size"].iloc[0]], "part": [pdf["part"].iloc[0]], "ids": [ids.tobytes()], "values": [values.tobytes()]})
+
+    return dealt.select("vec_id", "embedding", "size", "part").groupBy("size", "part").applyInPandas(pack, "size int, part int, ids binary, values binary")
+
+
+def met(a: DataFrame, b: DataFrame, fn, schema: str, once: bool = False) -> DataFrame:
+    """fn(ids, values, other ids, other values, same block) of each pair of blocks of one length, a pair a row; once: each pair in one order only."""
+    left, right = (df.select(F.col("size").alias("length"), *(F.col(c).alias(f"{c}_{side}") for c in ("part", "ids", "values"))) for df, side in ((a, "a"), (b, "b")))
+    pairs = left.join(right, "length").filter("part_a <= part_b" if once else "true")
+
+    def run(batches):
+        for pdf in batches:
+            for r in pdf.itertuples():
+                whole = [(np.frombuffer(i, np.int64), np.frombuffer(v).reshape(-1, r.length)) for i, v in ((r.ids_a, r.values_a), (r.ids_b, r.values_b))]
+                yield fn(*whole[0], *whole[1], once and r.part_a == r.part_b)
+
+    return pairs.repartition("part_a", "part_b").mapInPandas(run, schema)
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """From edges (a, b): node and root (the smallest node of its component) of every node; each round halves the way to it at least."""
+    both = edges.union(edges.select("b", "a")).persist()
+    state = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("root")).localCheckpoint()
+    while True:
+        near = both.join(state.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("low"))
+        lower = state.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "low").alias("root"))
+        jump = lower.select(F.col("node").alias("root"), F.col("root").alias("low"))
+        following = lower.join(jump, "root", "left").select("node", "old", F.coalesce("low", "root").alias("root")).localCheckpoint()
+        if not following.filter("old <> root").limit(1).count():
+            return following.select("node", "root")
+        state = following.select("node", "root")
+
+
+def similar_classes(vectors: DataFrame, least: float = 0.85, block: int = 1024) -> DataFrame:
+    """vec_id, class_id (smallest id reachable over cosines of `least` or more) and links (such rows besides itself), for every row.
+
+    Each pair of blocks is a matrix product in a task, of which only counts and a spanning forest leave. Ids are unique;
+    null, empty and zero vectors link to nothing. Exact, so its time grows with the square of the rows.
+    """
+    import pandas as pd
+
+    def links(ids, values, others, more, same):
+        hit = unit(values) @ unit(more).T >= least - 1e-12
+        if same:
+            np.fill_diagonal(hit, False)
+        n = np.concatenate((hit.sum(1), [] if same else hit.sum(0))).astype(int)
+        every = ids if same else np.concatenate((ids, others))
+        label, a, b = np.arange(len(every)), [], []
+        for i in np.flatnonzero(hit.any(1)):
+            together = np.unique(label[np.concatenate(([i], np.flatnonzero(hit[i]) + (0 if same else len(ids))))])
+            if len(together) > 1:
+                label[np.isin(label, together)] = together[0]
+                a += every[together[1:]].tolist()
+                b += [int(every[together[0]])] * (len(together) - 1)
+        some = n > 0
+        return pd.DataFrame({"a": [*every[some].tolist(), *a], "b": [*every[some].tolist(), *b], "links": [*n[some].tolist(), *[0] * len(a)]})
+
+    blocks = packed(vectors, block).persist()
+    found = met(blocks, blocks, links, "a long, b long, links long", once=True).persist()
+    counts = found.filter("links > 0").groupBy(F.col("a").alias("vec_id")).agg(F.sum("links").alias("links"))
+    roots = components(found.filter("links = 0").select("a", "b"))
+    out = vectors.select("vec_id").join(counts, "vec_id", "left").join(roots, F.col("vec_id") == F.col("node"), "left")
+    return out.select("vec_id", F.coalesce("root", "vec_id").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
+
+
 def unit(values) -> np.ndarray:
     m = np.array([np.asarray(v, float) for v in values])
     n = np.linalg.norm(m, axis=1, keepdims=True)

@@ -262,6 +262,15 @@ def semantic_duplicates(c):
     return search.earlier_duplicates(c.frame("embeddings"), 0.5)
 
 
+@query("""WITH RECURSIVE e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.5),
+r AS (SELECT vec_id, vec_id AS other FROM embeddings UNION SELECT r.vec_id, e.b FROM r JOIN e ON r.other = e.a),
+n AS (SELECT a AS vec_id, count(*) AS links FROM e GROUP BY ALL)
+SELECT vec_id, min(other) AS class_id, coalesce(any_value(links), 0) AS links FROM r LEFT JOIN n USING (vec_id) GROUP BY vec_id""")
+def semantic_classes(c):
+    """Every row is judged, not only the query set of semantic_duplicates."""
+    return search.similar_classes(c.frame("embeddings"), 0.5)
+
+
 @query(f"""WITH v AS (SELECT vec_id AS doc_id, 1 / (1 + {DISTANCE}) AS s FROM embeddings), t AS (SELECT doc_id, n_chars / 1000.0 AS s FROM documents WHERE lang = 'en'),
 m AS (SELECT coalesce(v.doc_id, t.doc_id) AS doc_id, 0.6 * coalesce(v.s / (SELECT max(s) FROM v), 0) + 0.4 * coalesce(t.s / (SELECT max(s) FROM t), 0) AS score FROM v FULL JOIN t ON v.doc_id = t.doc_id)
 SELECT doc_id, round(score, 5) AS score FROM m WHERE score >= 0.1""")

@@ -202,3 +202,13 @@ def test_database(spark, tmp_path):
     assert [tuple(r) for r in got] == [(7, 17), (8, 16), (9, 17)]
     assert base.table(spark, "nothing", "id").count() == 0
     assert base.query(spark, "SELECT COUNT(*) AS n FROM products").first()[0] == 100
+
+
+def test_every_vector_judged(spark):
+    from millrace.operators import search
+
+    given = [(1, [1.0, 0.0]), (3, [0.0, 1.0]), (7, [1.0, 0.1]), (9, [0.9, 0.3]), (11, [0.7, 0.7]), (20, [0.0, 0.0]), (21, None), (22, [1.0]), (40, [0.0, 2.0])]
+    vectors = spark.createDataFrame(given, "vec_id long, embedding array<float>")
+    expected = {1: (1, 2), 7: (1, 2), 9: (1, 2), 3: (3, 1), 40: (3, 1), 11: (11, 0), 20: (20, 0), 21: (21, 0), 22: (22, 0)}
+    for block in (1024, 2):
+        assert {r["vec_id"]: (r["class_id"], r["links"]) for r in search.similar_classes(vectors, 0.94, block).collect()} == expected
