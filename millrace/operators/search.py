@@ -160,6 +160,33 @@ def similar_classes(vectors: DataFrame, least: float = 0.85, block: int = 1024)
     return out.select("vec_id", F.coalesce("root", "vec_id").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
 
 
+def nearest_many(vectors: DataFrame, queries: DataFrame, k: int, block: int = 1024) -> DataFrame:
+    """query_id, vec_id, rank, distance and score of the k nearest of each query (vec_id, embedding), by squared distance, then vec_id.
+
+    Blocks of queries meet blocks of rows; a task keeps k a query, and the partial tops are merged by query.
+    """
+    import pandas as pd
+    from pyspark.sql import Window
+
+    def tops(asked, values, ids, rows, same):
+        about = (values**2).sum(1)[:, None] + (rows**2).sum(1)[None, :] - 2 * values @ rows.T
+        slack = 1e-9 * (1 + (values**2).sum(1) + (rows**2).sum(1).max())
+        limit = np.partition(about, min(k, len(ids)) - 1, axis=1)[:, min(k, len(ids)) - 1] + slack
+        q, v, d = [], [], []
+        for i, id_ in enumerate(asked.tolist()):
+            at = np.flatnonzero(about[i] <= limit[i])
+            exact = ((rows[at] - values[i]) ** 2).sum(1)  # the product only chooses: equal vectors must tie
+            best = np.lexsort((ids[at], exact))[:k]
+            q += [id_] * len(best)
+            v += ids[at][best].tolist()
+            d += exact[best].tolist()
+        return pd.DataFrame({"query_id": q, "vec_id": v, "distance": d})
+
+    found = met(packed(queries, block), packed(vectors, block), tops, "query_id long, vec_id long, distance double")
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "vec_id"))).filter(F.col("rank") <= k)
+    return ranked.select("query_id", "vec_id", "rank", F.round("distance", 4).alias("distance"), F.round(V.score_of(F.col("distance")), 6).alias("score"))
+
+
 def unit(values) -> np.ndarray:
     m = np.array([np.asarray(v, float) for v in values])
     n = np.linalg.norm(m, axis=1, keepdims=True)

@@ -271,6 +271,14 @@ def semantic_classes(c):
     return search.similar_classes(c.frame("embeddings"), 0.5)
 
 
+@query("""WITH d AS (SELECT q.vec_id AS query_id, v.vec_id, list_sum(list_transform(list_zip(v.embedding, q.embedding), lambda x: (x[1]::DOUBLE - x[2]::DOUBLE) * (x[1]::DOUBLE - x[2]::DOUBLE))) AS d FROM embeddings q JOIN embeddings v ON q.vec_id % 20 = 0 AND len(q.embedding) = len(v.embedding)),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS INTEGER) AS rank FROM d) SELECT query_id, vec_id, rank, round(d, 4) AS distance, round(1 / (1 + d), 6) AS score FROM r WHERE rank <= 10""")
+def knn_l2_all(c):
+    """All queries (ids divisible by 20) against all rows."""
+    vectors = c.frame("embeddings")
+    return search.nearest_many(vectors, vectors.filter("vec_id % 20 = 0"), 10)
+
+
 @query(f"""WITH v AS (SELECT vec_id AS doc_id, 1 / (1 + {DISTANCE}) AS s FROM embeddings), t AS (SELECT doc_id, n_chars / 1000.0 AS s FROM documents WHERE lang = 'en'),
 m AS (SELECT coalesce(v.doc_id, t.doc_id) AS doc_id, 0.6 * coalesce(v.s / (SELECT max(s) FROM v), 0) + 0.4 * coalesce(t.s / (SELECT max(s) FROM t), 0) AS score FROM v FULL JOIN t ON v.doc_id = t.doc_id)
 SELECT doc_id, round(score, 5) AS score FROM m WHERE score >= 0.1""")

@@ -212,3 +212,12 @@ def test_every_vector_judged(spark):
     expected = {1: (1, 2), 7: (1, 2), 9: (1, 2), 3: (3, 1), 40: (3, 1), 11: (11, 0), 20: (20, 0), 21: (21, 0), 22: (22, 0)}
     for block in (1024, 2):
         assert {r["vec_id"]: (r["class_id"], r["links"]) for r in search.similar_classes(vectors, 0.94, block).collect()} == expected
+
+
+def test_many_queries(spark):
+    from millrace.operators import search
+
+    vectors = spark.createDataFrame([(i, [float(i % 10), float(i // 10)]) for i in range(60)] + [(100, [0.0, 0.0]), (101, None)], "vec_id long, embedding array<float>")
+    for block in (1024, 7):
+        got = search.nearest_many(vectors, vectors.filter("vec_id % 20 = 0"), 3, block).collect()
+        assert {q: [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] for q in (0, 20, 40, 100)} == {0: [0, 100, 1], 20: [20, 10, 21], 40: [40, 30, 41], 100: [0, 100, 1]}
