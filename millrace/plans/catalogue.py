@@ -228,6 +228,13 @@ def idf(c):
     return df.join(F.broadcast(n)).select("term", F.round(search.idf(F.col("n"), F.col("df")), 6).alias("idf"))
 
 
+@query(f"WITH {TF}, d AS (SELECT term, count(*) AS df FROM tf GROUP BY ALL) SELECT term, round(ln(((SELECT count(*) FROM documents) - df + 0.5) / (df + 0.5) + 1.0), 6) AS idf FROM d")
+def idf_all(c):
+    """Every term, rare ones too."""
+    n = c.frame("documents").agg(F.count("*").alias("n"))
+    return search.document_frequency(c.frame("documents"), "text").join(F.broadcast(n)).select("term", F.round(search.idf(F.col("n"), F.col("df")), 6).alias("idf"))
+
+
 @query(f"SELECT doc_id, array_to_string({NAMES}, ',') AS names FROM documents WHERE length({NAMES}) > 0")
 def identifiers(c):
     names = T.identifiers(F.col("text"))

@@ -123,6 +123,13 @@ def context_budget(c):
     return documents.within_budget(docs, [F.desc("n_chars"), F.col("doc_id")], F.col("n_chars"), 8000).select("doc_id", "rank", "upto")
 
 
+@query("""WITH r AS (SELECT doc_id, n_chars, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rank FROM documents),
+u AS (SELECT *, sum(n_chars) OVER (ORDER BY rank) AS upto FROM r WHERE rank <= 15) SELECT doc_id, CAST(rank AS INTEGER) AS rank, CAST(upto AS BIGINT) AS upto FROM u WHERE upto <= 1000000""")
+def context_budget_all(c):
+    """All documents are ranked, long ones too; the budget has room for several of them."""
+    return documents.within_budget(c.frame("documents"), [F.desc("n_chars"), F.col("doc_id")], F.col("n_chars"), 1_000_000).select("doc_id", "rank", "upto")
+
+
 def answers(c):
     """Benchmark items as answers: the first sentence cites the next item, the rest nothing."""
     b = c.frame("benchmark")

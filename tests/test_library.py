@@ -221,3 +221,13 @@ def test_many_queries(spark):
     for block in (1024, 7):
         got = search.nearest_many(vectors, vectors.filter("vec_id % 20 = 0"), 3, block).collect()
         assert {q: [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] for q in (0, 20, 40, 100)} == {0: [0, 100, 1], 20: [20, 10, 21], 40: [40, 30, 41], 100: [0, 100, 1]}
+
+
+def test_no_rows_left_out(spark, sf):
+    from millrace.plans import catalogue
+
+    n = catalogue.QUERIES["doc_frequency"](spark, sf).count()
+    assert catalogue.QUERIES["idf_all"](spark, sf).count() == n > catalogue.QUERIES["idf"](spark, sf).count()
+    longest = spark.read.parquet(f"{sf}/documents.parquet").orderBy("n_chars", ascending=False).first()
+    first = [r for r in catalogue.QUERIES["context_budget_all"](spark, sf).collect() if r["rank"] == 1]
+    assert [(r["doc_id"], r["upto"]) for r in first] == [(longest["doc_id"], longest["n_chars"])] and longest["n_chars"] >= 3000
