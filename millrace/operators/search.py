@@ -114,15 +114,25 @@ def met(a: DataFrame, b: DataFrame, fn, schema: str, once: bool = False) -> Data
     return pairs.repartition("part_a", "part_b").mapInPandas(run, schema)
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df written to spark.checkpoint.dir, which executors share; a temporary folder only where that is unset."""
+    import tempfile
+
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="millrace-"))
+    return df.checkpoint()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """From edges (a, b): node and root (the smallest node of its component) of every node; each round halves the way to it at least."""
     both = edges.union(edges.select("b", "a")).persist()
-    state = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("root")).localCheckpoint()
+    state = checkpointed(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("root")))
     while True:
         near = both.join(state.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("low"))
         lower = state.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "low").alias("root"))
         jump = lower.select(F.col("node").alias("root"), F.col("root").alias("low"))
-        following = lower.join(jump, "root", "left").select("node", "old", F.coalesce("low", "root").alias("root")).localCheckpoint()
+        following = checkpointed(lower.join(jump, "root", "left").select("node", "old", F.coalesce("low", "root").alias("root")))
         if not following.filter("old <> root").limit(1).count():
             return following.select("node", "root")
         state = following.select("node", "root")
@@ -143,12 +153,21 @@ def similar_classes(vectors: DataFrame, least: float = 0.85, block: int = 1024)
         n = np.concatenate((hit.sum(1), [] if same else hit.sum(0))).astype(int)
         every = ids if same else np.concatenate((ids, others))
         label, a, b = np.arange(len(every)), [], []
-        for i in np.flatnonzero(hit.any(1)):
-            together = np.unique(label[np.concatenate(([i], np.flatnonzero(hit[i]) + (0 if same else len(ids))))])
-            if len(together) > 1:
-                label[np.isin(label, together)] = together[0]
-                a += every[together[1:]].tolist()
-                b += [int(every[together[0]])] * (len(together) - 1)
+
+        def join(hit, rows, columns):
+            for i in np.flatnonzero(hit.any(1)):
+                together = np.unique(label[np.concatenate(([i + rows], np.flatnonzero(hit[i]) + columns))])
+                if len(together) > 1:
+                    label[np.isin(label, together)] = together[0]
+                    yield together
+
+        if not same:  # links inside each block leave with that block alone
+            for m, at in ((unit(values), 0), (unit(more), len(ids))):
+                for _ in join(m @ m.T >= least - 1e-12, at, at):
+                    pass
+        for together in join(hit, 0, 0 if same else len(ids)):
+            a += every[together[1:]].tolist()
+            b += [int(every[together[0]])] * (len(together) - 1)
         some = n > 0
         return pd.DataFrame({"a": [*every[some].tolist(), *a], "b": [*every[some].tolist(), *b], "links": [*n[some].tolist(), *[0] * len(a)]})
 
