@@ -2,32 +2,65 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of a side that may be broadcast; above it the join shuffles (AQE splits skewed keys).
-BROADCAST_ROWS = 1_000_000
+#: Rows and bytes (as JSON) of a side that may be broadcast; above either the join shuffles (AQE splits skewed keys).
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64 << 20
 #: Rows a Python worker gets at a time: 512 very long texts still fit beside each other.
 BATCH_ROWS = 512
 
 
+_scopes: list[list[str]] = []
+_folders: set[str] = set()
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one where it is unset."""
+    """The folder that driver and executors share (spark.checkpoint.dir). Where it is unset, a temporary one in local mode; a cluster must set it."""
     key = "spark.checkpoint.dir"
     path = spark.conf.get(key, None) or spark.sparkContext.getConf().get(key)
     if not path:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError(f"set {key} to a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="millrace-")
         spark.conf.set(key, path)
     return path.rstrip("/")
 
 
 def fresh_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    """A new path in this application's part of the shared folder, which goes when the driver's Python ends."""
+    folder = f"{shared_dir(spark)}/millrace-{spark.sparkContext.applicationId}"
+    if folder not in _folders:
+        _folders.add(folder)
+        atexit.register(_remove_at_exit, spark, folder)
+    path = f"{folder}/{tag}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
+
+
+def _remove_at_exit(spark: SparkSession, folder: str) -> None:
+    with contextlib.suppress(Py4JError, OSError):  # the JVM may be gone already
+        delete(spark, folder)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Intermediate tables that begin inside are removed at the end: what they lead to must be written by then."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        delete(spark, *_scopes.pop())
 
 
 def materialise(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
@@ -47,15 +80,31 @@ def delete(spark: SparkSession, *paths: str) -> None:
 
 
 def join_small(left: DataFrame, right: DataFrame, on, how: str = "left", rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Join; right is broadcast only if it is counted to have at most `rows` rows, else both sides shuffle.
+    """Join; right is broadcast only if it is counted to have at most `rows` rows and BROADCAST_BYTES, else both sides shuffle.
 
     right should be a written table: it is counted before it is joined.
     """
-    return left.join(F.broadcast(right) if right.limit(rows + 1).count() <= rows else right, on, how)
+    size = F.octet_length(F.to_json(F.struct(*(F.col(f"`{c}`") for c in right.columns))))
+    n, total = right.limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    return left.join(F.broadcast(right) if n <= rows and total <= BROADCAST_BYTES else right, on, how)
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    """Lowers the session's batch size, never raises it: Spark reads it when a plan runs, so it can't be set for one plan."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, str(rows))
+
+
+def wrapped(docs: DataFrame) -> DataFrame:
+    """own (all columns of docs as one struct) and row, a number of the row: no name of docs can clash with a helper's."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("own"), F.monotonically_increasing_id().alias("row"))
+
+
+def wrapped_texts(table: DataFrame) -> DataFrame:
+    """doc_id, the whole text (null: empty) and row of a wrapped table."""
+    return table.select(F.col("own.doc_id").cast("long").alias("doc_id"), F.coalesce("own.text", F.lit("")).alias("text"), "row")
 
 
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], schema: str) -> DataFrame:
