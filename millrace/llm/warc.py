@@ -23,6 +23,8 @@ DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 #: Ranges nearer than GAP are read together, up to MOST bytes at a time.
 GAP, MOST = 1 << 16, 1 << 23
+#: Bytes of archives that a reading task is given, on average.
+TASK_BYTES = 32 << 20
 INDEX = "file string, offset long, length long, page_id long, url string, digest string"
 
 
@@ -73,7 +75,8 @@ def write(pages: DataFrame, folder: str | None = None) -> DataFrame:
 
     Of equal payloads the one with the smallest page_id is the response and the others revisit it. A null html is an
     empty payload; a null page_id revisits, or is a response if no equal payload has an id; repeated rows with the
-    smallest page_id are all responses; a null url is an empty target; other columns are ignored.
+    smallest page_id are all responses (ties need no other rule); a null url is an empty target; a very long page is one
+    record, held whole by one task; an empty table gives an empty index; other columns are ignored.
     """
     from pyarrow import fs
 
@@ -119,7 +122,10 @@ def ranges(rows: list[tuple[str, int, int]]):
 
 
 def read(index: DataFrame, payloads: bool = True) -> DataFrame:
-    """The records that the index rows name: page_id, payload_bytes, payload_digest, record_type, refers_to (and payload, null for revisits)."""
+    """The records that the index rows name: page_id, payload_bytes, payload_digest, record_type, refers_to (and payload, null for revisits).
+
+    The rows are range-sorted by place over as many tasks as the archives' bytes need, so a small index of much data is read by many.
+    """
     from pyarrow import fs
 
     names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"] + ["payload"] * payloads
@@ -141,5 +147,8 @@ def read(index: DataFrame, payloads: bool = True) -> DataFrame:
                         out[name].append(found[name])
             yield out
 
-    sorted_index = index.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    # by the archives' bytes, not the index's, which are a small part of them; a number given is one that isn't merged later
+    total = index.agg(F.sum("length")).first()[0] or 0
+    tasks = max(-(-total // TASK_BYTES), index.sparkSession.sparkContext.defaultParallelism)
+    sorted_index = index.select("file", "offset", "length").repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset")
     return map_batches(sorted_index, run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * payloads)
