@@ -179,19 +179,29 @@ def plain_quality(text):
 def test_quality(spark):
     for limit in (20, 2):
         got = Counter(map(tuple, quality.rules(frame(spark), limit=limit).collect()))
-        docs, seen = Counter(), []
+        docs, seen = defaultdict(set), []
         for r in rows():
             lines = Counter()
             for line in (r[1] or "").split("\n"):
                 if own := WORD.findall(line):
                     lines[quality.normalised(line.encode())] += len(own)
             seen.append(lines)
-            docs.update((r[3] or "", k) for k in lines)
+            for k in lines if r[0] is not None else ():
+                docs[(r[3] or "", k)].add(r[0])
         expected = Counter()
         for r, lines in zip(rows(), seen):
             n, *rest = plain_quality(r[1])
-            lost = sum(v for k, v in lines.items() if docs[(r[3] or "", k)] > limit)
+            lost = sum(v for k, v in lines.items() if len(docs[(r[3] or "", k)]) > limit)
             failed = n < 50 or 100 * rest[-1] > 50 * n
             expected[(r[0], n, *rest, lost, failed, not failed and n - lost >= 0.5 * n)] += 1
         assert got == expected
     assert quality.rules(empty(spark)).count() == 0
+
+
+def test_quality_counts_documents(spark):
+    line = "the same line of seven words here"
+    text = line + "\n" + " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, text, "h")] * 25 + [(None, text, "h")] * 25, "doc_id long, text string, source string")
+    assert {r["n_line_words"] for r in quality.rules(docs).collect()} == {0}
+    docs = docs.unionByName(spark.createDataFrame([(i, text, "h") for i in range(2, 22)], docs.schema))
+    assert {r["n_line_words"] for r in quality.rules(docs).collect()} == {67}
