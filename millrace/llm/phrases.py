@@ -1,23 +1,28 @@
 """Removal of repeated passages by sharded Aho-Corasick automata.
 
-Segments of words that may repeat come from repeats.py, sharded by anchor. In a shard the windows of two or more
-documents are confirmed, each with its least doc_id. Passages, the longest runs of such windows in a segment, become
-patterns of word numbers in an automaton, through which all the shard's segments, and so all windows that can repeat, of
-all documents, are streamed.
+Recurring passages are confirmed first: segments of words that may repeat come from repeats.py, those of an anchor meet in
+a shard, and the windows that two or more documents hold are told there by numpy, each with its least doc_id. This only
+chooses the patterns. A passage (a run of windows with one least doc_id) goes to every stretch of the texts that may hold it,
+is compiled there with the stretch's other passages into an Aho-Corasick automaton over word numbers, and all documents of
+the stretch are streamed through it. What goes from a document is what the automaton finds. A stretch ends where its
+patterns reach PATTERNS, so an automaton is bounded however long the texts are.
 """
 
 from __future__ import annotations
 
 import hashlib
+from itertools import repeat
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .repeats import Words, covered, with_spans
+from .common import delete, map_batches, materialise
+from .repeats import SPLIT, Words, chunk_file, meetings, merged, per_chunk, resolved, shared_keys, text_table, written_by_chunk
 
 WIDTH = 13
-#: Patterns in an automaton; a shard with more confirms and streams in turns.
-PATTERNS = 50_000
+#: Different segments that a stretch of texts has at most (one document's may exceed it): the patterns of an automaton.
+PATTERNS = 100_000
 
 
 def confirmed(numbers: np.ndarray, starts: np.ndarray, lo: np.ndarray, hi: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -46,35 +51,104 @@ def confirmed(numbers: np.ndarray, starts: np.ndarray, lo: np.ndarray, hi: np.nd
 
 
 def least_docs(segments: list[bytes], lo: np.ndarray, hi: np.ndarray, width: int = WIDTH) -> list[np.ndarray]:
-    """For each segment and window, the least lo of all segments that hold the window (its own lo for lone windows)."""
-    import ahocorasick
-
+    """For each segment and window, the least lo of all segments that hold the window."""
     known: dict[bytes, int] = {}
-    texts = [tuple([known.setdefault(w, len(known)) for w in s.split(b" ")]) for s in segments]
-    sizes = np.array([len(t) for t in texts])
-    numbers = np.fromiter((n for t in texts for n in t), np.int64, int(sizes.sum()))
+    numbers = [[known.setdefault(w, len(known)) for w in s.split(b" ")] for s in segments]
+    sizes = np.array([len(t) for t in numbers])
+    flat = np.fromiter((n for t in numbers for n in t), np.int64, int(sizes.sum()))
     windows = sizes - width + 1
     first = np.cumsum(windows) - windows
-    owner = np.repeat(np.arange(len(texts)), windows)
+    owner = np.repeat(np.arange(len(sizes)), windows)
     inside = np.arange(len(owner)) - first[owner]
-    least, twice = confirmed(numbers, (np.cumsum(sizes) - sizes)[owner] + inside, lo[owner], hi[owner], width)
-    passages: dict[tuple, np.ndarray] = {}
-    edge = np.flatnonzero(np.concatenate(([True], (twice[1:] != twice[:-1]) | (owner[1:] != owner[:-1]))))
-    for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(twice)]):
-        if twice[a]:
-            passages.setdefault(texts[owner[a]][inside[a] : inside[b - 1] + width], least[a:b])
-    out = [np.full(n, a, np.int64) for n, a in zip(windows.tolist(), lo.tolist())]
-    patterns = list(passages.items())
-    for i in range(0, len(patterns), PATTERNS):
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        for words, docs in patterns[i : i + PATTERNS]:
-            automaton.add_word(words, docs)
-        automaton.make_automaton()
-        for t, m in zip(texts, out):
-            for end, docs in automaton.iter(t):
-                to = end - width + 2
-                m[to - len(docs) : to] = docs
-    return out
+    least, _ = confirmed(flat, (np.cumsum(sizes) - sizes)[owner] + inside, lo[owner], hi[owner], width)
+    return np.split(least, first[1:])
+
+
+def known_keys(shared: str, chunk: int) -> np.ndarray:
+    found = chunk_file(shared, chunk, ["keys"])
+    if found is None or not found.num_rows:
+        return np.zeros(0, np.int64)
+    return np.unique(np.concatenate([np.frombuffer(x, "<i8") for x in found.column(0).to_pylist()]))
+
+
+def stretches(table: DataFrame, kind: Words, shared: str) -> DataFrame:
+    """anchor, seg, lo, hi, chunk, first: the different segments with shared keys of each stretch, which begins with row `first`."""
+    most = PATTERNS
+
+    def run(batches):
+        last, known, first, held = None, None, None, {}
+
+        def out():
+            segs, at = list(held), list(held.values())
+            return {"anchor": [x[0] for x in at], "seg": segs, "lo": [x[1] for x in at], "hi": [x[2] for x in at], "chunk": [last] * len(at), "first": [first] * len(at)}
+
+        for chunk, b in per_chunk(batches):
+            if chunk != last:
+                if held:
+                    yield out()
+                last, known, first, held = chunk, known_keys(shared, chunk), None, {}
+            for doc_id, raw, copy, row in zip(*(b.column(c).to_pylist() for c in ("doc_id", "raw", "copy", "row"))):
+                if len(held) >= most:
+                    yield out()
+                    first, held = None, {}
+                first = row if first is None else first
+                if copy or doc_id is None or not len(known):
+                    continue
+                words = kind.units(raw)
+                if not (own := kind.anchors(words)):
+                    continue
+                for anchor, p, m in zip(*(x.tolist() for x in kind.kept(own, known))):
+                    for q in range(0, m, SPLIT):
+                        seg = kind.cut(words, p + q, min(SPLIT, m - q))
+                        if (e := held.get(seg)) is None:
+                            held[seg] = [anchor, doc_id, doc_id]
+                        elif doc_id < e[1]:
+                            e[1] = doc_id
+                        elif doc_id > e[2]:
+                            e[2] = doc_id
+        if held:
+            yield out()
+
+    return map_batches(table.select("chunk", "doc_id", "raw", "copy", "row"), run, "anchor long, seg binary, lo long, hi long, chunk int, first long")
+
+
+def passages(docs: DataFrame, kind: Words) -> tuple[DataFrame, str]:
+    """The text table, and the folder with each chunk's patterns: first (row of the stretch), seg and runs (from, to, least doc_id) of its windows."""
+    spark = docs.sparkSession
+    width = kind.width
+    table = text_table(docs)
+    shared = shared_keys(table, kind)
+    found, path = materialise(stretches(table, kind, shared), "segments")
+    where, folded, paths = meetings(found, kind, "lo", "hi")
+    met, met_path = materialise(resolved(folded, kind, lambda segments, lo, hi: least_docs(segments, lo, hi, width)), "resolved")
+    # a passage whose least document is the stretch's last takes nothing there
+    wanted = where.join(met, ["sa", "sb"]).select("chunk", "first", "seg", F.filter("found", lambda r: r["m"] < F.col("hi")).alias("runs")).filter(F.size("runs") > 0)
+    out = written_by_chunk(wanted, "patterns")
+    delete(spark, shared, path, met_path, *paths)
+    return table, out
+
+
+def automaton_of(patterns, width: int):
+    """The automaton over word numbers of patterns (segment, runs), and the numbers of their words; a match gives (least doc_id, words)."""
+    import ahocorasick
+
+    numbers: dict[bytes, int] = {}
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+    for seg, runs in patterns:
+        words = tuple([numbers.setdefault(w, len(numbers) + 1) for w in seg.split(b" ")])
+        for r in runs:
+            a, b = r["a"], r["b"] + width - 1
+            automaton.add_word(words[a:b], (r["m"], b - a))
+    automaton.make_automaton()
+    return automaton, numbers
+
+
+def located(words: list[bytes], doc_id: int, automaton, numbers: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of words that the matches of passages of documents before doc_id cover."""
+    spans = [(end + 1 - n, end + 1) for end, (m, n) in automaton.iter(tuple(map(numbers.get, words, repeat(0)))) if m < doc_id]
+    if not spans:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return merged(*np.array(spans, np.int64).T)
 
 
 def remove_passages(docs: DataFrame, width: int = WIDTH, texts: bool = False) -> DataFrame:
@@ -82,17 +156,43 @@ def remove_passages(docs: DataFrame, width: int = WIDTH, texts: bool = False) ->
 
     A word goes if a window of `width` words over it also starts in a document with a smaller doc_id. A null or empty
     text has no words; a document with a null doc_id neither loses words nor takes any; rows of one doc_id never take
-    from each other; an empty table gives no rows; other columns are ignored.
+    from each other; a very long text is one stretch's, searched and streamed whole; an empty table gives no rows; other
+    columns are ignored.
     """
     kind = Words(width)
-
-    def finish(words, starts, ends):
-        kept = words
-        if len(starts):
-            at = [0, *np.stack((starts, ends), 1).ravel().tolist(), len(words)]
-            kept = [w for a, b in zip(at[::2], at[1::2]) for w in words[a:b]]
-        kept = b" ".join(kept)
-        return (len(words), int((ends - starts).sum()), hashlib.sha256(kept).hexdigest(), *([kept] * texts))
-
-    table, folder = covered(docs, kind, lambda segments, lo, hi: least_docs(segments, lo, hi, width))
-    return with_spans(table, folder, kind, finish, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept binary" * texts)
+    names = ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept"] * texts
+    table, folder = passages(docs, kind)
+
+    def run(batches):
+        last, starts, patterns, at, machine = None, None, None, None, None
+        none = np.zeros(0, np.int64)
+        for chunk, b in per_chunk(batches):
+            if chunk != last:
+                found = chunk_file(folder, chunk, ["first", "seg", "runs"])
+                patterns = found.sort_by("first") if found is not None else None
+                starts = patterns.column("first").to_numpy() if found is not None else none
+                last, at, machine = chunk, None, None
+            out = {n: [] for n in names}
+            for doc_id, raw, copy, row in zip(*(b.column(c).to_pylist() for c in ("doc_id", "raw", "copy", "row"))):
+                words = kind.units(raw)
+                now = int(np.searchsorted(starts, row, "right"))
+                if now != at:  # the patterns of the stretch that this row belongs to
+                    at = now
+                    i = int(np.searchsorted(starts, starts[now - 1])) if now else 0
+                    own = patterns.slice(i, now - i) if now else None
+                    machine = automaton_of(zip(own.column("seg").to_pylist(), own.column("runs").to_pylist()), width) if now else None
+                s = e = none
+                if copy and len(words) >= width:
+                    s, e = np.array([0]), np.array([len(words)])
+                elif doc_id is not None and machine and not copy:
+                    s, e = located(words, doc_id, *machine)
+                kept = words
+                if len(s):
+                    cuts = [0, *np.stack((s, e), 1).ravel().tolist(), len(words)]
+                    kept = [w for i, j in zip(cuts[::2], cuts[1::2]) for w in words[i:j]]
+                kept = b" ".join(kept)
+                for name, v in zip(names, (doc_id, len(words), int((e - s).sum()), hashlib.sha256(kept).hexdigest(), kept)):
+                    out[name].append(v)
+            yield out
+
+    return map_batches(table, run, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept binary" * texts)

@@ -7,12 +7,14 @@ share one. Steps, each over all documents:
 
 1. The texts go to a written table with the input partition as `chunk`; exact copies of a text with a smaller doc_id are
    marked and left out: everything they hold also starts in that document.
-2. Each chunk's distinct keys are dealt by hash to buckets, which keep those of two or more documents.
+2. Each chunk's distinct keys are dealt by hash to buckets, which keep those of two or more documents; there are as many
+   buckets as the texts' bytes need, so that one holds about BUCKET_KEYS keys.
 3. Segments (neighbouring windows with such a key) are cut out; equal segments are folded to their least and
    greatest doc_id; segments of an anchor meet, and a resolver finds each window's least doc_id among them.
    An anchor with more than HOT different segments is dealt out by its keys, a key with more window by window.
-4. Occurrences look up their segment: windows whose least doc_id is smaller than the document's are covered. Each chunk's
-   covered spans are written beside it and read by the last pass over its texts, so texts are never shuffled.
+4. What was found goes back to the chunks, is written beside each and read by the last pass over its texts, so texts are
+   never shuffled: for byte strings the covered spans (occurrences look up their segment), for phrases the patterns of
+   the chunk's automata.
 
 Keys are compared by 48 bits; a false agreement only brings segments that the resolver then tells apart.
 """
@@ -32,6 +34,8 @@ from .common import delete, fresh_path, join_small, map_batches, materialise
 MULTIPLY, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 #: Windows in a segment at most; keys a worker gathers before it hands them on; different segments of an anchor that meet in one task (some 1.3 MB, well inside a shard).
 SPLIT, GATHER, HOT = 64, 1 << 21, 20_000
+#: Keys in a bucket, as estimated from the texts' bytes.
+BUCKET_KEYS = 2_000_000
 #: Bytes of segments that a resolver gets at once (an anchor's segments are never divided).
 SHARD = 4 << 20
 
@@ -82,6 +86,10 @@ class Windows:
         self.width, self.gram = width, gram
         self.side = (width - gram) // 2
 
+    def expected_keys(self, n_bytes: int) -> float:
+        """Keys of texts of so many bytes: of w + 1 neighbouring grams two are anchors, each has a left and a right key."""
+        return 4 * n_bytes / self.unit_bytes / (self.width - self.gram + 2)
+
     def anchors(self, units):
         """Anchor, first window, windows, place, and left and right key (NONE where the text ends before) of each run."""
         n = len(units)
@@ -113,6 +121,8 @@ class Windows:
 class Bytes(Windows):
     """Windows of bytes."""
 
+    unit_bytes = 1
+
     def __init__(self, width: int, gram: int = 16):
         super().__init__(width, gram)
 
@@ -135,9 +145,6 @@ class Bytes(Windows):
     def cut(self, raw: bytes, start: int, windows: int) -> bytes:
         return raw[start : start + windows + self.width - 1]
 
-    def windows(self, segment: bytes) -> int:
-        return len(segment) - self.width + 1
-
 
 
 class WordHashes(dict):
@@ -149,6 +156,8 @@ class WordHashes(dict):
 class Words(Windows):
     """Windows of words, which ASCII white space separates (as bytes.split() does)."""
 
+    unit_bytes = 4
+
     def __init__(self, width: int, gram: int = 5):
         super().__init__(width, gram)
         self.known = WordHashes()
@@ -173,9 +182,6 @@ class Words(Windows):
     def cut(self, words: list[bytes], start: int, windows: int) -> bytes:
         return b" ".join(words[start : start + windows + self.width - 1])
 
-    def windows(self, segment: bytes) -> int:
-        return segment.count(b" ") + 2 - self.width
-
 
 
 def chunk_file(base: str, chunk: int, names: list[str]):
@@ -206,18 +212,23 @@ def written_by_chunk(df: DataFrame, tag: str) -> str:
 
 
 def text_table(docs: DataFrame) -> DataFrame:
-    """chunk, row, doc_id, raw (UTF-8), copy (an equal text has a smaller doc_id)."""
+    """chunk, row, doc_id, raw (UTF-8), copy (an equal text has a smaller doc_id), size (bytes)."""
     raw = F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8")
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), raw.alias("raw")).withColumns({"ha": F.xxhash64("raw"), "hb": F.xxhash64(F.lit(1), "raw")})
     equal, _ = materialise(given.groupBy("ha", "hb").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"), "equal")
-    marked = join_small(given, equal, ["ha", "hb"]).select(F.spark_partition_id().alias("chunk"), F.monotonically_increasing_id().alias("row"), "doc_id", "raw", F.coalesce(F.col("first") < F.col("doc_id"), F.lit(False)).alias("copy"))
+    marked = join_small(given, equal, ["ha", "hb"]).select(F.spark_partition_id().alias("chunk"), F.monotonically_increasing_id().alias("row"), "doc_id", "raw", F.coalesce(F.col("first") < F.col("doc_id"), F.lit(False)).alias("copy"), F.length("raw").cast("long").alias("size"))
     return materialise(marked, "texts")[0]
 
 
+def buckets(table: DataFrame, kind: Windows) -> int:
+    """By the bytes of the texts that are searched, whatever the session's number of shuffle partitions; that number at least."""
+    total = table.filter(~F.col("copy")).agg(F.sum("size")).first()[0] or 0
+    return max(int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(kind.expected_keys(total) // BUCKET_KEYS) + 1)
+
+
 def shared_keys(table: DataFrame, kind: Windows) -> str:
     """Folder with, for each chunk, those of its keys that two or more documents have."""
-    spark = table.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = buckets(table, kind)
 
     def gather(batches):
         held, size, last = [], 0, None
@@ -346,79 +357,86 @@ SEGMENT = ("anchor", "seg", "doc_id", "chunk", "row", "start")
 SEGMENT_TYPE = "anchor long, seg binary, doc_id long, chunk int, row long, start int"
 
 
-def halves(kind: Windows) -> Callable:
-    """Segments of a hot anchor by its keys: windows that hold the left one, then the others, which hold the right one."""
+def with_ids(found: DataFrame) -> DataFrame:
+    """sa and sb: a segment's text by two hashes."""
+    return found.withColumns({"sa": F.xxhash64("seg"), "sb": F.xxhash64(F.lit(1), "seg")})
 
-    def run(batches):
-        for b in batches:
-            out = {n: [] for n in SEGMENT}
-            for _, seg, doc_id, chunk, row, start in zip(*(b.column(c).to_pylist() for c in SEGMENT)):
-                units = kind.units(seg)
-                for _, at, n, place, left, right in zip(*(x.tolist() for x in kind.anchors(units))):
-                    middle = min(max(at, place - kind.side + 1), at + n)
-                    for key, p, q in ((left, at, middle), (right, middle, at + n)):
-                        if p < q:
-                            for name, v in zip(out, (key, kind.cut(units, p, q - p), doc_id, chunk, row, start + p)):
-                                out[name].append(v)
-            yield out
 
-    return run
+def halves(kind: Windows, units):
+    """(key, from, to) of a hot anchor's segment by its keys: windows that hold the left one, then the others, which hold the right one."""
+    for _, at, n, place, left, right in zip(*(x.tolist() for x in kind.anchors(units))):
+        middle = min(max(at, place - kind.side + 1), at + n)
+        for key, p, q in ((left, at, middle), (right, middle, at + n)):
+            if p < q:
+                yield key, p, q
 
 
-def single(kind: Windows) -> Callable:
-    """Windows of a hot key alone, each its own anchor."""
+def single(kind: Windows, units):
+    """The windows of a hot key's segment, each its own anchor."""
+    for i in range(len(units) - kind.width + 1):
+        yield xxhash.xxh64_intdigest(kind.cut(units, i, 1)) - (1 << 63), i, i + 1
+
+
+def finer(found: DataFrame, kind: Windows, parts: Callable) -> DataFrame:
+    """Segments cut into the parts that `parts` names, by new anchors; a column start moves along, others stay as they are."""
+    names = found.columns
+    at = names.index("start") if "start" in names else None
 
     def run(batches):
         for b in batches:
-            out = {n: [] for n in SEGMENT}
-            for _, seg, doc_id, chunk, row, start in zip(*(b.column(c).to_pylist() for c in SEGMENT)):
+            out = {n: [] for n in names}
+            for _, seg, *rest in zip(*(c.to_pylist() for c in b.columns)):
                 units = kind.units(seg)
-                for i in range(kind.windows(seg)):
-                    w = kind.cut(units, i, 1)
-                    for name, v in zip(out, (xxhash.xxh64_intdigest(w) - (1 << 63), w, doc_id, chunk, row, start + i)):
+                for key, p, q in parts(kind, units):
+                    row = [key, kind.cut(units, p, q - p), *rest]
+                    if at is not None:
+                        row[at] += p
+                    for name, v in zip(out, row):
                         out[name].append(v)
             yield out
 
-    return run
+    return map_batches(found, run, ", ".join(f"{f.name} {f.dataType.simpleString().replace('bigint', 'long')}" for f in found.schema))
 
 
-def covered(docs: DataFrame, kind: Windows, resolve: Callable) -> tuple[DataFrame, str]:
-    """The text table and the folder with each chunk's covered runs of windows (row, a, b)."""
-    spark = docs.sparkSession
-    table = text_table(docs)
-    shared = shared_keys(table, kind)
-    ids = {"sa": F.xxhash64("seg"), "sb": F.xxhash64(F.lit(1), "seg")}
-    found, path = materialise(segments(table, kind, shared).withColumns(ids), "segments")
-    delete(spark, shared)
-    folds, where, paths = [], [], [path]
-    for finer in (halves, single, None):
-        folded, folded_path = materialise(found.groupBy("anchor", "seg").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).withColumns(ids), "folded")
-        paths.append(folded_path)
-        hot = finer and materialise(folded.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select("anchor"), "hot")[0]
+def meetings(found: DataFrame, kind: Windows, lo: str, hi: str) -> tuple[DataFrame, DataFrame, list[str]]:
+    """From written segments (anchor, seg, lo, hi, ...): the segments, hot anchors dealt out; folded ones, each text once; what to delete."""
+    names, folds, where, paths = found.columns, [], [], []
+    found = with_ids(found)
+    for parts in (halves, single, None):
+        folded, path = materialise(with_ids(found.groupBy("anchor", "seg").agg(F.min(lo).alias("lo"), F.max(hi).alias("hi"))), "folded")
+        paths.append(path)
+        hot = parts and materialise(folded.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select("anchor"), "hot")[0]
         if not hot or not hot.limit(1).count():
             folds.append(folded)
             where.append(found)
             break
         folds.append(join_small(folded, hot, "anchor", "left_anti"))
         where.append(join_small(found, hot, "anchor", "left_anti"))
-        found, path = materialise(map_batches(join_small(found, hot, "anchor", "left_semi").select(*SEGMENT), finer(kind), SEGMENT_TYPE).withColumns(ids), "segments")
+        found, path = materialise(with_ids(finer(join_small(found, hot, "anchor", "left_semi").select(*names), kind, parts)), "segments")
         paths.append(path)
-    least_of = resolved(reduce(DataFrame.unionByName, folds), kind, resolve)
-    where = reduce(DataFrame.unionByName, [w.select("sa", "sb", "doc_id", "chunk", "row", "start") for w in where])
-    met, _ = materialise(least_of, "resolved")
+    return reduce(DataFrame.unionByName, where), reduce(DataFrame.unionByName, folds), paths
+
+
+def covered(docs: DataFrame, kind: Windows, resolve: Callable) -> tuple[DataFrame, str]:
+    """The text table and the folder with each chunk's covered runs of windows (row, a, b)."""
+    spark = docs.sparkSession
+    table = text_table(docs)
+    shared = shared_keys(table, kind)
+    found, path = materialise(segments(table, kind, shared), "segments")
+    where, folded, paths = meetings(found, kind, "doc_id", "doc_id")
+    met, met_path = materialise(resolved(folded, kind, resolve), "resolved")
     hits = where.join(met, ["sa", "sb"]).select("chunk", "row", "start", F.explode(F.filter("found", lambda r: r["m"] < F.col("doc_id"))).alias("r"))
     out = written_by_chunk(hits.select("chunk", "row", (F.col("start") + F.col("r.a")).alias("a"), (F.col("start") + F.col("r.b")).alias("b")), "covered")
-    delete(spark, *paths)
+    delete(spark, shared, path, met_path, *paths)
     return table, out
 
 
-def spans(n: int, a: np.ndarray, b: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Maximal covered runs of units, from runs of covered windows [a, b) of a text of n units."""
+def merged(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Maximal runs covered by the spans [a, b)."""
     order = np.argsort(a, kind="stable")
-    a, b = a[order], b[order] + width - 1
+    a, b = a[order], b[order]
     upto = np.maximum.accumulate(b)
-    new = np.concatenate(([True], a[1:] > upto[:-1]))
-    at = np.flatnonzero(new)
+    at = np.flatnonzero(np.concatenate(([True], a[1:] > upto[:-1])))
     return a[at], upto[np.concatenate((at[1:] - 1, [len(a) - 1]))]
 
 
@@ -446,7 +464,7 @@ def with_spans(table: DataFrame, folder: str, kind: Windows, finish: Callable, s
                 if copy and len(units) >= kind.width:
                     s, e = np.array([0]), np.array([len(units)])
                 elif j > i:
-                    s, e = spans(len(units), a[i:j], b_[i:j], kind.width)
+                    s, e = merged(a[i:j], b_[i:j] + kind.width - 1)
                 else:
                     s = e = none
                 for name, v in zip(names, (doc_id, *finish(units, s, e))):
