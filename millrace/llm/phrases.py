@@ -22,7 +22,9 @@ from .repeats import SPLIT, Words, chunk_file, meetings, merged, per_chunk, reso
 
 WIDTH = 13
 #: Different segments that a stretch of texts has at most (one document's may exceed it): the patterns of an automaton.
-PATTERNS = 100_000
+PATTERNS = 20_000
+#: Characters that stand for a word in an automaton: with as few as the cube root of its words in each place, no state has many ways on.
+DIGITS = 3
 
 
 def confirmed(numbers: np.ndarray, starts: np.ndarray, lo: np.ndarray, hi: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -113,7 +115,7 @@ def stretches(table: DataFrame, kind: Words, shared: str) -> DataFrame:
 
 
 def passages(docs: DataFrame, kind: Words) -> tuple[DataFrame, str]:
-    """The text table, and the folder with each chunk's patterns: first (row of the stretch), seg and runs (from, to, least doc_id) of its windows."""
+    """The text table, and the folder with each chunk's patterns: first (row of the stretch), seg, and the windows a to b of it whose least doc_id is m."""
     spark = docs.sparkSession
     width = kind.width
     table = text_table(docs)
@@ -122,33 +124,36 @@ def passages(docs: DataFrame, kind: Words) -> tuple[DataFrame, str]:
     where, folded, paths = meetings(found, kind, "lo", "hi")
     met, met_path = materialise(resolved(folded, kind, lambda segments, lo, hi: least_docs(segments, lo, hi, width)), "resolved")
     # a passage whose least document is the stretch's last takes nothing there
-    wanted = where.join(met, ["sa", "sb"]).select("chunk", "first", "seg", F.filter("found", lambda r: r["m"] < F.col("hi")).alias("runs")).filter(F.size("runs") > 0)
+    wanted = where.join(met, ["sa", "sb"]).select("chunk", "first", "seg", F.explode(F.filter("found", lambda r: r["m"] < F.col("hi"))).alias("r")).select("chunk", "first", "seg", "r.a", "r.b", "r.m")
     out = written_by_chunk(wanted, "patterns")
     delete(spark, shared, path, met_path, *paths)
     return table, out
 
 
-def automaton_of(patterns, width: int):
-    """The automaton over word numbers of patterns (segment, runs), and the numbers of their words; a match gives (least doc_id, words)."""
-    import ahocorasick
+class Automaton:
+    """Patterns (segment, from, to, least doc_id) compiled; a word is DIGITS characters, each from an alphabet of its place."""
 
-    numbers: dict[bytes, int] = {}
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-    for seg, runs in patterns:
-        words = tuple([numbers.setdefault(w, len(numbers) + 1) for w in seg.split(b" ")])
-        for r in runs:
-            a, b = r["a"], r["b"] + width - 1
-            automaton.add_word(words[a:b], (r["m"], b - a))
-    automaton.make_automaton()
-    return automaton, numbers
+    def __init__(self, patterns, width: int):
+        import ahocorasick
 
+        passages = [(seg.split(b" ")[a : b + width - 1], m) for seg, a, b, m in patterns]
+        numbers = {w: i for i, w in enumerate({w for words, _ in passages for w in words})}
+        base = next(b for b in range(1, len(numbers) + 2) if b**DIGITS > len(numbers))
+        places = [[chr(1 + base * k + d) for d in range(base)] for k in range(DIGITS)]
+        self.code = {w: "".join(p[i // base**k % base] for k, p in enumerate(places)) for w, i in numbers.items()}
+        self.other = chr(1 + base * DIGITS) * DIGITS
+        self.machine = ahocorasick.Automaton()
+        for words, m in passages:
+            self.machine.add_word("".join(map(self.code.__getitem__, words)), (m, len(words)))
+        self.machine.make_automaton()
 
-def located(words: list[bytes], doc_id: int, automaton, numbers: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Runs of words that the matches of passages of documents before doc_id cover."""
-    spans = [(end + 1 - n, end + 1) for end, (m, n) in automaton.iter(tuple(map(numbers.get, words, repeat(0)))) if m < doc_id]
-    if not spans:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return merged(*np.array(spans, np.int64).T)
+    def located(self, words: list[bytes], doc_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Runs of words that the matches of passages of documents before doc_id cover."""
+        text = "".join(map(self.code.get, words, repeat(self.other)))
+        spans = [(end // DIGITS + 1 - n, end // DIGITS + 1) for end, (m, n) in self.machine.iter(text) if m < doc_id]
+        if not spans:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return merged(*np.array(spans, np.int64).T)
 
 
 def remove_passages(docs: DataFrame, width: int = WIDTH, texts: bool = False) -> DataFrame:
@@ -168,7 +173,7 @@ def remove_passages(docs: DataFrame, width: int = WIDTH, texts: bool = False) ->
         none = np.zeros(0, np.int64)
         for chunk, b in per_chunk(batches):
             if chunk != last:
-                found = chunk_file(folder, chunk, ["first", "seg", "runs"])
+                found = chunk_file(folder, chunk, ["first", "seg", "a", "b", "m"])
                 patterns = found.sort_by("first") if found is not None else None
                 starts = patterns.column("first").to_numpy() if found is not None else none
                 last, at, machine = chunk, None, None
@@ -180,12 +185,12 @@ def remove_passages(docs: DataFrame, width: int = WIDTH, texts: bool = False) ->
                     at = now
                     i = int(np.searchsorted(starts, starts[now - 1])) if now else 0
                     own = patterns.slice(i, now - i) if now else None
-                    machine = automaton_of(zip(own.column("seg").to_pylist(), own.column("runs").to_pylist()), width) if now else None
+                    machine = Automaton(zip(*(own.column(c).to_pylist() for c in ("seg", "a", "b", "m"))), width) if now else None
                 s = e = none
                 if copy and len(words) >= width:
                     s, e = np.array([0]), np.array([len(words)])
                 elif doc_id is not None and machine and not copy:
-                    s, e = located(words, doc_id, *machine)
+                    s, e = machine.located(words, doc_id)
                 kept = words
                 if len(s):
                     cuts = [0, *np.stack((s, e), 1).ravel().tolist(), len(words)]
