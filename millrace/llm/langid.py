@@ -63,17 +63,17 @@ def primary_subtag(declared: Column, spark) -> Column:
 
 
 def inputs(docs: DataFrame, text: str, declared: str | None, host: str | None, url: str | None) -> DataFrame:
-    """_text, _declared, _host, _domain, _suffix beside the table's own columns; evidence that isn't there is null."""
+    """text, declared, host, domain, suffix and own, a struct of the table's columns (so names can't clash); evidence that isn't there is null."""
     null = F.lit(None).cast("string")
     col = lambda n: F.col(f"`{n}`").cast("string") if n else null
     address = F.lower(F.regexp_extract(col(url), "^[a-z+]+://([^/:?#]+)", 1)) if url else F.lower(col(host))
     code = F.when(F.regexp_extract(col(url), "^[a-z+]+://[^/]+/([a-z]{2})(?:/|$)", 1) != "", F.regexp_extract(col(url), "^[a-z+]+://[^/]+/([a-z]{2})(?:/|$)", 1)) if url else null
     suffix = F.regexp_extract(address, r"\.([a-z]{2,})$", 1)
-    return docs.withColumns({
-        "_text": F.coalesce(col(text), F.lit("")), "_declared": primary_subtag(col(declared), docs.sparkSession) if declared else null, "_host": address,
-        "_domain": F.when(address.contains("."), F.regexp_extract(address, r"([^.]+\.[^.]+)$", 1)),
-        "_suffix": F.coalesce(code, F.when(suffix != "", suffix)),
-    })
+    return docs.select(
+        F.coalesce(col(text), F.lit("")).alias("text"), (primary_subtag(col(declared), docs.sparkSession) if declared else null).alias("declared"), address.alias("host"),
+        F.when(address.contains("."), F.regexp_extract(address, r"([^.]+\.[^.]+)$", 1)).alias("domain"),
+        F.coalesce(code, F.when(suffix != "", suffix)).alias("suffix"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("own"),
+    )
 
 
 class TextModel:
@@ -95,8 +95,8 @@ class TextModel:
 
 def fit(given: DataFrame) -> TextModel:
     """Trigram counts by declared language, over all documents; what comes back is 8192 counts a language at most."""
-    declared = given.filter(F.col("_declared").isNotNull()).groupBy("_declared").agg(F.count("*").alias("n"))
-    languages = sorted(r["_declared"] for r in declared.filter(F.col("n") >= LEAST_DOCS).select("_declared").collect())
+    declared = given.filter(F.col("declared").isNotNull()).groupBy("declared").agg(F.count("*").alias("n"))
+    languages = sorted(r["declared"] for r in declared.filter(F.col("n") >= LEAST_DOCS).select("declared").collect())
     index = {x: i for i, x in enumerate(languages)}
 
     def run(batches):
@@ -108,7 +108,7 @@ def fit(given: DataFrame) -> TextModel:
         at = np.flatnonzero(counts)
         yield {"at": at, "n": counts.ravel()[at]}
 
-    sums = map_batches(given.select("_text", "_declared"), run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n"))
+    sums = map_batches(given.select("text", "declared"), run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n"))
     counts = np.zeros((len(index), 1 << BITS))
     for r in sums.collect():
         counts[divmod(r["at"], 1 << BITS)] = r["n"]
@@ -116,7 +116,7 @@ def fit(given: DataFrame) -> TextModel:
 
 
 def score(given: DataFrame, model: TextModel, keep: list[str]) -> DataFrame:
-    """The columns `keep`, with _ll (by language) and _n (trigrams, or words if there is no trigram)."""
+    """The columns `keep`, with ll (by language) and n_grams (trigrams, or words if there is no trigram)."""
     import pyarrow as pa
     from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
@@ -124,17 +124,17 @@ def score(given: DataFrame, model: TextModel, keep: list[str]) -> DataFrame:
         for b in batches:
             found = [model(t) for t in b.column(0).to_pylist()]
             cols = [*b.columns[1:], pa.array([x for x, _ in found], pa.list_(pa.float64())), pa.array([n for _, n in found], pa.int64())]
-            yield pa.RecordBatch.from_arrays(cols, names=[*b.schema.names[1:], "_ll", "_n"])
+            yield pa.RecordBatch.from_arrays(cols, names=[*b.schema.names[1:], "ll", "n_grams"])
 
-    chosen = given.select("_text", *(F.col(f"`{c}`") for c in keep))
+    chosen = given.select("text", *(F.col(f"`{c}`") for c in keep))
     small_batches(given.sparkSession)
-    return chosen.mapInArrow(run, StructType([*chosen.schema.fields[1:], StructField("_ll", ArrayType(DoubleType())), StructField("_n", LongType())]))
+    return chosen.mapInArrow(run, StructType([*chosen.schema.fields[1:], StructField("ll", ArrayType(DoubleType())), StructField("n_grams", LongType())]))
 
 
 def evidence(scored: DataFrame, n: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Log-likelihoods by declared language and by suffix, and log priors by host; each from one grouped aggregation."""
-    best = (F.array_position("_ll", F.array_max("_ll")) - 1).cast("int").alias("best")
-    table, _ = materialise(scored.select("_declared", "_suffix", "_domain", "_host", best).groupBy("_declared", "_suffix", "_domain", "_host", "best").agg(F.count("*").alias("n")), "evidence")
+    best = (F.array_position("ll", F.array_max("ll")) - 1).cast("int").alias("best")
+    table, _ = materialise(scored.select("declared", "suffix", "domain", "host", best).groupBy("declared", "suffix", "domain", "host", "best").agg(F.count("*").alias("n")), "evidence")
     whole = [0.0] * n
     for r in table.groupBy("best").agg(F.sum("n").alias("n")).collect():
         whole[r["best"]] = float(r["n"])
@@ -151,14 +151,14 @@ def evidence(scored: DataFrame, n: int) -> tuple[DataFrame, DataFrame, DataFrame
     def likelihood(key: str, name: str) -> DataFrame:
         """log P(key | language): two pseudo-counts, half of them for this key."""
         by = counted(table.filter(F.col(key).isNotNull()), key)
-        return materialise(by.select(key, F.zip_with("c", numbers(whole), lambda c, w: F.log((c + 1) / (w + 2))).alias(name)), name[1:])[0]
+        return materialise(by.select(key, F.zip_with("c", numbers(whole), lambda c, w: F.log((c + 1) / (w + 2))).alias(name)), name)[0]
 
-    hosts = counted(table.filter(F.col("_host").isNotNull()), "_domain", "_host")
-    domains = counted(table.filter(F.col("_host").isNotNull() & F.col("_domain").isNotNull()), "_domain")
-    domains, _ = materialise(domains.select("_domain", F.col("c").alias("dc"), F.col("t").alias("dt")), "domains")
+    hosts = counted(table.filter(F.col("host").isNotNull()), "domain", "host")
+    domains = counted(table.filter(F.col("host").isNotNull() & F.col("domain").isNotNull()), "domain")
+    domains, _ = materialise(domains.select("domain", F.col("c").alias("dc"), F.col("t").alias("dt")), "domains")
     up = F.zip_with(F.coalesce("dc", zeros), numbers(base), lambda c, b: (c + SMOOTHING * b) / (F.coalesce(F.col("dt"), F.lit(0)) + SMOOTHING))
-    prior = join_small(hosts, domains, "_domain").select("_host", F.zip_with("c", up, lambda c, u: F.log((c + SMOOTHING * u) / (F.col("t") + SMOOTHING))).alias("_lp"))
-    return likelihood("_declared", "_ld"), likelihood("_suffix", "_ls"), materialise(prior, "hosts")[0], [float(np.log(x)) for x in base]
+    prior = join_small(hosts, domains, "domain").select("host", F.zip_with("c", up, lambda c, u: F.log((c + SMOOTHING * u) / (F.col("t") + SMOOTHING))).alias("lp"))
+    return likelihood("declared", "ld"), likelihood("suffix", "ls"), materialise(prior, "hosts")[0], [float(np.log(x)) for x in base]
 
 
 def identify(docs: DataFrame, text: str = "text", declared: str | None = "lang", host: str | None = "source", url: str | None = None) -> DataFrame:
@@ -166,23 +166,24 @@ def identify(docs: DataFrame, text: str = "text", declared: str | None = "lang",
 
     Rejected: a text without a word, a language that stays unknown, or a posterior below LEAST_POSTERIOR. Null text:
     empty; a null declared language, host or address is no evidence; ties go to the first language by name; repeated
-    rows are judged alike; an empty table gives no rows.
+    rows are judged alike; a very long text is read whole, its evidence tempered as any other's; an empty table gives no
+    rows; no name of the table's columns can clash with a helper's.
     """
     own = [c for c in docs.columns if c not in ("lang_id", "posterior", "kept")]
     given = inputs(docs.select(*(F.col(f"`{c}`") for c in own)), text, declared, host, url)
     model = fit(given)
     n = len(model.languages)
-    facts = ["_declared", "_suffix", "_domain", "_host"]
+    facts = ["declared", "suffix", "domain", "host"]
     declared_ll, suffix_ll, priors, base = evidence(score(given, model, facts), n)
-    scored = score(given, model, [*own, "_declared", "_suffix", "_host"])
-    for table, key in ((declared_ll, "_declared"), (suffix_ll, "_suffix"), (priors, "_host")):
+    scored = score(given, model, ["own", "declared", "suffix", "host"])
+    for table, key in ((declared_ll, "declared"), (suffix_ll, "suffix"), (priors, "host")):
         scored = join_small(scored, table, key)
     add = lambda x, y: F.zip_with(x, y, lambda p, q: p + q)
     nothing = F.array_repeat(F.lit(0.0), n)
-    total = add(add(add("_ll", F.coalesce("_ld", nothing)), F.coalesce("_ls", nothing)), F.coalesce("_lp", F.array(*(F.lit(x) for x in base))))
-    top = F.array_max("_total")
+    total = add(add(add("ll", F.coalesce("ld", nothing)), F.coalesce("ls", nothing)), F.coalesce("lp", F.array(*(F.lit(x) for x in base))))
+    top = F.array_max("total")
     names = F.array(*(F.lit(x) for x in model.languages))
-    out = scored.withColumn("_total", total).withColumn("lang_id", names[F.array_position("_total", top).cast("int") - 1])
-    out = out.withColumn("posterior", 1 / F.aggregate("_total", F.lit(0.0), lambda s, x: s + F.exp(x - top)))
-    kept = (F.col("_n") > 0) & (F.col("lang_id") != UNKNOWN) & (F.col("posterior") >= LEAST_POSTERIOR)
-    return out.withColumn("kept", kept).select(*(F.col(f"`{c}`") for c in own), "lang_id", "posterior", "kept")
+    out = scored.select("own", "n_grams", total.alias("total")).withColumn("lang_id", names[F.array_position("total", top).cast("int") - 1])
+    out = out.withColumn("posterior", 1 / F.aggregate("total", F.lit(0.0), lambda s, x: s + F.exp(x - top)))
+    kept = (F.col("n_grams") > 0) & (F.col("lang_id") != UNKNOWN) & (F.col("posterior") >= LEAST_POSTERIOR)
+    return out.select("own.*", "lang_id", "posterior", kept.alias("kept"))

@@ -19,6 +19,8 @@ RATE = 8000
 #: Bins of each band. Samples in a frame and between frame starts, frames transformed at once, partners of a peak, and how far ahead they may lie.
 BANDS = ((1, 17), (17, 65), (65, 129), (129, 257))
 FRAME, HOP, BLOCK, FAN_OUT, REACH = 512, 288, 4096, 3, 63
+#: Samples of silence after a payload of whole units, so that its last sample is in the last frame.
+TAIL, SILENCE = 224, 128
 
 
 def to_wav(payload: bytes) -> bytes:
@@ -87,7 +89,7 @@ def fingerprint(media: DataFrame) -> DataFrame:
             out = {n: [] for n in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "n_frames", "times", "codes")}
             for m in b.column("media").to_pylist():
                 payload = from_wav(m)
-                times, codes, n = pairs(np.frombuffer(payload, np.uint8))
+                times, codes, n = pairs(np.frombuffer(payload + bytes([SILENCE]) * TAIL, np.uint8))
                 for name, v in zip(out, (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(m), hashlib.sha256(m).hexdigest(), n, times, codes)):
                     out[name].append(v)
             yield out | {"doc_id": b.column("doc_id"), "n_bytes": b.column("n_bytes")}
@@ -99,7 +101,7 @@ def media_features(docs: DataFrame) -> DataFrame:
     """Encode, read back, fingerprint.
 
     A null or empty text is 576 bytes of 255; a null doc_id is carried; repeated rows give repeated rows; very long
-    texts are transformed in blocks; an empty table gives no rows; other columns are ignored.
+    texts are transformed in blocks; of equal peaks (ties) the first bin counts; an empty table gives no rows; other columns are ignored.
     """
     return fingerprint(encode(docs))
 

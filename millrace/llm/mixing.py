@@ -8,16 +8,17 @@ the last, partial one takes whole hash blocks while they fit into the budget, th
 
 from __future__ import annotations
 
-from math import log
+from math import ceil, log, log2
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import join_small, materialise
+from .common import delete, join_small, materialise
 
 SEED = 17
-#: Hash bits that name a block: a source has 1024, so a window over a source's blocks has 1024 rows at most.
-BLOCK_BITS = 10
+#: Hash bits that name a block, at least and at most: about half the bits of the largest source's rows, so that the window
+#: over a source's blocks and the one over its edge block are both as short as they can be (n rows: about the root of n).
+BLOCK_BITS = (10, 24)
 #: Points tried at once: one step is six bisections.
 POINTS, STEPS = 63, 4
 REPETITION = 1.5
@@ -33,6 +34,11 @@ def source_key(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("s"), source.cast("string")), F.lit("n"))
 
 
+def block_bits(rows: int) -> int:
+    least, most = BLOCK_BITS
+    return min(most, max(least, ceil(log2(max(rows, 2)) / 2)))
+
+
 def exponent(totals: DataFrame, repetition: float | None = REPETITION, entropy: float | None = None) -> float:
     """Bisect. repetition: the smallest exponent at which no source is passed more than so many times as often as the
     least passed one. entropy: the largest at which the weights have this part of the greatest entropy, ln(sources)."""
@@ -63,21 +69,24 @@ def exponent(totals: DataFrame, repetition: float | None = REPETITION, entropy:
 
 def permuted(turn: Column, seed: int) -> Column:
     """A document's place in the source's permutation of that pass, over all longs."""
-    return F.xxhash64(F.lit(seed), turn, F.col("_mix_id"))
+    return F.xxhash64(F.lit(seed), turn, F.col("id"))
 
 
 def mix(docs: DataFrame, source: str = "source", budget: int | None = None, repetition: float | None = REPETITION, entropy: float | None = None, seed: int = SEED) -> DataFrame:
     """All columns of docs, a row per document and pass, with copy (the pass, from 0), n_tokens, weight and position.
 
+    A token is a word between ASCII white space, not a tokenizer's: DataFrame functions can count those.
     position in [0, 1) orders the mix: in any stretch of it the sources have their weights. budget (tokens): by default
     the least that passes every document at least once. A source without a token is passed once, with weight 0. Null
-    text: empty; null sources are one source; equal rows are permuted alike; columns named like the new ones are
-    replaced; an empty table gives no rows.
+    text: empty; null sources are one source; equal rows (ties) are permuted alike; a very long document is passed whole, or
+    left out of a last pass that it doesn't fit; columns named like the new ones are replaced, other names can't clash; an
+    empty table gives no rows.
     """
     own = [c for c in docs.columns if c not in ("copy", "n_tokens", "weight", "position")]
-    given = docs.select(*(F.col(f"`{c}`") for c in own), source_key(F.col(source)).alias("_mix_source"), F.xxhash64(F.col("doc_id").cast("long"), F.col("text")).alias("_mix_id"), tokens(F.col("text")).alias("n_tokens"))
-    slim, _ = materialise(given.select("_mix_source", "_mix_id", "n_tokens"), "mix")
-    totals, _ = materialise(slim.groupBy("_mix_source").agg(F.sum("n_tokens").alias("tokens")), "totals")
+    given = docs.select(F.struct(*(F.col(f"`{c}`") for c in own)).alias("own"), source_key(F.col(f"`{source}`")).alias("key"), F.xxhash64(F.col("doc_id").cast("long"), F.col("text")).alias("id"), tokens(F.col("text")).alias("n_tokens"))
+    slim, slim_path = materialise(given.select("key", "id", "n_tokens"), "mix")
+    totals, _ = materialise(slim.groupBy("key").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("rows")), "totals")
+    bits = block_bits(totals.agg(F.max("rows")).first()[0] or 0)
     live = totals.filter("tokens > 0")
     x = exponent(live, repetition, entropy)
     whole = live.agg(F.sum("tokens").alias("t")).collect()[0]["t"] or 0
@@ -87,22 +96,23 @@ def mix(docs: DataFrame, source: str = "source", budget: int | None = None, repe
     tokens_in_all = float(budget) if budget is not None else whole * (z["most"] or 1.0) * (z["z"] or 1.0)
     passes = F.when(F.col("tokens") > 0, weight * tokens_in_all / F.col("tokens")).otherwise(1.0)
     # an all but whole number of passes is whole: nothing is left out for a rounding error
-    plan = totals.select("_mix_source", "tokens", F.when(F.col("tokens") > 0, weight).otherwise(0.0).alias("weight"), F.when(F.abs(passes - F.round(passes)) < 1e-9, F.round(passes)).otherwise(passes).alias("passes"))
+    plan = totals.select("key", "tokens", F.when(F.col("tokens") > 0, weight).otherwise(0.0).alias("weight"), F.when(F.abs(passes - F.round(passes)) < 1e-9, F.round(passes)).otherwise(passes).alias("passes"))
     plan, _ = materialise(plan.withColumn("full", F.floor("passes")), "plan")
 
-    last = join_small(slim, plan, "_mix_source").filter("passes > full")
-    last = last.select("_mix_source", "n_tokens", permuted(F.col("full"), seed).alias("h"), ((F.col("passes") - F.col("full")) * F.col("tokens")).alias("room"))
-    block = F.shiftright("h", 64 - BLOCK_BITS)
-    in_source = Window.partitionBy("_mix_source").orderBy("block")
-    blocks = last.groupBy("_mix_source", block.alias("block"), "room").agg(F.sum("n_tokens").alias("t"))
-    edge = blocks.withColumn("upto", F.sum("t").over(in_source)).filter("upto > room and upto - t <= room").select("_mix_source", "block", (F.col("room") - F.col("upto") + F.col("t")).alias("rest"))
+    last = join_small(slim, plan, "key").filter("passes > full")
+    last = last.select("key", "n_tokens", permuted(F.col("full"), seed).alias("h"), ((F.col("passes") - F.col("full")) * F.col("tokens")).alias("room"))
+    block = F.shiftright("h", 64 - bits)
+    in_source = Window.partitionBy("key").orderBy("block")
+    blocks = last.groupBy("key", block.alias("block"), "room").agg(F.sum("n_tokens").alias("t"))
+    edge = blocks.withColumn("upto", F.sum("t").over(in_source)).filter("upto > room and upto - t <= room").select("key", "block", (F.col("room") - F.col("upto") + F.col("t")).alias("rest"))
     edge, _ = materialise(edge, "edge")
-    inside = join_small(last.withColumn("block", block), edge, ["_mix_source", "block"], "inner")
-    inside = inside.withColumn("upto", F.sum("n_tokens").over(Window.partitionBy("_mix_source").orderBy("h"))).filter("upto <= rest").groupBy("_mix_source").agg(F.max("h").alias("h"))
-    cut = edge.join(inside, "_mix_source", "left").select("_mix_source", F.coalesce("h", F.try_subtract(F.shiftleft("block", 64 - BLOCK_BITS), F.lit(1).cast("long"))).alias("cut"), F.lit(True).alias("edged"))
-    plan, _ = materialise(plan.join(cut, "_mix_source", "left"), "plan")
+    inside = join_small(last.withColumn("block", block), edge, ["key", "block"], "inner")
+    inside = inside.withColumn("upto", F.sum("n_tokens").over(Window.partitionBy("key").orderBy("h"))).filter("upto <= rest").groupBy("key").agg(F.max("h").alias("h"))
+    cut = edge.join(inside, "key", "left").select("key", F.coalesce("h", F.try_subtract(F.shiftleft("block", 64 - bits), F.lit(1).cast("long"))).alias("cut"), F.lit(True).alias("edged"))
+    plan, _ = materialise(plan.join(cut, "key", "left"), "plan")
+    delete(docs.sparkSession, slim_path)
 
-    joined = join_small(given, plan.select("_mix_source", "weight", "passes", "full", "cut", "edged"), "_mix_source")
+    joined = join_small(given, plan.select("key", "weight", "passes", "full", "cut", "edged"), "key")
     # a null cut of an edge: not even the first document of the first block fits
     extra = F.when((F.col("passes") > F.col("full")) & (F.col("edged").isNull() | (permuted(F.col("full"), seed) <= F.col("cut"))), 1).otherwise(0)
     n = (F.col("full") + extra).cast("int")
@@ -111,4 +121,4 @@ def mix(docs: DataFrame, source: str = "source", budget: int | None = None, repe
     within = unit(permuted(F.col("copy").cast("long"), seed))
     partial = within / F.greatest(unit(F.coalesce("cut", F.lit((1 << 63) - 1))), F.lit(2.0**-64)) * (F.col("passes") - F.col("full"))
     place = F.least((F.col("copy") + F.when(F.col("copy") == F.col("full"), partial).otherwise(within)) / F.col("passes"), F.lit(1 - 2.0**-53))
-    return each.withColumn("position", place).select(*(F.col(f"`{c}`") for c in own), "copy", "n_tokens", "weight", "position")
+    return each.withColumn("position", place).select("own.*", "copy", "n_tokens", "weight", "position")

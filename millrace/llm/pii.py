@@ -20,10 +20,30 @@ from .common import map_batches, texts
 
 KINDS = ("email", "ip", "card", "phone", "national_id", "iban")
 BASE = KINDS[:4]
-# Gazetteers of top-level domains, calling codes and card issuer digits; context words by kind.
-DOMAINS = set("com org net edu gov info io de fr es uk eu us ca au jp cn ru br it nl ch at se no fi dk pl be pt mx ar in".split())
-CALLING = ("1", "7", "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "51", "52", "54", "55", "56", "57", "60", "61", "62", "63", "64", "65", "66", "81", "82", "84", "86", "90", "91", "351", "352", "353", "358", "420")
-ISSUERS = ("34", "37", "4", "51", "52", "53", "54", "55", "60", "62", "65")
+# Generic top-level domains (those of countries come from Java's table), country calling codes, card issuer
+# digits, and the length of each country's IBAN.
+DOMAINS = frozenset(
+    "com org net edu gov mil int info biz name pro aero coop museum jobs mobi travel tel asia cat post app dev page blog shop store online site "
+    "website tech cloud email web xyz top club live news media world today agency digital systems solutions services network studio design "
+    "company group ltd inc llc bank health care clinic legal law school university academy art music film games link click one space fun icu "
+    "vip work life city team support center global international foundation ngo ong church family eco bio farm restaurant cafe hotel tours "
+    "events photo photography video radio social chat wiki review guide tips expert consulting finance money insurance software engineering "
+    "london berlin paris tokyo nyc amsterdam wien hamburg koeln zuerich madrid barcelona istanbul moscow sydney melbourne quebec scot wales eus gal bzh".split()
+)
+CALLING_ONE = frozenset("17")
+CALLING_TWO = frozenset("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+CALLING_THREE = frozenset("21 22 23 24 25 26 29 35 37 38 42 50 59 67 68 69 80 85 87 88 96 97 99".split())  # and a third digit
+CALLING_NONE = frozenset("210 214 215 217 219 259 292 293 294 295 296 384 388 422 424 425 426 427 428 429 671 684 693 694 695 696 697 698 699 801 802 803 804 805 806 807 809 851 854 857 858 859 871 872 873 874 875 876 877 879 884 885 887 889 969 978 990 991 997 999".split())
+ISSUERS = tuple("30 34 35 36 37 38 39 4 22 23 24 25 26 27 50 51 52 53 54 55 56 57 58 60 62 63 64 65 67".split())
+IBAN_LENGTHS = {
+    x[:2]: int(x[2:])
+    for x in (
+        "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 "
+        "GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 "
+        "PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30"
+    ).split()
+}
+# Context words by kind, and words that speak against any.
 CONTEXT = {
     "email": ("mail", "contact", "correo", "courriel", "write to"),
     "ip": ("ip", "host", "server", "address", "adresse"),
@@ -49,7 +69,7 @@ LOOSE = (
     ("email", re.compile(r"[A-Za-z0-9_%+-]{1,64}(?:\.[A-Za-z0-9_%+-]{1,64}){0,5} ?[\[(]at[\])] ?[A-Za-z0-9-]{1,63} ?(?:[\[(]dot[\])]|\.) ?[A-Za-z]{2,10}(?![A-Za-z])")),
     ("phone", re.compile(r"(?<![\w+.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![\w-])")),
     ("national_id", re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])")),
-    ("iban", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?![A-Za-z0-9])")),
+    ("iban", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")),
 )
 
 
@@ -105,22 +125,40 @@ def iban_ok(s: str) -> bool:
     return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
-def votes(text: str, kind: str, start: int, end: int, checked: int) -> list[int]:
+def has_calling_code(digits: str) -> bool:
+    """Country codes are prefix-free: one digit, two, or three."""
+    if digits[:1] in CALLING_ONE or digits[:2] in CALLING_TWO:
+        return True
+    return digits[:2] in CALLING_THREE and digits[:3] not in CALLING_NONE
+
+
+def listed_in(kind: str, s: str, countries: frozenset[str]) -> int:
+    """What the gazetteers say: 1 for, -1 against, 0 nothing."""
+    if kind == "email":
+        last = re.split(r"[^A-Za-z]+", s)[-1].lower()
+        return 1 if last in DOMAINS or last in countries else -1
+    if kind == "card":
+        return 1 if s.startswith(ISSUERS) else -1
+    if kind == "iban":
+        return 1 if IBAN_LENGTHS.get(s[:2]) == len(s.replace(" ", "")) else -1
+    if kind == "national_id":
+        area, group, serial = s.split("-")
+        return -1 if area in ("000", "666") or area[0] == "9" or group == "00" or serial == "0000" else 1
+    if kind == "phone":
+        digits = re.sub(r"[^0-9]", "", s)
+        if s[0] == "+":
+            return 1 if has_calling_code(digits) else -1
+        return 1 if digits[0] in "23456789" and digits[3] in "23456789" else 0
+    return 0
+
+
+def votes(text: str, kind: str, start: int, end: int, checked: int, countries: frozenset[str] = frozenset()) -> list[int]:
     """-1, 0 or 1 of: validating regex, gazetteer, context words, contrary context, boundaries."""
-    s = text[start:end]
     before = text[max(0, start - 40) : start].lower()
-    if kind == "email":
-        listed = 1 if re.split(r"[^A-Za-z]+", s)[-1].lower() in DOMAINS else -1
-    elif kind == "phone":
-        listed = 0 if s[0] != "+" else 1 if re.sub(r"[^0-9]", "", s).startswith(CALLING) else -1
-    elif kind == "card":
-        listed = 1 if s.startswith(ISSUERS) else -1
-    else:
-        listed = 0
     near = 1 if any(w in before for w in CONTEXT[kind]) else 0
     contrary = -1 if any(w in before for w in AGAINST) else 0
     edge = -1 if text[start - 1 : start].isalnum() or text[end : end + 1].isalnum() else 1
-    return [checked, listed, near, contrary, edge]
+    return [checked, listed_in(kind, text[start:end], countries), near, contrary, edge]
 
 
 def code_of(kind: str, vote: list[int], s: str) -> int:
@@ -131,10 +169,10 @@ def code_of(kind: str, vote: list[int], s: str) -> int:
     return ((KINDS.index(kind) * 3**LABELERS + n) * LENGTHS + min(3, len(s) // 10)) * DIGITS + min(3, 4 * digits // max(1, len(s)))
 
 
-def candidates(text: str) -> tuple[list, list]:
+def candidates(text: str, countries: frozenset[str] = frozenset()) -> tuple[list, list]:
     """Base spans, and all candidates (kind, start, end, code, is base); others overlap neither the base nor one another."""
     base, failed = base_spans(text)
-    out = [(k, a, b, code_of(k, votes(text, k, a, b, 1), text[a:b]), True) for k, a, b in base]
+    out = [(k, a, b, code_of(k, votes(text, k, a, b, 1, countries), text[a:b]), True) for k, a, b in base]
     taken = sorted((a, b) for _, a, b in base)
     loose = [(*x, -1) for x in failed]
     if SOME.search(text):
@@ -148,7 +186,7 @@ def candidates(text: str) -> tuple[list, list]:
         if a < last or i < len(taken) and taken[i][0] < b:
             continue
         last = b
-        out.append((kind, a, b, code_of(kind, votes(text, kind, a, b, checked), text[a:b]), False))
+        out.append((kind, a, b, code_of(kind, votes(text, kind, a, b, checked, countries), text[a:b]), False))
     return base, out
 
 
@@ -177,7 +215,8 @@ class SpanModel:
     #: Votes that each labeler is taken to have cast before any data: mostly right.
     PRIOR = np.array([[4.0, 2.0, 1.0], [1.0, 2.0, 4.0]])
 
-    def __init__(self, counts: dict[int, int], rounds: int = 50):
+    def __init__(self, counts: dict[int, int], rounds: int = 50, countries: frozenset[str] = frozenset()):
+        self.countries = countries
         codes = sorted(counts)
         n = np.array([counts[c] for c in codes], float)
         vote = np.array([features(c)[1] for c in codes]).reshape(-1, LABELERS)
@@ -213,22 +252,23 @@ class SpanModel:
 
 def fit(docs: DataFrame) -> SpanModel:
     """Vote patterns of all candidates of all documents, counted; then the model."""
+    countries = frozenset(c.lower() for c in docs.sparkSession._jvm.java.util.Locale.getISOCountries()) | {"eu", "su", "uk"}
 
     def run(batches):
         seen: dict[int, int] = {}
         for b in batches:
             for text in b.column("text").to_pylist():
-                for *_, code, _ in candidates(text)[1]:
+                for *_, code, _ in candidates(text, countries)[1]:
                     seen[code] = seen.get(code, 0) + 1
         yield {"code": list(seen), "n": list(seen.values())}
 
     counts = map_batches(texts(docs).select("text"), run, "code int, n long").groupBy("code").agg(F.sum("n").alias("n"))
-    return SpanModel({r["code"]: r["n"] for r in counts.collect()})  # MOST_CODES rows at most
+    return SpanModel({r["code"]: r["n"] for r in counts.collect()}, countries=countries)  # MOST_CODES rows at most
 
 
 def find(text: str, model: SpanModel) -> tuple[list, list]:
     """Base spans and all spans, each by kind then start."""
-    base, found = candidates(text)
+    base, found = candidates(text, model.countries)
     spans = [(k, a, b) for k, a, b, code, own in found if own or model(code) >= ACCEPT]
     return base, sorted(spans, key=lambda x: (KINDS.index(x[0]), x[1]))
 
@@ -240,8 +280,8 @@ def joined(spans: list) -> str:
 def detect(docs: DataFrame, model: SpanModel | None = None) -> DataFrame:
     """doc_id, counts and digest of the base spans, and all spans (code points, end exclusive).
 
-    A null or empty text has no spans; a null doc_id is carried; repeated rows are reported each; very long texts take
-    linear time; an empty table gives no rows; other columns are ignored.
+    A null or empty text has no spans; a null doc_id is carried; repeated rows are reported each; of candidates that begin
+    at one place (ties) the longest stays, and base spans before all; very long texts take linear time; an empty table gives no rows; other columns are ignored.
     """
     model = model or fit(docs)
 
