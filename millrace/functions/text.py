@@ -149,15 +149,51 @@ def match_places(text: Column, term: str) -> Column:
     return F.flatten(F.transform(F.split(text, "\n"), places))
 
 
-def shift_add_hash(text: Column) -> Column:
-    """h = 33 h + byte modulo 2^64 from 5381 over the UTF-8 bytes, in lowercase hex; for short texts, as it folds over bytes."""
+def shift_add_hash(text: Column, signed: bool = False) -> Column:
+    """h = 33 h + byte modulo 2^64 from 5381 over the UTF-8 bytes, in lowercase hex; for short texts, as it folds over bytes.
+
+    signed: bytes over 127 count as negative, as they do where characters are signed; ASCII texts have the same hash either way.
+    """
     wide = lambda c: c.cast("decimal(38,0)")
     codes = F.transform(F.regexp_extract_all(F.hex(F.encode(text, "UTF-8")), F.lit("(..)"), 1), lambda h: F.conv(h, 16, 10).cast("int"))
-    h = F.aggregate(codes, wide(F.lit(5381)), lambda acc, b: wide((acc * 33 + b) % F.expr("18446744073709551616BD")))
+    if signed:
+        codes = F.transform(codes, lambda b: F.when(b > 127, b - 256).otherwise(b))
+    # 2^64 more than needed, so that a negative byte never makes a negative number
+    h = F.aggregate(codes, wide(F.lit(5381)), lambda acc, b: wide((acc * 33 + b + F.expr("18446744073709551616BD")) % F.expr("18446744073709551616BD")))
     half = F.expr("9223372036854775808BD")
     return F.lower(F.hex(F.when(h >= half, h - F.expr("18446744073709551616BD")).otherwise(h).cast("long")))
 
 
+def combined_key(*parts: Column) -> Column:
+    """One key of several values, in hex; null and empty differ."""
+    return F.lower(F.hex(F.xxhash64(*(x for p in parts for x in (p.isNull(), p)))))
+
+
+# Codes of languages and the names that they stand for.
+LANGUAGE_NAMES = dict(
+    x.split(":")
+    for x in (
+        "ar:arabic hy:armenian eu:basque ca:catalan da:danish nl:dutch en:english eng:english eo:esperanto et:estonian fi:finnish fr:french de:german el:greek hi:hindi hu:hungarian "
+        "id:indonesian ga:irish it:italian lt:lithuanian ne:nepali no:norwegian nb:norwegian nn:norwegian pl:polish pt:portuguese ro:romanian ru:russian rus:russian sr:serbian es:spanish "
+        "sv:swedish ta:tamil tr:turkish yi:yiddish default:auto detect:auto off:none disabled:none false:none"
+    ).split()
+)
+
+
+def language_name(language: Column) -> Column:
+    """The name of a language by its code or name, in lower case; empty means auto."""
+    low = F.lower(language)
+    return F.when(F.coalesce(low, F.lit("")) == "", "auto").otherwise(F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in LANGUAGE_NAMES.items() for x in kv)), low), low))
+
+
+def stemming_language(text: Column, named: Column | None = None, configured: str = "auto") -> Column:
+    """The configured language unless it is auto, else the one that is named if it is one of LANGUAGE_NAMES', else the text's."""
+    if configured.lower() not in ("", "auto", "default", "detect"):
+        return language_name(F.lit(configured))
+    known = set(LANGUAGE_NAMES.values()) - {"auto", "none"}
+    return language_of(text) if named is None else F.when(language_name(named).isin(*sorted(known)), language_name(named)).otherwise(language_of(text))
+
+
 def query_terms(query: str) -> list[str]:
     """Terms that a query is widened to: its words and their singulars, parts of identifiers, file stems and extensions."""
     import re

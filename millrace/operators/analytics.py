@@ -37,6 +37,48 @@ def daily(log: DataFrame, answered: Column) -> DataFrame:
     return span.join(days, "day", "left").fillna(0, ["n", "missing"])
 
 
+def between(log: DataFrame, start: str | None = None, end: str | None = None, ts: str = "ts") -> DataFrame:
+    """Rows from start to end, both inclusive; every report takes what this leaves."""
+    if start is not None:
+        log = log.filter(F.col(ts) >= F.lit(start).cast(log.schema[ts].dataType))
+    return log if end is None else log.filter(F.col(ts) <= F.lit(end).cast(log.schema[ts].dataType))
+
+
+def kept_days(log: DataFrame, days: int, now: str, ts: str = "ts") -> DataFrame:
+    """Rows of the last so many days before now."""
+    return log.filter(F.col(ts) >= (F.lit(now).cast(log.schema[ts].dataType) - F.make_dt_interval(F.lit(days))))
+
+
+# Ratings that say an answer helped, or didn't.
+HELPFUL, NOT_HELPFUL = ("helpful", "positive", "up"), ("not_helpful", "negative", "down")
+
+
+def feedback_by_category(log: DataFrame, kind: str, category: str, good: tuple[str, ...] = HELPFUL, bad: tuple[str, ...] = NOT_HELPFUL) -> DataFrame:
+    """Ratings of each category that has a name."""
+    k, named = F.col(kind), log.filter(F.coalesce(F.col(category), F.lit("")) != "")
+    return named.groupBy(category).agg(F.count("*").alias("total"), F.count_if(k.isin(*good)).alias("helpful"), F.count_if(k.isin(*bad)).alias("not_helpful"))
+
+
+def freshness(rows: DataFrame, updated: str, author: str, now: str, recent: int = 14, fresh: int = 45) -> DataFrame:
+    """articles, authors, recent (updated in the last 14 days) and freshness: the whole percent updated in the last 45, 100 without articles."""
+    at = F.lit(now).cast(rows.schema[updated].dataType)
+    since = lambda days: F.count_if(F.col(updated) >= at - F.make_dt_interval(F.lit(days)))
+    n = F.count("*")
+    return rows.agg(n.alias("articles"), F.count_distinct(author).alias("authors"), since(recent).alias("recent"), F.when(n == 0, 100).otherwise(F.floor(since(fresh) * 100 / n)).cast("long").alias("freshness"))
+
+
+def listed(rows: DataFrame, text: str = "", fields: tuple[str, ...] = (), equals: dict[str, str] | None = None, flag: str | None = None, since: tuple[str, str] | None = None) -> DataFrame:
+    """Rows with the text in some field, the given values (all or empty: any), the flag set, and a time not before `since` (column, time)."""
+    if text:
+        rows = rows.filter(F.contains(F.lower(F.concat_ws(" ", *fields)), F.lit(text.lower())))
+    for c, v in (equals or {}).items():
+        if v not in ("", "all"):
+            rows = rows.filter(F.col(c) == v)
+    if flag:
+        rows = rows.filter(F.col(flag))
+    return rows if since is None else rows.filter(F.col(since[0]) >= F.lit(since[1]).cast(rows.schema[since[0]].dataType))
+
+
 def feedback(log: DataFrame, kind: str, good: list[str], bad: list[str]) -> DataFrame:
     k = F.col(kind)
     return log.agg(F.count("*").alias("total"), F.count_if(k.isin(*good)).alias("helpful"), F.count_if(k.isin(*bad)).alias("not_helpful"))
@@ -51,7 +93,15 @@ def percentiles(log: DataFrame, value: Column, ps: tuple[int, ...] = (50, 95, 99
 
 
 def category_counts(df: DataFrame, key: str) -> DataFrame:
-    return df.groupBy(key).agg(F.count("*").alias("n"))
+    """The largest first, then by name."""
+    return df.groupBy(key).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.asc_nulls_first(key))
+
+
+def project_stats(files: DataFrame, path: str, text: str, kind: str) -> DataFrame:
+    """(kind, files, lines, bytes) of distinct files; a file that comes several times counts once."""
+    size = F.struct((F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).alias("lines"), F.octet_length(text).alias("bytes"))
+    each = files.groupBy(kind, path).agg(F.min(size).alias("s"))
+    return each.groupBy(kind).agg(F.count("*").alias("files"), F.sum("s.lines").alias("lines"), F.sum("s.bytes").alias("bytes"))
 
 
 def summary(log: DataFrame, value: Column) -> DataFrame:

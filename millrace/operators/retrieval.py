@@ -18,6 +18,10 @@ ALIASES = {
 }
 
 
+# Filter keys that a document's own columns answer, by the name of the field.
+OWN_FIELDS = {"type": "type", "document_type": "type", "language": "language", "path": "path", "source": "source", "source_path": "source"}
+
+
 @dataclass(frozen=True)
 class MetadataFilter:
     key: str
@@ -25,14 +29,17 @@ class MetadataFilter:
     op: str = "equals"
 
 
-def metadata_value(metadata: Column, key: str) -> Column:
-    """The value of a key: its aliases, then the key itself, then the key in any case (the first by name); null if there is none."""
+def metadata_value(metadata: Column, key: str, fields: dict[str, str] | None = None) -> Column:
+    """The value of a key: the column that fields names for it (by the names in OWN_FIELDS), else its aliases, then the key itself, then
+    the key in any case (the first by name); null if there is none."""
+    if fields and (own := fields.get(OWN_FIELDS.get(key.lower(), ""))):
+        return F.col(own).cast("string")
     other = F.array_sort(F.map_keys(F.map_filter(metadata, lambda k, _: F.lower(k) == key.lower())))
     named = [F.try_element_at(metadata, F.lit(k)) for k in (*ALIASES.get(key.lower(), ()), key)]
     return F.coalesce(*named, F.try_element_at(metadata, F.try_element_at(other, F.lit(1))))
 
 
-def filter_condition(metadata: Column, f: MetadataFilter) -> Column:
+def filter_condition(metadata: Column, f: MetadataFilter, fields: dict[str, str] | None = None) -> Column:
     """True or false, never null. Texts ignore case; gte and lte compare numbers; a page or row equals what its interval contains."""
     key, op, value = f.key.lower(), (f.op or "equals").lower(), f.value
     number = lambda c: c.try_cast("double")
@@ -43,7 +50,7 @@ def filter_condition(metadata: Column, f: MetadataFilter) -> Column:
         start = number(metadata_value(metadata, f"chunk_{kind}_start"))
         end = F.coalesce(number(metadata_value(metadata, f"chunk_{kind}_end")), start)
         return F.coalesce(number(F.lit(value)).between(start, end), F.lit(False))
-    held = F.coalesce(metadata_value(metadata, f.key), F.lit(""))
+    held = F.coalesce(metadata_value(metadata, f.key, fields), F.lit(""))
     tests = {
         "exists": held != "", "not_empty": F.trim(held) != "", "contains": F.contains(F.lower(held), F.lit(value.lower())), "prefix": F.startswith(F.lower(held), F.lit(value.lower())),
         "gte": number(held) >= number(F.lit(value)), ">=": number(held) >= number(F.lit(value)), "lte": number(held) <= number(F.lit(value)), "<=": number(held) <= number(F.lit(value)),
@@ -54,9 +61,9 @@ def filter_condition(metadata: Column, f: MetadataFilter) -> Column:
     return F.coalesce(made, F.lit(False))
 
 
-def filtered(docs: DataFrame, metadata: str, filters: list[MetadataFilter]) -> DataFrame:
-    """Rows for which all filters hold."""
-    return docs.filter(reduce(lambda a, b: a & b, (filter_condition(F.col(metadata), f) for f in filters), F.lit(True)))
+def filtered(docs: DataFrame, metadata: str, filters: list[MetadataFilter], fields: dict[str, str] | None = None) -> DataFrame:
+    """Rows for which all filters hold. fields: the columns that answer type, language, path and source."""
+    return docs.filter(reduce(lambda a, b: a & b, (filter_condition(F.col(metadata), f, fields) for f in filters), F.lit(True)))
 
 
 def boost(path: Column, metadata: Column, content: Column, phrase: str, terms: list[str], by_path: float = 0.15, by_metadata: float = 0.1, by_phrase: float = 0.05) -> Column:
@@ -130,16 +137,15 @@ def first_duplicate(vectors: DataFrame, new: list[float], least: float = 0.85) -
 def grounded_claims(answers: DataFrame, context: DataFrame, key: str) -> DataFrame:
     """(key, claim, text, support, status): each claim against the snippets that it cites.
 
-    answers(key, answer), context(key, citation, snippet). The best overlap counts: grounded from 0.30, partial from 0.12, else
-    unsupported; a claim that cites nothing is uncited. Contexts are gathered per answer, as one request holds only a few.
+    answers(key, answer), context(key, citation, snippet). The best overlap counts, over repeated citations too: grounded from 0.30,
+    partial from 0.12, else unsupported; a claim that cites nothing is uncited.
     """
     claims = answers.select(key, F.posexplode(T.cited_claims(F.col("answer"))).alias("claim", "x")).select(key, "claim", F.col("x.claim").alias("text"), F.col("x.citations").alias("cited"))
-    held = context.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("citation", "snippet"))).alias("held"))
-    joined = claims.join(held, key, "left")
-    supports = F.transform("cited", lambda c: T.overlap(F.col("text"), F.try_element_at("held", c)))
-    support = F.coalesce(F.array_max(supports), F.lit(0.0))
+    cites = claims.select(key, "claim", "text", F.explode("cited").alias("citation"))
+    best = cites.join(context.select(key, "citation", "snippet"), [key, "citation"]).groupBy(key, "claim").agg(F.max(T.overlap(F.col("text"), F.col("snippet"))).alias("support"))
+    support = F.coalesce("support", F.lit(0.0))
     status = F.when(F.size("cited") == 0, "uncited").when(support >= 0.3, "grounded").when(support >= 0.12, "partial").otherwise("unsupported")
-    return joined.select(key, "claim", "text", support.alias("support"), status.alias("status"))
+    return claims.join(best, [key, "claim"], "left").select(key, "claim", "text", support.alias("support"), status.alias("status"))
 
 
 def grounding(answers: DataFrame, context: DataFrame, key: str) -> DataFrame:

@@ -122,3 +122,51 @@ def object_plan(changes: DataFrame, policy: ChangePolicy = ChangePolicy()) -> Da
     made = changes.withColumn("risk", risk).withColumns({"decision": policy.decision(F.col("risk")), "at": at})
     # a schema's changes are few: one ordering over all of them
     return made.withColumn("step", F.row_number().over(Window.orderBy("at", "tbl", "name", F.col("property").asc_nulls_first()))).drop("at")
+
+
+# Names of types and the one they are compared by.
+TYPE_NAMES = {
+    "INT": "INTEGER", "INT4": "INTEGER", "SIGNED INTEGER": "INTEGER", "UNSIGNED INTEGER": "INTEGER", "INT8": "BIGINT", "INT2": "SMALLINT", "BOOL": "BOOLEAN", "CHARACTER VARYING": "VARCHAR", "STRING": "VARCHAR",
+    "DOUBLE PRECISION": "DOUBLE", "FLOAT8": "DOUBLE", "REAL": "FLOAT", "NUMERIC": "DECIMAL", "TIMESTAMP WITHOUT TIME ZONE": "TIMESTAMP", "DATETIME": "TIMESTAMP",
+}
+KEYWORDS = ("onDelete", "onUpdate")
+
+
+def squeezed(c: Column) -> Column:
+    return F.trim(F.regexp_replace(c, r"\s+", " "))
+
+
+def type_name(c: Column) -> Column:
+    """Upper case, single spaces, the usual name; what stands in parentheses stays."""
+    up = F.upper(squeezed(c))
+    base, rest = F.regexp_extract(up, r"^([^(]*?)\s*(?:\(.*\))?$", 1), F.regexp_extract(up, r"(\(.*\))$", 1)
+    return F.concat(F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in TYPE_NAMES.items() for x in kv)), base), base), rest)
+
+
+def default_value(c: Column) -> Column:
+    """Without one outer pair of parentheses; null and NULL are empty; times in upper case, booleans in lower."""
+    bare = squeezed(F.regexp_replace(squeezed(F.coalesce(c, F.lit(""))), r"^\((.*)\)$", "$1"))
+    up = F.upper(bare)
+    return F.when(up == "NULL", "").when(up.isin("CURRENT_TIMESTAMP", "CURRENT_DATE", "CURRENT_TIME"), up).when(up.isin("TRUE", "FALSE"), F.lower(bare)).otherwise(bare)
+
+
+def normalised(objects: DataFrame) -> DataFrame:
+    """A catalog of (object, tbl, name, properties) in the form in which catalogs are compared, and in order: names trimmed, types by their
+    usual name, defaults and keywords as default_value and upper case with _ say, other values with single spaces."""
+    value = lambda k, v: F.when(k == "type", type_name(v)).when(k == "defaultValue", default_value(v)).when(k.isin(*KEYWORDS), F.regexp_replace(F.upper(squeezed(v)), " ", "_")).otherwise(squeezed(v))
+    clean = objects.select("object", squeezed(F.col("tbl")).alias("tbl"), squeezed(F.col("name")).alias("name"), F.transform_values("properties", value).alias("properties"))
+    return clean.orderBy("object", "tbl", "name")
+
+
+HISTORY = "id string, at timestamp, plan_id string, applied_by string, success boolean, dry_run boolean, message string, steps array<struct<step:int,change:string,tbl:string,name:string,risk:string>>"
+
+
+def append_history(record: DataFrame, path: str) -> None:
+    """One record of an applied plan (HISTORY without id) as a line of JSON more; its id is a hash of plan and time."""
+    made = record.withColumn("id", F.concat(F.lit("schema_history_"), F.lower(F.hex(F.xxhash64("plan_id", "at")))))
+    made.select(*(x.split(" ")[0] for x in ("id", "at", "plan_id", "applied_by", "success", "dry_run", "message", "steps"))).coalesce(1).write.mode("append").json(path)
+
+
+def history(spark: SparkSession, path: str) -> DataFrame:
+    """All records, the oldest first."""
+    return spark.read.schema(HISTORY).json(path).orderBy("at", "id")

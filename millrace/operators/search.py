@@ -30,21 +30,17 @@ def idf(n: Column, df: Column) -> Column:
 
 
 def bm25(docs: DataFrame, key: str, text: str, terms: list[str], least: float = 0.1) -> DataFrame:
-    """Scores above `least`. Only the query's terms are joined; lengths are one number per document."""
+    """Scores above `least` of the rows of docs. A row's terms are counted inside it, so nothing is shuffled but one row of statistics."""
     wanted = lambda found: F.filter(found, lambda t: t.isin(*terms))
     parsed = docs.select(key, T.tokens(F.col(text)).alias("t"), T.identifiers(F.col(text)).alias("i"))
-    # each text is parsed once; what is kept of a document is two numbers and its query terms
-    slim = parsed.select(key, F.size("t").alias("words"), F.size("i").alias("names"), wanted(F.col("t")).alias("t"), wanted(F.col("i")).alias("i")).persist()
-    lengths = slim.select(key, (F.col("words") + 2.0 * F.col("names")).alias("len"), (F.col("words") + 3.0 * F.col("names")).alias("weight"))
-    one, two = slim.select(key, F.explode("t").alias("term"), F.lit(1.0).alias("w")), slim.select(key, F.explode("i").alias("term"), F.lit(2.0).alias("w"))
-    whole = lengths.agg(F.count("*").alias("n"), F.avg("weight").alias("avg"))
-    hits = one.unionByName(two).groupBy(key, "term").agg(F.sum("w").alias("tf"))
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    # one row per query term, and one row: both bounded by the query
-    scored = hits.join(F.broadcast(df), "term").join(lengths, key).join(F.broadcast(whole))
-    tf = F.col("tf")
-    part = idf(F.col("n"), F.col("df")) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.col("avg")))
-    return scored.groupBy(key).agg(F.sum(part).alias("score")).filter(F.col("score") > least)
+    slim = parsed.select(key, F.size("t").alias("words"), F.size("i").alias("names"), wanted(F.col("t")).alias("t"), wanted(F.col("i")).alias("i"))
+    count = lambda term: F.size(F.filter("t", lambda x: x == term)) + 2.0 * F.size(F.filter("i", lambda x: x == term))
+    rows = slim.select(key, (F.col("words") + 2.0 * F.col("names")).alias("len"), (F.col("words") + 3.0 * F.col("names")).alias("weight"), *(count(t).alias(f"tf{k}") for k, t in enumerate(terms)))
+    whole = rows.agg(F.count("*").alias("n"), F.avg("weight").alias("avg"), *(F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in range(len(terms))))
+    scored = rows.join(F.broadcast(whole))  # one row
+    part = lambda tf, df: idf(F.col("n"), df) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.col("avg")))
+    score = sum((F.when(F.col(f"tf{k}") > 0, part(F.col(f"tf{k}"), F.col(f"df{k}"))).otherwise(0.0) for k in range(len(terms))), F.lit(0.0))
+    return scored.select(key, score.alias("score")).filter(F.col("score") > least)
 
 
 def nearest(vectors: DataFrame, query: list[float], k: int) -> DataFrame:
@@ -53,36 +49,21 @@ def nearest(vectors: DataFrame, query: list[float], k: int) -> DataFrame:
     return near.orderBy("distance", "vec_id").limit(k).select("vec_id", F.round("distance", 4).alias("distance"), F.round(V.score_of(F.col("distance")), 6).alias("score"))
 
 
-def earlier_duplicates(vectors: DataFrame, least: float = 0.85, every: int = 20, block: int = 2048) -> DataFrame:
-    """For each row of the query set (ids divisible by `every`) the smallest smaller id whose cosine is `least` or more.
+def earlier_duplicates(vectors: DataFrame, least: float = 0.85, asked: DataFrame | None = None, block: int = 1024) -> DataFrame:
+    """For each asked row (all rows by default) the smallest smaller id whose cosine is `least` or more; vec_id, first_id.
 
-    The query set meets all rows in blocks of bounded size, each a matrix product in the tasks.
+    Blocks of asked rows meet blocks of rows in the tasks, each a matrix product; a pair of blocks gives one row an asked one at most.
     """
     import pandas as pd
 
-    spark = vectors.sparkSession
-    asked = vectors.filter((F.col("vec_id") % every == 0) & F.col("embedding").isNotNull()).select("vec_id", "embedding")
-    blocks = -(-asked.count() // block)
-    out = spark.createDataFrame([], "vec_id long, first_id long")
-    for i in range(blocks):
-        part = asked.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == i).toPandas()  # about `block` rows
-        if not len(part):
-            continue
-        ids, matrix = part["vec_id"].to_numpy(), unit(part["embedding"])
-        held = spark.sparkContext.broadcast((ids, matrix))
-
-        def meet(batches, held=held):
-            ids, matrix = held.value
-            for pdf in batches:
-                pdf = pdf[pdf["embedding"].map(lambda v: v is not None and len(v) == matrix.shape[1])]
-                if len(pdf):
-                    hit = (unit(pdf["embedding"]) @ matrix.T >= least - 1e-12) & (pdf["vec_id"].to_numpy()[:, None] < ids[None, :])
-                    some = hit.any(0)
-                    least_id = np.where(hit, pdf["vec_id"].to_numpy()[:, None], np.iinfo(np.int64).max).min(0)
-                    yield pd.DataFrame({"vec_id": ids[some], "first_id": least_id[some]})
-
-        out = out.unionByName(vectors.select("vec_id", "embedding").mapInPandas(meet, "vec_id long, first_id long"))
-    return out.groupBy("vec_id").agg(F.min("first_id").alias("first_id"))
+    def first(ids, values, others, more, same):
+        hit = (unit(values) @ unit(more).T >= least - 1e-12) & (others[None, :] < ids[:, None])
+        some = hit.any(1)
+        lowest = np.where(hit[some], others[None, :], np.iinfo(np.int64).max).min(1) if some.any() else np.zeros(0, np.int64)
+        return pd.DataFrame({"vec_id": ids[some], "first_id": lowest})
+
+    found = met(packed(vectors if asked is None else asked, block), packed(vectors, block), first, "vec_id long, first_id long")
+    return found.groupBy("vec_id").agg(F.min("first_id").alias("first_id"))
 
 
 def packed(vectors: DataFrame, block: int) -> DataFrame:
@@ -230,8 +211,11 @@ def best_of(variants: list[tuple[DataFrame, float]], key: str) -> DataFrame:
     return out.groupBy(key).agg(F.max("score").alias("score"))
 
 
-def answer_score(question: Column, answer: Column, query: str, rank: Column) -> Column:
-    """By rank, at least 0.88 if the answer has the query, 1 if the question has."""
+def answer_score(question: Column, answer: Column, query: str, rank: Column, aliases: Column | None = None) -> Column:
+    """By rank, at least 0.88 if the answer has the query, 0.94 if an alias has, 1 if the question has."""
     base = F.greatest(F.lit(0.35), 0.98 - 0.04 * rank)
     has = lambda c: F.contains(F.lower(c), F.lit(query.lower()))
-    return F.when(has(question), 1.0).when(has(answer), F.greatest(base, F.lit(0.88))).otherwise(base)
+    scored = F.when(has(answer), F.greatest(base, F.lit(0.88))).otherwise(base)
+    if aliases is not None:
+        scored = F.when(F.coalesce(F.exists(aliases, has), F.lit(False)), F.greatest(scored, F.lit(0.94))).otherwise(scored)
+    return F.when(has(question), 1.0).otherwise(scored)

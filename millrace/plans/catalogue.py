@@ -8,8 +8,8 @@ from ..functions import text as T
 from ..functions import vectors as V
 from ..operators import analytics, changes, documents, schemas, search
 from ..streaming import limits
-from . import retrieval_queries  # noqa: F401  registers its queries
-from .registry import NAMES, QUERIES, SQL, TF, TOKENS, query  # noqa: F401
+from . import retrieval_queries, search_queries  # noqa: F401  they register their queries
+from .registry import LIMITED, NAMES, QUERIES, SQL, TF, TOKENS, query  # noqa: F401
 from .table import Policy, Table, from_json, from_url
 
 POLICY = Policy({"orders": ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")}, 10, 25)
@@ -266,7 +266,8 @@ def cosine_scores(c):
 
 @query("SELECT b.vec_id, min(a.vec_id) AS first_id FROM embeddings a JOIN embeddings b ON b.vec_id % 20 = 0 AND a.vec_id < b.vec_id AND list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.5 GROUP BY ALL")
 def semantic_duplicates(c):
-    return search.earlier_duplicates(c.frame("embeddings"), 0.5)
+    vectors = c.frame("embeddings")
+    return search.earlier_duplicates(vectors, 0.5, vectors.filter("vec_id % 20 = 0"))
 
 
 @query("""WITH RECURSIVE e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.5),
@@ -332,14 +333,22 @@ def url_locator(c):
     return c.frame("pages").select("page_id", F.regexp_extract("url", "^[a-z]+://([^/]+)", 1).alias("host"), F.regexp_extract("url", "^[a-z]+://[^/]+([^?#]*)", 1).alias("path"))
 
 
-@query()
-def html_text(c):
-    return c.frame("pages").select("page_id", T.html_title(F.col("html")).alias("title"), T.html_text(F.col("html")).alias("text"))
+def decoded_sql(text):
+    for name, c in (("&nbsp;", "' '"), ("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "chr(34)"), ("&#39;", "chr(39)"), ("&amp;", "'&'")):
+        text = f"replace({text}, '{name}', {c})"
+    return text
 
 
-ENTITIES = "regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)"
-for _name, _c in (("&nbsp;", "' '"), ("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "chr(34)"), ("&#39;", "chr(39)"), ("&amp;", "'&'")):
-    ENTITIES = f"replace({ENTITIES}, '{_name}', {_c})"
+ENTITIES = decoded_sql("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")
+UNSEEN = "(?is)<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>|<title\\b.*?</title\\s*>|<!--.*?-->"
+BREAKS = "(?i)</?(p|div|br|li|ul|ol|h[1-6]|tr|table|article|section|header|footer|nav)\\b[^>]*>"
+BODY = decoded_sql(f"regexp_replace(regexp_replace(regexp_replace(html, '{UNSEEN}', ' ', 'g'), '{BREAKS}', chr(10), 'g'), '<[^>]*>', ' ', 'g')")
+COLLAPSED = "trim(regexp_replace({0}, '[\\x09-\\x0D\\x20]+', ' ', 'g'))"
+
+
+@query(f"SELECT page_id, {COLLAPSED.format(ENTITIES)} AS title, {COLLAPSED.format(ENTITIES)} || chr(10) || chr(10) || array_to_string(list_filter(list_transform(string_split({BODY}, chr(10)), lambda s: {COLLAPSED.format('s')}), lambda s: s <> ''), chr(10)) AS text FROM pages")
+def html_text(c):
+    return c.frame("pages").select("page_id", T.html_title(F.col("html")).alias("title"), T.html_text(F.col("html")).alias("text"))
 
 
 @query(f"SELECT page_id, trim(regexp_replace({ENTITIES}, '[\\x09-\\x0D\\x20]+', ' ', 'g')) AS title FROM pages")
@@ -400,7 +409,13 @@ def delete_rows(c):
     return changes.remove(c.frame("customer"), F.col("c_acctbal") < 0).select("c_custkey")
 
 
-@query()
+PLAN = (("TableAdded", "part", None), ("ColumnAdded", "nation", "n_code"), ("ColumnTypeChanged", "region", "r_regionkey"), ("ColumnOnlyInCurrent", "nation", "n_name"), ("TableOnlyInCurrent", "orders", None))
+PLAN_SQL = ", ".join(f"('{k}', '{t}', {'NULL' if n is None else repr(n)})" for k, t, n in PLAN)
+
+
+@query(f"""WITH d(change, tbl, col) AS (VALUES {PLAN_SQL}), r AS (SELECT *, CASE change WHEN 'TableAdded' THEN 'Safe' WHEN 'ColumnTypeChanged' THEN 'ManualReview' WHEN 'ColumnAdded' THEN 'Warning' ELSE 'Destructive' END AS risk,
+CASE change WHEN 'TableAdded' THEN 10 WHEN 'ColumnAdded' THEN 40 WHEN 'ColumnTypeChanged' THEN 60 WHEN 'ColumnOnlyInCurrent' THEN 200 ELSE 280 END AS place FROM d)
+SELECT change, tbl, col, risk, CASE risk WHEN 'Destructive' THEN 'RequiresConfirmation' WHEN 'ManualReview' THEN 'ManualReviewRequired' ELSE 'Allowed' END AS decision, CAST(row_number() OVER (ORDER BY place, tbl) AS INTEGER) AS step FROM r""")
 def schema_plan(c):
     spark = c.frame("nation").sparkSession
     now = {n: c.frame(n).schema for n in ("nation", "region", "orders")}
@@ -441,7 +456,7 @@ def schema_objects(c):
     return schemas.object_plan(schemas.object_changes(wanted, current)).select("object", "tbl", "name", "change", "property", "risk", "decision")
 
 
-@query()
+@query(f"WITH RECURSIVE {LIMITED} SELECT event_id, user_id, allowed FROM decisions")
 def rate_limit(c):
     return limits.limited(c.frame("events"), "user_id", 1, 20)
 

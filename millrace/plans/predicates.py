@@ -54,8 +54,11 @@ def literal(text: str):
     return text
 
 
-def boolean(text: str, column: Callable[[str], Column]) -> Column:
-    """`a__gt=1 & (b = 'x' | c <= 2.5)`; & binds closer than |."""
+NAME = re.compile(r"[A-Za-z_][\w.]*\Z")
+
+
+def boolean(text: str, column: Callable[[str], Column], known: Callable[[str], bool] = lambda _: False) -> Column:
+    """`a__gt=1 & (b = 'x' | c <= d)`; & binds closer than |. A bare name on the right is a column where `known` says so, else a text."""
     tokens, at = [], 0
     while at < len(text.rstrip()):
         m = TOKEN.match(text, at)
@@ -87,7 +90,8 @@ def boolean(text: str, column: Callable[[str], Column]) -> Column:
         i += 1
         name, sign, value = m.groups()
         path, op = split_lookup(name)
-        return condition(op if sign in "==" and op != "eq" else SIGNS[sign], column(path), literal(value))
+        right = column(value) if NAME.match(value) and known(value) else literal(value)
+        return condition(op if sign in "==" and op != "eq" else SIGNS[sign], column(path), right)
 
     def both() -> Column:
         c = single()

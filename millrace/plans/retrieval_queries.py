@@ -9,7 +9,7 @@ from ..operators import analytics, changes, documents, retrieval
 from ..operators.retrieval import MetadataFilter
 from ..sources import files
 from ..streaming import limits
-from .registry import NAMES, QUESTION_SQL, TF, TOKENS, plain_sql, query
+from .registry import LIMITED, NAMES, QUESTION_SQL, TF, TOKENS, plain_sql, query
 from .table import Table
 
 AXIS = [1.0 if i % 2 == 0 else -0.5 for i in range(64)]
@@ -54,7 +54,7 @@ def token_cost(c):
     return analytics.token_cost(c.frame("conversations"), "role", T.estimated_tokens(F.col("text")))
 
 
-@query()
+@query(f"WITH RECURSIVE {LIMITED} SELECT count(*) AS total, count(*) FILTER (NOT allowed) AS rejected, round(100.0 * count(*) FILTER (NOT allowed) / count(*), 4) AS rejection_rate FROM decisions")
 def limiter_rate(c):
     return analytics.limiter_rate(limits.limited(c.frame("events"), "user_id", 1, 20))
 
@@ -156,9 +156,10 @@ def grounding(c):
     return retrieval.grounding(*answers(c), "item_id")
 
 
-@query(f"""WITH {TF}, d AS (SELECT term, count(*) AS df FROM tf GROUP BY ALL), n AS (SELECT count(*) AS docs FROM documents),
-w AS (SELECT doc_id, unnest({TOKENS}) AS term, length({TOKENS}) AS n FROM documents), q AS (SELECT doc_id, term, n, count(*) AS c FROM w GROUP BY ALL),
-s AS (SELECT doc_id, CAST('0x' || md5(term)[1:2] AS INTEGER) AS slot, sum(c * c / n::DOUBLE * ln(docs / (1.0 + df))) AS w FROM q JOIN d USING (term), n GROUP BY ALL),
+@query(f"""WITH e AS MATERIALIZED (SELECT doc_id, {TOKENS} AS t, {NAMES} AS i FROM documents), n AS (SELECT count(*) AS docs FROM documents),
+d AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(list_concat(t, i))) AS term FROM e) GROUP BY ALL),
+w AS (SELECT doc_id, len(t) AS n, unnest(t) AS term FROM e), q AS MATERIALIZED (SELECT doc_id, n, term, count(*) AS c FROM w GROUP BY ALL),
+s AS MATERIALIZED (SELECT doc_id, CAST('0x' || md5(term)[1:2] AS INTEGER) AS slot, sum(c * c / n::DOUBLE * ln(docs / (1.0 + df))) AS w FROM q JOIN d USING (term), n GROUP BY ALL),
 l AS (SELECT doc_id, sqrt(sum(w * w)) AS norm FROM s GROUP BY ALL) SELECT doc_id, slot, round(w / norm, 5) AS weight FROM s JOIN l USING (doc_id) WHERE norm > 0""")
 def tfidf_embed(c):
     return retrieval.hashed_embeddings(c.frame("documents"), "doc_id", "text").withColumn("weight", F.round("weight", 5))

@@ -2,37 +2,89 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def limited(events: DataFrame, key: str, per_second: int, per_minute: int) -> DataFrame:
-    """Accepted events: under the limit of accepted ones in the last second and the last minute, by key, in time order.
+MINUTE, SECOND = 60_000_000, 1_000_000
 
-    Rejected events don't count, so this is a sequential decision for each key; the state is the accepted times of one minute.
-    """
+
+def decided(times: list[int], minute: list[int], per_second: int, per_minute: int) -> list[bool]:
+    """Which of the sorted times (microseconds) are accepted; minute holds the accepted ones of the last minute and is brought up to date."""
     from collections import deque
 
+    held, out = deque(minute), []
+    for t in times:
+        while held and held[0] <= t - MINUTE:
+            held.popleft()
+        good = len(held) < per_minute and sum(1 for x in held if x > t - SECOND) < per_second
+        if good:
+            held.append(t)
+        out.append(good)
+    minute[:] = held
+    return out
+
+
+def limited(events: DataFrame, key: str, per_second: int, per_minute: int) -> DataFrame:
+    """event_id, key and allowed: under the limit of accepted events in the last second and the last minute, by key, in time order.
+
+    Rejected events don't count, so this is a sequential decision for each key. After a whole clock minute without an event of the key its
+    state is empty, so the key's stretches between such minutes are decided apart; a key without one stays sequential, with a state of
+    at most per_minute times. Events without a key or a time aren't decided: allowed is null.
+    """
     import pandas as pd
 
     def decide(batches):
-        last, minute = None, deque()
+        last, minute = None, []
         for pdf in batches:
             ok = []
-            for k, t in zip(pdf[key].tolist(), pdf["at"].tolist()):
-                if k != last:
-                    last, minute = k, deque()
-                while minute and minute[0] <= t - 60_000_000:
-                    minute.popleft()
-                good = len(minute) < per_minute and sum(1 for x in minute if x > t - 1_000_000) < per_second
-                if good:
-                    minute.append(t)
-                ok.append(good)
+            at = pdf["at"].tolist()
+            keys = list(zip(pdf[key].tolist(), pdf["stretch"].tolist()))
+            i = 0
+            while i < len(keys):
+                j = i
+                while j < len(keys) and keys[j] == keys[i]:
+                    j += 1
+                if keys[i] != last:
+                    last, minute = keys[i], []
+                ok += decided(at[i:j], minute, per_second, per_minute)
+                i = j
             yield pd.DataFrame({"event_id": pdf["event_id"], key: pdf[key], "allowed": ok})
 
     at = F.unix_micros(F.col("ts").cast("timestamp")).alias("at")
-    given = events.filter(F.col(key).isNotNull() & F.col("ts").isNotNull()).select("event_id", F.col(key).cast("long").alias(key), at)
-    return given.repartition(key).sortWithinPartitions(key, "at", "event_id").mapInPandas(decide, f"event_id long, {key} long, allowed boolean")
+    given = events.select("event_id", F.col(key).cast("long").alias(key), at).withColumn("clock", F.floor(F.col("at") / MINUTE))
+    known = given.filter(F.col(key).isNotNull() & F.col("at").isNotNull())
+    by_key = Window.partitionBy(key).orderBy("clock")
+    # a row a key and minute, whatever the number of events
+    minutes = known.select(key, "clock").distinct().withColumn("new", (F.col("clock") - F.lag("clock").over(by_key) > 1).cast("int"))
+    minutes = minutes.select(key, "clock", F.sum(F.coalesce("new", F.lit(0))).over(by_key).alias("stretch"))
+    dealt = known.join(minutes, [key, "clock"]).repartition(key, "stretch").sortWithinPartitions(key, "stretch", "at", "event_id")
+    done = dealt.select("event_id", key, "at", "stretch").mapInPandas(decide, f"event_id long, {key} long, allowed boolean")
+    return done.unionByName(given.filter(F.col(key).isNull() | F.col("at").isNull()).select("event_id", key, F.lit(None).cast("boolean").alias("allowed")))
+
+
+def limited_stream(events: DataFrame, key: str, per_second: int, per_minute: int, late: str = "1 minute") -> DataFrame:
+    """limited() on a stream: each key's accepted times of the last minute are its state, which goes when the watermark has passed it by a minute.
+
+    Events of a key are decided in time order inside a batch, and batches as they come; events behind the watermark are left out.
+    """
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    def decide(group, frames, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        minute = list(state.get[0]) if state.exists else []
+        pdf = pd.concat(list(frames)).sort_values(["at", "event_id"])
+        ok = decided(pdf["at"].tolist(), minute, per_second, per_minute)
+        state.update((minute,))
+        state.setTimeoutTimestamp(int(pdf["at"].max()) // 1000 + MINUTE // 1000)
+        yield pd.DataFrame({"event_id": pdf["event_id"].to_numpy(), key: pdf[key].to_numpy(), "allowed": ok})
+
+    ts = F.col("ts").cast("timestamp").alias("ts")
+    given = events.filter(F.col(key).isNotNull() & F.col("ts").isNotNull()).select("event_id", F.col(key).cast("long").alias(key), ts, F.unix_micros(ts).alias("at")).withWatermark("ts", late)
+    return given.groupBy(key).applyInPandasWithState(decide, f"event_id long, {key} long, allowed boolean", "minute array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
