@@ -30,10 +30,10 @@ TF = f"tf AS (SELECT doc_id, term, sum(w) AS tf FROM (SELECT doc_id, unnest({TOK
 QUESTION_SQL = "[" + ",".join(f"'{w}'" for w in T.QUESTION_WORDS) + "]"
 
 # one event of every user a step, with the accepted times of the last minute
-LIMITED = """e AS MATERIALIZED (SELECT event_id, user_id, epoch_us(ts) AS at, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+LIMITED = """e AS MATERIALIZED (SELECT event_id, user_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
 r AS (SELECT user_id, 0::BIGINT AS k, CAST([] AS BIGINT[]) AS m, NULL::BIGINT AS event_id, NULL::BOOLEAN AS allowed FROM (SELECT DISTINCT user_id FROM e)
-UNION ALL SELECT user_id, k, CASE WHEN ok THEN list_append(m, at) ELSE m END, event_id, ok FROM (SELECT e.user_id, e.k, e.at, e.event_id, list_filter(r.m, lambda x: x > e.at - 60000000) AS m,
-len(list_filter(r.m, lambda x: x > e.at - 60000000)) < 20 AND len(list_filter(r.m, lambda x: x > e.at - 1000000)) < 1 AS ok FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1)),
+UNION ALL SELECT user_id, k, CASE WHEN ok THEN list_append(m, us) ELSE m END, event_id, ok FROM (SELECT e.user_id, e.k, e.us, e.event_id, list_filter(r.m, lambda x: x > e.us - 60000000) AS m,
+len(list_filter(r.m, lambda x: x > e.us - 60000000)) < 20 AND len(list_filter(r.m, lambda x: x > e.us - 1000000)) < 1 AS ok FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1)),
 decisions AS (SELECT event_id, user_id, allowed FROM r WHERE k > 0 UNION ALL SELECT event_id, user_id, NULL FROM events WHERE user_id IS NULL OR ts IS NULL)"""
 
 
