@@ -161,8 +161,11 @@ def evidence(scored: DataFrame, n: int) -> tuple[DataFrame, DataFrame, DataFrame
     return likelihood("declared", "ld"), likelihood("suffix", "ls"), materialise(prior, "hosts")[0], [float(np.log(x)) for x in base]
 
 
-def identify(docs: DataFrame, text: str = "text", declared: str | None = "lang", host: str | None = "source", url: str | None = None) -> DataFrame:
-    """The table with lang_id, posterior and kept (columns of these names are replaced).
+def identify(docs: DataFrame, text: str = "text", declared: str | None = "lang", host: str | None = "source", url: str | None = None, columns: list[str] | None = None) -> DataFrame:
+    """The table (or the named columns of it) with lang_id, posterior and kept (columns of these names are replaced).
+
+    Each text is read twice: to count trigrams, and for its log-likelihoods. Where the text itself isn't asked for, those are written
+    beside the asked columns, once for evidence and result; else the texts are scored again rather than written.
 
     Rejected: a text without a word, a language that stays unknown, or a posterior below LEAST_POSTERIOR. Null text:
     empty; a null declared language, host or address is no evidence; ties go to the first language by name; repeated
@@ -170,12 +173,19 @@ def identify(docs: DataFrame, text: str = "text", declared: str | None = "lang",
     rows; no name of the table's columns can clash with a helper's.
     """
     own = [c for c in docs.columns if c not in ("lang_id", "posterior", "kept")]
+    asked = [c for c in own if columns is None or c in columns]
     given = inputs(docs.select(*(F.col(f"`{c}`") for c in own)), text, declared, host, url)
+    given = given.withColumn("own", F.struct(*(F.col("own")[c].alias(c) for c in asked)))
     model = fit(given)
     n = len(model.languages)
     facts = ["declared", "suffix", "domain", "host"]
-    declared_ll, suffix_ll, priors, base = evidence(score(given, model, facts), n)
-    scored = score(given, model, ["own", "declared", "suffix", "host"])
+    if text in asked:
+        declared_ll, suffix_ll, priors, base = evidence(score(given, model, facts), n)
+        scored = score(given, model, ["own", "declared", "suffix", "host"])
+    else:
+        scored, _ = materialise(score(given, model, ["own", *facts]), "scores")
+        declared_ll, suffix_ll, priors, base = evidence(scored, n)
+        scored = scored.drop("domain")
     for table, key in ((declared_ll, "declared"), (suffix_ll, "suffix"), (priors, "host")):
         scored = join_small(scored, table, key)
     add = lambda x, y: F.zip_with(x, y, lambda p, q: p + q)

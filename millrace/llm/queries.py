@@ -45,7 +45,7 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return identify(table(spark, sf_dir, "documents")).select("doc_id", "lang", "source", "lang_id", "posterior", "kept")
+    return identify(table(spark, sf_dir, "documents"), columns=["doc_id", "lang", "source"])
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,7 +73,7 @@ def langid_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
     pages = table(spark, sf_dir, "pages").select("page_id", "url", F.regexp_extract("html", r'<html[^>]*\blang="([A-Za-z-]+)"', 1).alias("declared"), F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1>", " "), r"<[^>]*>", " ").alias("text"))
-    return identify(pages, declared="declared", host=None, url="url").select("page_id", "declared", "lang_id", "posterior", "kept")
+    return identify(pages, declared="declared", host=None, url="url", columns=["page_id", "declared"])
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
