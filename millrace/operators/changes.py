@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .search import checkpointed
+
 
 def insert(table: DataFrame, rows: DataFrame, key: str | None = None) -> DataFrame:
     """The table and the new rows; missing columns are null. Rows without a `key` get numbers from its greatest one on."""
@@ -19,8 +21,8 @@ def numbered(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     if key not in rows.columns:
         rows = rows.withColumn(key, F.lit(None).cast(kind))
     part = F.shiftright(F.col("_at"), 33)
-    # the numbers come from a written or cached order: monotonic ids don't change while the frame is kept
-    marked = rows.filter(F.col(key).isNull()).withColumn("_at", F.monotonically_increasing_id()).persist()
+    # written, so that a row has the same place when partitions are counted and when rows are numbered
+    marked = checkpointed(rows.filter(F.col(key).isNull()).withColumn("_at", F.monotonically_increasing_id()))
     counts = {r["p"]: r["n"] for r in marked.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}  # a row a partition
     first, upto = {}, 0
     for p in sorted(counts):

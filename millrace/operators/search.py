@@ -96,18 +96,21 @@ def met(a: DataFrame, b: DataFrame, fn, schema: str, once: bool = False) -> Data
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df written to spark.checkpoint.dir, which executors share; a temporary folder only where that is unset."""
+    """df written to spark.checkpoint.dir, which driver and executors share; in local mode a temporary folder where that is unset, a cluster must set it."""
+    import re
     import tempfile
 
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
+        if not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="millrace-"))
     return df.checkpoint()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """From edges (a, b): node and root (the smallest node of its component) of every node; each round halves the way to it at least."""
-    both = edges.union(edges.select("b", "a")).persist()
+    both = checkpointed(edges.union(edges.select("b", "a")))
     state = checkpointed(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("root")))
     while True:
         near = both.join(state.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("low"))
@@ -152,8 +155,9 @@ def similar_classes(vectors: DataFrame, least: float = 0.85, block: int = 1024)
         some = n > 0
         return pd.DataFrame({"a": [*every[some].tolist(), *a], "b": [*every[some].tolist(), *b], "links": [*n[some].tolist(), *[0] * len(a)]})
 
-    blocks = packed(vectors, block).persist()
-    found = met(blocks, blocks, links, "a long, b long, links long", once=True).persist()
+    blocks = checkpointed(packed(vectors, block))
+    found = met(blocks, blocks, links, "a long, b long, links long", once=True)
+    found = checkpointed(found)
     counts = found.filter("links > 0").groupBy(F.col("a").alias("vec_id")).agg(F.sum("links").alias("links"))
     roots = components(found.filter("links = 0").select("a", "b"))
     out = vectors.select("vec_id").join(counts, "vec_id", "left").join(roots, F.col("vec_id") == F.col("node"), "left")
