@@ -436,3 +436,47 @@ MESSY = (
 def schema_normalised(c):
     given = c.frame("nation").sparkSession.createDataFrame(list(MESSY), "object string, tbl string, name string, properties map<string,string>")
     return schemas.normalised(given).select("object", "tbl", "name", F.explode("properties").alias("property", "value"))
+
+
+# --- relations and text functions
+
+
+@query("SELECT o_orderkey, c_mktsegment FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE c_mktsegment = 'BUILDING' AND n_regionkey >= 2")
+def filter_relation(c):
+    return Table.of(c, "orders").filter(customer__c_mktsegment="BUILDING", customer__nation__n_regionkey__gte=2).values("o_orderkey", "customer.c_mktsegment").frame_of()
+
+
+@query("SELECT page_id, array_to_string(list_filter(string_split(lower(regexp_replace(regexp_replace(regexp_replace(url, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g'), '[^A-Za-z0-9]+', ' ', 'g')), ' '), lambda t: length(t) >= 2), ' ') AS terms FROM pages")
+def identifier_parts(c):
+    return c.frame("pages").select("page_id", F.array_join(T.identifier_terms(F.col("url")), " ").alias("terms"))
+
+
+@query("SELECT page_id, CASE WHEN page_id % 2 = 0 THEN '京都,東京' ELSE '水' END AS grams FROM pages")
+def cjk_grams(c):
+    text = F.concat(F.when(F.pmod("page_id", F.lit(2)) == 0, "x東京都 ").otherwise("水-"), F.col("page_id").cast("string"))
+    return c.frame("pages").select("page_id", F.array_join(T.cjk_bigrams(text), ",").alias("grams"))
+
+
+@query("SELECT doc_id, md5(array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda s: trim(s, ' ')), lambda s: s <> ''), chr(10))) AS digest FROM documents")
+def kept_lines(c):
+    return c.frame("documents").select("doc_id", F.md5(T.kept_lines(F.col("text"))).alias("digest"))
+
+
+@query("SELECT conv_id, turn, left(trim(regexp_replace(regexp_replace(text, '[\\x00-\\x08\\x0E-\\x1F\\x7F]', '', 'g'), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'), ' '), 700) AS said FROM conversations")
+def sanitized_turns(c):
+    return c.frame("conversations").select("conv_id", "turn", T.history(F.col("text")).alias("said"))
+
+
+@query("""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), a AS (SELECT *, coalesce(list_position(list_transform(l, lambda s: contains(lower(s), 'that') OR contains(lower(s), 'und')), true), 0) AS at_ FROM l),
+s AS (SELECT *, CASE WHEN at_ > 0 THEN greatest(at_ - 2, 1) ELSE 1 END AS start_, CASE WHEN at_ > 0 THEN at_ + 2 ELSE 20 END AS end_ FROM a)
+SELECT doc_id, md5(array_to_string(list_transform(l[start_ : end_], lambda s, i: printf('%4d | %s', CAST(i + start_ - 1 AS INTEGER), s)), chr(10))) AS digest FROM s""")
+def snippets(c):
+    return c.frame("documents").select("doc_id", F.md5(T.snippet(F.col("text"), ["that", "und"])).alias("digest"))
+
+
+@query("""WITH p AS (SELECT 'T' || item_id % 7 AS title, min(item_id) AS item_id FROM benchmark GROUP BY item_id % 7) SELECT title, 'general' AS category, 'x,y' AS aliases, 'body ' || item_id AS body FROM p""")
+def markdown_sources(c):
+    n = F.col("item_id")
+    content = F.concat(F.lit("---\ntitle: "), F.when(n < 7, "T").otherwise("t"), F.pmod(n, F.lit(7)), F.lit("\naliases: x, ,y\n---\nbody "), n)
+    made = c.frame("benchmark").select(F.concat(F.lit("/in/"), F.lpad(n.cast("string"), 9, "0"), F.lit(".md")).alias("path"), content.alias("content"))
+    return files.markdown_pairs(made).select("title", "category", F.array_join("aliases", ",").alias("aliases"), "body")
