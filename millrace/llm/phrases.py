@@ -125,7 +125,7 @@ def passages(docs: DataFrame, kind: Words) -> tuple[DataFrame, str]:
     met, met_path = materialise(resolved(folded, kind, lambda segments, lo, hi: least_docs(segments, lo, hi, width)), "resolved")
     # a passage whose least document is the stretch's last takes nothing there
     wanted = where.join(met, ["sa", "sb"]).select("chunk", "first", "seg", F.explode(F.filter("found", lambda r: r["m"] < F.col("hi"))).alias("r")).select("chunk", "first", "seg", "r.a", "r.b", "r.m")
-    out = written_by_chunk(wanted, "patterns")
+    out = written_by_chunk(wanted, "patterns", table)
     delete(spark, shared, path, met_path, *paths)
     return table, out
 

@@ -205,9 +205,11 @@ def per_chunk(batches, column: str = "chunk"):
                 yield int(chunk[i]), b.slice(i, j - i)
 
 
-def written_by_chunk(df: DataFrame, tag: str) -> str:
+def written_by_chunk(df: DataFrame, tag: str, table: DataFrame) -> str:
+    """df by the chunks of the text table: a chunk is a partition of its own, so no task gets several that a hash throws together."""
     path = fresh_path(df.sparkSession, tag)
-    df.repartition("chunk").write.option("compression", "zstd").partitionBy("chunk").parquet(path)
+    chunks = (table.agg(F.max("chunk")).first()[0] or 0) + 1
+    df.repartitionById(chunks, "chunk").write.option("compression", "zstd").partitionBy("chunk").parquet(path)
     return path
 
 
@@ -291,7 +293,7 @@ def shared_keys(table: DataFrame, kind: Windows) -> str:
             yield judged(rows)
 
     dealt = map_batches(table.select("chunk", "doc_id", "raw", "copy"), gather, "bucket int, chunk int, low binary, high binary, often binary")
-    return written_by_chunk(map_batches(dealt.repartition(n, "bucket").sortWithinPartitions("bucket"), keep, "chunk int, keys binary"), "keys")
+    return written_by_chunk(map_batches(dealt.repartition(n, "bucket").sortWithinPartitions("bucket"), keep, "chunk int, keys binary"), "keys", table)
 
 
 def segments(table: DataFrame, kind: Windows, shared: str) -> DataFrame:
@@ -426,7 +428,7 @@ def covered(docs: DataFrame, kind: Windows, resolve: Callable) -> tuple[DataFram
     where, folded, paths = meetings(found, kind, "doc_id", "doc_id")
     met, met_path = materialise(resolved(folded, kind, resolve), "resolved")
     hits = where.join(met, ["sa", "sb"]).select("chunk", "row", "start", F.explode(F.filter("found", lambda r: r["m"] < F.col("doc_id"))).alias("r"))
-    out = written_by_chunk(hits.select("chunk", "row", (F.col("start") + F.col("r.a")).alias("a"), (F.col("start") + F.col("r.b")).alias("b")), "covered")
+    out = written_by_chunk(hits.select("chunk", "row", (F.col("start") + F.col("r.a")).alias("a"), (F.col("start") + F.col("r.b")).alias("b")), "covered", table)
     delete(spark, shared, path, met_path, *paths)
     return table, out
 
