@@ -152,7 +152,9 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, keep_id
     """Pack every document; only those longer than `capacity` are cut.
 
     Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids). A null or empty text is the one id
-    END_ID; a null doc_id is carried; repeated rows are packed each; an empty table gives no rows; other columns are ignored.
+    END_ID; a null doc_id is carried; repeated rows are packed each; pieces of equal length (ties) go by task and place in it, which
+    changes their places but not the number of sequences; a very long text is held whole by one task and cut into pieces; an
+    empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
     pieces, _ = materialise(tokenise(docs, tokenizer_path, capacity, keep_ids), "pieces")

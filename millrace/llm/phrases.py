@@ -160,7 +160,7 @@ def remove_passages(docs: DataFrame, width: int = WIDTH, texts: bool = False) ->
     """doc_id, n_words, n_removed, kept_sha256 (and kept, the remaining words).
 
     A word goes if a window of `width` words over it also starts in a document with a smaller doc_id. A null or empty
-    text has no words; a document with a null doc_id neither loses words nor takes any; rows of one doc_id never take
+    text has no words; a document with a null doc_id neither loses words nor takes any; rows of one doc_id (ties) never take
     from each other; a very long text is one stretch's, searched and streamed whole; an empty table gives no rows; other
     columns are ignored.
     """

@@ -124,8 +124,8 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, texts: bool = False) ->
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the remaining bytes).
 
     A byte goes if a `width`-byte string over it also starts in a document with a smaller doc_id. A null or empty text
-    has no bytes; a document with a null doc_id neither loses bytes nor takes any; rows of one doc_id never take from
-    each other; an empty table gives no rows; other columns are ignored.
+    has no bytes; a document with a null doc_id neither loses bytes nor takes any; rows of one doc_id (ties) never take from
+    each other; a very long text is searched in overlapping parts, each of its windows once; an empty table gives no rows; other columns are ignored.
     """
     kind = Bytes(width)
 
