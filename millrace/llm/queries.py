@@ -15,6 +15,7 @@ from .pii import detect
 from .quality import rules
 from .simhash import near_duplicates
 from .suffixes import remove_repeats
+from .turns import damage, repair
 from .warc import read, write
 
 
@@ -68,6 +69,10 @@ def op10_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_passages(table(spark, sf_dir, "documents"))
 
 
+def op13_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair(damage(table(spark, sf_dir, "conversations")))
+
+
 def langid_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of web pages: their text, declared markup language, address and host."""
     from pyspark.sql import functions as F
@@ -79,7 +84,7 @@ def langid_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    own = (op1_pack, op2_media, op3_pii, op4_quality, op5_langid, op6_warc, op7_simhash, op8_suffixes, op9_mixing, op10_phrases, langid_pages)
+    own = (op1_pack, op2_media, op3_pii, op4_quality, op5_langid, op6_warc, op7_simhash, op8_suffixes, op9_mixing, op10_phrases, op13_turns, langid_pages)
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
