@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .alignment import align
 from .langid import identify
 from .media import media_digest
 from .mixing import mix
@@ -25,6 +26,12 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def aligned_paths() -> tuple[str, str]:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -69,6 +76,10 @@ def op10_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_passages(table(spark, sf_dir, "documents"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align(table(spark, sf_dir, "documents"), *aligned_paths())
+
+
 def op13_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair(damage(table(spark, sf_dir, "conversations")))
 
@@ -84,7 +95,7 @@ def langid_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    own = (op1_pack, op2_media, op3_pii, op4_quality, op5_langid, op6_warc, op7_simhash, op8_suffixes, op9_mixing, op10_phrases, op13_turns, langid_pages)
+    own = (op1_pack, op2_media, op3_pii, op4_quality, op5_langid, op6_warc, op7_simhash, op8_suffixes, op9_mixing, op10_phrases, op11_alignment, op13_turns, langid_pages)
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
