@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .alignment import align
 from .langid import identify
+from .lm import score_documents
 from .media import media_digest
 from .mixing import mix
 from .packing import pack
@@ -80,6 +81,10 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align(table(spark, sf_dir, "documents"), *aligned_paths())
 
 
+def op12_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op13_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair(damage(table(spark, sf_dir, "conversations")))
 
@@ -95,7 +100,7 @@ def langid_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    own = (op1_pack, op2_media, op3_pii, op4_quality, op5_langid, op6_warc, op7_simhash, op8_suffixes, op9_mixing, op10_phrases, op11_alignment, op13_turns, langid_pages)
+    own = (op1_pack, op2_media, op3_pii, op4_quality, op5_langid, op6_warc, op7_simhash, op8_suffixes, op9_mixing, op10_phrases, op11_alignment, op12_language_model, op13_turns, langid_pages)
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
