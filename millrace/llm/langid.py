@@ -19,13 +19,13 @@ from .common import join_small, map_batches, materialise, small_batches
 BITS = 13
 #: Trigrams a text counts as at most (neighbouring trigrams aren't independent), pseudo-counts of a parent level.
 EVIDENCE, SMOOTHING = 60.0, 20.0
-#: A language needs so many declared documents, however many there are of others; a document this posterior.
-LEAST_DOCS, LEAST_POSTERIOR = 5, 0.5
-#: Subtags that name no language.
-NO_LANGUAGE = ("und", "mul", "mis", "zxx")
-#: Old and bibliographic codes; the other three-letter codes of two-letter ones come from Java's table.
+#: A document needs this posterior.
+LEAST_POSTERIOR = 0.5
+#: Old and bibliographic codes; the others come from Java's tables.
 OLD_CODES = dict(zip("iw in ji alb arm baq bur chi cze dut fre geo ger gre ice mac mao may per rum slo tib wel".split(), "he id yi sq hy eu my zh cs nl fr ka de el is mk mi ms fa ro sk bo cy".split()))
 UNKNOWN = "und"
+# Subtags that name no single language.
+NO_LANGUAGE = ("und", "mul", "mis", "zxx", "art", "root")
 NO_WORD = re.compile(rb"[0-9@=_/\\]")
 #: Bits that a trigram of an unknown language costs more than an even choice among all buckets.
 UNKNOWN_BITS = 1.5
@@ -48,18 +48,30 @@ def histogram(text: str) -> np.ndarray:
     return np.bincount(buckets(text), minlength=1 << BITS)
 
 
-def shortest_codes(spark) -> dict[str, str]:
-    """The two-letter code of each three-letter one that has it, and of old codes."""
+def languages_of(spark) -> dict[str, str]:
+    """The shortest code of every registered language that Java knows, by its two- and three-letter codes (old ones too) and its English name.
+
+    Some 300 languages, whatever the documents declare: that bounds the model (64 KB a language) wherever it goes.
+    """
     locale = spark._jvm.java.util.Locale
-    codes = [c for c in locale.getISOLanguages() if c not in OLD_CODES]
-    return {locale(c).getISO3Language(): c for c in codes} | OLD_CODES
+    two = [c for c in locale.getISOLanguages() if c not in OLD_CODES]
+    known = {c for x in locale.getAvailableLocales() if re.fullmatch("[a-z]{2,3}", c := x.getLanguage())} - set(OLD_CODES)
+    out = {}
+    for code in sorted(known.union(two), key=lambda c: (-len(c), c)):  # two letters last, so they win
+        here = locale(code)
+        out |= {here.getISO3Language(): code, code: code, here.getDisplayLanguage(locale.ENGLISH).lower(): code}
+    shortest = {k: out.get(v, v) for k, v in out.items()} | OLD_CODES
+    return {k: v for k, v in shortest.items() if k and v not in NO_LANGUAGE}
 
 
 def primary_subtag(declared: Column, spark) -> Column:
-    """The whole primary subtag in its shortest form ("de-AT", "deu": de; "fil": fil); null if it is no code or names no language."""
-    tag = F.regexp_extract(F.lower(F.trim(declared)), "^([a-z]{2,8})(?:[-_].*)?$", 1)
-    short = F.create_map(*(F.lit(x) for pair in shortest_codes(spark).items() for x in pair))
-    return F.when((tag != "") & ~tag.isin(*NO_LANGUAGE), F.coalesce(F.when(F.length(tag) == 2, F.when(tag.isin("iw", "in", "ji"), short[tag]).otherwise(tag)), short[tag], tag))
+    """The primary subtag's language in its shortest form ("de-AT", "deu", "German": de; "fil": fil).
+
+    Null, which is undeclared, for what is no registered language: other words, empty tags, und, mul, mis, zxx, art and private ones.
+    """
+    table = F.create_map(*(F.lit(x) for pair in languages_of(spark).items() for x in pair))
+    tag = F.lower(F.trim(declared))
+    return F.coalesce(F.try_element_at(table, tag), F.try_element_at(table, F.regexp_extract(tag, "^([a-z]{2,3})[-_]", 1)))
 
 
 def inputs(docs: DataFrame, text: str, declared: str | None, host: str | None, url: str | None) -> DataFrame:
@@ -94,25 +106,25 @@ class TextModel:
 
 
 def fit(given: DataFrame) -> TextModel:
-    """Trigram counts by declared language, over all documents; what comes back is 8192 counts a language at most."""
-    declared = given.filter(F.col("declared").isNotNull()).groupBy("declared").agg(F.count("*").alias("n"))
-    languages = sorted(r["declared"] for r in declared.filter(F.col("n") >= LEAST_DOCS).select("declared").collect())
+    """Trigram counts by declared language, over all documents; every declared language has a model, however few documents it has.
+
+    What comes back is 8192 counts a language at most, as Arrow columns; languages are registered ones, so there are some hundreds at most.
+    """
+    languages = sorted(r["declared"] for r in given.filter(F.col("declared").isNotNull()).select("declared").distinct().collect())
     index = {x: i for i, x in enumerate(languages)}
 
     def run(batches):
         counts = np.zeros((len(index), 1 << BITS), np.int64)
         for b in batches:
             for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if lang in index:
-                    counts[index[lang]] += histogram(text)
+                counts[index[lang]] += histogram(text)
         at = np.flatnonzero(counts)
         yield {"at": at, "n": counts.ravel()[at]}
 
-    sums = map_batches(given.select("text", "declared"), run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n"))
-    counts = np.zeros((len(index), 1 << BITS))
-    for r in sums.collect():
-        counts[divmod(r["at"], 1 << BITS)] = r["n"]
-    return TextModel(languages, counts)
+    sums = map_batches(given.filter(F.col("declared").isNotNull()).select("text", "declared"), run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(len(index) << BITS)
+    counts[sums.column("at").to_numpy()] = sums.column("n").to_numpy()
+    return TextModel(languages, counts.reshape(-1, 1 << BITS))
 
 
 def score(given: DataFrame, model: TextModel, keep: list[str]) -> DataFrame:
@@ -120,7 +132,10 @@ def score(given: DataFrame, model: TextModel, keep: list[str]) -> DataFrame:
     import pyarrow as pa
     from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
+    known = given.sparkSession.sparkContext.broadcast(model)
+
     def run(batches):
+        model = known.value
         for b in batches:
             found = [model(t) for t in b.column(0).to_pylist()]
             cols = [*b.columns[1:], pa.array([x for x, _ in found], pa.list_(pa.float64())), pa.array([n for _, n in found], pa.int64())]
@@ -164,6 +179,7 @@ def evidence(scored: DataFrame, n: int) -> tuple[DataFrame, DataFrame, DataFrame
 def identify(docs: DataFrame, text: str = "text", declared: str | None = "lang", host: str | None = "source", url: str | None = None, columns: list[str] | None = None) -> DataFrame:
     """The table (or the named columns of it) with lang_id, posterior and kept (columns of these names are replaced).
 
+    A declared language is one that is registered, by any of its codes or its English name; other tags count as undeclared. Each has a model.
     Each text is read twice: to count trigrams, and for its log-likelihoods. Where the text itself isn't asked for, those are written
     beside the asked columns, once for evidence and result; else the texts are scored again rather than written.
 

@@ -89,11 +89,23 @@ def op13_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair(damage(table(spark, sf_dir, "conversations")))
 
 
+LANG = r"""(?is)<html\b(?:\s[^>]*?)??\s(?:xml:)?lang\s*=\s*(?:"([^">]*)"|'([^'>]*)'|([^\s"'>]+))"""
+
+
 def langid_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Language of web pages: their text, declared markup language, address and host."""
+    """Language of web pages: their text with entities decoded, declared markup language (lang or xml:lang of html, the first of them, in any
+    case, with either quotes or none), address and host.
+
+    A null or empty page has no text and is rejected, as is one of tags alone; equal pages are judged alike unless their addresses differ; a
+    long page is read whole; ties go to the first language by name; an empty table gives no rows.
+    """
     from pyspark.sql import functions as F
 
-    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.regexp_extract("html", r'<html[^>]*\blang="([A-Za-z-]+)"', 1).alias("declared"), F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1>", " "), r"<[^>]*>", " ").alias("text"))
+    from ..functions.text import decoded
+
+    bare = F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " "), r"<[^>]*>", " ")
+    declared = F.concat(*(F.regexp_extract("html", LANG, i) for i in (1, 2, 3)))  # one of the three isn't empty
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", declared.alias("declared"), decoded(bare).alias("text"))
     return identify(pages, declared="declared", host=None, url="url", columns=["page_id", "declared"])
 
 

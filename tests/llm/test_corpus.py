@@ -325,18 +325,68 @@ def test_similar(spark, monkeypatch, block):
 
 
 def test_many_languages(spark):
-    """Each of 60 declared languages keeps its clean documents, however many documents of another there are."""
+    """Each of 200 declared languages keeps its clean documents, however many documents of another there are, and its model has a bounded size."""
     rng = random.Random(4)
-    codes = ["fil", "fi", "haw", "ha", *(a + b for a in "bcdfg" for b in "abcdefghijkl" if a + b not in ("fi",))][:60]
+    registered = langid.languages_of(spark)
+    codes = ["fil", "haw", "fi", "ha", *sorted(set(registered.values()) - {"fil", "haw", "fi", "ha"})][:200]
+    assert len(codes) == 200 and len(set(registered.values())) < 1000
     words = {c: ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 6))) for _ in range(25)] for c in codes}
     given = [(c, f"{c}-XX" if i % 2 else c.upper(), " ".join(rng.choices(words[c], k=40))) for c in codes for i in range(8)]
     given += [("fi", "fin" if i % 2 else "fi", " ".join(rng.choices(words["fi"], k=40))) for i in range(9000)]
-    docs = spark.createDataFrame(given, "truth string, lang string, text string").withColumn("source", langid.F.lit(None).cast("string"))
+    docs = spark.createDataFrame(given, "truth string, lang string, text string").withColumn("source", langid.F.lit(None).cast("string")).repartition(4)
+    model = langid.fit(langid.inputs(docs, "text", "lang", None, None))
+    assert model.by_bucket.nbytes == 201 * 8192 * 8
     out = langid.identify(docs).filter("truth <> 'fi'").collect()
-    assert len(out) == 8 * 59 and all(r["kept"] and r["lang_id"] == r["truth"] for r in out)
+    assert len(out) == 8 * 199 and all(r["kept"] and r["lang_id"] == r["truth"] for r in out)
+
+
+def letters(rng, alphabet, n=60):
+    return " ".join("".join(rng.choice(alphabet) for _ in range(rng.randint(2, 7))) for _ in range(n))
+
+
+def judged(spark, given):
+    docs = spark.createDataFrame([(i, lang, letters(random.Random(i), alphabet)) for i, (lang, alphabet) in enumerate(given)], "doc_id long, lang string, text string")
+    return [(r["lang_id"], r["kept"]) for r in langid.identify(docs.withColumn("source", langid.F.lit("s"))).orderBy("doc_id").collect()]
+
+
+def test_few_documents(spark):
+    """A language of four documents, or of one, is as much a language as one of thirty."""
+    given = [("fi", "abcdefg")] * 30 + [("sv", "hijklmn")] * 30 + [("cs", "opqrst")] * 4 + [("da", "uvwxyz")]
+    assert judged(spark, given) == [(lang, True) for lang, _ in given]
+
+
+def test_junk_tags(spark):
+    """Names and other codes are the language they stand for; what is no language is undeclared, and never a result."""
+    given = [("en", "abcdefg")] * 20 + [("english", "abcdefg")] * 25 + [("ENG", "abcdefg")] * 3 + [("de", "hijklmn")] * 20
+    given += [("unknown", "abcdefg")] * 20 + [("none", "hijklmn")] * 8 + [("zxx", "opqrst"), ("xxx", "opqrst"), ("n/a", "opqrst")] * 4
+    out = judged(spark, given)
+    assert out[:48] == [("en", True)] * 48 and out[48:68] == [("de", True)] * 20
+    assert out[68:88] == [("en", True)] * 20 and out[88:96] == [("de", True)] * 8
+    assert all(lang in ("en", "de", "und") and (lang != "und" or not kept) for lang, kept in out)
 
 
 def test_declared_codes(spark):
-    given = {"en-US": "en", " DE_at ": "de", "deu": "de", "ger": "de", "fil": "fil", "haw": "haw", "iw": "he", "zh-Hant-TW": "zh", "und": None, "": None, "12": None, None: None}
+    given = {"en-US": "en", " DE_at ": "de", "deu": "de", "ger": "de", "German": "de", "english": "en", "fil": "fil", "haw": "haw", "iw": "he", "zh-Hant-TW": "zh", "und": None, "": None, "12": None, None: None}
+    given |= {"unknown": None, "none": None, "xq": None, "x-private": None, "art-lojban": None, "english-speaking": None}
     docs = spark.createDataFrame([(k, "x") for k in given], "lang string, text string")
     assert {r["own"]["lang"]: r["declared"] for r in langid.inputs(docs, "text", "lang", None, None).collect()} == given
+
+
+PAGES = ['<html lang="de">', "<html lang='de'>", "<html lang=de>", '<HTML LANG="de-AT">', '<html xml:lang="de" class="x">', "<html\nclass='y'\n lang = 'de' >", '<!doctype html><html dir="ltr" lang="deu">']
+NO_PAGES = ["<html>", '<html data-lang="de">', '<html hreflang="de">', "<p lang='de'>", "", '<html lang="">', "<htmlx lang='de'>"]
+
+
+def test_declared_pages(spark, tmp_path):
+    """lang in every way of writing it; entities are decoded, so they aren't words."""
+    from millrace.llm import queries
+
+    body = "<p>Wir gehen &quot;heute&quot; &amp; morgen durch den Wald</p><script>var x = 1</script>"
+    rows = [(i, f"http://h{i}.example/", html + body) for i, html in enumerate(PAGES + NO_PAGES)] + [(90, None, None), (91, "x", "<html lang='de'></html>"), (92, "http://a/", "&quot;&amp;")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    out = {r["page_id"]: r for r in queries.langid_pages(spark, str(tmp_path)).collect()}
+    assert len(out) == len(rows)
+    for i in range(len(PAGES)):
+        assert out[i]["declared"].lower()[:2] == "de" and (out[i]["lang_id"], out[i]["kept"]) == ("de", True)
+    for i in range(len(PAGES), len(PAGES + NO_PAGES)):
+        assert not out[i]["declared"]
+    assert not any(out[i]["kept"] for i in (90, 91))

@@ -33,7 +33,7 @@ def plain_grams(text):
 
 def plain_posteriors(items):
     """items: (text, declared language, host, domain, suffix), as cleaned; (language, posterior, kept) of each."""
-    languages = sorted(k for k, n in Counter(x[1] for x in items if x[1]).items() if n >= 5)
+    languages = sorted({x[1] for x in items if x[1]})
     counts = {k: Counter() for k in languages}
     for text, declared, *_ in items:
         if declared in counts:
@@ -100,9 +100,12 @@ def test_posteriors_of_pages(spark, sf):
     items = []
     for r in out:
         page = pages[r["page_id"]]
-        m = re.search(r'<html[^>]*\blang="([A-Za-z-]+)"', page["html"] or "")
-        declared = m[1].lower().split("-")[0] if m else None
-        text = re.sub(r"<[^>]*>", " ", re.sub(r"(?is)<(script|style)\b.*?</\1>", " ", page["html"] or ""))
+        tag = re.search(r"(?is)<html\b([^>]*)>", page["html"] or "")
+        m = re.search(r"""(?is)\s(?:xml:)?lang\s*=\s*["']?([a-z]+)""", tag[1] if tag else "")
+        declared = m[1].lower() if m else None
+        text = re.sub(r"<[^>]*>", " ", re.sub(r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " ", page["html"] or ""))
+        for name, c in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+            text = text.replace(name, c)
         host = (re.match(r"[a-z+]+://([^/:?#]+)", page["url"] or "") or [None, ""])[1].lower()
         code = re.match(r"[a-z+]+://[^/]+/([a-z]{2})(?:/|$)", page["url"] or "")
         end = re.search(r"\.([a-z]{2,})$", host)
