@@ -149,17 +149,25 @@ def match_places(text: Column, term: str) -> Column:
     return F.flatten(F.transform(F.split(text, "\n"), places))
 
 
+def byte_places(raw: Column) -> Column:
+    """1 to the number of bytes; nothing for no bytes."""
+    return F.when(F.octet_length(raw) > 0, F.sequence(F.lit(1), F.octet_length(raw))).otherwise(F.array().cast("array<int>"))
+
+
+def byte_at(raw: Column, place: Column) -> Column:
+    return F.conv(F.hex(F.substring(raw, place, F.lit(1))), 16, 10).cast("int")
+
+
 def shift_add_hash(text: Column, signed: bool = False) -> Column:
-    """h = 33 h + byte modulo 2^64 from 5381 over the UTF-8 bytes, in lowercase hex; for short texts, as it folds over bytes.
+    """h = 33 h + byte modulo 2^64 from 5381 over the UTF-8 bytes, in lowercase hex. It folds over the bytes' places, four bytes each.
 
     signed: bytes over 127 count as negative, as they do where characters are signed; ASCII texts have the same hash either way.
     """
     wide = lambda c: c.cast("decimal(38,0)")
-    codes = F.transform(F.regexp_extract_all(F.hex(F.encode(text, "UTF-8")), F.lit("(..)"), 1), lambda h: F.conv(h, 16, 10).cast("int"))
-    if signed:
-        codes = F.transform(codes, lambda b: F.when(b > 127, b - 256).otherwise(b))
+    raw = F.encode(text, "UTF-8")
+    value = lambda i: byte_at(raw, i) - F.when(byte_at(raw, i) > 127, 256).otherwise(0) if signed else byte_at(raw, i)
     # 2^64 more than needed, so that a negative byte never makes a negative number
-    h = F.aggregate(codes, wide(F.lit(5381)), lambda acc, b: wide((acc * 33 + b + F.expr("18446744073709551616BD")) % F.expr("18446744073709551616BD")))
+    h = F.aggregate(byte_places(raw), wide(F.lit(5381)), lambda acc, i: wide((acc * 33 + value(i) + F.expr("18446744073709551616BD")) % F.expr("18446744073709551616BD")))
     half = F.expr("9223372036854775808BD")
     return F.lower(F.hex(F.when(h >= half, h - F.expr("18446744073709551616BD")).otherwise(h).cast("long")))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .search import checkpointed
+from .shared import written
 
 
 def insert(table: DataFrame, rows: DataFrame, key: str | None = None) -> DataFrame:
@@ -22,7 +22,7 @@ def numbered(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
         rows = rows.withColumn(key, F.lit(None).cast(kind))
     part = F.shiftright(F.col("_at"), 33)
     # written, so that a row has the same place when partitions are counted and when rows are numbered
-    marked = checkpointed(rows.filter(F.col(key).isNull()).withColumn("_at", F.monotonically_increasing_id()))
+    marked = written(rows.filter(F.col(key).isNull()).withColumn("_at", F.monotonically_increasing_id()))
     counts = {r["p"]: r["n"] for r in marked.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}  # a row a partition
     first, upto = {}, 0
     for p in sorted(counts):

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as V
+from . import cells
+from .shared import drop, written
 
 K1, B = 1.5, 0.75
 
@@ -49,152 +51,89 @@ def nearest(vectors: DataFrame, query: list[float], k: int) -> DataFrame:
     return near.orderBy("distance", "vec_id").limit(k).select("vec_id", F.round("distance", 4).alias("distance"), F.round(V.score_of(F.col("distance")), 6).alias("score"))
 
 
-def earlier_duplicates(vectors: DataFrame, least: float = 0.85, asked: DataFrame | None = None, block: int = 1024) -> DataFrame:
+def earlier_duplicates(vectors: DataFrame, least: float = 0.85, asked: DataFrame | None = None, block: int | None = None) -> DataFrame:
     """For each asked row (all rows by default) the smallest smaller id whose cosine is `least` or more; vec_id, first_id.
 
-    Blocks of asked rows meet blocks of rows in the tasks, each a matrix product; a pair of blocks gives one row an asked one at most.
+    Only pairs of blocks meet whose centres and radii leave room for such a cosine; a pair gives one row an asked one at most.
     """
     import pandas as pd
 
-    def first(ids, values, others, more, same):
-        hit = (unit(values) @ unit(more).T >= least - 1e-12) & (others[None, :] < ids[:, None])
-        some = hit.any(1)
-        lowest = np.where(hit[some], others[None, :], np.iinfo(np.int64).max).min(1) if some.any() else np.zeros(0, np.int64)
-        return pd.DataFrame({"vec_id": ids[some], "first_id": lowest})
+    def first(a, b):
+        lowest = np.full(len(a.ids), np.iinfo(np.int64).max)
+        for i, j in cells.above(a, b, least):
+            np.minimum.at(lowest, i, b.ids[j])
+        some = lowest < a.ids
+        yield pd.DataFrame({"vec_id": a.ids[some], "first_id": lowest[some]})
 
-    found = met(packed(vectors if asked is None else asked, block), packed(vectors, block), first, "vec_id long, first_id long")
+    made = written(cells.blocks(vectors, True, block), "blocks")
+    left = made if asked is None else written(cells.blocks(asked, True, block), "blocks")
+    found = cells.met(cells.pairs(cells.summaries(left), cells.summaries(made), reach(least)), left, made, first, "vec_id long, first_id long")
     return found.groupBy("vec_id").agg(F.min("first_id").alias("first_id"))
 
 
-def packed(vectors: DataFrame, block: int) -> DataFrame:
-    """size, part, ids and values: rows of one length in blocks of about `block`, each one row of two arrays of bytes."""
-    import pandas as pd
-
-    given = vectors.filter(F.size("embedding") > 0).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.size("embedding").alias("size"))
-    counts = given.groupBy("size").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
-    dealt = given.join(F.broadcast(counts), "size").withColumn("part", F.pmod(F.xxhash64("vec_id"), "parts").cast("int"))
-
-    def pack(pdf):
-        ids, values = pdf["vec_id"].to_numpy(np.int64), np.stack(pdf["embedding"].to_numpy()).astype(float)
-        return pd.DataFrame({"size": [pdf["size"].iloc[0]], "part": [pdf["part"].iloc[0]], "ids": [ids.tobytes()], "values": [values.tobytes()]})
-
-    return dealt.select("vec_id", "embedding", "size", "part").groupBy("size", "part").applyInPandas(pack, "size int, part int, ids binary, values binary")
-
-
-def met(a: DataFrame, b: DataFrame, fn, schema: str, once: bool = False) -> DataFrame:
-    """fn(ids, values, other ids, other values, same block) of each pair of blocks of one length, a pair a row; once: each pair in one order only."""
-    left, right = (df.select(F.col("size").alias("length"), *(F.col(c).alias(f"{c}_{side}") for c in ("part", "ids", "values"))) for df, side in ((a, "a"), (b, "b")))
-    pairs = left.join(right, "length").filter("part_a <= part_b" if once else "true")
-
-    def run(batches):
-        for pdf in batches:
-            for r in pdf.itertuples():
-                whole = [(np.frombuffer(i, np.int64), np.frombuffer(v).reshape(-1, r.length)) for i, v in ((r.ids_a, r.values_a), (r.ids_b, r.values_b))]
-                yield fn(*whole[0], *whole[1], once and r.part_a == r.part_b)
-
-    return pairs.repartition("part_a", "part_b").mapInPandas(run, schema)
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df written to spark.checkpoint.dir, which driver and executors share; in local mode a temporary folder where that is unset, a cluster must set it."""
-    import re
-    import tempfile
-
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        if not re.match(r"local(\[|$)", context.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="millrace-"))
-    return df.checkpoint()
+def reach(least: float) -> float:
+    """Distance within which vectors of length one have this cosine."""
+    return float(np.sqrt(max(0.0, 2 - 2 * least)))
 
 
 def components(edges: DataFrame) -> DataFrame:
     """From edges (a, b): node and root (the smallest node of its component) of every node; each round halves the way to it at least."""
-    both = checkpointed(edges.union(edges.select("b", "a")))
-    state = checkpointed(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("root")))
+    both = written(edges.union(edges.select("b", "a")).distinct(), "edges")
+    state = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("root")), "roots")
     while True:
         near = both.join(state.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("low"))
         lower = state.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "low").alias("root"))
         jump = lower.select(F.col("node").alias("root"), F.col("root").alias("low"))
-        following = checkpointed(lower.join(jump, "root", "left").select("node", "old", F.coalesce("low", "root").alias("root")))
+        following = written(lower.join(jump, "root", "left").select("node", "old", F.coalesce("low", "root").alias("root")), "roots")
+        drop(state)
         if not following.filter("old <> root").limit(1).count():
+            drop(both)
             return following.select("node", "root")
-        state = following.select("node", "root")
+        state = following
 
 
-def similar_classes(vectors: DataFrame, least: float = 0.85, block: int = 1024) -> DataFrame:
+def similar_classes(vectors: DataFrame, least: float = 0.85, block: int | None = None) -> DataFrame:
     """vec_id, class_id (smallest id reachable over cosines of `least` or more) and links (such rows besides itself), for every row.
 
-    Each pair of blocks is a matrix product in a task, of which only counts and a spanning forest leave. Ids are unique;
-    null, empty and zero vectors link to nothing. Exact, so its time grows with the square of the rows.
+    Pairs of blocks that can't hold such a cosine are ruled out by their centres and radii; each other pair is a matrix product in a task,
+    of which only counts and a spanning forest leave. Ids are unique; null, empty and zero vectors link to nothing. Exact: where the vectors
+    have no clusters, nothing can be ruled out, and time grows with the square of the rows.
     """
     import pandas as pd
 
-    def links(ids, values, others, more, same):
-        hit = unit(values) @ unit(more).T >= least - 1e-12
-        if same:
-            np.fill_diagonal(hit, False)
-        n = np.concatenate((hit.sum(1), [] if same else hit.sum(0))).astype(int)
-        every = ids if same else np.concatenate((ids, others))
-        label, a, b = np.arange(len(every)), [], []
-
-        def join(hit, rows, columns):
-            for i in np.flatnonzero(hit.any(1)):
-                together = np.unique(label[np.concatenate(([i + rows], np.flatnonzero(hit[i]) + columns))])
-                if len(together) > 1:
-                    label[np.isin(label, together)] = together[0]
-                    yield together
-
-        if not same:  # links inside each block leave with that block alone
-            for m, at in ((unit(values), 0), (unit(more), len(ids))):
-                for _ in join(m @ m.T >= least - 1e-12, at, at):
-                    pass
-        for together in join(hit, 0, 0 if same else len(ids)):
-            a += every[together[1:]].tolist()
-            b += [int(every[together[0]])] * (len(together) - 1)
-        some = n > 0
-        return pd.DataFrame({"a": [*every[some].tolist(), *a], "b": [*every[some].tolist(), *b], "links": [*n[some].tolist(), *[0] * len(a)]})
-
-    blocks = checkpointed(packed(vectors, block))
-    found = met(blocks, blocks, links, "a long, b long, links long", once=True)
-    found = checkpointed(found)
+    def links(a, b):
+        same = a.number == b.number
+        shift = 0 if same else len(a.ids)
+        ids = a.ids if same else np.concatenate((a.ids, b.ids))
+        n, label = np.zeros(len(ids), int), np.arange(len(ids))
+        for i, j in cells.above(a, b, least):
+            if same:
+                i, j = i[i != j], j[i != j]
+            n += np.bincount(i, minlength=len(ids))
+            if not same:
+                n += np.bincount(j + shift, minlength=len(ids))
+            cells.united(label, i, j + shift)
+        some, joined = n > 0, label != np.arange(len(ids))
+        yield pd.DataFrame({"a": [*ids[some], *ids[joined]], "b": [*ids[some], *ids[label[joined]]], "links": [*n[some], *np.zeros(joined.sum(), int)]})
+
+    made = written(cells.blocks(vectors, True, block), "blocks")
+    about = cells.summaries(made)
+    found = written(cells.met(cells.pairs(about, about, reach(least), once=True), made, made, links, "a long, b long, links long"), "links")
     counts = found.filter("links > 0").groupBy(F.col("a").alias("vec_id")).agg(F.sum("links").alias("links"))
     roots = components(found.filter("links = 0").select("a", "b"))
     out = vectors.select("vec_id").join(counts, "vec_id", "left").join(roots, F.col("vec_id") == F.col("node"), "left")
+    drop(made)
     return out.select("vec_id", F.coalesce("root", "vec_id").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
 
 
-def nearest_many(vectors: DataFrame, queries: DataFrame, k: int, block: int = 1024) -> DataFrame:
+def nearest_many(vectors: DataFrame, queries: DataFrame, k: int, block: int | None = None) -> DataFrame:
     """query_id, vec_id, rank, distance and score of the k nearest of each query (vec_id, embedding), by squared distance, then vec_id.
 
-    Blocks of queries meet blocks of rows; a task keeps k a query, and the partial tops are merged by query.
+    Each block of queries meets the blocks nearest to it, then those that may hold something nearer than the k found there.
     """
-    import pandas as pd
-    from pyspark.sql import Window
-
-    def tops(asked, values, ids, rows, same):
-        about = (values**2).sum(1)[:, None] + (rows**2).sum(1)[None, :] - 2 * values @ rows.T
-        slack = 1e-9 * (1 + (values**2).sum(1) + (rows**2).sum(1).max())
-        limit = np.partition(about, min(k, len(ids)) - 1, axis=1)[:, min(k, len(ids)) - 1] + slack
-        q, v, d = [], [], []
-        for i, id_ in enumerate(asked.tolist()):
-            at = np.flatnonzero(about[i] <= limit[i])
-            exact = ((rows[at] - values[i]) ** 2).sum(1)  # the product only chooses: equal vectors must tie
-            best = np.lexsort((ids[at], exact))[:k]
-            q += [id_] * len(best)
-            v += ids[at][best].tolist()
-            d += exact[best].tolist()
-        return pd.DataFrame({"query_id": q, "vec_id": v, "distance": d})
-
-    found = met(packed(queries, block), packed(vectors, block), tops, "query_id long, vec_id long, distance double")
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "vec_id"))).filter(F.col("rank") <= k)
-    return ranked.select("query_id", "vec_id", "rank", F.round("distance", 4).alias("distance"), F.round(V.score_of(F.col("distance")), 6).alias("score"))
-
-
-def unit(values) -> np.ndarray:
-    m = np.array([np.asarray(v, float) for v in values])
-    n = np.linalg.norm(m, axis=1, keepdims=True)
-    return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
+    left, right = (written(cells.blocks(df, most=block), "blocks") for df in (queries, vectors))
+    found = cells.ranked(cells.nearest(left, right, cells.summaries(right), k), k)
+    return found.select("query_id", "vec_id", "rank", F.round("distance", 4).alias("distance"), F.round(V.score_of(F.col("distance")), 6).alias("score"))
 
 
 def fused(vector: DataFrame, text: DataFrame, key: str, shares: tuple[float, float] = (0.6, 0.4), least: float = 0.1) -> DataFrame:

@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import vectors as V
+from . import cells
+from .shared import written
+
 VERSION = 1
 
 
@@ -50,6 +54,32 @@ def diagnostics(spark: SparkSession, path: str) -> DataFrame:
     return held.join(F.broadcast(odd))  # one row each
 
 
+def save_cells(vectors: DataFrame, path: str, block: int | None = None) -> None:
+    """An index that a search reads in part: blocks of near vectors in a folder a cell, and a row about each block beside them."""
+    made = cells.blocks(vectors, most=block)
+    made.sortWithinPartitions("cell").write.mode("overwrite").partitionBy("cell").parquet(f"{path}/blocks")
+    held = made.sparkSession.read.parquet(f"{path}/blocks")
+    held.select("block", "size", "cell", "n", "centre", "radius").write.mode("overwrite").parquet(f"{path}/cells")
+
+
+def needed(spark: SparkSession, path: str, pairs: DataFrame) -> DataFrame:
+    """The stored blocks of the pairs' cells: other folders aren't read. As many cells as CENTRES a vector length at most."""
+    about = spark.read.parquet(f"{path}/cells").select(F.col("block").alias("b"), "cell")
+    wanted = sorted(r["cell"] for r in about.join(pairs.select("b").distinct(), "b", "left_semi").select("cell").distinct().collect())
+    return spark.read.parquet(f"{path}/blocks").filter(F.col("cell").isin(wanted))
+
+
+def search_cells(spark: SparkSession, path: str, queries: DataFrame, k: int, probes: int | None = None, block: int | None = None) -> DataFrame:
+    """query_id, vec_id, rank, distance and score of each query's k nearest in a stored index, by squared distance, then vec_id.
+
+    Exact by default. With probes only each query's `probes` nearest blocks are read, and neighbours elsewhere are missed.
+    """
+    left = written(cells.blocks(queries, most=block), "blocks")
+    about = spark.read.parquet(f"{path}/cells")
+    found = cells.nearest(left, None, about, k, probes, lambda pairs: needed(spark, path, pairs))
+    return cells.ranked(found, k).select("query_id", "vec_id", "rank", F.round("distance", 4).alias("distance"), F.round(V.score_of(F.col("distance")), 6).alias("score"))
+
+
 def evaluated(cases: DataFrame, results: DataFrame, k: int = 10) -> DataFrame:
     """(case_id, found, reciprocal): whether the expected key is among the first k results, and one over its rank.
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as V
-from ..operators import analytics, changes, documents, schemas, search
+from ..operators import analytics, changes, documents, schemas, search, shared, vector_index
 from ..streaming import limits
 from . import retrieval_queries, search_queries  # noqa: F401  they register their queries
 from .registry import LIMITED, NAMES, QUERIES, SQL, TF, TOKENS, query  # noqa: F401
@@ -221,16 +221,8 @@ def doc_frequency(c):
     return search.document_frequency(c.frame("documents"), "text")
 
 
-@query(f"WITH {TF}, d AS (SELECT term, count(*) AS df FROM tf GROUP BY ALL) SELECT term, round(ln(((SELECT count(*) FROM documents) - df + 0.5) / (df + 0.5) + 1.0), 6) AS idf FROM d WHERE df >= 20")
-def idf(c):
-    n = c.frame("documents").agg(F.count("*").alias("n"))
-    df = search.document_frequency(c.frame("documents"), "text").filter("df >= 20")
-    return df.join(F.broadcast(n)).select("term", F.round(search.idf(F.col("n"), F.col("df")), 6).alias("idf"))
-
-
 @query(f"WITH {TF}, d AS (SELECT term, count(*) AS df FROM tf GROUP BY ALL) SELECT term, round(ln(((SELECT count(*) FROM documents) - df + 0.5) / (df + 0.5) + 1.0), 6) AS idf FROM d")
-def idf_all(c):
-    """Every term, rare ones too."""
+def idf(c):
     n = c.frame("documents").agg(F.count("*").alias("n"))
     return search.document_frequency(c.frame("documents"), "text").join(F.broadcast(n)).select("term", F.round(search.idf(F.col("n"), F.col("df")), 6).alias("idf"))
 
@@ -279,14 +271,26 @@ def semantic_classes(c):
     return search.similar_classes(c.frame("embeddings"), 0.5)
 
 
-@query("""WITH d AS (SELECT q.vec_id AS query_id, v.vec_id, list_sum(list_transform(list_zip(v.embedding, q.embedding), lambda x: (x[1]::DOUBLE - x[2]::DOUBLE) * (x[1]::DOUBLE - x[2]::DOUBLE))) AS d FROM embeddings q JOIN embeddings v ON q.vec_id % 20 = 0 AND len(q.embedding) = len(v.embedding)),
-r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS INTEGER) AS rank FROM d) SELECT query_id, vec_id, rank, round(d, 4) AS distance, round(1 / (1 + d), 6) AS score FROM r WHERE rank <= 10""")
+KNN_ALL = """WITH d AS (SELECT q.vec_id AS query_id, v.vec_id, list_sum(list_transform(list_zip(v.embedding, q.embedding), lambda x: (x[1]::DOUBLE - x[2]::DOUBLE) * (x[1]::DOUBLE - x[2]::DOUBLE))) AS d FROM embeddings q JOIN embeddings v ON q.vec_id % 20 = 0 AND len(q.embedding) = len(v.embedding)),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS INTEGER) AS rank FROM d) SELECT query_id, vec_id, rank, round(d, 4) AS distance, round(1 / (1 + d), 6) AS score FROM r WHERE rank <= 10"""
+
+
+@query(KNN_ALL)
 def knn_l2_all(c):
     """All queries (ids divisible by 20) against all rows."""
     vectors = c.frame("embeddings")
     return search.nearest_many(vectors, vectors.filter("vec_id % 20 = 0"), 10)
 
 
+@query(KNN_ALL)
+def knn_indexed(c):
+    """The same queries against an index that was stored before: blocks in a folder a cell, read as far as the triangle inequality asks for."""
+    vectors = c.frame("embeddings")
+    path = f"{shared.folder(vectors.sparkSession)}/index-{shared.uuid.uuid4().hex}"
+    vector_index.save_cells(vectors, path)
+    return vector_index.search_cells(vectors.sparkSession, path, vectors.filter("vec_id % 20 = 0"), 10)
+
+
 @query(f"""WITH v AS (SELECT vec_id AS doc_id, 1 / (1 + {DISTANCE}) AS s FROM embeddings), t AS (SELECT doc_id, n_chars / 1000.0 AS s FROM documents WHERE lang = 'en'),
 m AS (SELECT coalesce(v.doc_id, t.doc_id) AS doc_id, 0.6 * coalesce(v.s / (SELECT max(s) FROM v), 0) + 0.4 * coalesce(t.s / (SELECT max(s) FROM t), 0) AS score FROM v FULL JOIN t ON v.doc_id = t.doc_id)
 SELECT doc_id, round(score, 5) AS score FROM m WHERE score >= 0.1""")

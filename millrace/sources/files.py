@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 MOST_BYTES = 4096 * 1024
 # Extensions with their media type and language.
 TYPES = {
@@ -102,12 +104,12 @@ def upload_check(name: Column, mime: Column, size: Column, extensions: list[str]
 
 
 def content_hash(text: Column) -> Column:
-    """FNV-1a of the UTF-8 bytes, 16 hex digits; for short texts, as it folds over bytes."""
+    """FNV-1a of the UTF-8 bytes, 16 hex digits. It folds over the bytes' places, which are four bytes each: a text of 128 KB takes half a MB and some 0.1 s."""
     prime_low = 435  # the prime is 2^40 + 435
-    codes = F.transform(F.regexp_extract_all(F.hex(F.encode(text, "UTF-8")), F.lit("(..)"), 1), lambda h: F.conv(h, 16, 10).cast("long"))
+    raw = F.encode(text, "UTF-8")
 
-    def step(h, b):
-        x = h.bitwiseXOR(b)
+    def step(h, i):
+        x = h.bitwiseXOR(T.byte_at(raw, i).cast("long"))
         # x * (2^40 + 435) modulo 2^64, in signed longs: the shift drops what overflows, the product is taken in two halves
         low, high = x.bitwiseAND(F.lit(0xFFFFFFFF)) * prime_low, F.shiftrightunsigned(x, 32) * prime_low
         carried = F.shiftrightunsigned(low, 32) + high
@@ -119,7 +121,7 @@ def content_hash(text: Column) -> Column:
         top = (F.shiftrightunsigned(product, 62) + F.shiftrightunsigned(shifted, 62) + F.shiftrightunsigned(part, 62)).bitwiseAND(F.lit(3))
         return F.shiftleft(top, 62).bitwiseOR(part.bitwiseAND(F.lit((1 << 62) - 1)))
 
-    return F.lower(F.lpad(F.hex(F.aggregate(codes, F.lit(1469598103934665603).cast("long"), step)), 16, "0"))
+    return F.lower(F.lpad(F.hex(F.aggregate(T.byte_places(raw), F.lit(1469598103934665603).cast("long"), step)), 16, "0"))
 
 
 def memory(spark: SparkSession, rows: list[tuple], schema: str, key: str = "relative_path") -> DataFrame:
