@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from functools import reduce
 
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import vectors as V
 from . import search
+from .shared import drop, written
 
 # Prefixes of the fields in the index, with the weight of a word and of the whole value.
 FIELDS = {"path": ("QPATH", 2, 2), "source": ("QSOURCE", 2, 2), "type": ("QTYPE", 2, 2), "language": ("QLANG", 1, 1)}
@@ -31,45 +33,184 @@ def weighted(prefix: str, terms: Column, weight: int) -> Column:
     return F.transform(terms, lambda t: F.struct(F.lit(prefix).alias("prefix"), t.alias("term"), F.lit(weight).alias("w")))
 
 
-def postings(docs: DataFrame, key: str, text: str, fields: dict[str, str] | None = None, metadata: str | None = None, cjk: bool = False) -> DataFrame:
-    """(prefix, term, key, wdf): terms of the text (prefix ''), and words and whole values of fields and metadata under their prefixes.
+def term_lists(text: str, fields: dict[str, str] | None = None, metadata: str | None = None, cjk: bool = False) -> list[tuple[str, Column, int]]:
+    """(prefix, terms, weight) of a row's text (prefix ''), and of words and whole values of fields and metadata under their prefixes.
 
-    fields: column by the name of its field (those of FIELDS). Word parts of paths and sources stand under WORD_PARTS. Everything is
-    listed inside the row and leaves in one explode; postings of a document are summed before they are shuffled.
+    fields: column by the name of its field (those of FIELDS). Word parts of paths and sources stand under WORD_PARTS.
     """
+    nothing = F.array().cast("array<string>")
     value = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    exact = lambda prefix, v, weight: weighted(prefix, F.when(v != "", F.array(T.safe_term(v))).otherwise(F.array().cast("array<string>")), weight)
-    lists = [weighted("", T.tokens(F.col(text)), 1), weighted("", T.identifiers(F.col(text)), 2)]
+    exact = lambda v: F.when(v != "", F.array(T.safe_term(v))).otherwise(nothing)
+    lists = [("", T.tokens(F.col(text)), 1), ("", T.identifiers(F.col(text)), 2)]
     for name, column in (fields or {}).items():
         prefix, word, whole = FIELDS[name]
-        lists += [weighted(prefix, field_words(value(column)), word), exact(prefix, value(column), whole)]
+        lists += [(prefix, field_words(value(column)), word), (prefix, exact(value(column)), whole)]
         if name in ("path", "source"):
-            lists.append(weighted(WORD_PARTS, T.word_parts(value(column)), 1))
+            lists.append((WORD_PARTS, T.word_parts(value(column)), 1))
     if cjk:
-        lists.append(weighted(CJK, T.cjk_bigrams(F.col(text)), 1))
+        lists.append((CJK, T.cjk_bigrams(F.col(text)), 1))
     if metadata:
         entries = F.filter(F.map_entries(metadata), lambda e: (e["key"] != "") & (e["value"] != ""))
         words = F.flatten(F.transform(entries, lambda e: field_words(F.concat_ws(" ", e["key"], e["value"]))))
         whole = F.flatten(F.transform(entries, lambda e: F.array(T.safe_term(e["key"]), T.safe_term(F.concat(e["key"], F.lit(":"), e["value"])))))
-        lists += [weighted(METADATA, words, 1), weighted(METADATA, whole, 1)]
+        lists += [(METADATA, words, 1), (METADATA, whole, 1)]
         for name, (prefix, word, weight) in KEYS.items():
             held = F.coalesce(F.try_element_at(metadata, F.lit(name)), F.lit(""))
-            lists += ([weighted(prefix, field_words(held), word)] if word else []) + [exact(prefix, held, weight)]
-    each = docs.select(key, F.explode(F.concat(*(F.coalesce(x, F.array().cast("array<struct<prefix:string,term:string,w:int>>")) for x in lists))).alias("x"))
-    return each.groupBy("x.prefix", "x.term", key).agg(F.sum("x.w").alias("wdf"))
+            lists += ([(prefix, field_words(held), word)] if word else []) + [(prefix, exact(held), weight)]
+    return [(prefix, F.coalesce(terms, nothing), weight) for prefix, terms, weight in lists]
 
 
-def store(index: DataFrame, path: str, parts: int | None = None) -> None:
-    """The index as a table by prefix, its terms in ranges: a query's terms are found by partition and by the files' least and greatest terms."""
-    ranged = index.repartitionByRange(parts, "prefix", "term") if parts else index.repartitionByRange("prefix", "term")
-    ranged.sortWithinPartitions("prefix", "term").write.mode("overwrite").partitionBy("prefix").parquet(path)
+def postings(docs: DataFrame, key: str, text: str, fields: dict[str, str] | None = None, metadata: str | None = None, cjk: bool = False, more: tuple[str, ...] = ()) -> DataFrame:
+    """(prefix, term, key, wdf): what term_lists() says, summed. Everything is listed inside the row and leaves in one explode; postings of a
+    document are summed before they are shuffled. more: columns of the row, alike for a key, that its postings keep."""
+    lists = [weighted(*x) for x in term_lists(text, fields, metadata, cjk)]
+    each = docs.select(key, *more, F.explode(F.concat(*lists)).alias("x"))
+    return each.groupBy("x.prefix", "x.term", key, *more).agg(F.sum("x.w").alias("wdf"))
+
+
+def text_length(text: str) -> Column:
+    """What the postings of a row's text sum to."""
+    return F.coalesce(F.size(T.tokens(F.col(text))) + 2 * F.size(T.identifiers(F.col(text))), F.lit(0)).cast("long")
+
+
+def scored(docs: DataFrame, key: str, text: str, pairs: list[tuple[str, str]], fields: dict[str, str] | None = None, metadata: str | None = None, cjk: bool = False) -> DataFrame:
+    """(key, score) as query_index() gives it, where no index is stored: the query's terms are counted inside each row, in one scan.
+
+    The counts, a few numbers a row, are written; statistics and scores come from those. Keys are unique.
+    """
+    lists = term_lists(text, fields, metadata, cjk)
+    of: dict[str, list[str]] = {}
+    for prefix, term in pairs:
+        of.setdefault(prefix, []).append(term)
+    asked = lambda terms, prefix: F.filter(terms, lambda t: t.isin(*of[prefix])) if prefix in of else F.array().cast("array<string>")
+    few = [asked(terms, prefix).alias(f"l{i}") for i, (prefix, terms, _) in enumerate(lists)]
+    size = F.size("t") + 2 * F.size("n")
+    slim = docs.select(key, T.tokens(F.col(text)).alias("t"), T.identifiers(F.col(text)).alias("n"), *few[2:])
+    first = [asked(c, "").alias(f"l{i}") for i, c in enumerate(("t", "n"))]
+    slim = slim.select(key, size.cast("long").alias("len"), *first, *(f"l{i}" for i in range(2, len(lists))))
+    times = lambda i, term: F.size(F.filter(f"l{i}", lambda t: t == term))
+    count = lambda p, term: sum((weight * times(i, term) for i, (prefix, _, weight) in enumerate(lists) if prefix == p), F.lit(0))
+    rows = slim.filter("len > 0").select(key, "len", *(count(p, term).alias(f"w{k}") for k, (p, term) in enumerate(pairs)))
+    rows = written(rows, "counts")
+    names = [f"w{k}" for k in range(len(pairs))]
+    whole = rows.agg(F.count("*").alias("n"), F.avg("len").alias("avg"), *(F.count_if(F.col(w) > 0).alias(f"df{w}") for w in names))
+    parts = [F.when(F.col(w) > 0, impact(F.col(w), F.col("len"), F.col("avg")) * search.idf(F.col("n"), F.col(f"df{w}"))).otherwise(0.0) for w in names]
+    found = rows.filter(reduce(lambda a, b: a | b, (F.col(w) > 0 for w in names), F.lit(False))).join(F.broadcast(whole)).select(key, sum(parts, F.lit(0.0)).alias("score"))
+    most = found.agg(F.max("score").alias("most"))
+    return found.join(F.broadcast(most)).select(key, (F.col("score") / F.col("most")).alias("score"))  # one row each
+
+
+def impact(wdf: Column, length: Column, average: Column) -> Column:
+    """A term's share of a score, before its idf."""
+    return wdf * (search.K1 + 1) / (wdf + search.K1 * (1 - search.B + search.B * length / average))
+
+
+#: Documents of a stretch, in the order in which they are stored; stretches that a search reads first, and how many times as many in each next round.
+STRETCH, FIRST_STRETCHES, MORE_STRETCHES = 256, 64, 16
+
+
+def store(docs: DataFrame, path: str, key: str, text: str, fields: dict[str, str] | None = None, metadata: str | None = None, cjk: bool = False, parts: int | None = None) -> None:
+    """The full-text index as tables: blocks, terms and statistics. Keys are unique; documents whose text has no term aren't in it.
+
+    A block holds the postings of one term in one stretch of documents (STRETCH at most, so no block is large, however common the term) with
+    their lengths, and the most that it can add to a score. Blocks lie in ranges of terms under a folder for each prefix, so a query's terms are
+    found by folder and by the files' least and greatest terms; `terms` is the dictionary, sorted alike.
+    """
+    numbered_ = docs.withColumn("len", text_length(text)).filter("len > 0").withColumn("stretch", F.shiftright(F.monotonically_increasing_id(), STRETCH.bit_length() - 1))
+    index = written(postings(numbered_, key, text, fields, metadata, cjk, ("len", "stretch")), "postings")
+    whole = index.select("stretch", key, "len").distinct().agg(F.count("*").alias("n"), F.avg("len").alias("average"))
+    whole = written(whole, "statistics")
+    part = F.struct(F.col(key).alias("key"), "wdf", "len")
+    blocks = index.join(F.broadcast(whole)).groupBy("prefix", "term", "stretch").agg(F.collect_list(part).alias("postings"), F.max(impact(F.col("wdf"), F.col("len"), F.col("average"))).alias("most"))
+    keys = ("prefix", "term", "stretch")
+    ranged = blocks.repartitionByRange(parts, *keys) if parts else blocks.repartitionByRange(*keys)
+    ranged.sortWithinPartitions(*keys).withColumn("df", F.size("postings")).write.mode("overwrite").partitionBy("prefix").parquet(f"{path}/blocks")
+    kept = stored(index.sparkSession, f"{path}/blocks")
+    terms = kept.groupBy("prefix", "term").agg(F.sum("df").alias("df"), F.max("most").alias("most"), F.count("*").alias("blocks"))
+    terms.repartitionByRange("prefix", "term").sortWithinPartitions("prefix", "term").write.mode("overwrite").parquet(f"{path}/terms")
+    whole.write.mode("overwrite").parquet(f"{path}/statistics")
+    drop(index, whole)
 
 
 def stored(spark: SparkSession, path: str) -> DataFrame:
-    """What store() wrote; the empty prefix comes back as null from its folder's name."""
+    """A table by prefix; the empty prefix comes back as null from its folder's name."""
     return spark.read.parquet(path).withColumn("prefix", F.coalesce(F.col("prefix").cast("string"), F.lit("")))
 
 
+def _wanted(pairs: list[tuple[str, str]]) -> Column:
+    by: dict[str, list[str]] = {}
+    for prefix, term in pairs:
+        by.setdefault(prefix, []).append(term)
+    return reduce(lambda a, b: a | b, ((F.col("prefix") == p) & F.col("term").isin(*t) for p, t in by.items()), F.lit(False))
+
+
+def top(spark: SparkSession, path: str, pairs: list[tuple[str, str]], k: int, read: list | None = None) -> DataFrame:
+    """(key, score): the k best by score, then key, of a stored index; score is over the best one's.
+
+    A stretch's bound is what its blocks can add together. Stretches are read by falling bound, some at first, then more; once the k-th score is
+    above a stretch's bound, neither that nor any after it is read. read: gets the number of stretches read in each round, and of all.
+    """
+    whole = spark.read.parquet(f"{path}/statistics").first()
+    known = spark.read.parquet(f"{path}/terms").filter(_wanted(pairs)).collect()  # a row a query term
+    n, average = (whole["n"], whole["average"]) if whole else (0, 1.0)
+    blocks = stored(spark, f"{path}/blocks").filter(_wanted([(r["prefix"], r["term"]) for r in known]))
+    weight = F.create_map(*(F.lit(x) for r in known for x in (f"{r['prefix']}|{r['term']}", math.log((n - r["df"] + 0.5) / (r["df"] + 0.5) + 1.0)))) if known else F.create_map(F.lit(""), F.lit(0.0))
+    idf = weight[F.concat("prefix", F.lit("|"), "term")]
+    bounds = written(blocks.groupBy("stretch").agg(F.sum(F.col("most") * idf).alias("bound")), "bounds")
+    hits, least, taken, size = None, None, 0, FIRST_STRETCHES
+    ranked = bounds.orderBy(F.desc("bound"), "stretch")
+    all_, done = bounds.count(), None
+    while taken < all_:
+        if taken == 0 or size < 100_000:
+            chosen = ranked.limit(taken + size)
+            chosen = chosen if done is None else chosen.join(done, "stretch", "left_anti")
+        else:  # what is left, however much that is
+            chosen = bounds.join(done, "stretch", "left_anti")
+        if least is not None:
+            chosen = chosen.filter(F.col("bound") >= least - 1e-9)
+        chosen = written(chosen.select("stretch"), "stretches")
+        count = chosen.count()
+        if read is not None:
+            read.append(count)
+        if not count:
+            break
+        few = F.broadcast(chosen) if count <= 100_000 else chosen
+        each = blocks.join(few, "stretch").select(idf.alias("idf"), F.explode("postings").alias("p"))
+        part = impact(F.col("p.wdf"), F.col("p.len"), F.lit(average)) * F.col("idf")
+        found = each.groupBy(F.col("p.key").alias("key")).agg(F.sum(part).alias("score"))
+        hits = written((found if hits is None else found.unionByName(hits)).orderBy(F.desc("score"), "key").limit(k), "hits")
+        last = hits.agg(F.count("*").alias("n"), F.min("score").alias("least"), F.max("score").alias("most")).first()
+        least = last["least"] if last["n"] == k else None
+        done = chosen if done is None else written(done.unionByName(chosen), "stretches")
+        taken, size = taken + size if size < 100_000 else all_, size * MORE_STRETCHES
+    if read is not None:
+        read.append(all_)
+    if hits is None:
+        return spark.createDataFrame([], "key long, score double")
+    return hits.select("key", (F.col("score") / F.lit(last["most"])).alias("score")).orderBy(F.desc("score"), "key")
+
+
+def store_words(docs: DataFrame, path: str, key: str, texts: list[str], parts: int | None = None) -> None:
+    """A dictionary of all words of some columns with the rows that hold them, in sorted ranges: `a*` is a range of it."""
+    words = F.array_distinct(F.filter(prefix_words([F.col(c) for c in texts]), lambda w: w != ""))
+    rows = docs.withColumn("stretch", F.shiftright(F.monotonically_increasing_id(), STRETCH.bit_length() - 1)).select(F.col(key).alias("key"), "stretch", F.explode(words).alias("word"))
+    held = rows.groupBy("word", "stretch").agg(F.collect_list("key").alias("keys"))
+    ranged = held.repartitionByRange(parts, "word", "stretch") if parts else held.repartitionByRange("word", "stretch")
+    ranged.sortWithinPartitions("word", "stretch").write.mode("overwrite").parquet(path)
+
+
+def with_prefixes(spark: SparkSession, path: str, query: str) -> DataFrame:
+    """(key): rows that have a word with each of the query's prefixes. A prefix reads its range of the dictionary; lists are united, then intersected."""
+    terms = list(dict.fromkeys(prefix_terms(query)))
+    held = spark.read.parquet(path)
+    if not terms:
+        return held.select(F.explode("keys").alias("key")).filter("false")
+    some = held.filter(reduce(lambda a, b: a | b, (F.startswith("word", F.lit(t)) for t in terms)))
+    bits = sum((F.when(F.startswith("word", F.lit(t)), F.lit(1 << i)).otherwise(F.lit(0)) for i, t in enumerate(terms)), F.lit(0).cast("long"))
+    each = some.select(bits.alias("bits"), F.explode("keys").alias("key"))
+    return each.groupBy("key").agg(F.bit_or("bits").alias("bits")).filter(F.col("bits") == (1 << len(terms)) - 1).select("key")
+
+
 def query_pairs(query: str, cjk: bool = False) -> list[tuple[str, str]]:
     """(prefix, term) of a query: its widened terms in the text, in paths and in metadata, its word parts, and its CJK pairs."""
     terms = [t for t in T.query_terms(query) if len(t) >= 2]
@@ -81,29 +222,6 @@ def query_pairs(query: str, cjk: bool = False) -> list[tuple[str, str]]:
     return list(dict.fromkeys(pairs))
 
 
-def lengths(index: DataFrame, key: str) -> DataFrame:
-    """Each document's text length in the index: keep it beside a stored one."""
-    return index.filter("prefix = ''").groupBy(key).agg(F.sum("wdf").alias("len"))
-
-
-def query_index(index: DataFrame, sizes: DataFrame, key: str, pairs: list[tuple[str, str]]) -> DataFrame:
-    """(key, score): BM25 of any of the terms over the best one's, so 1 is the best. Only postings of the query's terms are read and joined."""
-    by: dict[str, list[str]] = {}
-    for prefix, term in pairs:
-        by.setdefault(prefix, []).append(term)
-    wanted = reduce(lambda a, b: a | b, ((F.col("prefix") == p) & F.col("term").isin(*t) for p, t in by.items()), F.lit(False))
-    hits = index.filter(wanted)
-    df = hits.groupBy("prefix", "term").agg(F.count("*").alias("df"))
-    whole = sizes.agg(F.count("*").alias("n"), F.avg("len").alias("avg"))
-    # a row a query term, and one row
-    scored = hits.join(F.broadcast(df), ["prefix", "term"]).join(sizes, key).join(F.broadcast(whole))
-    tf = F.col("wdf")
-    part = search.idf(F.col("n"), F.col("df")) * tf * (search.K1 + 1) / (tf + search.K1 * (1 - search.B + search.B * F.col("len") / F.col("avg")))
-    found = scored.groupBy(key).agg(F.sum(part).alias("score"))
-    most = found.agg(F.max("score").alias("most"))
-    return found.join(F.broadcast(most)).select(key, (F.col("score") / F.col("most")).alias("score"))  # one row
-
-
 def first_stage(k: int, filtered: bool = False, factor: int = 3) -> int:
     """Candidates that each side of a fusion gives."""
     return 2 * k * factor * (4 if filtered else 1)
@@ -112,9 +230,9 @@ def first_stage(k: int, filtered: bool = False, factor: int = 3) -> int:
 def hybrid(vectors: DataFrame, query: list[float], texts: DataFrame, key: str, k: int = 10, filtered: bool = False) -> DataFrame:
     """The k best of both sides' candidates by fused score. vectors(vec_id, embedding), texts(key, score)."""
     n = first_stage(k, filtered)
-    near = search.nearest(vectors, query, n).select(F.col("vec_id").alias(key), "score")
-    best = texts.orderBy(F.desc("score"), key).limit(n)
-    return search.fused(near, best, key).withColumn("score", F.round("score", 6)).orderBy(F.desc("score"), key).limit(k)
+    near = written(search.nearest(vectors, query, n).select(F.col("vec_id").alias(key), "score"), "candidates")
+    best_ = written(texts.orderBy(F.desc("score"), key).limit(n), "candidates")
+    return search.fused(near, best_, key).withColumn("score", F.round("score", 6)).orderBy(F.desc("score"), key).limit(k)
 
 
 def prefix_terms(query: str) -> list[str]:
@@ -122,10 +240,13 @@ def prefix_terms(query: str) -> list[str]:
     return [w.lower() for w in re.findall("[A-Za-z0-9_\u0080-\U0010ffff]+", query)]
 
 
+def prefix_words(texts: list[Column]) -> Column:
+    return F.split(F.lower(F.concat_ws(" ", *texts)), r"[^a-z0-9_\x{80}-\x{10FFFF}]+")
+
+
 def has_prefixes(texts: list[Column], query: str) -> Column:
     """Every term of the query begins a word of one of the texts; a query without terms finds nothing."""
-    words = F.split(F.lower(F.concat_ws(" ", *texts)), r"[^a-z0-9_\x{80}-\x{10FFFF}]+")
-    terms = prefix_terms(query)
+    words, terms = prefix_words(texts), prefix_terms(query)
     begun = lambda term: F.exists(words, lambda w: F.startswith(w, F.lit(term)))
     return reduce(lambda a, b: a & b, map(begun, terms), F.lit(bool(terms)))
 

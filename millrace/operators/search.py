@@ -31,17 +31,26 @@ def idf(n: Column, df: Column) -> Column:
     return F.log((n - df + 0.5) / (df + 0.5) + 1.0)
 
 
-def bm25(docs: DataFrame, key: str, text: str, terms: list[str], least: float = 0.1) -> DataFrame:
-    """Scores above `least` of the rows of docs. A row's terms are counted inside it, so nothing is shuffled but one row of statistics."""
+#: What a match at or under the least score counts in a filtered search.
+FILTERED_SCORE = 0.12
+
+
+def bm25(docs: DataFrame, key: str, text: str, terms: list[str], least: float = 0.1, filtered: bool = False) -> DataFrame:
+    """Scores above `least` of the rows of docs; filtered (docs are what a filter left): other rows with a term count FILTERED_SCORE. A row's terms are counted inside it, in one scan; those few numbers are written, and statistics
+    and scores come from them."""
     wanted = lambda found: F.filter(found, lambda t: t.isin(*terms))
     parsed = docs.select(key, T.tokens(F.col(text)).alias("t"), T.identifiers(F.col(text)).alias("i"))
     slim = parsed.select(key, F.size("t").alias("words"), F.size("i").alias("names"), wanted(F.col("t")).alias("t"), wanted(F.col("i")).alias("i"))
     count = lambda term: F.size(F.filter("t", lambda x: x == term)) + 2.0 * F.size(F.filter("i", lambda x: x == term))
     rows = slim.select(key, (F.col("words") + 2.0 * F.col("names")).alias("len"), (F.col("words") + 3.0 * F.col("names")).alias("weight"), *(count(t).alias(f"tf{k}") for k, t in enumerate(terms)))
+    rows = written(rows, "counts")
     whole = rows.agg(F.count("*").alias("n"), F.avg("weight").alias("avg"), *(F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in range(len(terms))))
     scored = rows.join(F.broadcast(whole))  # one row
     part = lambda tf, df: idf(F.col("n"), df) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.col("avg")))
     score = sum((F.when(F.col(f"tf{k}") > 0, part(F.col(f"tf{k}"), F.col(f"df{k}"))).otherwise(0.0) for k in range(len(terms))), F.lit(0.0))
+    if filtered:
+        some = sum((F.col(f"tf{k}") for k in range(len(terms))), F.lit(0.0)) > 0
+        return scored.filter(some).select(key, F.when(score > least, score).otherwise(FILTERED_SCORE).alias("score"))
     return scored.select(key, score.alias("score")).filter(F.col("score") > least)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import analytics, changes, documents, fulltext, schemas, search, vector_index
+from ..operators import analytics, changes, documents, fulltext, schemas, search, shared, vector_index
 from ..sources import files, questions
 from .registry import NAMES, TF, TOKENS, query
 from .table import Field, Policy, Rights, Table, from_json, from_params, from_url, written
@@ -28,25 +28,38 @@ UNION ALL SELECT doc_id, 'QLANG', unnest({FIELD_WORDS.format('lang')}), 1 FROM e
 x AS (SELECT prefix, term, doc_id, CAST(sum(w) AS BIGINT) AS wdf FROM u GROUP BY ALL)"""
 
 
-def index_of(c):
-    return fulltext.postings(c.frame("documents"), "doc_id", "text", {"source": "source", "language": "lang"})
+INDEXED = {"source": "source", "language": "lang"}
 
 
 @query(f"WITH {POSTINGS} SELECT * FROM x")
 def fulltext_index(c):
-    return index_of(c)
+    return fulltext.postings(c.frame("documents"), "doc_id", "text", INDEXED)
 
 
 PAIRS = [("", t) for t in TERMS] + [("QSOURCE", "src1"), ("QLANG", "en"), ("QB", "src1")]
 
 
-@query(f"""WITH {POSTINGS}, l AS (SELECT doc_id, sum(wdf) AS len FROM x WHERE prefix = '' GROUP BY ALL), w AS (SELECT count(*) AS n, avg(len) AS a FROM l),
+SCORED = f"""WITH {POSTINGS}, l AS (SELECT doc_id, sum(wdf) AS len FROM x WHERE prefix = '' GROUP BY ALL), w AS (SELECT count(*) AS n, avg(len) AS a FROM l),
 h AS (SELECT * FROM x WHERE (prefix, term) IN (VALUES {", ".join(f"('{p}', '{t}')" for p, t in PAIRS)})), d AS (SELECT prefix, term, count(*) AS df FROM h GROUP BY ALL),
-s AS (SELECT doc_id, sum(ln((n - df + 0.5) / (df + 0.5) + 1.0) * wdf * 2.5 / (wdf + 1.5 * (0.25 + 0.75 * len / a))) AS score FROM h JOIN d USING (prefix, term) JOIN l USING (doc_id), w GROUP BY doc_id)
-SELECT doc_id, round(score / (SELECT max(score) FROM s), 6) AS score FROM s""")
+s AS (SELECT doc_id, sum(ln((n - df + 0.5) / (df + 0.5) + 1.0) * wdf * 2.5 / (wdf + 1.5 * (0.25 + 0.75 * len / a))) AS score FROM h JOIN d USING (prefix, term) JOIN l USING (doc_id), w GROUP BY doc_id)"""
+
+
+@query(f"{SCORED} SELECT doc_id, round(score / (SELECT max(score) FROM s), 6) AS score FROM s")
 def fulltext_search(c):
-    index = index_of(c)
-    return fulltext.query_index(index, fulltext.lengths(index, "doc_id"), "doc_id", PAIRS).withColumn("score", F.round("score", 6))
+    return fulltext.scored(c.frame("documents"), "doc_id", "text", PAIRS, INDEXED).withColumn("score", F.round("score", 6))
+
+
+def new_folder(c, name):
+    spark = c.frame("documents").sparkSession
+    return spark, f"{shared.folder(spark)}/{name}-{shared.uuid.uuid4().hex}"
+
+
+@query(f"{SCORED} SELECT doc_id, round(score / (SELECT max(score) FROM s), 6) AS score FROM s ORDER BY score DESC, doc_id LIMIT 10")
+def fulltext_top(c):
+    """The ten best from a stored index, of which only blocks are read that may hold one of them."""
+    spark, path = new_folder(c, "fulltext")
+    fulltext.store(c.frame("documents"), path, "doc_id", "text", INDEXED)
+    return fulltext.top(spark, path, PAIRS, 10).select(F.col("key").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
 BM25 = f"""l AS (SELECT doc_id, length({TOKENS}) + 2.0 * length({NAMES}) AS len, length({TOKENS}) + 3.0 * length({NAMES}) AS weight FROM documents),
@@ -85,13 +98,17 @@ def multi_query_rerank(c):
 @query("""WITH w AS (SELECT item_id, regexp_split_to_array(lower(text), '[^a-z0-9_\\x{80}-\\x{10FFFF}]+') AS w FROM benchmark)
 SELECT item_id FROM w WHERE len(list_filter(w, lambda x: starts_with(x, 'th'))) > 0 AND len(list_filter(w, lambda x: starts_with(x, 'an'))) > 0""")
 def prefix_search(c):
-    return c.frame("benchmark").filter(fulltext.has_prefixes([F.col("text")], "Th an")).select("item_id")
+    spark, path = new_folder(c, "words")
+    fulltext.store_words(c.frame("benchmark"), path, "item_id", ["text"])
+    return fulltext.with_prefixes(spark, path, "Th an").select(F.col("key").alias("item_id"))
 
 
 @query("""WITH w AS (SELECT item_id, regexp_split_to_array(lower(text), '[^a-z0-9_\\x{80}-\\x{10FFFF}]+') AS w FROM benchmark)
 SELECT conv_id, turn FROM conversations WHERE turn IN (SELECT item_id FROM w WHERE len(list_filter(w, lambda x: starts_with(x, 'th'))) > 0)""")
 def prefix_subquery(c):
-    found = c.frame("benchmark").filter(fulltext.has_prefixes([F.col("text")], "th")).select("item_id")
+    spark, path = new_folder(c, "words")
+    fulltext.store_words(c.frame("benchmark"), path, "item_id", ["text"])
+    found = fulltext.with_prefixes(spark, path, "th").select(F.col("key").alias("item_id"))
     return c.frame("conversations").join(found, F.col("turn") == F.col("item_id"), "left_semi").select("conv_id", "turn")
 
 

@@ -98,13 +98,15 @@ def test_index(spark, tmp_path):
     held = {(r["prefix"], r["term"], r["doc_id"]): r["wdf"] for r in index.collect()}
     assert held["", "beta", 1] == 2 and held["QPATH", "alphafile", 1] == 2 and held["QB", "alpha", 1] == 1 and held["QPAGE", "3", 1] == 2 and held["QSYMBOL", "run_all", 2] == 7 and held["QCJK", "東京", 2] == 1
     path = f"file://{tmp_path}/index"
-    fulltext.store(index, path, 2)
-    back = fulltext.stored(spark, path)
-    assert {tuple(r) for r in back.select(*index.columns).collect()} == {tuple(r) for r in index.collect()}
-    sizes = fulltext.lengths(back, "doc_id")
-    score = {r["doc_id"]: r["score"] for r in fulltext.query_index(back, sizes, "doc_id", fulltext.query_pairs("alphaFile beta")).collect()}
-    assert score[1] == 1.0 and 0 < score[3] < 1 and 2 not in score
-    assert [r["doc_id"] for r in fulltext.query_index(back, sizes, "doc_id", fulltext.query_pairs("京都", cjk=True)).collect()] == [2]
+    fulltext.store(docs, path, "doc_id", "text", {"path": "path"}, "m", cjk=True, parts=2)
+    back = fulltext.stored(spark, f"{path}/blocks").select("prefix", "term", F.explode("postings").alias("p")).select("prefix", "term", F.col("p.key").alias("doc_id"), F.col("p.wdf").alias("wdf"))
+    assert {tuple(r) for r in back.collect()} == {tuple(r) for r in index.select("prefix", "term", "doc_id", "wdf").collect()}
+    for query, cjk in (("alphaFile beta", False), ("京都", True)):
+        pairs = fulltext.query_pairs(query, cjk)
+        score = {r["key"]: round(r["score"], 9) for r in fulltext.top(spark, path, pairs, 10).collect()}
+        assert score == {r["doc_id"]: round(r["score"], 9) for r in fulltext.scored(docs, "doc_id", "text", pairs, {"path": "path"}, "m", True).collect()}
+        assert (score[1] == 1.0 and 0 < score[3] < 1 and 2 not in score) if not cjk else list(score) == [2]
+    assert fulltext.top(spark, path, [("", "nowhere")], 3).count() == 0
     assert fulltext.prefix_terms("Ab_c, düR!") == ["ab_c", "dür"]
     assert docs.filter(fulltext.has_prefixes([F.col("text")], "gam del")).count() == 1 and docs.filter(fulltext.has_prefixes([F.col("text")], " ?")).count() == 0
 
