@@ -9,14 +9,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import stems as S
 from ..functions import text as T
 from ..functions import vectors as V
 from . import search
 from .shared import drop, written
 
-# Prefixes of the fields in the index, with the weight of a word and of the whole value.
+# Prefixes of the fields in the index, with the weight of a word and of the whole value; of metadata, word parts, CJK pairs and stems.
 FIELDS = {"path": ("QPATH", 2, 2), "source": ("QSOURCE", 2, 2), "type": ("QTYPE", 2, 2), "language": ("QLANG", 1, 1)}
-METADATA, WORD_PARTS, CJK = "QMETA", "QB", "QCJK"
+METADATA, WORD_PARTS, CJK, STEM = "QMETA", "QB", "QCJK", "Z"
 # Metadata keys with a field of their own: prefix, weight of a word (0: no words) and of the whole value.
 KEYS = {"chunk_symbol_name": ("QSYMBOL", 4, 3), "chunk_page": ("QPAGE", 0, 2), "chunk_sheet": ("QSHEET", 3, 2), "chunk_slide": ("QSLIDE", 0, 2)}
 # Weights of a query's variants, and what a rerank by embeddings and by the whole phrase adds.
@@ -33,10 +34,30 @@ def weighted(prefix: str, terms: Column, weight: int) -> Column:
     return F.transform(terms, lambda t: F.struct(F.lit(prefix).alias("prefix"), t.alias("term"), F.lit(weight).alias("w")))
 
 
-def term_lists(text: str, fields: dict[str, str] | None = None, metadata: str | None = None, cjk: bool = False) -> list[tuple[str, Column, int]]:
+def stemmed(text: Column, language: Column) -> Column:
+    """Stems of the words of a text (letters and digits of any script, lower-cased) by the rules of its language; other languages' words are their own."""
+    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}_]+"), lambda w: w != "")
+    out = words
+    for name in S.LANGUAGES:
+        out = F.when(language == name, _stems(words, name)).otherwise(out)
+    return out
+
+
+def _stems(words: Column, language: str) -> Column:
+    return F.transform(words, lambda w: S.stem(w, language))
+
+
+def query_stems(spark: SparkSession, query: str, language: str) -> list[tuple[str, str]]:
+    """(prefix, term) of a query's words as the index has them: by their stems."""
+    found = spark.range(1).select(stemmed(F.lit(query), F.lit(language)).alias("s")).first()["s"]
+    return [(STEM, s) for s in dict.fromkeys(found)]
+
+
+def term_lists(text: str, fields: dict[str, str] | None = None, metadata: str | None = None, cjk: bool = False, language: str | None = None) -> list[tuple[str, Column, int]]:
     """(prefix, terms, weight) of a row's text (prefix ''), and of words and whole values of fields and metadata under their prefixes.
 
-    fields: column by the name of its field (those of FIELDS). Word parts of paths and sources stand under WORD_PARTS.
+    fields: column by the name of its field (those of FIELDS). Word parts of paths and sources stand under WORD_PARTS, with a column of language
+    codes the text's stems under STEM.
     """
     nothing = F.array().cast("array<string>")
     value = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
@@ -49,6 +70,8 @@ def term_lists(text: str, fields: dict[str, str] | None = None, metadata: str |
             lists.append((WORD_PARTS, T.word_parts(value(column)), 1))
     if cjk:
         lists.append((CJK, T.cjk_bigrams(F.col(text)), 1))
+    if language:
+        lists.append((STEM, stemmed(F.col(text), T.stemming_language(F.col(text), F.col(language))), 1))
     if metadata:
         entries = F.filter(F.map_entries(metadata), lambda e: (e["key"] != "") & (e["value"] != ""))
         words = F.flatten(F.transform(entries, lambda e: field_words(F.concat_ws(" ", e["key"], e["value"]))))
@@ -60,10 +83,10 @@ def term_lists(text: str, fields: dict[str, str] | None = None, metadata: str |
     return [(prefix, F.coalesce(terms, nothing), weight) for prefix, terms, weight in lists]
 
 
-def postings(docs: DataFrame, key: str, text: str, fields: dict[str, str] | None = None, metadata: str | None = None, cjk: bool = False, more: tuple[str, ...] = ()) -> DataFrame:
+def postings(docs: DataFrame, key: str, text: str, fields: dict[str, str] | None = None, metadata: str | None = None, cjk: bool = False, language: str | None = None, more: tuple[str, ...] = ()) -> DataFrame:
     """(prefix, term, key, wdf): what term_lists() says, summed. Everything is listed inside the row and leaves in one explode; postings of a
     document are summed before they are shuffled. more: columns of the row, alike for a key, that its postings keep."""
-    lists = [weighted(*x) for x in term_lists(text, fields, metadata, cjk)]
+    lists = [weighted(*x) for x in term_lists(text, fields, metadata, cjk, language)]
     each = docs.select(key, *more, F.explode(F.concat(*lists)).alias("x"))
     return each.groupBy("x.prefix", "x.term", key, *more).agg(F.sum("x.w").alias("wdf"))
 
@@ -73,12 +96,12 @@ def text_length(text: str) -> Column:
     return F.coalesce(F.size(T.tokens(F.col(text))) + 2 * F.size(T.identifiers(F.col(text))), F.lit(0)).cast("long")
 
 
-def scored(docs: DataFrame, key: str, text: str, pairs: list[tuple[str, str]], fields: dict[str, str] | None = None, metadata: str | None = None, cjk: bool = False) -> DataFrame:
-    """(key, score) as query_index() gives it, where no index is stored: the query's terms are counted inside each row, in one scan.
+def scored(docs: DataFrame, key: str, text: str, pairs: list[tuple[str, str]], fields: dict[str, str] | None = None, metadata: str | None = None, cjk: bool = False, language: str | None = None) -> DataFrame:
+    """(key, score): BM25 of any of the terms over the best one's, so 1 is the best, where no index is stored: the query's terms are counted inside each row, in one scan.
 
     The counts, a few numbers a row, are written; statistics and scores come from those. Keys are unique.
     """
-    lists = term_lists(text, fields, metadata, cjk)
+    lists = term_lists(text, fields, metadata, cjk, language)
     of: dict[str, list[str]] = {}
     for prefix, term in pairs:
         of.setdefault(prefix, []).append(term)
@@ -109,7 +132,7 @@ def impact(wdf: Column, length: Column, average: Column) -> Column:
 STRETCH, FIRST_STRETCHES, MORE_STRETCHES = 256, 64, 16
 
 
-def store(docs: DataFrame, path: str, key: str, text: str, fields: dict[str, str] | None = None, metadata: str | None = None, cjk: bool = False, parts: int | None = None) -> None:
+def store(docs: DataFrame, path: str, key: str, text: str, fields: dict[str, str] | None = None, metadata: str | None = None, cjk: bool = False, parts: int | None = None, language: str | None = None) -> None:
     """The full-text index as tables: blocks, terms and statistics. Keys are unique; documents whose text has no term aren't in it.
 
     A block holds the postings of one term in one stretch of documents (STRETCH at most, so no block is large, however common the term) with
@@ -117,7 +140,7 @@ def store(docs: DataFrame, path: str, key: str, text: str, fields: dict[str, str
     found by folder and by the files' least and greatest terms; `terms` is the dictionary, sorted alike.
     """
     numbered_ = docs.withColumn("len", text_length(text)).filter("len > 0").withColumn("stretch", F.shiftright(F.monotonically_increasing_id(), STRETCH.bit_length() - 1))
-    index = written(postings(numbered_, key, text, fields, metadata, cjk, ("len", "stretch")), "postings")
+    index = written(postings(numbered_, key, text, fields, metadata, cjk, language, ("len", "stretch")), "postings")
     whole = index.select("stretch", key, "len").distinct().agg(F.count("*").alias("n"), F.avg("len").alias("average"))
     whole = written(whole, "statistics")
     part = F.struct(F.col(key).alias("key"), "wdf", "len")

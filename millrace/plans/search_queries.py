@@ -62,6 +62,15 @@ def fulltext_top(c):
     return fulltext.top(spark, path, PAIRS, 10).select(F.col("key").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
+@query()
+def fulltext_stems(c):
+    """The ten best by stems from a stored index; a test counts the stems of every text."""
+    spark, path = new_folder(c, "stems")
+    fulltext.store(c.frame("documents"), path, "doc_id", "text", language="lang")
+    pairs = fulltext.query_stems(spark, "sheing thation onander", "english")
+    return fulltext.top(spark, path, pairs, 10).select(F.col("key").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
 BM25 = f"""l AS (SELECT doc_id, length({TOKENS}) + 2.0 * length({NAMES}) AS len, length({TOKENS}) + 3.0 * length({NAMES}) AS weight FROM documents),
 w AS (SELECT count(*) AS n, avg(weight) AS a FROM l), h AS (SELECT * FROM tf WHERE term IN {TERMS_SQL}), d AS (SELECT term, count(*) AS df FROM h GROUP BY ALL),
 b AS (SELECT doc_id, sum(ln((n - df + 0.5) / (df + 0.5) + 1.0) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / a))) AS score FROM h JOIN d USING (term) JOIN l USING (doc_id), w GROUP BY doc_id)"""
