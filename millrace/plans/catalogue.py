@@ -465,6 +465,31 @@ def rate_limit(c):
     return limits.limited(c.frame("events"), "user_id", 1, 20)
 
 
+CASCADE = (limits.Stage("global_second", 1, limits.SECOND, False), limits.Stage("global_minute", 1, limits.MINUTE, False), limits.Stage("key_hour", 1, 60 * limits.MINUTE, True), limits.Stage("key_day", 3, 1440 * limits.MINUTE, True))
+
+
+def stage_sql(i: int, name: str, limit: int, window: int, keyed: bool) -> str:
+    """p{i + 1}: what passes stage i of p{i}; r{i}: the decisions. Stretches between empty windows go side by side, an event a step."""
+    own = "key, " if keyed else ""
+    by = "PARTITION BY key ORDER BY" if keyed else "ORDER BY"
+    return f"""o{i} AS MATERIALIZED (SELECT event_id, key, us, dense_rank() OVER (ORDER BY {own}stretch) AS s, row_number() OVER (PARTITION BY {own}stretch ORDER BY us, event_id) AS k
+FROM (SELECT *, sum(new) OVER ({by} us, event_id) AS stretch FROM (SELECT *, CASE WHEN us // {window} - lag(us // {window}) OVER ({by} us, event_id) > 1 THEN 1 ELSE 0 END AS new FROM p{i}))),
+r{i} AS (SELECT s, 0::BIGINT AS k, CAST([] AS BIGINT[]) AS held, NULL::BIGINT AS event_id, NULL::BIGINT AS key, NULL::BIGINT AS us, NULL::BOOLEAN AS ok FROM (SELECT DISTINCT s FROM o{i})
+UNION ALL SELECT s, k, CASE WHEN ok THEN list_append(held, us) ELSE held END, event_id, key, us, ok FROM
+(SELECT o.s, o.k, list_filter(r.held, lambda x: x >= o.us - {window}) AS held, o.event_id, o.key, o.us, len(list_filter(r.held, lambda x: x >= o.us - {window})) < {limit} AS ok FROM r{i} r JOIN o{i} o ON o.s = r.s AND o.k = r.k + 1)),
+p{i + 1} AS MATERIALIZED (SELECT event_id, key, us FROM r{i} WHERE k > 0 AND ok)"""
+
+
+CASCADE_SQL = "p0 AS MATERIALIZED (SELECT event_id, user_id AS key, epoch_us(ts) AS us FROM events),\n" + ",\n".join(stage_sql(i, x.name, x.limit, x.window, x.keyed) for i, x in enumerate(CASCADE))
+CASCADE_ROWS = " UNION ALL ".join([*(f"SELECT event_id, key AS user_id, '{x.name}' AS decision FROM r{i} WHERE k > 0 AND NOT ok" for i, x in enumerate(CASCADE)), f"SELECT event_id, key, 'allowed' FROM p{len(CASCADE)}"])
+
+
+@query(f"WITH RECURSIVE {CASCADE_SQL} {CASCADE_ROWS}")
+def rate_cascade(c):
+    """Limits of all events, then of each user; an event that a user's limit rejects has cost the others."""
+    return limits.cascaded(c.frame("events"), "user_id", CASCADE)
+
+
 @query("SELECT date_trunc('hour', ts) AS start_at, event_type, count(*) AS n FROM events GROUP BY ALL")
 def windowed_counts(c):
     return limits.windowed_counts(c.frame("events")).select(F.col("start").cast("timestamp_ntz").alias("start_at"), "event_type", "n")

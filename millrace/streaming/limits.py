@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+from collections import deque
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.shared import written
 
 MINUTE, SECOND = 60_000_000, 1_000_000
 
 
 def decided(times: list[int], minute: list[int], per_second: int, per_minute: int) -> list[bool]:
     """Which of the sorted times (microseconds) are accepted; minute holds the accepted ones of the last minute and is brought up to date."""
-    from collections import deque
-
     held, out = deque(minute), []
     for t in times:
         while held and held[0] <= t - MINUTE:
@@ -87,6 +89,91 @@ def limited_stream(events: DataFrame, key: str, per_second: int, per_minute: int
     return given.groupBy(key).applyInPandasWithState(decide, f"event_id long, {key} long, allowed boolean", "minute array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+@dataclass(frozen=True)
+class Stage:
+    """At most `limit` events within `window` microseconds, of all events or by key; an event just a window old still counts."""
+
+    name: str
+    limit: int
+    window: int
+    keyed: bool
+
+
+#: Limits of all events, then by key, as they are unless one says otherwise.
+STAGES = (Stage("global_second", 10, SECOND, False), Stage("global_minute", 100, MINUTE, False), Stage("key_second", 2, SECOND, True), Stage("key_minute", 30, MINUTE, True))
+
+
+def passed(times: list[int], held: deque, limit: int, window: int) -> list[bool]:
+    """Which of the sorted times a stage lets pass; held has the last `limit` times that it let pass, and is brought up to date."""
+    out = []
+    for t in times:
+        # the limit-th last one that passed lies outside the window: then fewer than limit lie inside
+        ok = limit > 0 and (len(held) < limit or held[0] < t - window)
+        if ok:
+            if len(held) == limit:
+                held.popleft()
+            held.append(t)
+        out.append(ok)
+    return out
+
+
+def _stage(given: DataFrame, stage: Stage) -> DataFrame:
+    """event_id, key, at and ok of the events (event_id, key, at) that reach a stage.
+
+    A stage's sequence (of all events, or of a key) is cut wherever a whole clock window is empty, as its state is empty there. What is between two
+    such windows is decided in order by one task, with a state of `limit` times: for the first stage those are all events of a stretch without
+    a free window, for later ones only what earlier ones let pass, so many a window at most, however many events there are.
+    """
+    import pandas as pd
+
+    keys = ["key"] if stage.keyed else []
+    clocked = given.withColumn("clock", F.floor(F.col("at") / stage.window))
+    # a row a window in use (and key): as many as the time span has windows, whatever the number of events
+    used = clocked.select(*keys, "clock").distinct()
+    in_order = Window.partitionBy(*keys).orderBy("clock")
+    used = used.withColumn("new", (F.col("clock") - F.lag("clock").over(in_order) > 1).cast("int"))
+    used = used.select(*keys, "clock", F.sum(F.coalesce("new", F.lit(0))).over(in_order).alias("stretch"))
+    dealt = clocked.join(used, [*keys, "clock"]).select("event_id", "key", "at", "stretch").repartition(*keys, "stretch").sortWithinPartitions(*keys, "stretch", "at", "event_id")
+
+    def decide(batches):
+        last, held = None, deque()
+        for pdf in batches:
+            ok, at = [], pdf["at"].tolist()
+            groups = list(zip(pdf["key"].tolist(), pdf["stretch"].tolist())) if stage.keyed else pdf["stretch"].tolist()
+            i = 0
+            while i < len(groups):
+                j = i
+                while j < len(groups) and groups[j] == groups[i]:
+                    j += 1
+                if groups[i] != last:
+                    last, held = groups[i], deque()
+                ok += passed(at[i:j], held, stage.limit, stage.window)
+                i = j
+            yield pdf[["event_id", "key", "at"]].assign(ok=ok)
+
+    return dealt.mapInPandas(decide, "event_id long, key long, at long, ok boolean")
+
+
+def cascaded(events: DataFrame, key: str, stages: tuple[Stage, ...] = STAGES, free: tuple[int, ...] = ()) -> DataFrame:
+    """event_id, key and decision: allowed, or the name of the first stage that an event doesn't pass.
+
+    Every stage counts what passes it, though a later stage may reject it. Events of a key in `free` are allowed and counted nowhere; events
+    without a key meet only the stages of all events; those without a time aren't decided (null). Events of equal time go by event_id.
+    """
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    given = written(events.select("event_id", F.col(key).cast("long").alias("key"), at.alias("at")), "events")
+    apart = F.col("at").isNull() | F.coalesce(F.col("key").isin(*free), F.lit(False)) if free else F.col("at").isNull()
+    out = given.filter(apart).select("event_id", "key", F.when(F.col("at").isNotNull(), "allowed").alias("decision"))
+    left = given.filter(~apart)
+    for stage in stages:
+        meets = left.filter(F.col("key").isNotNull()) if stage.keyed else left
+        done = written(_stage(meets, stage), "stage")
+        out = out.unionByName(done.filter("NOT ok").select("event_id", "key", F.lit(stage.name).alias("decision")))
+        others = left.filter(F.col("key").isNull()) if stage.keyed else left.filter("false")
+        left = done.filter("ok").drop("ok").unionByName(others)
+    return out.unionByName(left.select("event_id", "key", F.lit("allowed").alias("decision"))).withColumnRenamed("key", key)
+
+
 def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Counts by window and kind; on a stream, late events are dropped after the watermark."""
     at = events.withColumn("at", F.col("ts").cast("timestamp"))

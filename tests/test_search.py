@@ -225,6 +225,34 @@ def test_limits_with_gaps(spark):
     assert got[900] is None and got[901] is None and len(got) == 402
 
 
+def test_cascade(spark):
+    """Four counters one after the other over crowded and thin stretches, equal times, a free key, missing keys and times."""
+    import random
+    from collections import defaultdict
+
+    rng = random.Random(9)
+    rows, t = [], 0
+    for i in range(1500):
+        t += rng.choice([0, 0, 50_000, 100_000, 100_000, 1_000_000, 1_000_000, 3_000_000] if i % 300 < 280 else [61_000_000, 130_000_000])
+        rows.append((i, rng.choice([0, 0, 1, 2, 7, None]), t))
+    given = spark.createDataFrame([*rows, (9000, 1, None)], "event_id long, user_id long, t long").select("event_id", "user_id", F.timestamp_micros("t").alias("ts")).repartition(5)
+    for stages in (limits.STAGES, (limits.Stage("a", 3, 1_000_000, False), limits.Stage("b", 20, 60_000_000, False), limits.Stage("c", 1, 1_000_000, True), limits.Stage("d", 4, 60_000_000, True))):
+        held, expected = defaultdict(list), {9000: None}
+        for i, user, at in sorted(rows, key=lambda r: (r[2], r[0])):
+            verdict = "allowed"
+            for s in stages if user != 7 else ():
+                if s.keyed and user is None:
+                    continue
+                state = held[s.name, user if s.keyed else None]
+                if sum(x >= at - s.window for x in state) >= s.limit:
+                    verdict = s.name
+                    break
+                state.append(at)
+            expected[i] = verdict
+        got = {r["event_id"]: r["decision"] for r in limits.cascaded(given, "user_id", stages, free=(7,)).collect()}
+        assert got == expected and len(set(got.values())) > 4
+
+
 def test_limits_stream(spark, tmp_path):
     ev = spark.sql("SELECT id AS event_id, id % 2 AS user_id, timestamp '2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, id * 0.2) AS ts FROM range(40)")
     ev.filter("event_id < 20").coalesce(1).write.parquet(f"{tmp_path}/in/a")
