@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .selection import at_ranks
+
 
 def counters(log: DataFrame, answered: Column, ms: Column) -> DataFrame:
     n, a = F.count("*"), F.count_if(answered)
@@ -12,13 +14,9 @@ def counters(log: DataFrame, answered: Column, ms: Column) -> DataFrame:
 
 
 def median(log: DataFrame, ms: Column) -> DataFrame:
-    """The middle value; of an even number the integer half of the two middle ones' sum. Counts by value, so no sort of the log."""
-    values = log.select(ms.cast("long").alias("v")).filter("v is not null").groupBy("v").agg(F.count("*").alias("n"))
-    # distinct whole milliseconds: few rows, whatever the log
-    ranked = values.select("v", "n", F.sum("n").over(Window.orderBy("v")).alias("upto"), F.sum("n").over(Window.partitionBy()).alias("all"))
-    low = F.min(F.when(F.col("upto") >= F.floor((F.col("all") + 1) / 2), F.col("v")))
-    high = F.min(F.when(F.col("upto") >= F.floor(F.col("all") / 2) + 1, F.col("v")))
-    return ranked.agg(F.floor((low + high) / 2).cast("long").alias("median_ms"))
+    """The middle value; of an even number the integer half of the two middle ones' sum."""
+    middle = at_ranks(log, ms.cast("long"), [], {"low": lambda n: F.floor((n + 1) / 2) - 1, "high": lambda n: F.floor(n / 2)})
+    return middle.select(F.floor((F.col("low") + F.col("high")) / 2).cast("long").alias("median_ms"))
 
 
 def top(log: DataFrame, key: str, n: int = 20) -> DataFrame:
@@ -109,13 +107,14 @@ def summary(log: DataFrame, value: Column) -> DataFrame:
 
 
 def load_test(log: DataFrame, key: str, value: Column) -> DataFrame:
-    """Per key least, most, mean and the values at ranks n // 2 and n p // 100, to two decimals. Counts by value, so a hot key isn't sorted whole."""
-    counts = log.select(key, F.round(value, 2).alias("v")).filter("v is not null").groupBy(key, "v").agg(F.count("*").alias("n"))
-    # distinct values of two decimals: bounded by their range, whatever the log
-    ranked = counts.withColumn("upto", F.sum("n").over(Window.partitionBy(key).orderBy("v"))).withColumn("all", F.sum("n").over(Window.partitionBy(key)))
-    at = lambda p: F.min(F.when(F.col("upto") > F.floor(F.col("all") * p / 100), F.col("v")))
-    mean = F.round(F.sum(F.col("v") * F.col("n")) / F.sum("n"), 2)
-    return ranked.groupBy(key).agg(F.min("v").alias("least"), F.max("v").alias("most"), mean.alias("mean"), at(50).alias("median"), at(90).alias("p90"), at(95).alias("p95"), at(99).alias("p99"))
+    """Per key least, most, mean and the values at ranks n // 2 and n p // 100, to two decimals."""
+    rows = log.select(key, F.round(value, 2).alias("v")).filter("v is not null")
+    whole = rows.groupBy(key).agg(F.min("v").alias("least"), F.max("v").alias("most"), F.round(F.avg("v"), 2).alias("mean"))
+    return whole.join(at_ranks(rows, F.col("v"), [key], {name: _share(p) for name, p in (("median", 50), ("p90", 90), ("p95", 95), ("p99", 99))}), key)
+
+
+def _share(percent: int):
+    return lambda n: F.floor(n * percent / 100)
 
 
 def token_cost(rows: DataFrame, key: str, tokens: Column, per_thousand: float = 0.01) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as V
-from ..operators import analytics, changes, documents, schemas, search, shared, vector_index
+from ..operators import analytics, changes, documents, keyed, schemas, search, shared, vector_index
 from ..streaming import limits
 from . import retrieval_queries, search_queries  # noqa: F401  they register their queries
 from .registry import LIMITED, NAMES, QUERIES, SQL, TF, TOKENS, query  # noqa: F401
@@ -392,6 +392,18 @@ def upsert(c):
     return changes.upsert(old, new, "doc_id")
 
 
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 50 = 7 THEN 'seven' ELSE o_orderstatus END AS o_orderstatus FROM orders WHERE o_orderkey % 50 <> 8 UNION ALL SELECT -o_orderkey, 'new' FROM orders WHERE o_orderkey % 50 = 9")
+def keyed_changes(c):
+    """A stored table after an update, a removal and an upsert, each of which rewrote only the parts that it touched."""
+    orders = c.frame("orders").select("o_orderkey", "o_orderstatus")
+    path = f"{shared.folder(orders.sparkSession)}/orders-{shared.uuid.uuid4().hex}"
+    table = keyed.KeyedTable.create(orders, path, "o_orderkey", 16)
+    table.update(F.col("o_orderkey") % 50 == 7, {"o_orderstatus": F.lit("seven")})
+    table.remove(F.col("o_orderkey") % 50 == 8)
+    table.upsert(orders.filter("o_orderkey % 50 = 9").select((-F.col("o_orderkey")).alias("o_orderkey"), F.lit("new").alias("o_orderstatus")))
+    return table.read()
+
+
 @query("SELECT doc_id, lang FROM documents WHERE lang <> 'de' UNION ALL SELECT doc_id, 'new' FROM documents WHERE lang = 'de'")
 def insert_ignore(c):
     d = c.frame("documents").select("doc_id", "lang")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import analytics, changes, documents, retrieval
 from ..operators.retrieval import MetadataFilter
+from ..operators.selection import at_ranks
 from ..sources import files
 from ..streaming import limits
 from .registry import LIMITED, NAMES, QUESTION_SQL, TF, TOKENS, plain_sql, query
@@ -48,6 +49,14 @@ def load_test(c):
     return analytics.load_test(c.frame("events"), "event_type", F.col("value"))
 
 
+@query("""WITH r AS (SELECT event_type, value AS v, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL)
+SELECT event_type, max(v) FILTER (i = n * 50 // 100) AS p50, max(v) FILTER (i = n * 90 // 100) AS p90, max(v) FILTER (i = n * 99 // 100) AS p99, max(v) FILTER (i = n - 1) AS most FROM r GROUP BY ALL""")
+def value_ranks(c):
+    """Exact quantiles at full precision."""
+    share = lambda p: lambda n: F.floor(n * p / 100)
+    return at_ranks(c.frame("events"), F.col("value"), ["event_type"], {"p50": share(50), "p90": share(90), "p99": share(99), "most": lambda n: n - 1})
+
+
 @query("""WITH t AS (SELECT role, length(regexp_replace(text, '[\\x00-\\x7F]', '', 'g')) AS hi, strlen(text) AS b FROM conversations),
 n AS (SELECT role, greatest(CAST(floor((b - hi) / 4.0) + floor(hi / 3.0) AS BIGINT), 1) AS n FROM t) SELECT role, CAST(sum(n) AS BIGINT) AS tokens, round(sum(n) / 1000.0 * 0.01, 6)::DOUBLE AS cost FROM n GROUP BY ALL""")
 def token_cost(c):

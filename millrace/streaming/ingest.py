@@ -2,36 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.files import described
+from ..sources.files import MOST_BYTES, described
 
 FILE = "path string, modificationTime timestamp, length long, content binary"
 DOCUMENT = "digest string, path string, language string, content string, batch long"
 STATUS = "batch long, seen long, issues long, repeated long, imported long"
 
 
-def ingest(spark: SparkSession, folder: str, target: str, status: str, checkpoint: str, extensions: list[str] | None = None, files_per_batch: int = 10_000) -> None:
+def ingest(spark: SparkSession, folder: str, target: str, status: str, checkpoint: str, extensions: list[str] | None = None, files_per_batch: int = 10_000, most: int = MOST_BYTES) -> None:
     """Append documents (DOCUMENT) to target and a row of counts per batch (STATUS) to status; files seen before aren't read again.
 
     The first path of a content in a batch stays; contents that target holds are left out. A batch is written under its
-    number and replaces what a failed try of it left, so a restart neither loses nor doubles rows.
+    number and replaces what a failed try of it left, so a restart neither loses nor doubles rows. Files over `most` bytes are an issue, and aren't
+    read. The counts come with the job that writes the documents.
     """
 
     def store(batch: DataFrame, number: int) -> None:
-        files = described(batch, extensions).withColumn("digest", F.sha2("content", 256)).persist()
+        seen, made = Observation(), Observation()
+        files = described(batch, extensions, most=most).withColumn("digest", F.sha2("content", 256)).observe(seen, F.count("*").alias("seen"), F.count("issue").alias("issues"))
         held = documents(spark, target).filter(F.col("batch") != number) if exists(spark, target) else spark.createDataFrame([], DOCUMENT)
         firsts = files.filter("issue is null").groupBy("digest").agg(F.min_by(F.struct("path", "language", "content"), "path").alias("f")).select("digest", "f.*")
         new = firsts.join(held.select("digest"), "digest", "left_anti").select("digest", "path", "language", "content")
-        new.write.mode("overwrite").parquet(f"{target}/batch={number}")
-        imported = documents(spark, target).filter(F.col("batch") == number).count()
-        seen, issues = files.agg(F.count("*"), F.count("issue")).first()
-        counts = spark.createDataFrame([(seen, issues, seen - issues - imported, imported)], "seen long, issues long, repeated long, imported long")
-        counts.coalesce(1).write.mode("overwrite").parquet(f"{status}/batch={number}")
-        files.unpersist()
-
-    stream = spark.readStream.format("binaryFile").schema(FILE).option("recursiveFileLookup", True).option("maxFilesPerTrigger", files_per_batch).load(folder)
+        new.observe(made, F.count("*").alias("imported")).write.mode("overwrite").parquet(f"{target}/batch={number}")
+        counts = seen.get | made.get  # counted by the tasks that wrote
+        row = (counts["seen"], counts["issues"], counts["seen"] - counts["issues"] - counts["imported"], counts["imported"])
+        spark.createDataFrame([row], "seen long, issues long, repeated long, imported long").coalesce(1).write.mode("overwrite").parquet(f"{status}/batch={number}")
+
+    def files() -> DataFrame:
+        return spark.readStream.format("binaryFile").schema(FILE).option("recursiveFileLookup", True).option("maxFilesPerTrigger", files_per_batch).load(folder)
+
+    # two readers, so that the content of a file that is too large is never read
+    stream = files().filter(F.col("length") <= most).unionByName(files().select("path", "modificationTime", "length").filter(F.col("length") > most).withColumn("content", F.lit(None).cast("binary")))
     stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 

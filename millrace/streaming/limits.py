@@ -174,6 +174,59 @@ def cascaded(events: DataFrame, key: str, stages: tuple[Stage, ...] = STAGES, fr
     return out.unionByName(left.select("event_id", "key", F.lit("allowed").alias("decision"))).withColumnRenamed("key", key)
 
 
+def _decider(stages: tuple[Stage, ...], keyed: bool):
+    """A processor for some stages of one sequence: each stage's last times are its state, which a timer removes once they are all too old."""
+    import pandas as pd
+    from pyspark.sql.streaming import StatefulProcessor
+
+    class Decider(StatefulProcessor):
+        def init(self, handle):
+            self.handle = handle
+            self.states = [handle.getValueState(s.name, "times array<long>") for s in stages]
+
+        def handleInputRows(self, key, rows, timers):
+            pdf = pd.concat(list(rows)).sort_values(["at", "event_id"], kind="stable")
+            held = [deque(state.get()[0]) if state.exists() else deque() for state in self.states]
+            decisions = pdf["decision"].tolist()
+            for i, (at, who) in enumerate(zip(pdf["at"].tolist(), pdf["who"].tolist())):
+                if not decisions[i] and (who or not keyed):
+                    decisions[i] = next((s.name for s, h in zip(stages, held) if not passed([at], h, s.limit, s.window)[0]), "")
+            for state, h in zip(self.states, held):
+                state.update((list(h),))
+            for old in list(self.handle.listTimers()):
+                self.handle.deleteTimer(old)
+            self.handle.registerTimer(int(pdf["at"].max()) // 1000 + max(s.window for s in stages) // 1000 + 1)
+            yield pdf.assign(decision=decisions)[["event_id", "who", "ts", "at", "decision"]]
+
+        def handleExpiredTimer(self, key, timers, expired):
+            for state in self.states:
+                state.clear()
+            yield from ()
+
+        def close(self):
+            pass
+
+    return Decider()
+
+
+def cascaded_stream(events: DataFrame, key: str, stages: tuple[Stage, ...] = STAGES, late: str = "1 minute") -> DataFrame:
+    """cascaded() on a stream: event_id, key and decision. Stages of all events come before those by key.
+
+    One task decides the first for all events of a batch, whose state is some last times; then every key's task those of its key. Events go in time
+    order inside a batch, and batches as they come; those behind the watermark and those without a time are left out. The session's
+    spark.sql.streaming.stateStore.providerClass must be RocksDB's.
+    """
+    ts = F.col("ts").cast("timestamp")
+    given = events.filter(F.col("ts").isNotNull()).select("event_id", F.coalesce(F.col(key).cast("long").cast("string"), F.lit("")).alias("who"), ts.alias("ts"), F.unix_micros(ts).alias("at"), F.lit("").alias("decision"))
+    schema = "event_id long, who string, ts timestamp, at long, decision string"
+    out = given.withWatermark("ts", late)
+    for keyed, by in ((False, F.lit(0)), (True, F.col("who"))):
+        own = tuple(s for s in stages if s.keyed == keyed)
+        if own:
+            out = out.withColumn("group", by).groupBy("group").transformWithStateInPandas(_decider(own, keyed), schema, "Append", "EventTime", eventTimeColumnName="ts")
+    return out.select("event_id", F.when(F.col("who") != "", F.col("who").cast("long")).alias(key), F.when(F.col("decision") == "", "allowed").otherwise(F.col("decision")).alias("decision"))
+
+
 def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Counts by window and kind; on a stream, late events are dropped after the watermark."""
     at = events.withColumn("at", F.col("ts").cast("timestamp"))

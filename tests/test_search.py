@@ -266,6 +266,25 @@ def test_limits_stream(spark, tmp_path):
     assert got == {r["event_id"]: r["allowed"] for r in limits.limited(ev, "user_id", 2, 5).collect()}
 
 
+def test_cascade_stream(spark, tmp_path):
+    """Two batches on a stream are decided as all events at once; the second meets what the first left."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        ev = spark.sql("SELECT id AS event_id, CASE WHEN id % 7 <> 3 THEN id % 2 END AS user_id, timestamp '2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, id * 0.1 + floor(id / 45) * 50) AS ts FROM range(120)")
+        stages = (limits.Stage("a", 4, 1_000_000, False), limits.Stage("b", 15, 60_000_000, False), limits.Stage("c", 1, 1_000_000, True), limits.Stage("d", 1, 60_000_000, True))
+        (tmp_path / "in").mkdir()
+        stream = spark.readStream.schema(ev.schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+        for i, part in enumerate(("event_id < 50", "event_id >= 50")):
+            ev.filter(part).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+            q = limits.cascaded_stream(stream, "user_id", stages).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/marks").trigger(availableNow=True).start()
+            q.awaitTermination()
+        got = {r["event_id"]: (r["user_id"], r["decision"]) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+        assert got == {r["event_id"]: (r["user_id"], r["decision"]) for r in limits.cascaded(ev, "user_id", stages).collect()}
+        assert {d for _, d in got.values()} == {"a", "b", "c", "d", "allowed"}
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+
+
 def test_repeated_citations(spark):
     from millrace.operators import retrieval
 
