@@ -6,7 +6,7 @@ import math
 import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import stems as S
@@ -30,8 +30,12 @@ def field_words(value: Column) -> Column:
     return F.filter(F.split(F.lower(value), "[^a-z0-9_]+"), lambda w: w != "")
 
 
-def weighted(prefix: str, terms: Column, weight: int) -> Column:
-    return F.transform(terms, lambda t: F.struct(F.lit(prefix).alias("prefix"), t.alias("term"), F.lit(weight).alias("w")))
+def run_lengths(terms: Column) -> Column:
+    """(term, n) of the different terms of an array, sorted: counted where the row lies."""
+    ordered = lambda s: F.filter(F.sequence(F.lit(1), F.size(s)), lambda i: (i == 1) | (F.get(s, i - 1) != F.get(s, i - 2)))
+    runs = lambda s, b: F.transform(b, lambda at, k: F.struct(F.get(s, at - 1).alias("term"), (F.coalesce(F.get(b, k + 1), F.size(s) + 1) - at).alias("n")))
+    made = S.with_value(F.array_sort(terms), lambda s: S.with_value(ordered(s), lambda b: runs(s, b)))
+    return F.when(F.size(terms) > 0, made).otherwise(F.array().cast("array<struct<term:string,n:int>>"))
 
 
 def stemmed(text: Column, language: Column) -> Column:
@@ -84,11 +88,15 @@ def term_lists(text: str, fields: dict[str, str] | None = None, metadata: str |
 
 
 def postings(docs: DataFrame, key: str, text: str, fields: dict[str, str] | None = None, metadata: str | None = None, cjk: bool = False, language: str | None = None, more: tuple[str, ...] = ()) -> DataFrame:
-    """(prefix, term, key, wdf): what term_lists() says, summed. Everything is listed inside the row and leaves in one explode; postings of a
-    document are summed before they are shuffled. more: columns of the row, alike for a key, that its postings keep."""
-    lists = [weighted(*x) for x in term_lists(text, fields, metadata, cjk, language)]
-    each = docs.select(key, *more, F.explode(F.concat(*lists)).alias("x"))
-    return each.groupBy("x.prefix", "x.term", key, *more).agg(F.sum("x.w").alias("wdf"))
+    """(prefix, term, key, wdf): what term_lists() says, summed. Keys are unique, so all is counted inside the row; nothing is shuffled.
+
+    more: columns of the row that its postings keep."""
+    by: dict[str, list[Column]] = {}
+    for prefix, terms, weight in term_lists(text, fields, metadata, cjk, language):
+        by.setdefault(prefix, []).extend([terms] * weight)
+    each = F.array(*(F.struct(F.lit(prefix).alias("prefix"), run_lengths(F.concat(*lists)).alias("runs")) for prefix, lists in by.items()))
+    rows = docs.select(key, *more, F.explode(each).alias("x")).select(key, *more, "x.prefix", F.explode("x.runs").alias("r"))
+    return rows.select("prefix", F.col("r.term").alias("term"), key, *more, F.col("r.n").cast("long").alias("wdf"))
 
 
 def text_length(text: str) -> Column:
@@ -136,23 +144,25 @@ def store(docs: DataFrame, path: str, key: str, text: str, fields: dict[str, str
     """The full-text index as tables: blocks, terms and statistics. Keys are unique; documents whose text has no term aren't in it.
 
     A block holds the postings of one term in one stretch of documents (STRETCH at most, so no block is large, however common the term) with
-    their lengths, and the most that it can add to a score. Blocks lie in ranges of terms under a folder for each prefix, so a query's terms are
-    found by folder and by the files' least and greatest terms; `terms` is the dictionary, sorted alike.
+    their lengths, the greatest count and the least length, which bound what it adds to a score. Blocks lie in ranges of terms under a folder for
+    each prefix, so a query's terms are found by folder and by the files' least and greatest terms; `terms` is the dictionary, sorted alike.
     """
-    numbered_ = docs.withColumn("len", text_length(text)).filter("len > 0").withColumn("stretch", F.shiftright(F.monotonically_increasing_id(), STRETCH.bit_length() - 1))
-    index = written(postings(numbered_, key, text, fields, metadata, cjk, language, ("len", "stretch")), "postings")
-    whole = index.select("stretch", key, "len").distinct().agg(F.count("*").alias("n"), F.avg("len").alias("average"))
-    whole = written(whole, "statistics")
+    spark, seen = docs.sparkSession, Observation()
+    given = docs.withColumn("len", text_length(text)).filter("len > 0").observe(seen, F.count("*").alias("n"), F.sum("len").alias("total"))
+    given = given.withColumn("stretch", F.shiftright(F.monotonically_increasing_id(), STRETCH.bit_length() - 1))
+    index = postings(given, key, text, fields, metadata, cjk, language, ("len", "stretch"))
     part = F.struct(F.col(key).alias("key"), "wdf", "len")
-    blocks = index.join(F.broadcast(whole)).groupBy("prefix", "term", "stretch").agg(F.collect_list(part).alias("postings"), F.max(impact(F.col("wdf"), F.col("len"), F.col("average"))).alias("most"))
     keys = ("prefix", "term", "stretch")
+    blocks = written(index.groupBy(*keys).agg(F.collect_list(part).alias("postings"), F.max("wdf").alias("most"), F.min("len").alias("least")), "blocks")
     ranged = blocks.repartitionByRange(parts, *keys) if parts else blocks.repartitionByRange(*keys)
     ranged.sortWithinPartitions(*keys).withColumn("df", F.size("postings")).write.mode("overwrite").partitionBy("prefix").parquet(f"{path}/blocks")
-    kept = stored(index.sparkSession, f"{path}/blocks")
-    terms = kept.groupBy("prefix", "term").agg(F.sum("df").alias("df"), F.max("most").alias("most"), F.count("*").alias("blocks"))
+    drop(blocks)
+    kept = stored(spark, f"{path}/blocks")
+    terms = kept.groupBy("prefix", "term").agg(F.sum("df").alias("df"), F.count("*").alias("blocks"))
     terms.repartitionByRange("prefix", "term").sortWithinPartitions("prefix", "term").write.mode("overwrite").parquet(f"{path}/terms")
-    whole.write.mode("overwrite").parquet(f"{path}/statistics")
-    drop(index, whole)
+    whole = seen.get  # counted by the tasks that made the blocks
+    n = whole["n"]
+    spark.createDataFrame([(n, whole["total"] / n if n else 1.0)], "n long, average double").coalesce(1).write.mode("overwrite").parquet(f"{path}/statistics")
 
 
 def stored(spark: SparkSession, path: str) -> DataFrame:
@@ -179,7 +189,7 @@ def top(spark: SparkSession, path: str, pairs: list[tuple[str, str]], k: int, re
     blocks = stored(spark, f"{path}/blocks").filter(_wanted([(r["prefix"], r["term"]) for r in known]))
     weight = F.create_map(*(F.lit(x) for r in known for x in (f"{r['prefix']}|{r['term']}", math.log((n - r["df"] + 0.5) / (r["df"] + 0.5) + 1.0)))) if known else F.create_map(F.lit(""), F.lit(0.0))
     idf = weight[F.concat("prefix", F.lit("|"), "term")]
-    bounds = written(blocks.groupBy("stretch").agg(F.sum(F.col("most") * idf).alias("bound")), "bounds")
+    bounds = written(blocks.groupBy("stretch").agg(F.sum(impact(F.col("most"), F.col("least"), F.lit(average)) * idf).alias("bound")), "bounds")
     hits, least, taken, size = None, None, 0, FIRST_STRETCHES
     ranked = bounds.orderBy(F.desc("bound"), "stretch")
     all_, done = bounds.count(), None

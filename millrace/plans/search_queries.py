@@ -67,7 +67,7 @@ def fulltext_stems(c):
     """The ten best by stems from a stored index; a test counts the stems of every text."""
     spark, path = new_folder(c, "stems")
     fulltext.store(c.frame("documents"), path, "doc_id", "text", language="lang")
-    pairs = fulltext.query_stems(spark, "sheing thation onander", "english")
+    pairs = fulltext.query_stems(spark, "that eraning onhed", "english")
     return fulltext.top(spark, path, pairs, 10).select(F.col("key").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
