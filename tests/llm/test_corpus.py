@@ -250,7 +250,7 @@ def test_pipeline(spark, sf):
     stages = dict(corpus_pipeline.STAGES)
     known = stages["language ID"](spark, docs, sf)
     assert known.columns == docs.columns and known.count() >= 0.95 * len(given)
-    near = stages["SimHash near-dedup"](spark, docs, sf).collect()
+    near = stages["near-duplicates by MinHash bands"](spark, docs, sf).collect()
     assert sorted(r["doc_id"] for r in near) == sorted(plain_similar([(r["doc_id"], r["text"]) for r in given]))
     clean = stages["PII"](spark, docs, sf)
     assert clean.columns == docs.columns and clean.count() == len(given) and clean.filter("text rlike '[a-z]@[a-z]+[.][a-z]'").count() == 0
@@ -318,7 +318,7 @@ def test_similar(spark, monkeypatch, block):
     for (doc_id, _), c in zip(given, expected):
         least[c] = min(least.get(c, (True, 0)), (doc_id is None, doc_id or 0))
     docs = spark.createDataFrame([(*g, "en", "s", 1) for g in given], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
-    kept = dict(corpus_pipeline.STAGES)["SimHash near-dedup"](spark, docs, "")
+    kept = dict(corpus_pipeline.STAGES)["near-duplicates by MinHash bands"](spark, docs, "")
     assert kept.columns == docs.columns
     assert Counter(r["doc_id"] for r in kept.collect()) == Counter(None if none else i for none, i in least.values())
     assert similar.deduplicate(empty(spark)).count() == 0
