@@ -30,6 +30,21 @@ def with_(value: Column, fn) -> Column:
     return F.transform(F.array(value), fn)[0]
 
 
+def carried(values: Column, step, first: Column) -> Column:
+    """first, then what step(last, value) makes of each value in turn: one walk along the array."""
+    start = F.struct(first.alias("last"), F.array(first).alias("all"))
+
+    def more(acc, x):
+        return with_(step(acc["last"], x), lambda y: F.struct(y.alias("last"), F.array_append(acc["all"], y).alias("all")))
+
+    return F.aggregate(values, start, more, lambda acc: acc["all"])
+
+
+def sums(values: Column) -> Column:
+    """0 and the running sums of whole numbers."""
+    return carried(values, lambda last, x: last + x, F.lit(0))
+
+
 def chunk_plain(docs: DataFrame, key: str, text: str, most: int = 220, overlap: int = 40) -> DataFrame:
     """Windows of white-space tokens; stops with the first that reaches the end; an empty text has none.
 
@@ -113,9 +128,9 @@ def code_sections(docs: DataFrame, key: str, text: str) -> DataFrame:
     line = lambda x: F.when(x["title"].rlike(HEADINGS["code"]), x["title"])
     named = lambda x: F.struct(x.alias("x"), symbol_kind(line(x)).alias("kind"), symbol_name(line(x)).alias("name"))
     made = F.transform(section_array(F.col(text), HEADINGS["code"]), named)
-    opened = lambda s: F.filter(s, lambda y: y["kind"].isin(*SCOPES))
-    scope = lambda s, i: with_(F.try_element_at(opened(F.slice(s, 1, i + 1)), F.lit(-1)), lambda y: F.concat(y["kind"], F.lit(":"), y["name"]))
-    whole = with_(made, lambda s: F.transform(s, lambda y, i: F.struct(y.alias("y"), scope(s, i).alias("scope"))))
+    opened = lambda y: F.when(y["kind"].isin(*SCOPES), F.concat(y["kind"], F.lit(":"), y["name"]))
+    scopes = lambda s: carried(F.transform(s, opened), lambda last, x: F.coalesce(x, last), F.lit(None).cast("string"))
+    whole = with_(made, lambda s: with_(scopes(s), lambda o: F.transform(s, lambda y, i: F.struct(y.alias("y"), F.get(o, i + 1).alias("scope")))))
     out = docs.filter(F.col(text) != "").select(key, F.explode(whole).alias("z")).select(key, "z.y.x.section", "z.y.x.start", "z.y.x.title", "z.y.kind", "z.y.name", "z.scope", "z.y.x.content")
     return out.filter(F.trim("content") != "").select(key, "section", "start", F.when(F.col("kind").isNotNull(), F.left(F.trim("title"), F.lit(120))).alias("symbol"), "kind", "name", "scope", "content")
 
@@ -144,16 +159,15 @@ def chunks(docs: DataFrame, key: str, text: str, path: Column, strategy: str = "
         parts = F.transform(F.split(t, "\f"), lambda s, i: F.struct((i + 1).cast("string").alias("title"), s.alias("content")))
     else:
         parts = F.array(F.struct(F.lit(None).cast("string").alias("title"), t.alias("content")))
-    upto = lambda n, i: F.aggregate(F.slice(n, 1, i), F.lit(0), lambda s, x: s + x)
     # one character, a line or page break, stands between two sections
-    placed = lambda a: with_(F.transform(a, lambda x: F.length(x["content"]) + 1), lambda n: F.transform(a, lambda x, i: F.struct(x["title"].alias("title"), x["content"].alias("content"), upto(n, i).alias("at"))))
+    placed = lambda a: with_(sums(F.transform(a, lambda x: F.length(x["content"]) + 1)), lambda n: F.transform(a, lambda x, i: F.struct(x["title"].alias("title"), x["content"].alias("content"), F.get(n, i).alias("at"))))
     parts = with_(parts, placed)
     size = lambda pieces: F.aggregate(pieces, F.lit(0), lambda n, p: n + F.length(p))
 
     def cut(part, pieces):
         before = F.length(F.regexp_extract(part["content"], rf"^({SPACE}*)", 1))
         block = F.transform(window_starts(F.size(pieces), most, overlap), lambda s: size(F.slice(pieces, s + 1, step)))
-        return with_(block, lambda lengths: F.transform(window_starts(F.size(pieces), most, overlap), lambda s, i: made(part, F.slice(pieces, s + 1, most), part["at"] + before + upto(lengths, i))))
+        return with_(sums(block), lambda upto: F.transform(window_starts(F.size(pieces), most, overlap), lambda s, i: made(part, F.slice(pieces, s + 1, most), part["at"] + before + F.get(upto, i))))
 
     def made(part, own, at):
         whole = F.regexp_replace(F.array_join(own, ""), SPACE + r"+\z", "")
