@@ -157,6 +157,40 @@ s AS (SELECT doc_id, list(j) AS js, count(*) AS n FROM g GROUP BY doc_id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(array_to_string(CASE WHEN js IS NULL THEN w ELSE list_transform(list_filter(list_zip(w, generate_series(1, len(w))), lambda z: NOT list_contains(js, z[2])), lambda z: z[1]) END, ' ')) AS kept_sha256 FROM d LEFT JOIN s USING (doc_id)"""
 
 
+def _op13() -> str:
+    """Damage, faults and the cheapest repair, turn by turn over the four states; a state is nine digits of cost, the audit, chr(1) and the repaired lines."""
+    crc = "list_reduce(list_prepend(4294967295, list_transform(range(0, strlen(k)), lambda i: CAST('0x' || substr(hex(encode(k)), CAST(2 * i + 1 AS INT), 2) AS BIGINT))), lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END))"
+
+    def edit(state: str, cost: str, letter: str, line: str) -> str:
+        return f"lpad(CAST(CAST(left({state}, 9) AS BIGINT) + {cost} AS VARCHAR), 9, '0') || substr({state}, 10, strpos({state}, chr(1)) - 10) || {letter} || substr({state}, strpos({state}, chr(1))) || {line}"
+
+    def kept(state: str, initial: str, role: str) -> str:
+        mine = f"left(role, 1) = '{initial}'"
+        how = edit(state, f"CASE WHEN {mine} THEN 0 ELSE 3 END + CASE WHEN cut THEN 3 ELSE 0 END", f"CASE WHEN {mine} THEN 'K' ELSE 'R' END", f"CASE WHEN {mine} THEN role ELSE '{role}' END || ':' || text || chr(10)")
+        return f"CASE WHEN NOT gone THEN {how} END"
+
+    gone = lambda p: edit(f"s{p}", "4", "'D'", "''")
+    system = "CASE WHEN NOT gone AND left(role, 1) = 's' THEN " + edit("s0", "CASE WHEN cut THEN 3 ELSE 0 END", "'K'", "role || ':' || text || chr(10)") + " END"
+    user = lambda state: edit(state, "3", "'I'", "'user:' || chr(10)")
+    first = "'000000000' || chr(1)"
+    start = user(f"({first})")
+    return f"""WITH RECURSIVE a AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+b AS (SELECT *, xor({crc}, 4294967295) % 20 AS d FROM a),
+c AS (SELECT conv_id, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role, CASE WHEN d = 1 THEN '' WHEN d = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(generate_series(1, CASE d WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM b),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM c),
+f AS MATERIALIZED (SELECT *, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again, NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') AS open,
+coalesce(lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) NOT IN ('su', 'ua', 'au'), false) AS wrong FROM o),
+g AS MATERIALIZED (SELECT *, blank OR again AS gone, open AND NOT blank AND NOT again AS cut FROM f),
+r AS (SELECT conv_id, 0::BIGINT AS i, n, {first} AS s0, NULL::VARCHAR AS s1, {start} AS s2, {edit(f"({start})", "3", "'I'", "'assistant:' || chr(10)")} AS s3 FROM (SELECT DISTINCT conv_id, n FROM g)
+UNION ALL SELECT conv_id, i, n, s0, s1, s2, least(s3, {edit("s2", "3", "'I'", "'assistant:' || chr(10)")}) AS s3 FROM (SELECT conv_id, i, n, s0, s1, least(s2, {user("s0")}, {user("s1")}, {user("s3")}) AS s2, s3 FROM
+(SELECT g.conv_id, g.i, g.n, {gone(0)} AS s0, least({gone(1)}, {system}) AS s1, least({gone(2)}, {kept("s0", "u", "user")}, {kept("s1", "u", "user")}, {kept("s3", "u", "user")}) AS s2, least({gone(3)}, {kept("s2", "a", "assistant")}) AS s3
+FROM r JOIN g ON g.conv_id = r.conv_id AND g.i = r.i + 1))),
+e AS (SELECT conv_id, least(s0, s3) AS s FROM r WHERE i = n),
+t AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (again AND NOT blank) AS duplicate, count(*) FILTER (cut) AS truncated, count(*) FILTER (wrong) AS illegal FROM g GROUP BY conv_id)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(CAST(left(s, 9) AS BIGINT), 0) AS cost,
+coalesce(substr(s, 10, strpos(s, chr(1)) - 10), '') AS audit, sha256(coalesce(regexp_replace(substr(s, strpos(s, chr(1)) + 1), '\\n\\z', ''), '')) AS repaired_sha256 FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN t USING (conv_id) LEFT JOIN e USING (conv_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Tokenizers, XXH64, floating-point evidence, patterns with places and hash permutations have no plain SQL; tests hold brute force against those."""
-    return {"op4_quality": OP4, "op6_warc": OP6, "op8_suffixes": OP8, "op10_phrases": OP10}
+    return {"op4_quality": OP4, "op6_warc": OP6, "op8_suffixes": OP8, "op10_phrases": OP10, "op13_turns": _op13()}
