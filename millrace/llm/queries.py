@@ -178,7 +178,7 @@ def _op13() -> str:
 b AS (SELECT *, xor({crc}, 4294967295) % 20 AS d FROM a),
 c AS (SELECT conv_id, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role, CASE WHEN d = 1 THEN '' WHEN d = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(generate_series(1, CASE d WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM b),
 o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM c),
-f AS MATERIALIZED (SELECT *, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again, NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') AS open,
+f AS MATERIALIZED (SELECT *, NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again, NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*\\z') AS open,
 coalesce(lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) NOT IN ('su', 'ua', 'au'), false) AS wrong FROM o),
 g AS MATERIALIZED (SELECT *, blank OR again AS gone, open AND NOT blank AND NOT again AS cut FROM f),
 r AS (SELECT conv_id, 0::BIGINT AS i, n, {first} AS s0, NULL::VARCHAR AS s1, {start} AS s2, {edit(f"({start})", "3", "'I'", "'assistant:' || chr(10)")} AS s3 FROM (SELECT DISTINCT conv_id, n FROM g)
