@@ -65,12 +65,13 @@ def fit(given: DataFrame, most: int | None = None) -> dict[int, tuple[np.ndarray
 
 
 def blocks(vectors: DataFrame, normal: bool = False, most: int | None = None) -> DataFrame:
-    """BLOCKS of vectors (vec_id, embedding): null and empty ones are left out, and zero ones if normal, which brings all to length one.
+    """BLOCKS of vectors (vec_id, embedding): null and empty ones and those without an id are left out, and zero ones if normal, which brings
+    all to length one.
 
     Lengths beyond the thousand commonest, and those of which the sample has none, have one cell. A block has at most `most` rows and
     BLOCK_BYTES; a cell of many rows is dealt to several tasks by the hash of the ids.
     """
-    given = vectors.filter(F.size("embedding") > 0).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.size("embedding").alias("size"))
+    given = vectors.filter((F.size("embedding") > 0) & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.size("embedding").alias("size"))
     if normal:
         length = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x))
         given = given.withColumn("length", length).filter("length > 0").select("vec_id", F.transform("embedding", lambda x: x / F.col("length")).alias("embedding"), "size")

@@ -185,10 +185,11 @@ def test_ingest(spark, tmp_path):
     (folder / "e.txt").write_bytes(b"two")
     (folder / "f.txt").write_bytes(b"three")
     ingest.ingest(spark, *at)
+    (folder / "g.txt").write_bytes(b"three")
     ingest.ingest(spark, *at)
     docs = ingest.documents(spark, at[1]).collect()
     assert sorted((r["path"].rsplit("/", 1)[1], r["language"], r["content"], r["batch"]) for r in docs) == [("a.txt", "text", "one", 0), ("c.py", "python", "two", 0), ("f.txt", "text", "three", 1)]
-    assert sorted(tuple(r) for r in ingest.statuses(spark, at[2]).select("batch", "seen", "issues", "repeated", "imported").collect()) == [(0, 4, 1, 1, 2), (1, 2, 0, 1, 1)]
+    assert sorted(tuple(r) for r in ingest.statuses(spark, at[2]).select("batch", "seen", "issues", "repeated", "imported").collect()) == [(0, 4, 1, 1, 2), (1, 2, 0, 1, 1), (2, 1, 0, 1, 0)]
 
 
 def test_database(spark, tmp_path):

@@ -94,6 +94,27 @@ def test_large_files_are_not_read(spark, tmp_path):
     assert sorted(tuple(r) for r in ingest.statuses(spark, at[2]).select("batch", "seen", "issues", "repeated", "imported").collect()) == [(0, 4, 2, 1, 1), (1, 1, 0, 0, 1)]
 
 
+def test_digest_parts(spark, tmp_path):
+    """New digests read no part of the index, repeated ones only theirs; a batch's own try doesn't count."""
+    import hashlib
+
+    made = [hashlib.sha256(str(i).encode()).hexdigest() for i in range(3000)]
+    frame = lambda ds: spark.createDataFrame([(d,) for d in ds], "digest string")
+    index = ingest.Digests(spark, f"file://{tmp_path}/digests")
+    assert index.held(frame(made[:5]), 0).count() == 0
+    index.add(frame(made[:1000]), 0)
+    index.add(frame(made[1000:2000]), 1)
+    read = []
+    whole = index.read
+    index.read = lambda found: (read.append(whole(found)), read[-1])[1]
+    touched = lambda: read[-1].select("_metadata.file_path").distinct().count()
+    assert index.held(frame(made[2000:2200]), 2).count() == 0 and touched() <= 3
+    got = {r[0] for r in index.held(frame(made[995:1003] + made[2500:2510]), 2).collect()}
+    assert got == set(made[995:1003]) and touched() <= 11
+    assert spark.read.parquet(index.path).select("_metadata.file_path").distinct().count() > 400
+    assert {r[0] for r in index.held(frame(made[998:1002]), 1).collect()} == set(made[998:1000])
+
+
 def test_database_describes_itself(spark, tmp_path):
     """Joins along the keys that the database declares, without any declared here."""
     base = Database(f"jdbc:derby:{tmp_path}/base;create=true", (("driver", "org.apache.derby.iapi.jdbc.AutoloadedDriver"),))
