@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterable
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,6 +46,68 @@ def identifiers(text: Column) -> Column:
     return F.filter(names(text), counted)
 
 
+_WORD, _CALL, _CLASS = re.compile("[a-z0-9_]{3,}"), re.compile(r"\b([a-zA-Z_][a-zA-Z0-9_]*)\s*\(", re.ASCII), re.compile(r"\bclass\s+([a-zA-Z_][a-zA-Z0-9_]*)", re.ASCII)
+_ANY_WORD = re.compile(r"\w+")
+_STOP = frozenset(w for w in STOP_WORDS if len(w) >= 3)
+
+
+def _structs(rows: list[Counter], **more: list[Counter]) -> pa.ListArray:
+    """array<struct<term,n,...>> of each row's counts; more: counters that have a number of each term too."""
+    ends, terms, n = [0], [], []
+    for c in rows:
+        terms += c
+        n += c.values()
+        ends.append(len(terms))
+    names, arrays = ["term", "n"], [pa.array(terms, pa.string()), pa.array(n, pa.int32())]
+    for name, counters in more.items():
+        names.append(name)
+        arrays.append(pa.array([m[t] for c, m in zip(rows, counters) for t in c], pa.int32()))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(arrays, names))
+
+
+def term_counts(text: Column, only: Iterable[str] | None = None) -> Column:
+    """(words, names, terms): how many tokens() and identifiers() a text has, and (term, n, words) of each different one: n counts names twice.
+
+    only: the terms that are wanted, if not all. Texts are read once, in batches, in Python, which is many times as fast as array functions.
+    Null is empty. The column can't be computed twice by moving a filter below it, so it must be selected before it is used in other ways.
+    """
+    wanted = None if only is None else frozenset(only)
+
+    @F.arrow_udf("struct<words:int,names:int,terms:array<struct<term:string,n:int,words:int>>>")
+    def run(texts: pa.Array) -> pa.Array:
+        words, names, both, tokens = [], [], [], []
+        for text in texts.to_pylist():
+            c, named = Counter(_WORD.findall(text.lower()) if text else ()), ()
+            for w in _STOP.intersection(c):
+                del c[w]
+            if text and ("(" in text or "class" in text):
+                named = [w for w in _CALL.findall(text) + _CLASS.findall(text) if len(w) >= 3 and w not in _STOP]
+            words.append(c.total())
+            names.append(len(named))
+            if wanted is not None:
+                c = Counter({t: c[t] for t in wanted.intersection(c)})
+            tokens.append(c)
+            if named:
+                c = c.copy()
+                for w in named:
+                    if wanted is None or w in wanted:
+                        c[w] += 2
+            both.append(c)
+        return pa.StructArray.from_arrays([pa.array(words, pa.int32()), pa.array(names, pa.int32()), _structs(both, words=tokens)], ["words", "names", "terms"])
+
+    return run.asNondeterministic()(text)
+
+
+def word_counts(text: Column) -> Column:
+    """(term, n) of the different words of a text, letters and digits of any script, lower-cased; null is empty."""
+
+    @F.arrow_udf("array<struct<term:string,n:int>>")
+    def run(texts: pa.Array) -> pa.Array:
+        return _structs([Counter(_ANY_WORD.findall(text.lower()) if text else ()) for text in texts.to_pylist()])
+
+    return run.asNondeterministic()(text)
+
+
 def identifier_terms(name: Column) -> Column:
     """camelCase, acronym and digit parts, lower-cased, of two characters or more."""
     parted = F.regexp_replace(F.regexp_replace(name, "([a-z0-9])([A-Z])", "$1 $2"), "([A-Z]+)([A-Z][a-z])", "$1 $2")

@@ -91,14 +91,39 @@ def postings(docs: DataFrame, key: str, text: str, fields: dict[str, str] | None
     """(prefix, term, key, wdf): what term_lists() says, summed. Keys are unique, so all is counted inside the row; nothing is shuffled.
 
     more: columns of the row that its postings keep."""
+    return _postings(docs.withColumn("counted", T.term_counts(F.col(text))), key, text, fields, metadata, cjk, language, more)
+
+
+def _postings(docs: DataFrame, key: str, text: str, fields, metadata, cjk, language, more: tuple[str, ...]) -> DataFrame:
+    """The postings of rows that have their text's terms in `counted`."""
     by: dict[str, list[Column]] = {}
-    for prefix, terms, weight in term_lists(text, fields, metadata, cjk, language):
+    for prefix, terms, weight in term_lists(text, fields, metadata, cjk, language)[2:]:
         by.setdefault(prefix, []).extend([terms] * weight)
-    each = F.array(*(F.struct(F.lit(prefix).alias("prefix"), run_lengths(F.concat(*lists)).alias("runs")) for prefix, lists in by.items()))
+    runs = {"": F.transform("counted.terms", lambda t: F.struct(t["term"].alias("term"), t["n"].alias("n")))} | {prefix: run_lengths(F.concat(*lists)) for prefix, lists in by.items()}
+    each = F.array(*(F.struct(F.lit(prefix).alias("prefix"), found.alias("runs")) for prefix, found in runs.items()))
     rows = docs.select(key, *more, F.explode(each).alias("x")).select(key, *more, "x.prefix", F.explode("x.runs").alias("r"))
     return rows.select("prefix", F.col("r.term").alias("term"), key, *more, F.col("r.n").cast("long").alias("wdf"))
 
 
+def stem_postings(docs: DataFrame, key: str, text: str, language: str, more: tuple[str, ...]) -> DataFrame:
+    """Postings of the stems of texts. Each different word of a language is stemmed once, in a dictionary that the texts' words meet in a join; a row
+    can have several postings of one stem."""
+    named = T.stemming_language(F.col(text), F.col(language))
+    tongue = F.when(named.isin(*S.LANGUAGES), named)  # words of other languages are their own stems
+    found = docs.select(key, *more, tongue.alias("tongue"), T.word_counts(F.col(text)).alias("c")).select(key, *more, "tongue", F.explode("c").alias("x"))
+    found = written(found.select(key, *more, "tongue", F.col("x.term").alias("word"), F.col("x.n").cast("long").alias("wdf")), "words")
+    stem = F.coalesce(*(F.when(F.col("tongue") == name, S.stem(F.col("word"), name)) for name in S.LANGUAGES))
+    known = written(found.filter("tongue is not null").groupBy("tongue", "word").agg(F.count("*").alias("rows")).select("tongue", "word", "rows", stem.alias("term")), "stems")
+    often = F.col("rows") > COMMON_ROWS
+    common = F.broadcast(known.filter(often).drop("rows"))
+    some = found.filter("tongue is not null")
+    kinds = (
+        found.filter("tongue is null").withColumn("term", F.col("word")), some.join(common, ["tongue", "word"]),
+        some.join(common, ["tongue", "word"], "left_anti").join(known.filter(~often).drop("rows"), ["tongue", "word"]),
+    )
+    return reduce(DataFrame.unionAll, (k.select(F.lit(STEM).alias("prefix"), "term", key, *more, "wdf") for k in kinds))
+
+
 def text_length(text: str) -> Column:
     """What the postings of a row's text sum to."""
     return F.coalesce(F.size(T.tokens(F.col(text))) + 2 * F.size(T.identifiers(F.col(text))), F.lit(0)).cast("long")
@@ -107,7 +132,8 @@ def text_length(text: str) -> Column:
 def scored(docs: DataFrame, key: str, text: str, pairs: list[tuple[str, str]], fields: dict[str, str] | None = None, metadata: str | None = None, cjk: bool = False, language: str | None = None) -> DataFrame:
     """(key, score): BM25 of any of the terms over the best one's, so 1 is the best, where no index is stored: the query's terms are counted inside each row, in one scan.
 
-    The counts, a few numbers a row, are written; statistics and scores come from those. Keys are unique.
+    The counts, a few numbers a row, are written; statistics and scores come from those. Keys are unique. Rows whose text has no term aren't found and
+    don't count as documents, but their fields count in the document frequencies.
     """
     lists = term_lists(text, fields, metadata, cjk, language)
     of: dict[str, list[str]] = {}
@@ -115,18 +141,17 @@ def scored(docs: DataFrame, key: str, text: str, pairs: list[tuple[str, str]], f
         of.setdefault(prefix, []).append(term)
     asked = lambda terms, prefix: F.filter(terms, lambda t: t.isin(*of[prefix])) if prefix in of else F.array().cast("array<string>")
     few = [asked(terms, prefix).alias(f"l{i}") for i, (prefix, terms, _) in enumerate(lists)]
-    size = F.size("t") + 2 * F.size("n")
-    slim = docs.select(key, T.tokens(F.col(text)).alias("t"), T.identifiers(F.col(text)).alias("n"), *few[2:])
-    first = [asked(c, "").alias(f"l{i}") for i, c in enumerate(("t", "n"))]
-    slim = slim.select(key, size.cast("long").alias("len"), *first, *(f"l{i}" for i in range(2, len(lists))))
+    size = F.col("c.words") + 2 * F.col("c.names")
+    slim = docs.select(key, T.term_counts(F.col(text), of.get("", [])).alias("c"), *few[2:])
     times = lambda i, term: F.size(F.filter(f"l{i}", lambda t: t == term))
-    count = lambda p, term: sum((weight * times(i, term) for i, (prefix, _, weight) in enumerate(lists) if prefix == p), F.lit(0))
-    rows = slim.filter("len > 0").select(key, "len", *(count(p, term).alias(f"w{k}") for k, (p, term) in enumerate(pairs)))
+    own = lambda term: F.coalesce(F.get(F.filter("c.terms", lambda t: t["term"] == term), 0)["n"], F.lit(0))
+    count = lambda p, term: sum((weight * times(i, term) for i, (prefix, _, weight) in enumerate(lists) if prefix == p and i > 1), F.lit(0) if p else own(term))
+    rows = slim.select(key, size.cast("long").alias("len"), *(count(p, term).alias(f"w{k}") for k, (p, term) in enumerate(pairs)))
     rows = written(rows, "counts")
     names = [f"w{k}" for k in range(len(pairs))]
-    whole = rows.agg(F.count("*").alias("n"), F.avg("len").alias("avg"), *(F.count_if(F.col(w) > 0).alias(f"df{w}") for w in names))
+    whole = rows.agg(F.count_if(F.col("len") > 0).alias("n"), F.avg(F.when(F.col("len") > 0, F.col("len"))).alias("avg"), *(F.count_if(F.col(w) > 0).alias(f"df{w}") for w in names))
     parts = [F.when(F.col(w) > 0, impact(F.col(w), F.col("len"), F.col("avg")) * search.idf(F.col("n"), F.col(f"df{w}"))).otherwise(0.0) for w in names]
-    found = rows.filter(reduce(lambda a, b: a | b, (F.col(w) > 0 for w in names), F.lit(False))).join(F.broadcast(whole)).select(key, sum(parts, F.lit(0.0)).alias("score"))
+    found = rows.filter("len > 0").filter(reduce(lambda a, b: a | b, (F.col(w) > 0 for w in names), F.lit(False))).join(F.broadcast(whole)).select(key, sum(parts, F.lit(0.0)).alias("score"))
     most = found.agg(F.max("score").alias("most"))
     return found.join(F.broadcast(most)).select(key, (F.col("score") / F.col("most")).alias("score"))  # one row each
 
@@ -136,31 +161,38 @@ def impact(wdf: Column, length: Column, average: Column) -> Column:
     return wdf * (search.K1 + 1) / (wdf + search.K1 * (1 - search.B + search.B * length / average))
 
 
+#: A word in more rows is common: an index of so many times as many postings has that many such words at most.
+COMMON_ROWS = 100_000
 #: Documents of a stretch, in the order in which they are stored; stretches that a search reads first, and how many times as many in each next round.
 STRETCH, FIRST_STRETCHES, MORE_STRETCHES = 256, 64, 16
 
 
 def store(docs: DataFrame, path: str, key: str, text: str, fields: dict[str, str] | None = None, metadata: str | None = None, cjk: bool = False, parts: int | None = None, language: str | None = None) -> None:
-    """The full-text index as tables: blocks, terms and statistics. Keys are unique; documents whose text has no term aren't in it.
+    """The full-text index as tables: blocks, terms and statistics. Keys are unique; documents whose text has no term can't be found, but their fields count in df.
 
     A block holds the postings of one term in one stretch of documents (STRETCH at most, so no block is large, however common the term) with
     their lengths, the greatest count and the least length, which bound what it adds to a score. Blocks lie in ranges of terms under a folder for
     each prefix, so a query's terms are found by folder and by the files' least and greatest terms; `terms` is the dictionary, sorted alike.
     """
     spark, seen = docs.sparkSession, Observation()
-    given = docs.withColumn("len", text_length(text)).filter("len > 0").observe(seen, F.count("*").alias("n"), F.sum("len").alias("total"))
+    given = docs.withColumn("counted", T.term_counts(F.col(text))).withColumn("len", (F.col("counted.words") + 2 * F.col("counted.names")).cast("long"))
     given = given.withColumn("stretch", F.shiftright(F.monotonically_increasing_id(), STRETCH.bit_length() - 1))
-    index = postings(given, key, text, fields, metadata, cjk, language, ("len", "stretch"))
-    part = F.struct(F.col(key).alias("key"), "wdf", "len")
-    keys = ("prefix", "term", "stretch")
-    blocks = written(index.groupBy(*keys).agg(F.collect_list(part).alias("postings"), F.max("wdf").alias("most"), F.min("len").alias("least")), "blocks")
-    ranged = blocks.repartitionByRange(parts, *keys) if parts else blocks.repartitionByRange(*keys)
-    ranged.sortWithinPartitions(*keys).withColumn("df", F.size("postings")).write.mode("overwrite").partitionBy("prefix").parquet(f"{path}/blocks")
-    drop(blocks)
-    kept = stored(spark, f"{path}/blocks")
-    terms = kept.groupBy("prefix", "term").agg(F.sum("df").alias("df"), F.count("*").alias("blocks"))
+    more, keys, kept = ("len", "stretch"), ["prefix", "term", "stretch"], F.col("len") > 0
+    index = _postings(given.observe(seen, F.count_if(kept).alias("n"), F.sum("len").alias("total")), key, text, fields, metadata, cjk, None, more)
+    if language:
+        index = index.unionByName(stem_postings(given, key, text, language, more))
+    index = written(index, "postings")
+    # postings of a range of terms meet once, in the task that writes them
+    ranged = (index.repartitionByRange(parts, *keys) if parts else index.repartitionByRange(*keys)).sortWithinPartitions(*keys)
+    if language:
+        ranged = ranged.groupBy(*keys, key, "len").agg(F.sum("wdf").alias("wdf"))
+    part = F.when(kept, F.struct(F.col(key).alias("key"), "wdf", "len"))
+    blocks = ranged.groupBy(*keys).agg(F.collect_list(part).alias("postings"), F.max(F.when(kept, F.col("wdf"))).alias("most"), F.min(F.when(kept, F.col("len"))).alias("least"), F.count("*").alias("df"))
+    blocks.sortWithinPartitions(*keys).write.mode("overwrite").partitionBy("prefix").parquet(f"{path}/blocks")
+    drop(index)
+    terms = stored(spark, f"{path}/blocks").groupBy("prefix", "term").agg(F.sum("df").alias("df"), F.count("*").alias("blocks"))
     terms.repartitionByRange("prefix", "term").sortWithinPartitions("prefix", "term").write.mode("overwrite").parquet(f"{path}/terms")
-    whole = seen.get  # counted by the tasks that made the blocks
+    whole = seen.get  # counted by the tasks that made the postings
     n = whole["n"]
     spark.createDataFrame([(n, whole["total"] / n if n else 1.0)], "n long, average double").coalesce(1).write.mode("overwrite").parquet(f"{path}/statistics")
 
@@ -186,10 +218,10 @@ def top(spark: SparkSession, path: str, pairs: list[tuple[str, str]], k: int, re
     whole = spark.read.parquet(f"{path}/statistics").first()
     known = spark.read.parquet(f"{path}/terms").filter(_wanted(pairs)).collect()  # a row a query term
     n, average = (whole["n"], whole["average"]) if whole else (0, 1.0)
-    blocks = stored(spark, f"{path}/blocks").filter(_wanted([(r["prefix"], r["term"]) for r in known]))
+    blocks = stored(spark, f"{path}/blocks").filter(_wanted([(r["prefix"], r["term"]) for r in known])).filter("most is not null")
     weight = F.create_map(*(F.lit(x) for r in known for x in (f"{r['prefix']}|{r['term']}", math.log((n - r["df"] + 0.5) / (r["df"] + 0.5) + 1.0)))) if known else F.create_map(F.lit(""), F.lit(0.0))
     idf = weight[F.concat("prefix", F.lit("|"), "term")]
-    bounds = written(blocks.groupBy("stretch").agg(F.sum(impact(F.col("most"), F.col("least"), F.lit(average)) * idf).alias("bound")), "bounds")
+    bounds = written(blocks.groupBy("stretch").agg(F.sum(impact(F.col("most"), F.col("least"), F.lit(average)) * F.greatest(idf, F.lit(0.0))).alias("bound")), "bounds")
     hits, least, taken, size = None, None, 0, FIRST_STRETCHES
     ranked = bounds.orderBy(F.desc("bound"), "stretch")
     all_, done = bounds.count(), None

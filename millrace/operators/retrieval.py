@@ -5,11 +5,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from . import search
+from .shared import written
 
 # Filter keys and the metadata keys they stand for, in order of preference.
 ALIASES = {
@@ -84,24 +85,30 @@ def path_weight(path: Column, terms: list[str]) -> Column:
     return reduce(lambda a, b: a * b, parts, F.when(F.contains(path, F.lit("include")) | F.contains(path, F.lit("src")), 1.2).otherwise(1.0))
 
 
-def hashed_embeddings(docs: DataFrame, key: str, text: str, salts: int = 8) -> DataFrame:
+#: A word of over a document in so many is common: there are at most so many times a document's mean number of different words of them, whatever the corpus.
+COMMON = 1000
+
+
+def hashed_embeddings(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, slot, weight): 256 slots by the first byte of the term's MD5, term weight tf idf per occurrence, unit length; zero slots are left out.
 
-    idf = ln(N / (1 + df)) over all documents; df counts identifiers as terms too. The join by term is salted by document, so that a
-    word of every document is spread over `salts` tasks; the other side has one row per term, repeated that often.
+    idf = ln(N / (1 + df)) over all documents; df counts identifiers as terms too. Common words (COMMON) meet their frequency in a
+    broadcast join, so no key of the other, shuffled join has many rows.
     """
-    words = docs.select(key, T.tokens(F.col(text)).alias("t"))
-    counts = words.select(key, F.size("t").alias("n"), F.explode("t").alias("term")).groupBy(key, "n", "term").agg(F.count("*").alias("tf"))
-    total = docs.agg(F.count("*").alias("docs"))
-    df = search.document_frequency(docs, text).select("term", "df", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    salted = counts.withColumn("salt", F.pmod(F.xxhash64(key), F.lit(salts)).cast("int"))
-    # one row, whatever the corpus
-    joined = salted.join(df, ["term", "salt"]).join(F.broadcast(total))
-    weight = F.col("tf") * F.col("tf") / F.col("n") * F.log(F.col("docs") / (1.0 + F.col("df")))
+    counted = docs.select(key, T.term_counts(F.col(text)).alias("c")).select(key, F.col("c.words").alias("n"), F.explode("c.terms").alias("x"))
+    words = written(counted.select(key, "n", "x.term", F.col("x.words").alias("tf")), "words")
+    total = docs.count()
     slot = F.conv(F.substring(F.md5(F.col("term")), 1, 2), 16, 10).cast("int")
-    slots = joined.groupBy(key, slot.alias("slot")).agg(F.sum(weight).alias("w"))
-    norms = slots.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return slots.join(norms, key).filter("norm > 0").select(key, "slot", (F.col("w") / F.col("norm")).alias("weight"))
+    weights = words.groupBy("term").agg(F.count("*").alias("df")).select("term", "df", slot.alias("slot"), F.log(total / (1.0 + F.col("df"))).alias("idf"))
+    weights = written(weights, "weights")
+    often = F.col("df") * COMMON > total
+    used = words.filter("tf > 0").groupBy(key, "n", "term").agg(F.sum("tf").alias("tf"))  # rows of one key and length are one document
+    common = F.broadcast(weights.filter(often))
+    rare = used.join(common.select("term"), "term", "left_anti").join(weights.filter(~often), "term")
+    each = used.join(common, "term").unionByName(rare).select(key, "slot", (F.col("tf") * F.col("tf") / F.col("n") * F.col("idf")).alias("w"))
+    slots = each.repartition(key).groupBy(key, "slot").agg(F.sum("w").alias("w"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
+    return slots.withColumn("norm", norm).filter("norm > 0").select(key, "slot", (F.col("w") / F.col("norm")).alias("weight"))
 
 
 def inverted_index(docs: DataFrame, key: str, text: str, fields: dict[str, str]) -> DataFrame:

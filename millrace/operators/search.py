@@ -15,16 +15,15 @@ K1, B = 1.5, 0.75
 
 
 def term_counts(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """tf per document and term: a token counts 1, an identifier 2 more. Each text is parsed once."""
-    kinds = F.array(F.struct(T.tokens(F.col(text)).alias("terms"), F.lit(1.0).alias("w")), F.struct(T.identifiers(F.col(text)).alias("terms"), F.lit(2.0).alias("w")))
-    each = docs.select(key, F.explode(kinds).alias("x")).select(key, F.explode("x.terms").alias("term"), F.col("x.w").alias("w"))
-    return each.groupBy(key, "term").agg(F.sum("w").alias("tf"))
+    """tf per document and term: a token counts 1, an identifier 2 more. Each text is parsed once and counted where it lies; rows of one key are summed."""
+    each = docs.select(key, T.term_counts(F.col(text)).alias("c")).select(key, F.explode("c.terms").alias("x"))
+    return each.groupBy(key, F.col("x.term").alias("term")).agg(F.sum("x.n").cast("double").alias("tf"))
 
 
 def document_frequency(docs: DataFrame, text: str) -> DataFrame:
     """Documents (rows) that hold each token or identifier: distinct inside a row, so only terms are shuffled, summed before."""
-    found = docs.select(F.explode(F.array_distinct(F.concat(T.words(F.col(text)), T.names(F.col(text))))).alias("term"))
-    return found.filter(T.counted(F.col("term"))).groupBy("term").agg(F.count("*").alias("df"))
+    found = docs.select(T.term_counts(F.col(text)).alias("c")).select(F.explode("c.terms.term").alias("term"))
+    return found.groupBy("term").agg(F.count("*").alias("df"))
 
 
 def idf(n: Column, df: Column) -> Column:
@@ -38,11 +37,9 @@ FILTERED_SCORE = 0.12
 def bm25(docs: DataFrame, key: str, text: str, terms: list[str], least: float = 0.1, filtered: bool = False) -> DataFrame:
     """Scores above `least` of the rows of docs; filtered (docs are what a filter left): other rows with a term count FILTERED_SCORE. A row's terms are counted inside it, in one scan; those few numbers are written, and statistics
     and scores come from them."""
-    wanted = lambda found: F.filter(found, lambda t: t.isin(*terms))
-    parsed = docs.select(key, T.tokens(F.col(text)).alias("t"), T.identifiers(F.col(text)).alias("i"))
-    slim = parsed.select(key, F.size("t").alias("words"), F.size("i").alias("names"), wanted(F.col("t")).alias("t"), wanted(F.col("i")).alias("i"))
-    count = lambda term: F.size(F.filter("t", lambda x: x == term)) + 2.0 * F.size(F.filter("i", lambda x: x == term))
-    rows = slim.select(key, (F.col("words") + 2.0 * F.col("names")).alias("len"), (F.col("words") + 3.0 * F.col("names")).alias("weight"), *(count(t).alias(f"tf{k}") for k, t in enumerate(terms)))
+    parsed = docs.select(key, T.term_counts(F.col(text), terms).alias("c"))
+    count = lambda term: F.coalesce(F.get(F.filter("c.terms", lambda x: x["term"] == term), 0)["n"], F.lit(0)).cast("double")
+    rows = parsed.select(key, (F.col("c.words") + 2.0 * F.col("c.names")).alias("len"), (F.col("c.words") + 3.0 * F.col("c.names")).alias("weight"), *(count(t).alias(f"tf{k}") for k, t in enumerate(terms)))
     rows = written(rows, "counts")
     whole = rows.agg(F.count("*").alias("n"), F.avg("weight").alias("avg"), *(F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in range(len(terms))))
     scored = rows.join(F.broadcast(whole))  # one row

@@ -78,3 +78,51 @@ def test_filtered_floor(spark):
     assert search.bm25(docs, "doc_id", "text", ["common"]).count() == 0
     assert {r["score"] for r in search.bm25(docs, "doc_id", "text", ["common"], filtered=True).collect()} == {0.12}
     assert search.bm25(docs, "doc_id", "text", ["absent"], filtered=True).count() == 0
+
+
+def test_fields_of_rows_without_terms(spark, tmp_path):
+    """Rows whose text has no term aren't found, but a term of their fields is less rare."""
+    from math import log
+
+    docs = spark.createDataFrame([(1, "alpha beta", "s"), (2, "alpha gamma delta", "t"), (3, None, "s"), (4, "a of", "s"), (5, "beta", "u")], "doc_id long, text string, source string")
+    pairs = [("QSOURCE", "s"), ("", "alpha")]
+    part = lambda df, wdf, size: log((3 - df + 0.5) / (df + 0.5) + 1) * wdf * 2.5 / (wdf + 1.5 * (0.25 + 0.75 * size / 2))
+    score = {1: part(3, 4, 2) + part(2, 1, 2), 2: part(2, 1, 3)}
+    expected = {i: s / max(score.values()) for i, s in score.items()}
+    assert {r["doc_id"]: r["score"] for r in fulltext.scored(docs, "doc_id", "text", pairs, {"source": "source"}).collect()} == pytest.approx(expected)
+    path = f"file://{tmp_path}/index"
+    fulltext.store(docs, path, "doc_id", "text", {"source": "source"})
+    assert {r["key"]: r["score"] for r in fulltext.top(spark, path, pairs, 10).collect()} == pytest.approx(expected)
+
+
+def test_terms_counted_in_batches(spark):
+    """What is counted in batches is what the array functions find."""
+    from collections import Counter
+
+    from millrace.functions import text as T
+
+    texts = [None, "", "The the a_b x9 foo(1) classes class Bar (y) if (z) Foo (foo", "\u0130stanbul \u212aelvin na\u00efve caf\u00e9s straße", "class  this(that) DEF_1\u000b(2) ab abc", "кошки house 東京 x²y ٣٤٥"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    c = F.col("text")
+    got = docs.select("id", T.term_counts(c).alias("a"), T.term_counts(c, ["foo", "the", "abc"]).alias("b"), T.word_counts(c).alias("w"), T.tokens(c).alias("t"), T.identifiers(c).alias("i"), fulltext.stemmed(c, F.lit("none")).alias("s")).collect()
+    for r in got:
+        t, i = Counter(r["t"] or []), Counter(r["i"] or [])
+        assert (r["a"]["words"], r["a"]["names"]) == (r["b"]["words"], r["b"]["names"]) == (t.total(), i.total())
+        assert {(x["term"], x["n"], x["words"]) for x in r["a"]["terms"]} == {(w, t[w] + 2 * i[w], t[w]) for w in t | i}
+        assert {x["term"]: x["n"] for x in r["b"]["terms"]} == {w: t[w] + 2 * i[w] for w in ("foo", "abc") if t[w] + i[w]}
+        assert {x["term"]: x["n"] for x in r["w"]} == Counter(r["s"] or [])
+
+
+@pytest.mark.parametrize("common", [0, 100_000])
+def test_stems_from_a_dictionary(spark, sf, monkeypatch, common):
+    """Each different word is stemmed once; the stems of every text are those of its own words."""
+    from collections import Counter
+
+    monkeypatch.setattr(fulltext, "COMMON_ROWS", common)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(60).withColumn("len", F.lit(1))
+    language = fulltext.T.stemming_language(F.col("text"), F.col("lang"))
+    expected = {r["doc_id"]: Counter(r["s"] or []) for r in docs.select("doc_id", fulltext.stemmed(F.col("text"), language).alias("s")).collect()}
+    got = {i: Counter() for i in expected}
+    for r in fulltext.stem_postings(docs, "doc_id", "text", "lang", ("len",)).collect():
+        got[r["doc_id"]][r["term"]] += r["wdf"]
+    assert got == expected
