@@ -7,7 +7,7 @@ from collections import Counter
 from collections.abc import Iterable
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 # Stop words that the tokenizer's results depend on (those its ASCII tokens can meet).
@@ -51,6 +51,13 @@ _ANY_WORD = re.compile(r"\w+")
 _STOP = frozenset(w for w in STOP_WORDS if len(w) >= 3)
 
 
+def _small_batches(rows: int = 512) -> None:
+    """Lowers the session's batch size, never raises it: a batch's terms are held beside each other."""
+    spark, key = SparkSession.getActiveSession(), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark and not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def _structs(rows: list[Counter], **more: list[Counter]) -> pa.ListArray:
     """array<struct<term,n,...>> of each row's counts; more: counters that have a number of each term too."""
     ends, terms, n = [0], [], []
@@ -95,6 +102,7 @@ def term_counts(text: Column, only: Iterable[str] | None = None) -> Column:
             both.append(c)
         return pa.StructArray.from_arrays([pa.array(words, pa.int32()), pa.array(names, pa.int32()), _structs(both, words=tokens)], ["words", "names", "terms"])
 
+    _small_batches()
     return run.asNondeterministic()(text)
 
 
@@ -105,6 +113,7 @@ def word_counts(text: Column) -> Column:
     def run(texts: pa.Array) -> pa.Array:
         return _structs([Counter(_ANY_WORD.findall(text.lower()) if text else ()) for text in texts.to_pylist()])
 
+    _small_batches()
     return run.asNondeterministic()(text)
 
 

@@ -4,18 +4,17 @@ Words are counted over all training documents. The network's outputs are the com
 buckets of the other words by their last two characters; a word in a bucket has its smoothed share in the bucket's counts.
 So the model gives every word a probability (words that weren't seen count as one word a bucket). It is trained in rounds
 over growing parts of the corpus: in each, every partition trains the last round's weights on its own documents, and the
-weights are averaged by tokens. Every training document goes through the network once; one window in EVERY gives a
-gradient step, the others carry the state on.
+weights are averaged by tokens. Every training document goes through the network once, and every window gives a gradient step.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,8 +26,8 @@ COMMON, COMMON_BYTES = 1 << 17, 64
 BUCKETS = 63
 #: Outputs that are words; one is the end.
 WORDS = OUTPUTS - BUCKETS - 1
-#: Sixteenths of the training documents in each round, and one window in so many that gives a step.
-ROUNDS, EVERY = (1, 4, 11), 4
+#: Sixteenths of the training documents in each round.
+ROUNDS = (1, 4, 11)
 #: Tokens that go through the network together, words counted before they are handed on, numbers in a block of weights.
 CHUNK, COUNTED, BLOCK = 1 << 21, 400_000, 4096
 
@@ -38,9 +37,12 @@ def is_held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 7 == 2
 
 
-def words(text: str) -> list[bytes]:
-    """Words between ASCII white space, A-Z in lower case."""
-    return text.encode("utf-8", "replace").lower().split()
+def words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Words between ASCII white space of all texts, A-Z in lower case, and the number of the text that each is from."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    flat, of = split.flatten(), pc.list_parent_indices(split)
+    some = pc.greater(pc.binary_length(flat), 0)
+    return flat.filter(some), of.filter(some).to_numpy().astype(np.int64)
 
 
 def bucket(word: bytes) -> int:
@@ -51,15 +53,26 @@ def word_counts(given: DataFrame) -> DataFrame:
     """word, n: over training documents; the word "" is the end of a document."""
 
     def run(batches):
-        counts: Counter = Counter()
+        held, rows, ends = [], 0, 0
+
+        def summed() -> pa.Table:
+            return pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("n", "sum")]).rename_columns(["word", "n"])
+
+        def out(t: pa.Table):
+            return {name: pa.concat_arrays([*t[name].chunks, pa.array(more, t[name].type)]) for name, more in (("word", [""]), ("n", [ends]))}
+
         for b in batches:
-            for text in b.column(0).to_pylist():
-                counts.update(words(text))
-                counts[b""] += 1
-                if len(counts) > COUNTED:
-                    yield {"word": list(counts), "n": list(counts.values())}
-                    counts.clear()
-        yield {"word": list(counts), "n": list(counts.values())}
+            found = pc.value_counts(words(b.column(0))[0])
+            held.append(pa.table({"word": found.field("values"), "n": found.field("counts")}))
+            rows, ends = rows + len(found), ends + b.num_rows
+            if rows > 4 * COUNTED:
+                held = [summed()]
+                rows = held[0].num_rows
+                if rows > COUNTED:
+                    yield out(held[0])
+                    held, rows, ends = [], 0, 0
+        if held:
+            yield out(summed())
 
     parts = map_batches(given.filter(~F.col("held_out")).select("text"), run, "word string, n long")
     return materialise(parts.groupBy("word").agg(F.sum("n").alias("n")), "word-counts")[0]
@@ -113,10 +126,6 @@ class Vocabulary:
         self.log_inner = np.where(at < WORDS, 0.0, np.log10((self.counts + 1) / self.bucket_base[buckets])) if len(common) else np.zeros(0)
         self.log_end = float(np.log10((self.ends + 1) / self.base))
 
-    def bucket_output(self, word: bytes) -> tuple[int, int]:
-        b = bucket(word)
-        return b, int(self.place[1 + WORDS + b])
-
 
 ENCODED = "row long, doc_id long, held_out boolean, part int, n_tokens long, n_known long, base double, inner double, ids binary, rare array<string>, times array<int>"
 
@@ -126,25 +135,29 @@ def encode(given: DataFrame, known) -> DataFrame:
 
     def run(batches):
         v: Vocabulary = known.value
-        get = v.index.get
+        common = pa.array([w.decode() for w in v.index], pa.string())
         for batch in batches:
-            out = {n.split()[0]: [] for n in ENCODED.split(", ")}
-            for row, doc_id, held, part, text in zip(*(c.to_pylist() for c in batch.columns)):
-                tokens = words(text)
-                at = np.fromiter(map(get, tokens, repeat(-1)), np.int64, len(tokens))
-                ids = np.empty(len(tokens) + 1, np.uint16)
-                ids[-1] = v.end
-                seen = at >= 0
-                common, unseen = at[seen], np.flatnonzero(~seen)
-                ids[:-1][seen] = v.output[common]
-                rare: Counter = Counter()
-                for i in unseen.tolist():
-                    ids[i] = v.bucket_output(tokens[i])[1]
-                    rare[tokens[i]] += 1
-                values = (row, doc_id, held, part, len(ids), len(common) + (v.ends > 0), float(v.log_base[common].sum()) + v.log_end, float(v.log_inner[common].sum()), ids.tobytes(), list(rare), list(rare.values()))
-                for name, x in zip(out, values):
-                    out[name].append(x)
-            yield out
+            flat, of = words(batch.column(4))
+            m = batch.num_rows
+            at = pc.fill_null(pc.index_in(flat, value_set=common), -1).to_numpy(zero_copy_only=False)
+            seen = at >= 0
+            held, rare, of_rare = at[seen], flat.filter(pa.array(~seen)), of[~seen]
+            ends = pc.utf8_slice_codeunits(rare, -2).dictionary_encode()
+            places = np.array([v.place[1 + WORDS + bucket(e.encode())] for e in ends.dictionary.to_pylist()], np.int64)
+            n = np.bincount(of, minlength=m)
+            ids = np.empty(len(of) + m, np.uint16)
+            spots = np.arange(len(of)) + of
+            ids[spots[seen]], ids[spots[~seen]], ids[np.cumsum(n) + np.arange(m)] = v.output[held], places[ends.indices.to_numpy()], v.end
+            sums = lambda numbers: np.bincount(of[seen], numbers[held], m)
+            times = pa.table({"of": of_rare, "word": rare}).group_by(["of", "word"], use_threads=False).aggregate([([], "count_all")])
+            order = np.argsort(times["of"].to_numpy(), kind="stable")
+            starts = pa.array(np.concatenate(([0], np.cumsum(np.bincount(times["of"].to_numpy(), minlength=m)))), pa.int32())
+            lists = lambda column, kind: pa.ListArray.from_arrays(starts, column.take(order).combine_chunks().cast(kind))
+            limits = np.concatenate(([0], np.cumsum(n + 1) * 2)).astype(np.int32)
+            yield {c: batch.column(i) for i, c in enumerate(("row", "doc_id", "held_out", "part"))} | {
+                "n_tokens": n + 1, "n_known": np.bincount(of[seen], minlength=m) + (v.ends > 0), "base": sums(v.log_base) + v.log_end, "inner": sums(v.log_inner),
+                "ids": pa.Array.from_buffers(pa.binary(), m, [None, pa.py_buffer(limits), pa.py_buffer(ids)]), "rare": lists(times["word"], pa.string()), "times": lists(times["count_all"], pa.int32()),
+            }
 
     return map_batches(given.select("row", "doc_id", "held_out", "part", "text"), run, ENCODED)
 
@@ -170,9 +183,9 @@ def train_round(encoded: DataFrame, state: np.ndarray, end: int) -> np.ndarray:
     start = encoded.sparkSession.sparkContext.broadcast(state)
 
     def run(batches):
-        model, squares, tokens, turn = Model(start.value[:SIZE], end), start.value[SIZE:].copy(), 0, 0
+        model, squares, tokens = Model(start.value[:SIZE], end), start.value[SIZE:].copy(), 0
         for (docs,) in chunks(batches):
-            turn = model.train(docs, squares, EVERY, turn)
+            model.train(docs, squares)
             tokens += sum(map(len, docs))
         if tokens:
             both = np.concatenate([model.flat, squares]).astype("<f4")

@@ -133,3 +133,12 @@ def test_training_lowers_loss(model):
     for _ in range(3):
         model.train(docs, squares, 1)
     assert model.score(docs).sum() > 0.7 * before
+
+
+def test_every_window_trains(model, monkeypatch):
+    """Each window of each document gives a gradient step: over whole documents, all inputs go back."""
+    docs, seen, back = some_docs(300), [], gru.Model.backward
+    monkeypatch.setattr(gru.Model, "backward", lambda self, inputs, *rest: (seen.append(inputs.size), back(self, inputs, *rest))[1])
+    steps = model.train(docs, np.zeros(gru.SIZE, np.float32))
+    assert steps == len(seen) > 20 and sum(seen) >= sum(map(len, docs))
+    assert not hasattr(lm, "EVERY")
