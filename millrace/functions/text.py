@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterable
 
@@ -72,6 +73,16 @@ def _structs(rows: list[Counter], **more: list[Counter]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(arrays, names))
 
 
+def _counts(text: str | None) -> tuple[Counter, list[str]]:
+    """How often each token occurs in a text, and its identifiers."""
+    c, named = Counter(_WORD.findall(text.lower()) if text else ()), []
+    for w in _STOP.intersection(c):
+        del c[w]
+    if text and ("(" in text or "class" in text):
+        named = [w for w in _CALL.findall(text) + _CLASS.findall(text) if len(w) >= 3 and w not in _STOP]
+    return c, named
+
+
 def term_counts(text: Column, only: Iterable[str] | None = None) -> Column:
     """(words, names, terms): how many tokens() and identifiers() a text has, and (term, n, words) of each different one: n counts names twice.
 
@@ -84,11 +95,7 @@ def term_counts(text: Column, only: Iterable[str] | None = None) -> Column:
     def run(texts: pa.Array) -> pa.Array:
         words, names, both, tokens = [], [], [], []
         for text in texts.to_pylist():
-            c, named = Counter(_WORD.findall(text.lower()) if text else ()), ()
-            for w in _STOP.intersection(c):
-                del c[w]
-            if text and ("(" in text or "class" in text):
-                named = [w for w in _CALL.findall(text) + _CLASS.findall(text) if len(w) >= 3 and w not in _STOP]
+            c, named = _counts(text)
             words.append(c.total())
             names.append(len(named))
             if wanted is not None:
@@ -106,6 +113,26 @@ def term_counts(text: Column, only: Iterable[str] | None = None) -> Column:
     return run.asNondeterministic()(text)
 
 
+def packed_counts(text: Column) -> Column:
+    """(words, terms, times): how many tokens() a text has, its different tokens and identifiers between spaces (null: none), and as 32-bit integers how
+    often each is a token. For steps in Python: a row is three values between there and the JVM, however many terms it has."""
+
+    @F.arrow_udf("struct<words:int,terms:string,times:binary>")
+    def run(texts: pa.Array) -> pa.Array:
+        words, terms, times = [], [], []
+        for text in texts.to_pylist():
+            c, named = _counts(text)
+            words.append(c.total())
+            for w in named:
+                c.setdefault(w, 0)
+            terms.append(" ".join(c) if c else None)
+            times.append(array("i", c.values()).tobytes())
+        return pa.StructArray.from_arrays([pa.array(words, pa.int32()), pa.array(terms, pa.string()), pa.array(times, pa.binary())], ["words", "terms", "times"])
+
+    _small_batches()
+    return run.asNondeterministic()(text)
+
+
 def word_counts(text: Column) -> Column:
     """(term, n) of the different words of a text, letters and digits of any script, lower-cased; null is empty."""
 

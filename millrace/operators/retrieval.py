@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -90,25 +94,131 @@ COMMON = 1000
 
 
 def hashed_embeddings(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, slot, weight): 256 slots by the first byte of the term's MD5, term weight tf idf per occurrence, unit length; zero slots are left out.
+    """(key, slot, weight): SLOTS slots by the first byte of the term's MD5, term weight tf idf per occurrence, unit length; zero slots are left out.
 
-    idf = ln(N / (1 + df)) over all documents; df counts identifiers as terms too. Common words (COMMON) meet their frequency in a
-    broadcast join, so no key of the other, shuffled join has many rows.
+    idf = ln(N / (1 + df)) over all documents; df counts identifiers as terms too. Common words (COMMON) are weighed where the document lies, by
+    their broadcast weights, and leave as one row a document; other words meet theirs in a shuffled join, of which no key has many rows. Rows of
+    one key and length are one document: keys that repeat are found first, and their words are summed in a shuffle.
     """
-    counted = docs.select(key, T.term_counts(F.col(text)).alias("c")).select(key, F.col("c.words").alias("n"), F.explode("c.terms").alias("x"))
-    words = written(counted.select(key, "n", "x.term", F.col("x.words").alias("tf")), "words")
-    total = docs.count()
+    counted = docs.select(key, T.packed_counts(F.col(text)).alias("c")).select(key, F.col("c.words").alias("n"), "c.terms", "c.times")
+    counted = written(counted, "terms")
+    total = counted.count()
     slot = F.conv(F.substring(F.md5(F.col("term")), 1, 2), 16, 10).cast("int")
-    weights = words.groupBy("term").agg(F.count("*").alias("df")).select("term", "df", slot.alias("slot"), F.log(total / (1.0 + F.col("df"))).alias("idf"))
-    weights = written(weights, "weights")
+    df = counted.select("terms").mapInArrow(_rows, "term string, df long").groupBy("term").agg(F.sum("df").alias("df"))
+    weights = written(df.select("term", "df", slot.alias("slot"), F.log(total / (1.0 + F.col("df"))).alias("idf")), "weights")
     often = F.col("df") * COMMON > total
-    used = words.filter("tf > 0").groupBy(key, "n", "term").agg(F.sum("tf").alias("tf"))  # rows of one key and length are one document
-    common = F.broadcast(weights.filter(often))
-    rare = used.join(common.select("term"), "term", "left_anti").join(weights.filter(~often), "term")
-    each = used.join(common, "term").unionByName(rare).select(key, "slot", (F.col("tf") * F.col("tf") / F.col("n") * F.col("idf")).alias("w"))
-    slots = each.repartition(key).groupBy(key, "slot").agg(F.sum("w").alias("w"))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
-    return slots.withColumn("norm", norm).filter("norm > 0").select(key, "slot", (F.col("w") / F.col("norm")).alias("weight"))
+    common, others = weights.filter(often).drop("df"), weights.filter(~often).drop("df")
+    known = docs.sparkSession.sparkContext.broadcast(common.toArrow().combine_chunks())
+    named = counted.filter(F.col(key).isNotNull())
+    again = written(named.groupBy(key).agg(F.count("*").alias("rows")).filter("rows > 1").select(key), "repeated")
+    repeated = again.count() > 0
+    single = named.join(again, key, "left_anti") if repeated else named
+    kind = docs.schema[key].dataType.simpleString()
+    whole = single.mapInArrow(lambda batches: _weighed(batches, known.value), f"`{key}` {kind}, slots binary, w binary")
+    rest = single.mapInArrow(lambda batches: _each(batches, known.value), f"`{key}` {kind}, n int, term string, tf long").join(others, "term")
+    if repeated:
+        each = named.join(again, key, "left_semi").select(key, "n", "terms", "times").mapInArrow(_each, f"`{key}` {kind}, n int, term string, tf long").groupBy(key, "n", "term").agg(F.sum("tf").alias("tf"))
+        for part in (each.join(F.broadcast(common), "term"), each.join(others, "term")):
+            rest = rest.unionByName(part)
+    rest = rest.select(key, "slot", (F.col("tf") * F.col("tf") / F.col("n") * F.col("idf")).alias("one"))
+    return whole.unionByName(rest, True).repartition(key).sortWithinPartitions(key).mapInArrow(_unit, f"`{key}` {kind}, slot int, weight double")
+
+
+SLOTS = 256
+
+
+def _rows(batches: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """(term, df): in how many rows each term is, counted over `most` terms at a time."""
+    held: list[pa.Array] = []
+
+    def counts() -> pa.RecordBatch:
+        found = pc.value_counts(pa.chunked_array(held, pa.string()))
+        held.clear()
+        return pa.record_batch([found.field(0), found.field(1)], ["term", "df"])
+
+    for batch in batches:
+        held.append(pc.split_pattern(batch.column("terms"), " ").flatten())
+        if sum(map(len, held)) >= most:
+            yield counts()
+    if held:
+        yield counts()
+
+
+def _parted(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Of all words of a batch's rows: the row, how often it is there, and the word."""
+    terms = pc.split_pattern(batch.column("terms"), " ")
+    row = np.repeat(np.arange(len(batch)), pc.fill_null(pc.list_value_length(terms), 0).to_numpy(zero_copy_only=False))
+    tf = np.frombuffer(b"".join(batch.column("times").to_pylist()), np.int32).astype(np.int64)
+    here = np.flatnonzero(tf)
+    return row[here], tf[here], terms.flatten().take(pa.array(here))
+
+
+def _places(term: pa.Array, known: pa.Table) -> np.ndarray:
+    """Places among the known terms, -1: none."""
+    return pc.fill_null(pc.index_in(term, value_set=known["term"]), -1).to_numpy(zero_copy_only=False)
+
+
+def _summed(group: np.ndarray, groups: int, slot: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of w, and whether there is any, by group and slot."""
+    cell = group * SLOTS + slot
+    shape = (groups, SLOTS)
+    return np.bincount(cell, w, groups * SLOTS).reshape(shape), np.bincount(cell, minlength=groups * SLOTS).reshape(shape) > 0
+
+
+def _weighed(batches: Iterator[pa.RecordBatch], known: pa.Table) -> Iterator[pa.RecordBatch]:
+    """(key, slots, w): what a row's known words add to its slots, as bytes and doubles."""
+    place, idf = known["slot"].to_numpy(), known["idf"].to_numpy()
+    for batch in batches:
+        row, tf, term = _parted(batch)
+        at = _places(term, known)
+        row, tf, at = row[at >= 0], tf[at >= 0].astype(float), at[at >= 0]
+        n = batch.column("n").to_numpy()[row]
+        w, some = _summed(row, len(batch), place[at], tf * tf / n * idf[at])
+        slots = [np.flatnonzero(x) for x in some]
+        yield pa.record_batch([batch.column(0), pa.array([s.astype(np.uint8).tobytes() for s in slots], pa.binary()), pa.array([x[s].tobytes() for x, s in zip(w, slots)], pa.binary())], [batch.schema.names[0], "slots", "w"])
+
+
+def _each(batches: Iterator[pa.RecordBatch], known: pa.Table | None = None) -> Iterator[pa.RecordBatch]:
+    """(key, n, term, tf) of a row's words, or of those that aren't known."""
+    for batch in batches:
+        row, tf, term = _parted(batch)
+        if known is not None:
+            here = np.flatnonzero(_places(term, known) < 0)
+            row, tf, term = row[here], tf[here], term.take(pa.array(here))
+        of = pa.array(row)
+        yield pa.record_batch([batch.column(0).take(of), batch.column("n").take(of), term, pa.array(tf)], [batch.schema.names[0], "n", "term", "tf"])
+
+
+def _unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, slot, weight) of rows sorted by key, which hold several slots (slots, w) or one (slot, one): summed by key, over batches too, and brought to length one."""
+    held = None  # the last key with its sums
+
+    def made(keys: pa.Array, w: np.ndarray, some: np.ndarray, name: str) -> pa.RecordBatch:
+        norm = np.sqrt((w * w).sum(1))
+        row, slot = np.nonzero(some & (norm > 0)[:, None])
+        return pa.record_batch([keys.take(pa.array(row)), pa.array(slot.astype(np.int32)), pa.array(w[row, slot] / norm[row])], [name, "slot", "weight"])
+
+    for batch in batches:
+        if not len(batch):
+            continue
+        key, name = batch.column(0), batch.schema.names[0]
+        new = np.concatenate(([True], pc.not_equal(key[1:], key[:-1]).to_numpy(zero_copy_only=False)))
+        keys = key.take(pa.array(np.flatnonzero(new)))
+        group, slots, one = np.cumsum(new) - 1, batch.column("slots"), np.flatnonzero(batch.column("slot").is_valid())
+        many = np.repeat(group, pc.fill_null(pc.binary_length(slots), 0).to_numpy(zero_copy_only=False))
+        joined = lambda name, kind: np.frombuffer(b"".join(batch.column(name).drop_null().to_pylist()), kind)
+        slot = np.concatenate((joined("slots", np.uint8), batch.column("slot").drop_null().to_numpy())).astype(int)
+        w, some = _summed(np.concatenate((many, group[one])), len(keys), slot, np.concatenate((joined("w", float), batch.column("one").drop_null().to_numpy())))
+        if held is not None:
+            if held[0][0] == keys[0]:
+                w[0] += held[1][0]
+                some[0] |= held[2][0]
+            else:
+                yield made(*held, name)
+        yield made(keys[:-1], w[:-1], some[:-1], name)
+        held = keys[-1:], w[-1:], some[-1:]
+    if held is not None:
+        yield made(*held, name)
 
 
 def inverted_index(docs: DataFrame, key: str, text: str, fields: dict[str, str]) -> DataFrame:

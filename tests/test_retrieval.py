@@ -1,5 +1,10 @@
 """Retrieval, sections and text functions on small hand-made rows."""
 
+import hashlib
+import math
+import re
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -86,6 +91,33 @@ def test_embeddings(spark):
     assert {tuple(r) for r in retrieval.reuse_counts(wanted, held, ["id", "hash"]).collect()} == {("reused", 1), ("generated", 1), ("stale", 1)}
 
 
+@pytest.mark.parametrize("common", [0, 3, 10**9])
+def test_embeddings_by_hand(spark, monkeypatch, common):
+    """Words weighed beside their document or by a join give the same; rows of one key and length are one document, rows without a key only count
+    in frequencies, and the words of single documents aren't shuffled by their document."""
+    monkeypatch.setattr(retrieval, "COMMON", common)
+    texts = [(i, f"alpha beta{i % 3} gamma{i} alpha call{i % 2}(x) beta{i % 5}") for i in range(40)]
+    texts += [(7, "alpha alpha delta beta1"), (50, "omega alpha"), (50, "omega omega"), (50, "alpha beta1 beta1"), (None, "alpha omega"), (60, ""), (61, None)]
+    parsed = [(k, [w for w in re.split("[^a-z0-9_]+", (t or "").lower()) if len(w) >= 3], re.findall(r"(call\d)\(", t or "")) for k, t in texts]
+    df, q, sums = Counter(w for _, words, named in parsed for w in {*words, *named}), Counter(), Counter()
+    for k, words, _ in parsed:
+        if k is not None:
+            q.update((k, len(words), w) for w in words)
+    for (k, n, w), c in q.items():
+        sums[k, int(hashlib.md5(w.encode()).hexdigest()[:2], 16)] += c * c / n * math.log(len(texts) / (1 + df[w]))
+    norm = Counter()
+    for (k, _), w in sums.items():
+        norm[k] += w * w
+    docs = spark.createDataFrame(texts, "id long, text string").repartition(3)
+    found = retrieval.hashed_embeddings(docs, "id", "text")
+    rows = found.collect()
+    got = {(r["id"], r["slot"]): r["weight"] for r in rows}
+    expected = {(k, s): w / norm[k] ** 0.5 for (k, s), w in sums.items() if norm[k] > 0}
+    assert len(rows) == len(got) and got.keys() == expected.keys() and all(abs(got[k] - w) < 1e-9 for k, w in expected.items())
+    single = retrieval.hashed_embeddings(docs.filter("id < 7"), "id", "text")
+    assert not re.search(r"hashpartitioning\(id#\d+L, n#", single._jdf.queryExecution().toString())
+
+
 def test_log_reports(spark):
     log = spark.createDataFrame([(i, float(i)) for i in range(10)], "id long, v double")
     kept = lambda most: sorted(r["id"] for r in analytics.pruned(log, [F.desc("id")], most).collect())
