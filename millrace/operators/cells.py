@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import drop, written
 
 #: Rows to fit centres on and centres at most (documented bounds; the rows of all sizes are assigned), bytes of a block's vectors,
 #: partners of a block that go to one task, summaries that a task compares with at a time.
@@ -48,10 +48,30 @@ def block_rows(size: int, most: int | None = None) -> int:
     return max(1, min(most or 1 << 30, BLOCK_BYTES // (8 * size)))
 
 
+def sampled(rows: DataFrame, key: str, n: int, most: int) -> pd.DataFrame:
+    """Of n rows the `most` with the lowest hashes of their key, in that order.
+
+    They are taken among rows under a hash that some more than `most` are expected to have, so what moves doesn't grow with the number of tasks:
+    a sorted limit that is collected takes `most` rows of every task to the driver. Where keys repeat too few may be under it; then all rows are sorted.
+    """
+    hashed = rows.withColumn("hash", F.xxhash64(key))
+    under = min((1 << 63) - 1, int(1.25 * most * (1 << 64)) // max(n, 1) - (1 << 63))
+    first = lambda df: written(df.orderBy("hash", key).limit(most), "sample")
+    made = first(hashed.filter(F.col("hash") <= under))
+    if made.count() < min(n, most):
+        drop(made)
+        made = first(hashed)
+    found = made.toPandas().sort_values(["hash", key], kind="stable", ignore_index=True).drop(columns="hash")
+    drop(made)
+    return found
+
+
 def fit(given: DataFrame, most: int | None = None) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """Centres by vector length, with the tasks that each cell is dealt to; from SAMPLE rows by the hash of their ids."""
-    sizes = {r["size"]: r["n"] for r in given.groupBy("size").agg(F.count("*").alias("n")).orderBy(F.desc("n")).limit(1000).collect()}
-    sample = given.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toPandas()
+    counts = written(given.groupBy("size").agg(F.count("*").alias("n")), "sizes")
+    sizes = {r["size"]: r["n"] for r in counts.orderBy(F.desc("n")).limit(1000).collect()}
+    sample = sampled(given, "vec_id", counts.agg(F.sum("n")).first()[0] or 0, SAMPLE)
+    drop(counts)
     out = {}
     for size, n in sizes.items():
         rows = sample.loc[sample["size"] == size, "embedding"]
@@ -217,7 +237,9 @@ def united(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
 
 def homes(left: DataFrame, right: DataFrame, k: int, probes: int | None = None) -> DataFrame:
     """(a, b): for each block of left the nearest of right (a summary) that hold k rows together; or, with probes, each of its rows' `probes` nearest."""
-    part = right.select("block", "size", "n", "centre").toPandas() if right.count() <= SLAB else right.orderBy(F.xxhash64("block")).limit(SLAB).toPandas()
+    about = right.select("block", "size", "n", "centre")
+    blocks_ = about.count()
+    part = about.toPandas() if blocks_ <= SLAB else sampled(about, "block", blocks_, SLAB)
     by = {size: (x["block"].to_numpy(), np.stack(x["centre"].to_numpy()), x["n"].to_numpy()) for size, x in part.groupby("size")}
     known = left.sparkSession.sparkContext.broadcast(by)
 

@@ -83,14 +83,16 @@ def reach(least: float) -> float:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """From edges (a, b): node and root (the smallest node of its component) of every node; each round halves the way to it at least."""
+    """From edges (a, b): node and root (the smallest node of its component) of every node; each round halves the way to it at least.
+
+    Its joins are merge joins: a table of roots that is just small enough to be broadcast would go through the driver several times a round."""
     both = written(edges.union(edges.select("b", "a")).distinct(), "edges")
     state = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("root")), "roots")
     while True:
-        near = both.join(state.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("low"))
-        lower = state.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "low").alias("root"))
+        near = both.join(state.select(F.col("node").alias("b"), "root").hint("merge"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("low"))
+        lower = state.join(near.hint("merge"), "node").select("node", F.col("root").alias("old"), F.least("root", "low").alias("root"))
         jump = lower.select(F.col("node").alias("root"), F.col("root").alias("low"))
-        following = written(lower.join(jump, "root", "left").select("node", "old", F.coalesce("low", "root").alias("root")), "roots")
+        following = written(lower.join(jump.hint("merge"), "root", "left").select("node", "old", F.coalesce("low", "root").alias("root")), "roots")
         drop(state)
         if not following.filter("old <> root").limit(1).count():
             drop(both)
@@ -127,7 +129,7 @@ def similar_classes(vectors: DataFrame, least: float = 0.85, block: int | None =
     found = written(cells.met(cells.pairs(about, about, reach(least), once=True), made, made, links, "a long, b long, links long"), "links")
     counts = found.filter("links > 0").groupBy(F.col("a").alias("vec_id")).agg(F.sum("links").alias("links"))
     roots = components(found.filter("links = 0").select("a", "b"))
-    out = vectors.select("vec_id").join(counts, "vec_id", "left").join(roots, F.col("vec_id") == F.col("node"), "left")
+    out = vectors.select("vec_id").join(counts.hint("merge"), "vec_id", "left").join(roots.hint("merge"), F.col("vec_id") == F.col("node"), "left")
     drop(made)
     return out.select("vec_id", F.coalesce("root", "vec_id").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
 

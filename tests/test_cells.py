@@ -40,6 +40,28 @@ def test_blocks(spark, frame, rows):
     assert 90_002 not in [i for b in cells.blocks(frame, True).collect() for i in np.frombuffer(b["ids"], np.int64)]
 
 
+def test_sample(spark, frame, monkeypatch):
+    """The rows of lowest hash, also where few keys repeat; no sorted limit is collected, for which every task sends its own to the driver."""
+    given = frame.filter("vec_id is not null").select("vec_id", "embedding", F.size("embedding").alias("size"))
+    kind, plans = type(given), []
+    whole = kind.toPandas
+    monkeypatch.setattr(kind, "toPandas", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or whole(df))
+    monkeypatch.setattr(cells, "SAMPLE", 100)
+    assert cells.fit(given.filter("size = 16"), 64).keys() == {16}
+    assert plans and not any("TakeOrdered" in p for p in plans)
+    for rows, n in ((given, given.count()), (given.withColumn("vec_id", F.col("vec_id") % 3), given.count()), (given.limit(5), 5), (given.limit(0), 0)):
+        hashed = sorted(tuple(r) for r in rows.select(F.xxhash64("vec_id"), "vec_id").collect())
+        assert cells.sampled(rows.select("vec_id"), "vec_id", n, 100)["vec_id"].tolist() == [i for _, i in hashed[:100]]
+
+
+def test_components_broadcast_nothing(spark, monkeypatch):
+    plans, kept = [], search.written
+    monkeypatch.setattr(search, "written", lambda df, tag: plans.append(df._jdf.queryExecution().executedPlan().toString()) or kept(df, tag))
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40) if i % 10 != 9], "a long, b long")
+    assert {(r["node"], r["root"]) for r in search.components(edges).collect()} == {(i, i // 10 * 10) for i in range(40)}
+    assert not any("Broadcast" in p for p in plans) and any("SortMergeJoin" in p for p in plans)
+
+
 def test_pairs_are_ruled_out(spark, frame, rows, monkeypatch):
     """Classes and earlier duplicates are those of all pairs, from a small part of the pairs of blocks."""
     u = cells.unit(rows.astype(float))
