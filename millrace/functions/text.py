@@ -75,12 +75,16 @@ def _structs(rows: list[Counter], **more: list[Counter]) -> pa.ListArray:
 
 def _counts(text: str | None) -> tuple[Counter, list[str]]:
     """How often each token occurs in a text, and its identifiers."""
-    c, named = Counter(_WORD.findall(text.lower()) if text else ()), []
+    c = Counter(_WORD.findall(text.lower()) if text else ())
     for w in _STOP.intersection(c):
         del c[w]
-    if text and ("(" in text or "class" in text):
-        named = [w for w in _CALL.findall(text) + _CLASS.findall(text) if len(w) >= 3 and w not in _STOP]
-    return c, named
+    return c, _identifiers(text) if text else []
+
+
+def _identifiers(text: str) -> list[str]:
+    if "(" not in text and "class" not in text:
+        return []
+    return [w for w in _CALL.findall(text) + _CLASS.findall(text) if len(w) >= 3 and w not in _STOP]
 
 
 def term_counts(text: Column, only: Iterable[str] | None = None) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import math
 import re
 from functools import reduce
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import stems as S
 from ..functions import text as T
 from ..functions import vectors as V
-from . import search
+from . import packed, search
 from .shared import drop, written
 
 # Prefixes of the fields in the index, with the weight of a word and of the whole value; of metadata, word parts, CJK pairs and stems.
@@ -91,29 +92,36 @@ def postings(docs: DataFrame, key: str, text: str, fields: dict[str, str] | None
     """(prefix, term, key, wdf): what term_lists() says, summed. Keys are unique, so all is counted inside the row; nothing is shuffled.
 
     more: columns of the row that its postings keep."""
-    return _postings(docs.withColumn("counted", T.term_counts(F.col(text))), key, text, fields, metadata, cjk, language, more)
+    own = F.struct(F.lit("").alias("prefix"), F.transform("counted.terms", lambda t: F.struct(t["term"].alias("term"), t["n"].alias("n"))).alias("runs"))
+    each = F.array(own, *field_runs(text, fields, metadata, cjk, language))
+    rows = docs.withColumn("counted", T.term_counts(F.col(text))).select(key, *more, F.explode(each).alias("x")).select(key, *more, "x.prefix", F.explode("x.runs").alias("r"))
+    return rows.select("prefix", F.col("r.term").alias("term"), key, *more, F.col("r.n").cast("long").alias("wdf"))
 
 
-def _postings(docs: DataFrame, key: str, text: str, fields, metadata, cjk, language, more: tuple[str, ...]) -> DataFrame:
-    """The postings of rows that have their text's terms in `counted`."""
+def field_runs(text: str, fields, metadata, cjk, language) -> list[Column]:
+    """(prefix, runs) of a row's terms that aren't its text's own."""
     by: dict[str, list[Column]] = {}
     for prefix, terms, weight in term_lists(text, fields, metadata, cjk, language)[2:]:
         by.setdefault(prefix, []).extend([terms] * weight)
-    runs = {"": F.transform("counted.terms", lambda t: F.struct(t["term"].alias("term"), t["n"].alias("n")))} | {prefix: run_lengths(F.concat(*lists)) for prefix, lists in by.items()}
-    each = F.array(*(F.struct(F.lit(prefix).alias("prefix"), found.alias("runs")) for prefix, found in runs.items()))
-    rows = docs.select(key, *more, F.explode(each).alias("x")).select(key, *more, "x.prefix", F.explode("x.runs").alias("r"))
-    return rows.select("prefix", F.col("r.term").alias("term"), key, *more, F.col("r.n").cast("long").alias("wdf"))
+    return [F.struct(F.lit(prefix).alias("prefix"), run_lengths(F.concat(*lists)).alias("runs")) for prefix, lists in by.items()]
+
+
+def tongue_of(text: str, language: str) -> Column:
+    """The language by whose rules a text's words are stemmed; null: they are their own stems."""
+    named = T.stemming_language(F.col(text), F.col(language))
+    return F.when(named.isin(*S.LANGUAGES), named)
+
+
+def stem_by_tongue() -> Column:
+    return F.coalesce(*(F.when(F.col("tongue") == name, S.stem(F.col("word"), name)) for name in S.LANGUAGES))
 
 
 def stem_postings(docs: DataFrame, key: str, text: str, language: str, more: tuple[str, ...]) -> DataFrame:
     """Postings of the stems of texts. Each different word of a language is stemmed once, in a dictionary that the texts' words meet in a join; a row
     can have several postings of one stem."""
-    named = T.stemming_language(F.col(text), F.col(language))
-    tongue = F.when(named.isin(*S.LANGUAGES), named)  # words of other languages are their own stems
-    found = docs.select(key, *more, tongue.alias("tongue"), T.word_counts(F.col(text)).alias("c")).select(key, *more, "tongue", F.explode("c").alias("x"))
+    found = docs.select(key, *more, tongue_of(text, language).alias("tongue"), T.word_counts(F.col(text)).alias("c")).select(key, *more, "tongue", F.explode("c").alias("x"))
     found = written(found.select(key, *more, "tongue", F.col("x.term").alias("word"), F.col("x.n").cast("long").alias("wdf")), "words")
-    stem = F.coalesce(*(F.when(F.col("tongue") == name, S.stem(F.col("word"), name)) for name in S.LANGUAGES))
-    known = written(found.filter("tongue is not null").groupBy("tongue", "word").agg(F.count("*").alias("rows")).select("tongue", "word", "rows", stem.alias("term")), "stems")
+    known = written(found.filter("tongue is not null").groupBy("tongue", "word").agg(F.count("*").alias("rows")).select("tongue", "word", "rows", stem_by_tongue().alias("term")), "stems")
     often = F.col("rows") > COMMON_ROWS
     common = F.broadcast(known.filter(often).drop("rows"))
     some = found.filter("tongue is not null")
@@ -167,6 +175,18 @@ COMMON_ROWS = 100_000
 STRETCH, FIRST_STRETCHES, MORE_STRETCHES = 256, 64, 16
 
 
+@contextlib.contextmanager
+def several_files(spark: SparkSession):
+    """Rows that are written inside go to the files of their folders side by side, without being sorted again by folder."""
+    key = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "32")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def store(docs: DataFrame, path: str, key: str, text: str, fields: dict[str, str] | None = None, metadata: str | None = None, cjk: bool = False, parts: int | None = None, language: str | None = None) -> None:
     """The full-text index as tables: blocks, terms and statistics. Keys are unique; documents whose text has no term can't be found, but their fields count in df.
 
@@ -174,26 +194,24 @@ def store(docs: DataFrame, path: str, key: str, text: str, fields: dict[str, str
     their lengths, the greatest count and the least length, which bound what it adds to a score. Blocks lie in ranges of terms under a folder for
     each prefix, so a query's terms are found by folder and by the files' least and greatest terms; `terms` is the dictionary, sorted alike.
     """
-    spark, seen = docs.sparkSession, Observation()
-    given = docs.withColumn("counted", T.term_counts(F.col(text))).withColumn("len", (F.col("counted.words") + 2 * F.col("counted.names")).cast("long"))
-    given = given.withColumn("stretch", F.shiftright(F.monotonically_increasing_id(), STRETCH.bit_length() - 1))
-    more, keys, kept = ("len", "stretch"), ["prefix", "term", "stretch"], F.col("len") > 0
-    index = _postings(given.observe(seen, F.count_if(kept).alias("n"), F.sum("len").alias("total")), key, text, fields, metadata, cjk, None, more)
-    if language:
-        index = index.unionByName(stem_postings(given, key, text, language, more))
-    index = written(index, "postings")
-    # postings of a range of terms meet once, in the task that writes them
-    ranged = (index.repartitionByRange(parts, *keys) if parts else index.repartitionByRange(*keys)).sortWithinPartitions(*keys)
+    spark, seen, shift = docs.sparkSession, Observation(), STRETCH.bit_length() - 1
+    runs = field_runs(text, fields, metadata, cjk, None)
+    index = packed.counted(docs, key, text, shift, STEM if language else None, tongue_of(text, language) if language else None, F.array(*runs) if runs else None)
+    index = written(index.observe(seen, F.sum("docs").alias("n"), F.sum("total").alias("total")).drop("docs", "total"), "postings")
+    made = [index]
     if language:
-        ranged = ranged.groupBy(*keys, key, "len").agg(F.sum("wdf").alias("wdf"))
-    part = F.when(kept, F.struct(F.col(key).alias("key"), "wdf", "len"))
-    blocks = ranged.groupBy(*keys).agg(F.collect_list(part).alias("postings"), F.max(F.when(kept, F.col("wdf"))).alias("most"), F.min(F.when(kept, F.col("len"))).alias("least"), F.count("*").alias("df"))
-    blocks.sortWithinPartitions(*keys).write.mode("overwrite").partitionBy("prefix").parquet(f"{path}/blocks")
-    drop(index)
+        # each different word of a language is stemmed once, in a dictionary that the chunks' words meet in a join
+        words = index.filter("tongue is not null").withColumnRenamed("term", "word")
+        known = written(words.select("tongue", "word").distinct().withColumn("term", stem_by_tongue()), "stems")
+        made.append(known)
+        index = index.filter("tongue is null").unionByName(words.join(known.hint("shuffle_hash"), ["tongue", "word"]).select(index.columns))
+    with several_files(spark):
+        packed.blocks(index, shift, parts).write.mode("overwrite").partitionBy("prefix").parquet(f"{path}/blocks")
+    drop(*made)
     terms = stored(spark, f"{path}/blocks").groupBy("prefix", "term").agg(F.sum("df").alias("df"), F.count("*").alias("blocks"))
     terms.repartitionByRange("prefix", "term").sortWithinPartitions("prefix", "term").write.mode("overwrite").parquet(f"{path}/terms")
     whole = seen.get  # counted by the tasks that made the postings
-    n = whole["n"]
+    n = whole["n"] or 0
     spark.createDataFrame([(n, whole["total"] / n if n else 1.0)], "n long, average double").coalesce(1).write.mode("overwrite").parquet(f"{path}/statistics")
 
 

@@ -69,3 +69,43 @@ def test_query_with_stems(spark, sf):
     best = sorted(score.items(), key=lambda x: (-x[1], x[0]))[:10]
     got = {r["doc_id"]: r["score"] for r in catalogue.QUERIES["fulltext_stems"](spark, sf).collect()}
     assert best and got == pytest.approx({i: round(s / best[0][1], 6) for i, s in best}, abs=2e-6)
+
+
+@pytest.mark.parametrize("chunk", [1, 1 << 21])
+def test_terms_travel_together(spark, sf, tmp_path, monkeypatch, chunk):
+    """What an index writes and shuffles has a row for a term of many documents; its blocks are those of every text's own terms and stems."""
+    from collections import Counter
+
+    from millrace.operators import packed, shared
+
+    monkeypatch.setattr(packed, "CHUNK", chunk)
+    monkeypatch.setattr(packed, "WAITING", min(chunk, 1 << 17))
+    monkeypatch.setattr(packed, "ROWS", 50 if chunk == 1 else packed.ROWS)
+    monkeypatch.setattr(fulltext, "STRETCH", 16)
+    sizes = []
+    monkeypatch.setattr(fulltext, "written", lambda df, tag="table": (made := shared.written(df, tag), sizes.append(made.count()))[0])
+    odd = [(-1, None, "en"), (-2, "", "de"), (-3, "Kneels(1) kneeling kneel_s(2) the The class Foo é", "en"), (-4, "é ß", "de"), (-5, "Kneels kneels", "en"), (None, "kneels кошки", None)]
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang", "source").limit(70 if chunk == 1 else 1000).union(spark.createDataFrame([(*r, "s(x)") for r in odd], "doc_id long, text string, lang string, source string")).coalesce(1)
+    docs = docs.withColumn("doc_id", F.col("doc_id").cast("string" if chunk == 1 else "long"))
+    path = f"file://{tmp_path}/index"
+    fulltext.store(docs, path, "doc_id", "text", {"source": "source"}, language="lang")
+    length = {r["doc_id"]: r["len"] for r in docs.select("doc_id", fulltext.text_length("text").alias("len")).collect()}
+    wanted = Counter()
+    for r in fulltext.postings(docs, "doc_id", "text", {"source": "source"}, language="lang").collect():
+        wanted[r["prefix"], r["term"], r["doc_id"]] += r["wdf"]
+    named = str if chunk == 1 else int
+    assert wanted["Z", "kneel", named(-5)] == 2 and wanted["Z", "kneel", named(-3)] >= 2 and any(d is None for _, _, d in wanted) and max(sizes) < len(wanted) / (1 if chunk == 1 else 2)
+    blocks = fulltext.stored(spark, f"{path}/blocks").collect()
+    assert len({(r["prefix"], r["term"], r["stretch"]) for r in blocks}) == len(blocks)
+    held = {(r["prefix"], r["term"], p["key"]): p["wdf"] for r in blocks for p in r["postings"]}
+    assert held == {k: n for k, n in wanted.items() if length[k[2]] > 0}
+    rows = Counter()
+    for r in blocks:
+        kept = r["postings"]
+        assert (r["most"], r["least"]) == (max((p["wdf"] for p in kept), default=None), min((p["len"] for p in kept), default=None)) and len(kept) <= r["df"] <= 16
+        assert all(p["len"] == length[p["key"]] for p in kept)
+        rows[r["prefix"], r["term"]] += r["df"]
+    assert rows == Counter((p, t) for p, t, _ in wanted) == {(r["prefix"] or "", r["term"]): r["df"] for r in spark.read.parquet(f"{path}/terms").collect()}
+    whole = spark.read.parquet(f"{path}/statistics").first()
+    known = [n for n in length.values() if n]
+    assert (whole["n"], whole["average"]) == (len(known), sum(known) / len(known))
